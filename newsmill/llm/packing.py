@@ -33,8 +33,9 @@ from .wordcache import WordIds, of_worker, slices, vocabulary
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-#: Sizes after rounding, and the share of a sequence above which a piece counts as long.
-GROUPS, LONG_SHARE = 40, 1 / 8
+#: Sizes after rounding, and the shares of a sequence above which a piece may count as long: the best plan is taken.
+#: Rounding wastes less the fewer pieces are long; short ones go by best fit with their actual lengths.
+GROUPS, LONG_SHARES = 40, (0.3, 0.4, 0.5)
 #: Pieces of one length that one task numbers.
 ROWS_EACH = 50_000
 
@@ -196,17 +197,19 @@ def _best_fit(classes: list[Class], rest: dict[int, int], capacity: int) -> list
     return [c for room in sorted(by_room) for c in by_room[room]]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[Class]:
-    """The packing of a histogram of lengths (1 to capacity)."""
+def plan(hist: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, shares: tuple[float, ...] = LONG_SHARES) -> list[Class]:
+    """The packing of a histogram of lengths (1 to capacity): the one with the fewest sequences over the shares."""
     full = [Class(hist[capacity], (capacity,), 0)] if hist.get(capacity) else []
-    cut = int(capacity * LONG_SHARE)
-    long = {k: n for k, n in hist.items() if cut < k < capacity and n}
-    rest = {k: n for k, n in hist.items() if k <= cut and n}
-    classes: list[Class] = []
-    if long:
-        classes, over = _configure(long, capacity, groups)
-        rest |= over
-    return full + _best_fit(classes, rest, capacity)
+    plans = []
+    for share in shares:
+        long = {k: n for k, n in hist.items() if capacity * share < k < capacity and n}
+        rest = {k: n for k, n in hist.items() if k <= capacity * share and n}
+        classes: list[Class] = []
+        if long:
+            classes, over = _configure(long, capacity, groups)
+            rest |= over
+        plans.append(_best_fit(classes, rest, capacity))
+    return full + min(plans, key=lambda p: sum(c.count for c in p))
 
 
 def _places(classes: list[Class]) -> dict[str, np.ndarray]:

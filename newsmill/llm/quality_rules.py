@@ -117,7 +117,7 @@ RULES = [
     Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > REPEAT_PERCENT * t.n_words),
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words * 3),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
-    Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
+    Rule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.n_lines),
     Rule("alpha_words", lambda t: 10 * t.n_alpha_words < 7 * t.n_words),
 ]
 
