@@ -1,10 +1,13 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
+from .decontamination import OP4_SQL, op4_decontamination
 from .packing import op7_packing
 from .quality_rules import op6_quality_rules
+from .secret_scan import op8_secret_scan
 from .sharding import op1_sharding
 from .token_counts import op9_token_counts
 from .url_filters import OP2_SQL, op2_url_filters
+from .warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op6_quality_rules, op7_packing, op9_token_counts)}
-SQL = {"op2_url_filters": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op4_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_token_counts, op10_warc)}
+SQL = {"op2_url_filters": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_warc": OP10_SQL}
