@@ -17,7 +17,7 @@ _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Other characters that one of Python, Unicode and the tokenizers counts as white space.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 #: Words that a worker remembers; more are encoded again when met again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 def vocabulary(name: str) -> str:
