@@ -98,10 +98,12 @@ REGIONS = [
 def region_key() -> Column:
     tags = usable_tags(F.col("tags"))
     out = None
+    named = lambda words: lambda t: F.lower(t["tag_value"]).rlike(words) | F.lower(t["tag_id"]).rlike(words)
+    placed = lambda words: lambda t: (t["tag_type"] == "region") & F.lower(t["tag_value"]).rlike(words)
     for key, _, words, places in REGIONS:
-        fits = F.exists(tags, lambda t, w=words: F.lower(t["tag_value"]).rlike(w) | F.lower(t["tag_id"]).rlike(w))
+        fits = F.exists(tags, named(words))
         if places:
-            fits = fits | F.exists(tags, lambda t, w=places: (t["tag_type"] == "region") & F.lower(t["tag_value"]).rlike(w))
+            fits = fits | F.exists(tags, placed(places))
         out = F.when(fits, key) if out is None else out.when(fits, key)
     return out
 

@@ -270,15 +270,15 @@ def forbidden_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS at FROM events)
-SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY at RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW) - 1 AS type_15m, count(*) OVER (PARTITION BY event_type ORDER BY at RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 AS type_60m,
-       count(*) OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 AS user_60m FROM e""")
+WITH e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS us FROM events)
+SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW) - 1 AS type_15m, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 AS type_60m,
+       count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) - 1 AS user_60m FROM e""")
 def rate_limit_counts(spark: SparkSession, sf: str) -> DataFrame:
     return whispers.sliding_counts(table(spark, sf, "events")).select("event_id", "type_15m", "type_60m", "user_60m")
 
 
 @query("""
-SELECT event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w AS ms_since, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER w < 300000, FALSE) AS cooldown FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+SELECT event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w AS ms_since, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w < 300000, FALSE) AS cooldown FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def cooldown_spacing(spark: SparkSession, sf: str) -> DataFrame:
     return whispers.cooldowns(table(spark, sf, "events"), ["user_id"]).select("event_id", "ms_since", "cooldown")
 
