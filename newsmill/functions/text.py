@@ -30,7 +30,7 @@ def decode_numeric(text: Column) -> Column:
     parts = F.split(text, r"(?=&#\d{1,7};)")
     code = lambda p: F.regexp_extract(p, r"^&#(\d{1,7});", 1)
     value = lambda p: F.try_to_number(code(p), F.lit("9999999")).cast("int")
-    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(value(p)), 8, "0")), "UTF-32BE")
+    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(value(p)), 8, "0")), "UTF-32")
     one = lambda p: F.when(code(p) == "", p).when(value(p) > 1114111, p).otherwise(F.concat(char(p), F.regexp_replace(p, r"^&#\d{1,7};", "")))
     return F.when(text.rlike(r"&#\d{1,7};"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
