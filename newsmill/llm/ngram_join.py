@@ -93,7 +93,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 _BLOCKS = "unit long, range int, columns binary, rows binary, facts binary"
 _BACK = "unit long, columns binary, rows binary, counts binary, facts binary"
-_SETS = "doc_id long, n_shingles long, digest binary, columns binary, first array<long>"
+_SETS = "doc_id long, text_hash long, n_shingles long, digest binary, columns binary, first array<long>"
 
 
 def _incidence(ranges: int, words: int):
@@ -104,26 +104,27 @@ def _incidence(ranges: int, words: int):
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+            hashes = batch["text_hash"].tolist()
             for a, b in slices(texts, UNIT_CHARS):
                 for c in range(a, b, UNIT_DOCS):
-                    yield of_unit(unit, ids[c : min(b, c + UNIT_DOCS)], shingle_sets(texts[c : min(b, c + UNIT_DOCS)], words))
+                    d = min(b, c + UNIT_DOCS)
+                    yield of_unit(unit, ids[c:d], hashes[c:d], shingle_sets(texts[c:d], words))
                     unit += 1
 
-    def of_unit(unit: int, ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+    def of_unit(unit: int, ids: list, hashes: list, sets: list[np.ndarray]) -> pd.DataFrame:
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         first: dict = {}
         for k, d in enumerate(digests):
             first.setdefault(d, k)
         own = [k for d, k in first.items() if d is not None]
         keys = np.concatenate([sets[k] for k in own]) if own else np.zeros(0, np.uint64)
-        rows = np.repeat(np.array(own, "<u2"), [len(sets[k]) for k in own])
-        order = np.argsort(keys)
-        keys, rows = keys[order], rows[order]
-        at = ((keys >> _LOW) * np.uint64(ranges)) >> np.uint64(16)
-        edges = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
-        low = keys & np.uint64((1 << 48) - 1)
-        facts = pickle.dumps((ids, [len(s) for s in sets], digests, set(own)))
-        out = [(unit, r, _packed(low[x:y]), rows[x:y].tobytes(), None) for r, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+        rows = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])
+        at = (((keys >> _LOW) * np.uint64(ranges)) >> np.uint64(16)).astype(np.int64)
+        each = np.bincount(at * len(own) + rows, minlength=ranges * len(own)).astype("<u2").reshape(ranges, len(own))
+        sizes = each.sum(1, dtype=np.int64)
+        low = (keys & np.uint64((1 << 48) - 1))[np.argsort(at, kind="stable")]  # by range, then document
+        facts = pickle.dumps((ids, hashes, [len(s) for s in sets], digests, own))
+        out = [(unit, r, _packed(low[end - n : end]), each[r].tobytes(), None) for r, (n, end) in enumerate(zip(sizes, np.cumsum(sizes), strict=True)) if n]
         out.append((unit, unit % ranges, None, None, facts))
         return pd.DataFrame(out, columns=["unit", "range", "columns", "rows", "facts"])
 
@@ -138,14 +139,15 @@ def _count_columns(block: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(c) for c in block["columns"]]
         low = np.concatenate(parts)
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        rows = np.concatenate([np.frombuffer(r, "<u2") for r in block["rows"]])
+        each = [np.frombuffer(r, "<u2") for r in block["rows"]]
+        rows = np.concatenate([np.repeat(np.arange(len(e), dtype="<u2"), e) for e in each])
         order = np.argsort(low, kind="stable")
         low, of, rows = low[order], of[order], rows[order]
         starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         counts = np.diff(np.r_[starts, len(low)])
         counts = np.repeat(counts, counts)
         more = counts > 1
-        low, of, rows, counts = low[more], of[more], rows[more], counts[more].astype("<u4")
+        low, of, rows, counts = low[more], of[more], rows[more], np.minimum(counts[more], 65535).astype("<u2")
         column = low | (np.uint64(block["range"].iloc[0]) << _LOW)
         order = np.argsort(of, kind="stable")
         edges = np.searchsorted(of[order], np.arange(len(parts) + 1))
@@ -160,21 +162,23 @@ def _bounded(percent: int):
     """A unit's documents: size, digest, and where any column is indexed, those and all columns that count."""
 
     def sets(unit: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, digests, own = pickle.loads(unit["facts"].dropna().iloc[0])
+        ids, hashes, sizes, digests, own = pickle.loads(unit["facts"].dropna().iloc[0])
         parts = unit[unit["facts"].isna()]
-        column, row, count = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("columns", "<u8"), ("rows", "<u2"), ("counts", "<u4")))
+        column, row, count = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("columns", "<u8"), ("rows", "<u2"), ("counts", "<u2")))
         order = np.lexsort((column, count, row))
         column, row = column[order], row[order]
-        edges = np.searchsorted(row, np.arange(len(ids) + 1))
+        edges = np.searchsorted(row, np.arange(len(own) + 1))
+        place = {k: r for r, k in enumerate(own)}
         out = []
-        for k, (i, n, digest) in enumerate(zip(ids, sizes, digests, strict=True)):
-            mine = column[edges[k] : edges[k + 1]]
+        for k, (i, h, n, digest) in enumerate(zip(ids, hashes, sizes, digests, strict=True)):
+            r = place.get(k)
+            mine = column[edges[r] : edges[r + 1]] if r is not None else column[:0]
             indexed = (n - -(-percent * n // 100) + 1) - (n - len(mine))  # columns with one document come first
-            if k in own and len(mine) and indexed > 0:
-                out.append((i, n, digest, np.sort(mine).tobytes(), mine[:indexed].astype(np.int64)))
+            if len(mine) and indexed > 0:
+                out.append((i, h, n, digest, np.sort(mine).tobytes(), mine[:indexed].astype(np.int64)))
             else:
-                out.append((i, n, digest, None, None))
-        return pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "columns", "first"]).astype({"doc_id": "Int64"})
+                out.append((i, h, n, digest, None, None))
+        return pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "digest", "columns", "first"]).astype({"doc_id": "Int64"})
 
     return sets
 
@@ -187,7 +191,7 @@ def column_ranges(docs: DataFrame) -> int:
 
 def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """_SETS of every row of docs (doc_id, text): a table in the shared folder."""
-    blocks = docs.select("doc_id", "text").mapInPandas(_incidence(column_ranges(docs), words), _BLOCKS)
+    blocks = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(_incidence(column_ranges(docs), words), _BLOCKS)
     back = blocks.groupBy("range").applyInPandas(_count_columns, _BACK)
     return write_and_read(back.groupBy("unit").applyInPandas(_bounded(percent), _SETS), "sets")
 
@@ -305,6 +309,19 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, same) of the rows of docs that stay when one row of each component does: the one with the
+    smallest doc_id, then text hash. Rows without words stay all. same: how many equal rows there are of it.
+    """
+    sets = document_sets(docs, words, percent)
+    labels = component_of_sets(sets, percent)
+    some = sets.where("digest is not null").groupBy("digest", "doc_id", "text_hash").agg(F.count("*").alias("same")).join(labels, "digest", "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    least = some.groupBy(F.coalesce("label", "digest").alias("label")).agg(F.min_by(F.struct("doc_id", "text_hash", "same"), order).alias("row")).select("row.*")
+    none = sets.where("digest is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("same")).distinct()
+    return least.unionByName(none)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by 5-word shingles at 0.75."""
     return join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

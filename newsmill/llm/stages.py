@@ -15,14 +15,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal or similar ones: the one with the smallest doc_id.
-
-    Rows that repeat a doc_id are told apart by their text; of equal rows one stays.
-    """
-    found = ngram_join.join_components(docs.select("doc_id", "text"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of equal or similar ones: the one with the smallest doc_id. Of equal rows one stays."""
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    keep = ngram_join.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "same")
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
+    once = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["doc_id", "_hash"]))
+    return once.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
