@@ -33,9 +33,18 @@ def age_label(ts: Column, now: Column) -> Column:
 
 
 def until_label(minutes: Column) -> Column:
-    """Half of a unit rounds up."""
+    """Half of an hour or day rounds up."""
     near = lambda n, unit: F.concat(F.lit("in "), F.floor(n + 0.5).cast("long").cast("string"), F.lit(unit))
-    return F.when(minutes.isNull(), "unscheduled").when(minutes < 60, near(minutes, "m")).when(minutes < 1440, near(minutes / 60, "h")).otherwise(near(minutes / 1440, "d"))
+    return F.when(minutes.isNull(), "time unknown").when(minutes < 0, "started").when(minutes < 60, near(minutes, "m")).when(minutes < 1440, near(minutes / 60, "h")).otherwise(near(minutes / 1440, "d"))
+
+
+def confirmation_label(state: Column, age: Column) -> Column:
+    fresh = F.when(age.isNotNull(), F.concat(F.lit("confirmed "), age.cast("string"), F.lit("m ago"))).otherwise("confirmed")
+    return F.when(state == "fresh", fresh).when(state == "aging", "confirmation aging").when(state == "stale", "needs confirmation (stale)").otherwise("confirmation unknown")
+
+
+def scheduled_line(name: Column, minutes: Column, state: Column, age: Column) -> Column:
+    return F.concat(name, F.lit(" "), until_label(minutes), F.lit(" · "), confirmation_label(state, age))
 
 
 def display_time(ts: Column) -> Column:

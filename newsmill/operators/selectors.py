@@ -45,7 +45,7 @@ def world_regions(spark: SparkSession, visible: DataFrame, clusters: DataFrame)
 
 
 #: Sections of the brief in order.
-SECTIONS = ["Scheduled events", "Confirmed clusters", "Relevant watched assets / topics", "Unverified / rumor / needs review (inspection only)", "Items worth attention", "Items to ignore unless they escalate"]
+SECTIONS = ["Scheduled events", "Major source-backed clusters", "Relevant watched assets / topics", "Unverified / rumor / needs review (inspection only)", "Items worth attention", "Items to ignore unless they escalate"]
 WATCHED = ["Gold", "DXY", "SPX", "VIX"]
 
 
@@ -53,18 +53,19 @@ def morning_brief(promotable: DataFrame, visible: DataFrame, quarantine: DataFra
     """(section, heading, place, line): six sections; place keeps the order inside one."""
     names = sources.select("source_id", "source_name", "legal_status")
     name = lambda df: df.drop("source_name", "legal_status").join(names, "source_id", "left").withColumn("source_name", F.coalesce("source_name", "source_id"))
-    line = F.concat("source_name", F.lit(" — "), "title")
-    tiered = F.concat(F.lit("["), "priority_tier", F.lit("] "), line)
+    line = F.concat(F.lit("["), "verification_tier", F.lit("] "), "source_name", F.lit(" · "), F.date_format("observed_at", "yyyy-MM-dd HH:mm"), F.lit(" — "), "title")
+    tiered = F.concat(F.lit("["), "priority_tier", F.lit("] "), "source_name", F.lit(" — "), "title")
     part = lambda k, df, place, text: df.select(F.lit(k).alias("section"), place.cast("string").alias("place"), text.alias("line"))
     item = F.lpad(F.col("ordinal").cast("string"), 12, "0")
     watched = gates.tag_exists(F.col("tags"), "asset", lambda v: v.isin(WATCHED))
     low = visible.where(F.col("verification_tier").isin("unverified", "rumor")).withColumn("late", F.lit("0"))
     review = name(quarantine).where("legal_status = 'needs_review'").withColumn("late", F.lit("1"))
-    flagged = name(low).select("late", "ordinal", "source_name", "title", "legal_status").unionByName(review.select("late", "ordinal", "source_name", "title", "legal_status"))
+    shown = ["late", "ordinal", "source_name", "title", "legal_status", "verification_tier", "observed_at"]
+    flagged = name(low).select(*shown).unionByName(review.select(*shown))
     size = F.lpad((F.lit(10**9) - F.col("member_count")).cast("string"), 12, "0")
     parts = [
         part(0, name(promotable.where("verification_tier = 'scheduled'")), item, line),
-        part(1, clusters.where("member_count >= 2"), F.concat(size, "cluster_id"), F.concat("title", F.lit(" ("), F.col("member_count").cast("string"), F.lit(" items, "), F.col("source_count").cast("string"), F.lit(" sources)"))),
+        part(1, clusters.where("member_count >= 2"), F.concat(size, "cluster_id"), cluster_line()),
         part(2, name(promotable.where(watched)), item, line),
         part(3, flagged, F.concat("late", item), F.concat(line, F.when(F.col("legal_status") == "needs_review", " [needs review]").otherwise(""))),
         part(4, annotated.join(promotable.select("item_id"), "item_id", "left_semi").where(F.col("priority_tier").isin("P0", "P1")), item, tiered),
@@ -76,6 +77,10 @@ def morning_brief(promotable: DataFrame, visible: DataFrame, quarantine: DataFra
     return out.withColumn("heading", F.get(F.array(*map(F.lit, SECTIONS)), F.col("section")))
 
 
+def cluster_line():
+    return F.concat(F.lit("Confirmed deterministic cluster: "), "cluster_id", F.lit(" · "), F.col("member_count").cast("string"), F.lit(" confirmed members ("), "rule_version", F.lit(") · "), F.col("source_count").cast("string"), F.lit(" sources"))
+
+
 def timeline(items: DataFrame, sources: DataFrame, query: str, statuses: list[str]) -> DataFrame:
     """Newest first; a case-insensitive substring search over title and source."""
     rows = items.join(F.broadcast(sources.select("source_id", "source_name")), "source_id")

@@ -104,3 +104,37 @@ def within_budget(requests: DataFrame, limit_usd: float) -> DataFrame:
     rows = requests.select(F.struct(F.col("seq").cast("long").alias("seq"), F.col("ceiling").cast("double").alias("ceiling")).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("all"))
     taken = rows.select(F.explode(F.aggregate("all", start, step)["taken"]).alias("seq")).withColumn("reserved", F.lit(True))
     return requests.join(taken, "seq", "left").withColumn("reserved", F.coalesce("reserved", F.lit(False)))
+
+
+def quoted(texts: DataFrame, quotes: DataFrame, key: str = "doc_id", run: int = 8) -> DataFrame:
+    """(key, item_id) of the texts that hold a quote as it stands.
+
+    Each quote gives one run of words from its middle, which a text with the quote must have too; the texts' runs meet
+    them in an equi-join, and only the pairs that meet are searched. Quotes of fewer words are met by their first word.
+    """
+    words = lambda c: F.split(c, " ")
+    inner = quotes.withColumn("w", words(F.col("quote"))).withColumn("n", F.least(F.lit(run), F.size("w") - 2))
+    few = inner.where("n < 1").select("item_id", "quote")
+    inner = inner.where("n >= 1").select("item_id", "quote", "n", F.array_join(F.expr("slice(w, 2, n)"), " ").alias("part"))
+    out = None
+    for (n,) in sorted(inner.select("n").distinct().collect()):
+        rows = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= n)
+        at = rows.select(key, "text", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"), "w").select(key, "text", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("part"))
+        met = at.join(F.broadcast(inner.where(F.col("n") == n)) if inner.count() <= 20_000 else inner.where(F.col("n") == n), "part").where(F.contains("text", "quote")).select(key, "item_id")
+        out = met if out is None else out.unionByName(met)
+    if not few.isEmpty():
+        letters = few.withColumn("c", F.substring(F.trim("quote"), 1, 1))
+        at = texts.select(key, "text", F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
+        met = at.join(letters, "c").where(F.contains("text", "quote")).select(key, "item_id")
+        out = met if out is None else out.unionByName(met)
+    return (out if out is not None else texts.select(key).join(quotes.select("item_id"), F.lit(False))).distinct()
+
+
+def citations(generations: DataFrame) -> DataFrame:
+    """(generation_id, citations): evidence of all claims."""
+    return generations.select("generation_id", F.aggregate(F.transform("claims", lambda c: F.size(c["evidence"])), F.lit(0), lambda a, b: a + b).cast("long").alias("citations"))
+
+
+def evaluation(cases: DataFrame) -> DataFrame:
+    """One row over cases (expected, accepted): passed, false accepts, false rejects."""
+    return cases.agg(F.count_if(F.col("expected") == F.col("accepted")).alias("passed"), F.count_if(~F.col("expected") & F.col("accepted")).alias("false_accepts"), F.count_if(F.col("expected") & ~F.col("accepted")).alias("false_rejects"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, times, urls
-from ..operators import audit, calendar, clusters, dedupe, event_log, gates, priority, readiness, selectors, summaries, whispers
+from ..operators import audit, calendar, clusters, dedupe, display, event_log, gates, priority, readiness, selectors, summaries, whispers
 from ..sources import rss
 from .inputs import ITEMS_SQL, items, now, observations, sources, table
 
@@ -208,12 +208,15 @@ def world_regions(spark: SparkSession, sf: str) -> DataFrame:
     return selectors.world_regions(spark, gates.visible_items(items(spark, sf), sources(spark, sf)), _legacy(spark, sf))
 
 
-@query(_SCORES + """, pccl AS (SELECT dedupe_hash, min(item_id) AS cid, count(*) AS n, count(DISTINCT source_id) AS s, arg_min(title, observed_ms) AS title FROM promotable GROUP BY dedupe_hash HAVING count(*) > 1)
-SELECT 0 AS section, 'Scheduled events' AS heading, source_name || ' — ' || title AS line FROM promotable p JOIN sources s ON p.source_id = s.source_id WHERE verification_tier = 'scheduled'
-UNION ALL SELECT 1, 'Confirmed clusters', title || ' (' || n || ' items, ' || s || ' sources)' FROM pccl
-UNION ALL SELECT 2, 'Relevant watched assets / topics', source_name || ' — ' || title FROM promotable p JOIN sources s ON p.source_id = s.source_id WHERE usable AND asset IS NOT NULL
-UNION ALL SELECT 3, 'Unverified / rumor / needs review (inspection only)', source_name || ' — ' || title FROM visible v JOIN sources s ON v.source_id = s.source_id WHERE verification_tier IN ('unverified', 'rumor')
-UNION ALL SELECT 3, 'Unverified / rumor / needs review (inspection only)', source_name || ' — ' || title || ' [needs review]' FROM items i JOIN sources s ON i.source_id = s.source_id WHERE legal_status = 'needs_review'
+_LINE = "'[' || verification_tier || '] ' || source_name || ' · ' || strftime(epoch_ms(observed_ms), '%Y-%m-%d %H:%M') || ' — ' || title"
+
+
+@query(_SCORES + f""", pccl AS (SELECT dedupe_hash, min(item_id) AS cid, count(*) AS n, count(DISTINCT source_id) AS s FROM promotable GROUP BY dedupe_hash HAVING count(*) > 1)
+SELECT 0 AS section, 'Scheduled events' AS heading, {_LINE} AS line FROM promotable p JOIN sources s ON p.source_id = s.source_id WHERE verification_tier = 'scheduled'
+UNION ALL SELECT 1, 'Major source-backed clusters', 'Confirmed deterministic cluster: ccl-' || cid || ' · ' || n || ' confirmed members (cluster-rule-v1) · ' || s || ' sources' FROM pccl
+UNION ALL SELECT 2, 'Relevant watched assets / topics', {_LINE} FROM promotable p JOIN sources s ON p.source_id = s.source_id WHERE usable AND asset IS NOT NULL
+UNION ALL SELECT 3, 'Unverified / rumor / needs review (inspection only)', {_LINE} FROM visible v JOIN sources s ON v.source_id = s.source_id WHERE verification_tier IN ('unverified', 'rumor')
+UNION ALL SELECT 3, 'Unverified / rumor / needs review (inspection only)', {_LINE} || ' [needs review]' FROM items i JOIN sources s ON i.source_id = s.source_id WHERE legal_status = 'needs_review'
 UNION ALL SELECT 4, 'Items worth attention', '[' || priority_tier || '] ' || source_name || ' — ' || title FROM scored WHERE priority_tier IN ('P0', 'P1') AND verification_tier IN ('verified', 'reported', 'scheduled')
 UNION ALL SELECT 5, 'Items to ignore unless they escalate', '[' || priority_tier || '] ' || source_name || ' — ' || title || ' (source: allowed)' FROM scored WHERE priority_tier IN ('P3', 'muted')""")
 def morning_brief(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,3 +421,50 @@ def rss_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     found = rss.scanned(dataset.to_rss(docs), now())
     return found.select("source_item_id", "quarantine_reason", "duplicate", F.col("publication.state").alias("date_state"), F.char_length("excerpt").alias("chars"))
 
+
+@query(_SCORES + """
+SELECT item_id, 'Source ref' AS evidence_label, CAST(ordinal AS VARCHAR) AS evidence_value, CASE verification_tier WHEN 'reported' THEN 'low' WHEN 'unverified' THEN 'medium' WHEN 'rumor' THEN 'high' ELSE 'none' END AS caution,
+  CASE freshness_state WHEN 'stale' THEN 'source data may be stale' END AS caveat, len(string_split(priority_reason, ';')) AS inputs, cluster_id IS NOT NULL AS uses_cluster, '/newsroom/' || item_id AS href FROM scored""")
+def item_display(spark: SparkSession, sf: str) -> DataFrame:
+    rows = display.items(_annotated(spark, sf))
+    return rows.select("item_id", F.col("evidence.label").alias("evidence_label"), F.col("evidence.value").alias("evidence_value"), F.col("verification.caution").alias("caution"), F.col("freshness.caveat").alias("caveat"), F.size("priority.inputs").cast("long").alias("inputs"), F.col("priority.uses_cluster").alias("uses_cluster"), F.col("audit.href").alias("href"))
+
+
+@query("""
+WITH e AS (SELECT event_id, epoch_ms(ts) AS ms FROM events), m AS (SELECT event_id, CAST(floor((ms - 1704153600000) / 60000) AS BIGINT) AS u, greatest(0, (1704153600000 - ms) // 60000) AS age FROM e)
+SELECT event_id, 'event ' || CASE WHEN u < 0 THEN 'started' WHEN u < 60 THEN 'in ' || u || 'm' WHEN u < 1440 THEN 'in ' || CAST(floor(u / 60 + 0.5) AS BIGINT) || 'h' ELSE 'in ' || CAST(floor(u / 1440 + 0.5) AS BIGINT) || 'd' END || ' · ' ||
+  CASE WHEN age <= 30 THEN 'confirmed ' || age || 'm ago' WHEN age <= 60 THEN 'confirmation aging' ELSE 'needs confirmation (stale)' END AS line FROM m""")
+def scheduled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    state = times.confirmation_state(F.lit("high"), ts, now())
+    return table(spark, sf, "events").select("event_id", times.scheduled_line(F.lit("event"), times.minutes_until(ts, now()), state, times.minutes_since(ts, now())).alias("line"))
+
+
+@query("""
+SELECT event_type AS stage, count(*) AS runs, round(greatest(0.01, sum(value) / max(sum(value)) OVER ()), 6) AS share FROM events GROUP BY event_type""")
+def stage_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stage's time against the longest stage's, one percent at least."""
+    from pyspark.sql.window import Window
+
+    total = table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("runs"), F.sum("value").alias("d"))
+    return total.select("stage", "runs", F.round(F.greatest(F.lit(0.01), F.col("d") / F.max("d").over(Window.partitionBy())), 6).alias("share"))
+
+
+@query("SELECT user_id, CASE WHEN bool_and(event_id % 97 <> 0) THEN sum(event_id % 1000) END AS tokens FROM events GROUP BY user_id")
+def token_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage of all attempts of a user, null if any attempt has none."""
+    used = F.when(F.col("event_id") % 97 != 0, F.col("event_id") % 1000)
+    return table(spark, sf, "events").groupBy("user_id").agg(summaries.all_or_null(used).cast("decimal(38,0)").alias("tokens"))
+
+
+@query("SELECT o_orderpriority AS stream, count(*) AS records, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY o_orderpriority")
+def log_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stream")).agg(F.count("*").alias("records"), F.countDistinct("o_custkey").alias("keys"))
+
+
+@query(r"""
+WITH b AS (SELECT item_id, text FROM benchmark)
+SELECT doc_id, item_id FROM documents JOIN b ON contains(documents.text, b.text)""")
+def evidence_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that quote a benchmark item exactly. A shared eight-word run makes it an equi-join; contains() decides."""
+    return summaries.quoted(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")))
