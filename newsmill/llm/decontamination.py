@@ -107,6 +107,13 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.join(found, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("contaminated", F.col("n_hit") > 0).drop("key")
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that no item hits, with all their columns."""
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"))
+    found = hits(docs.select(key.alias("key"), "text"), items.select("item_id", "text")).select(F.col("key").alias("_hit_key"))
+    return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_hit_key"), "left_anti").drop("_key")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the whole benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

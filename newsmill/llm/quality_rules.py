@@ -149,8 +149,8 @@ def sampled(docs: DataFrame) -> list[str]:
     return [r[0] for r in rows.select("text").limit(SAMPLE_ROWS).collect()]
 
 
-def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES, counts: bool = True) -> DataFrame:
-    """Columns `keep` of docs and SCHEMA; without counts, only kept and rejected_by are computed (the rest is null)."""
+def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES) -> DataFrame:
+    """Columns `keep` of docs (none of SCHEMA's names) and SCHEMA."""
     order = [r.name for r in order_by_yield(sampled(docs), rules)]
     by_name = {r.name: r for r in rules}
 
@@ -163,11 +163,8 @@ def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES, counts: b
                 for text in texts[a:b]:
                     t = Text(text)
                     why = verdict(t, ranked)
-                    if counts:
-                        failed = t.n_words < MIN_WORDS or 100 * t.n_repeat_words > REPEAT_PERCENT * t.n_words
-                        rows.append((*(getattr(t, c) for c in _COUNTS), failed, why is None, why))
-                    else:
-                        rows.append((None, None, None, None, None, None, why is None, why))
+                    failed = t.n_words < MIN_WORDS or 100 * t.n_repeat_words > REPEAT_PERCENT * t.n_words
+                    rows.append((*(getattr(t, c) for c in _COUNTS), failed, why is None, why))
             out = pd.DataFrame(rows, columns=[*_COUNTS, "base_failed", "kept", "rejected_by"], dtype=object)
             yield pd.concat([batch[keep].reset_index(drop=True), out], axis=1)
 
@@ -175,6 +172,19 @@ def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES, counts: b
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(judge, f"{fields}, {SCHEMA}")
 
 
+def kept(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns."""
+    order = [r.name for r in order_by_yield(sampled(docs), rules)]
+    by_name = {r.name: r for r in rules}
+
+    @F.pandas_udf("boolean")
+    def stays(texts: pd.Series) -> pd.Series:
+        ranked = [by_name[x] for x in order]
+        return texts.map(lambda t: verdict(Text(t or ""), ranked) is None)
+
+    return docs.where(stays("text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     out = apply(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -11,6 +11,7 @@ folder may be on any store that those reach.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, the one with the smallest page_id is a response and the
 others revisit it. The hot payload's rows meet as (page_id, digest) only, in a join that adaptive execution splits.
+Up to FEW_REVISITS revisits are broadcast to the tasks that read the pages; more meet the pages in a shuffled join.
 
 Defined cases: null html is an empty payload; null urls leave out their header; equal rows (page_id and payload) are
 all responses if they come first; null page_ids come first in order; an empty table gives an empty result.
@@ -27,9 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from .common import new_folder, table, write_and_read
 
 MIN_REVISIT = 100
+FEW_REVISITS = 200_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _EPOCH = "1970-01-01T00:00:00Z"
 INDEX = "archive string, page_id long, offset long, length long"
@@ -127,6 +129,9 @@ def decide(pages: DataFrame) -> DataFrame:
     ids = rows.groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("n"))
     first = ids.where(F.col("n") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min_by("page_id", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("first"), F.count("*").alias("pages")).where("pages > 1")
     later = ids.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "first")
+    later = write_and_read(later, "revisits")
+    if later.count() <= FEW_REVISITS:
+        later = F.broadcast(later)
     same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
     out = rows.join(later, same, "left")
     return out.withColumns({"record_type": F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response"), "refers_to": F.col("first")}).drop("_page", "_digest", "first")
