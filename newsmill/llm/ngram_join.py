@@ -42,7 +42,7 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Characters and documents of a unit, and the shingles of a column range.
-UNIT_CHARS, UNIT_DOCS, RANGE_SHINGLES = 6_000_000, 4096, 1_500_000
+UNIT_CHARS, UNIT_DOCS, RANGE_SHINGLES = 3_000_000, 4096, 1_500_000
 #: Longer lists are multiplied in blocks of BLOCK documents.
 SHORT_LIST, BLOCK = 64, 2048
 _COLUMNS = 4096

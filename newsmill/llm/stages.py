@@ -11,21 +11,21 @@ from .common import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.apply(docs, docs.columns, counts=False).where("kept").select(*docs.columns)
+    return quality_rules.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or similar ones: the one with the smallest doc_id. Of equal rows one stays."""
     rows = docs.withColumn("_hash", F.xxhash64("text"))
-    keep = ngram_join.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "same")
+    keep = ngram_join.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), F.col("same").alias("_same"))
     kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
-    once = kept.where("same = 1").unionByName(kept.where("same > 1").dropDuplicates(["doc_id", "_hash"]))
+    once = kept.where("_same = 1").unionByName(kept.where("_same > 1").dropDuplicates(["doc_id", "_hash"]))
     return once.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    return decontamination.find(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
