@@ -83,6 +83,6 @@ def cluster_line():
 
 def timeline(items: DataFrame, sources: DataFrame, query: str, statuses: list[str]) -> DataFrame:
     """Newest first; a case-insensitive substring search over title and source."""
-    rows = items.join(F.broadcast(sources.select("source_id", "source_name")), "source_id")
+    rows = items.join(sources.select("source_id", "source_name"), "source_id")
     text = F.lower(F.concat("title", F.lit(" "), "source_name"))
     return rows.where(F.col("verification_tier").isin(statuses) & F.contains(text, F.lit(query.lower()))).orderBy(F.desc("observed_at"), "item_id")

@@ -412,7 +412,12 @@ def summary_generation(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.generate(rows.select("generation_id", "item_id", "title", "text", "eligible"), summaries.extractive, rows.select("generation_id", "item_id", "text")).select("generation_id", "status", F.array_join("issues", ";").alias("issues"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT doc_id, substring(text, 1, 80) AS title, text FROM documents),
+d AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' ') AS title,
+             replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' ') AS text FROM t)
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS source_item_id, CASE WHEN trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g')) = '' THEN 'missing_title' END AS quarantine_reason, FALSE AS duplicate,
+       CASE WHEN 1704067200000 + doc_id * 60000 > 1704153600000 THEN 'future' ELSE 'valid' END AS date_state, CAST(length(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS INT) AS chars FROM d""")
 def rss_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as RSS payloads by source and hash, scanned again."""
     from ..sources import dataset

@@ -61,7 +61,7 @@ def normalised(items: DataFrame, sources: DataFrame, observed_at: Column) -> Dat
     tags = default_tags(F.col("default_asset_tags"), F.col("default_topic_tags")) if "default_asset_tags" in sources.columns else F.array().cast("array<struct<tag_id:string,tag_type:string,tag_value:string,provenance:string>>")
     empty = lambda c: F.nullif(c, F.lit("")).alias(c)
     own = [c for c in ("default_asset_tags", "default_topic_tags") if c in sources.columns]
-    rows = good.join(F.broadcast(sources.select("source_id", *own)), "source_id")
+    rows = good.join(sources.select("source_id", *own), "source_id")
     return rows.select(
         F.concat_ws("::", "source_id", "source_item_id").alias("item_id"), "source_id", "source_item_id", F.col("publication.at").alias("source_event_time"), status.alias("source_event_time_status"),
         observed_at.alias("observed_at"), "title", empty("excerpt"), F.nullif("link", F.lit("")).alias("url"), empty("author"), F.lit("en").alias("language"), tags.alias("tags"),

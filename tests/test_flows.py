@@ -3,7 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
-from test_reference import lit_now, sample_dataset
+from test_news import lit_now, sample_dataset
 
 from newsmill.operators import audit
 from newsmill.plans import flows
