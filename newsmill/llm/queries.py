@@ -2,9 +2,9 @@
 
 from .decontamination import OP4_SQL, op4_decontamination
 from .lm_scoring import op5_lm_scoring
-from .ngram_join import op3_ngram_join
+from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op7_packing
-from .quality_rules import op6_quality_rules
+from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import op8_secret_scan
 from .sharding import op1_sharding
 from .token_counts import op9_token_counts
@@ -12,4 +12,4 @@ from .url_filters import OP2_SQL, op2_url_filters
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filters, op3_ngram_join, op4_decontamination, op5_lm_scoring, op6_quality_rules, op7_packing, op8_secret_scan, op9_token_counts, op10_warc)}
-SQL = {"op2_url_filters": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_warc": OP10_SQL}
+SQL = {"op2_url_filters": OP2_SQL, "op3_ngram_join": OP3_SQL, "op6_quality_rules": OP6_SQL, "op4_decontamination": OP4_SQL, "op10_warc": OP10_SQL}
