@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,42 @@ def crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def spill_free_partitions(df: DataFrame, rows_each: int, rows: int) -> int:
-    """Partitions for `rows` rows at `rows_each` a task, and no fewer than the session's setting."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """While this is open, Python tasks get so many rows at once: for stages that hold much beside their batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_arrays(spark: SparkSession, name: str, arrays: dict[str, np.ndarray]) -> str:
+    """A bounded set of arrays as one file in the shared folder; its URI."""
+    from pyarrow import fs
+
+    uri = new_folder(spark, name)
+    files, path = fs.FileSystem.from_uri(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    with files.open_output_stream(path, compression=None) as out:
+        out.write(held.getvalue())
+    return uri
+
+
+_ARRAYS: dict[str, dict[str, np.ndarray]] = {}
+
+
+def read_arrays(uri: str) -> dict[str, np.ndarray]:
+    """What write_arrays() wrote; a worker keeps the last it read."""
+    if uri not in _ARRAYS:
+        from pyarrow import fs
+
+        _ARRAYS.clear()
+        files, path = fs.FileSystem.from_uri(uri)
+        with files.open_input_stream(path, compression=None) as data:
+            _ARRAYS[uri] = dict(np.load(io.BytesIO(data.read())))
+    return _ARRAYS[uri]
