@@ -16,8 +16,12 @@ _WORD = re.compile(f"[^{_SPACE}]+")
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Other characters that one of Python, Unicode and the tokenizers counts as white space.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+#: Punctuation that is a token of its own at a word's end.
+_ENDS = ".,!?;:"
 #: Words that a worker remembers; more are encoded again when met again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: Words whose encodings, a hundred times larger than their ids, are there at once.
+ENCODE_AT_ONCE = 10_000
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +45,8 @@ def load(path: str):
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts for a tokenizer that drops white space (word_bpe)."""
 
+    cache = CACHE_WORDS
+
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.known: dict[str, bytes] = {}
@@ -48,7 +54,10 @@ class WordIds:
     def _encode(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(words), ENCODE_AT_ONCE):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[k : k + ENCODE_AT_ONCE], add_special_tokens=False)]
+        return out
 
     def whole(self, text: str) -> bytes:
         return self._encode([text])[0]
@@ -58,14 +67,20 @@ class WordIds:
         split = [None if _ODD.search(t) else _WORD.findall(t) for t in texts]
         known = self.known
         new = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) + len(new) > self.cache:
             known = dict(known)
-        # "word," is "word" and ","; so most new words need no encoding of their own
-        stems = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in ".,!?;:" and w[:-1].isalpha()}
-        need = list({s for s in stems.values() if s not in known} | {w for w in new if w not in stems} | {p for p in ".,!?;:" if p not in known})
+        # "Word," is "word" and ","; so most new words need no encoding of their own
+        stems = {}
+        for w in new:
+            low = w.lower() if w.isascii() and "<|" not in w else w
+            if len(low) > 1 and low[-1] in _ENDS and low[:-1].isalpha():
+                stems[w] = low[:-1], low[-1]
+            elif low != w:
+                stems[w] = low, ""
+        need = list({s for s, _ in stems.values() if s not in known} | {w for w in new if w not in stems} | {p for p in _ENDS if p not in known})
         known.update(zip(need, self._encode(need), strict=True))
-        known.update({w: known[s] + known[w[-1]] for w, s in stems.items()})
-        if len(known) <= CACHE_WORDS:
+        known.update({w: known[s] + known[end] if end else known[s] for w, (s, end) in stems.items()})
+        if len(known) <= self.cache:
             self.known = known
         for text, words in zip(texts, split, strict=True):
             yield self.whole(text) if words is None else b"".join(map(known.__getitem__, words))
