@@ -11,9 +11,9 @@ least so many positions before it (unless the text begins there). Attention is m
 What is learned, and from what (training texts only):
 - counts of all words, N, V, the frequency of every subword id and which follows which inside words: from every
   training text, by Spark aggregation;
-- attention, topic weights and topic distributions: a start from INIT_TEXTS texts (those with the smallest hashes) on
-  the driver, then ROUNDS of local training in the tasks that read the table, over one of TRAIN_EVERY segments of every
-  training text, averaged by Spark in two levels. The share is the same at any size, so the work grows with the corpus.
+- attention, topic weights and topic distributions: a start from INIT_TEXTS different texts (those with the smallest
+  hashes) on the driver, then a round of local training in Spark tasks over every window of every training text,
+  averaged by Spark in two levels by numbers of windows. Equal texts are met once, with their number as weight.
 
 Base scores need each word's count, and words are too many to broadcast. The FREQUENT most frequent words go to the
 tasks (a fixed bound); the others leave as (document, word hash, number) and meet their counts in a join.
@@ -46,12 +46,14 @@ WINDOW, STRIDE = 32, 24
 BUCKETS, HASHED, TOPICS, HEAD = 4096, 512, 24, 8
 #: Words whose counts every task holds, at most.
 FREQUENT = 200_000
-INIT_TEXTS, INIT_EVERY, INIT_EPOCHS, ROUNDS, TRAIN_EVERY, SEGMENT_WORDS = 600, 3, 8, 1, 24, 40
+INIT_TEXTS, INIT_EPOCHS = 600, 8
 RATE, PRIOR = 0.3, 50.0
 FOLDS, HELD_OUT = 7, 2
 #: Word counts that a task holds before it passes them on.
 HELD_WORDS = 400_000
 CHUNK = 128
+#: Ids whose windows are there at once in training.
+LEARN_AT_ONCE = 500_000
 
 
 class FewWords(WordIds):
@@ -152,38 +154,58 @@ class Model:
         likely = np.einsum("nlk,nlk->nl", g, self.topics[t]) + g[..., TOPICS] * self.after[b[:, skip:], t].astype(np.float32)
         return likely / g.sum(2) * self.within[targets[:, skip:]]
 
-    def learn(self, windows: np.ndarray, targets: np.ndarray, on: np.ndarray, state: dict) -> None:
-        """One step on windows: soft counts of topics, and Adagrad on all else."""
-        b, t = self.bucket[windows], self.bucket[targets]
-        e, q, k, v = self.attend(b)
-        a = e / e.sum(2, keepdims=True)
-        h = np.matmul(a, v)
-        g = self.gate(b, h)
-        pi = g / g.sum(2, keepdims=True)
+    def learn(self, windows: np.ndarray, targets: np.ndarray, on: np.ndarray, state: dict, skip: int = 0) -> None:
+        """One step on windows, from position skip on: soft counts of topics, and Adagrad on all else.
+
+        on holds the weight of each prediction, which is how often its text stands in the corpus.
+        """
+        b, t, on = self.bucket[windows], self.bucket[targets[:, skip:]], on[:, skip:]
+        repeats = np.float32(np.square(on).sum() / max(on.sum(), 1e-30))
+        e, q, k, v = self.attend(b, skip)
+        e /= e.sum(2, keepdims=True)
+        h = np.matmul(e, v)
+        pi = self.gate(b[:, skip:], h)
+        pi /= pi.sum(2, keepdims=True)
         r = self.topics[t]
-        r[..., TOPICS] = self.after[b, t]
+        r[..., TOPICS] = self.after[b[:, skip:], t]
         r *= pi
-        r /= np.maximum(r.sum(2, keepdims=True), 1e-30)
-        r *= on[..., None]
-        np.add.at(state["counts"], t.ravel(), r[..., :TOPICS].reshape(-1, TOPICS))
-        d = r - pi * on[..., None]
-        dh = np.matmul(d, self.p["out"].T)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(2, keepdims=True))
-        dx = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)], 2)
-        grads = {"place": dx.sum(0), "out": h.reshape(-1, HEAD).T @ d.reshape(-1, TOPICS + 1), "bias": d.sum((0, 1))[None]}
-        met, at = np.unique(b, return_inverse=True)
-        for name, part in (("qkv", dx), ("own", d)):
-            total = np.zeros((len(met), part.shape[2]), np.float32)
-            np.add.at(total, at.ravel(), part.reshape(-1, part.shape[2]))
-            self.step(name, met, total, state)
-        for name, total in grads.items():
-            self.step(name, slice(0, len(total)), total, state)
-
-    def step(self, name: str, rows, total: np.ndarray, state: dict) -> None:
-        seen = state.setdefault(name, np.full(self.p[name].shape, 1e-2, np.float32))
-        seen[rows] += total**2
-        self.p[name][rows] += RATE * total / np.sqrt(seen[rows])
+        r *= (on / np.maximum(r.sum(2), 1e-30))[..., None]
+        at, total = sums_by(t.ravel(), r.reshape(-1, TOPICS + 1))
+        state["counts"][at] += total[:, :TOPICS]
+        pi *= on[..., None]
+        d = np.subtract(r, pi, out=r)
+        dh = (d.reshape(-1, TOPICS + 1) @ self.p["out"].T).reshape(h.shape)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= (dh * h).sum(2, keepdims=True)
+        ds *= e
+        both = np.zeros((*b.shape, 3 * HEAD + TOPICS + 1), np.float32)
+        both[:, skip:, :HEAD] = np.matmul(ds, k)
+        both[..., HEAD : 2 * HEAD] = np.matmul(ds.transpose(0, 2, 1), q)
+        both[..., 2 * HEAD : 3 * HEAD] = np.matmul(e.transpose(0, 2, 1), dh)
+        both[:, skip:, 3 * HEAD :] = d
+        grads = {"place": both[..., : 3 * HEAD].sum(0), "out": h.reshape(-1, HEAD).T @ d.reshape(-1, TOPICS + 1), "bias": d.sum((0, 1))[None]}
+        met, total = sums_by(b.ravel(), both.reshape(-1, both.shape[2]))
+        for name, part in (("qkv", total[:, : 3 * HEAD]), ("own", total[:, 3 * HEAD :])):
+            self.step(name, met, part, state, repeats)
+        for name, part in grads.items():
+            self.step(name, slice(0, len(part)), part, state, repeats)
+
+    def step(self, name: str, rows, total: np.ndarray, state: dict, repeats: np.float32) -> None:
+        """The squares of a text met n times grow by n, not n squared; no step is longer than RATE."""
+        if name not in state:
+            state[name] = np.full(self.p[name].shape, 1e-2, np.float32)
+        square = total**2
+        seen = state[name][rows] + square / repeats
+        state[name][rows] = seen
+        self.p[name][rows] += RATE * total / np.sqrt(np.maximum(seen, square))
+
+
+def sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the sum of each one's rows."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # buckets fit, and 16 bits are sorted by radix
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 #: The tokenizer lower-cases; doing it first for A-Z leaves fewer different words to encode.
@@ -226,12 +248,19 @@ def log10_of(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def learn_from(model: Model, sequences: list[np.ndarray], state: dict) -> int:
-    """Training over the sequences once; the number of windows."""
-    windows, targets, on, _ = in_windows(sequences)
-    for c in range(0, len(windows), 64):
-        model.learn(windows[c : c + 64], targets[c : c + 64], on[c : c + 64].astype(np.float32), state)
-    return len(windows)
+def learn_from(model: Model, sequences: list[np.ndarray], weights: list[int], state: dict) -> int:
+    """Training over the sequences once, each as often as its weight; the number of windows."""
+    total = 0
+    for a, z in slices(sequences, LEARN_AT_ONCE):
+        windows, targets, on, of = in_windows(sequences[a:z])
+        on = on * np.array(weights[a:z], np.float32)[of, None]
+        first = np.r_[True, of[1:] != of[:-1]]
+        for part, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
+            for c in range(0, len(part), 64):
+                k = part[c : c + 64]
+                model.learn(windows[k], targets[k], on[k], state, skip)
+        total += len(windows)
+    return total
 
 
 def _words(text: str) -> list[bytes]:
@@ -298,61 +327,53 @@ def id_counts(words: DataFrame, path: str) -> tuple[np.ndarray, tuple]:
     return np.bincount(second[real], number[real], N_IDS), (first, second, number)
 
 
-def _segments(text: str, every: int, key: int) -> list[str]:
-    """One of `every` segments of SEGMENT_WORDS words of a text, from a place that the key gives."""
-    words = text.split(" ")
-    return [" ".join(words[s : s + SEGMENT_WORDS]) for s in range(key % every * SEGMENT_WORDS, len(words), every * SEGMENT_WORDS)]
-
-
 def train(training: DataFrame, ids: np.ndarray, pairs: tuple, path: str) -> Model:
     """The model of the training texts."""
     spark = training.sparkSession
     model = Model(ids, pairs)
-    some = [r[0] for r in training.where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(INIT_TEXTS).collect()]
+    texts = write_and_read(training.groupBy("text").agg(F.count("*").alias("times")), "training-texts")
+    some = [r[0] for r in texts.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(INIT_TEXTS).collect()]
     if not some:
         return model
     coder = WordIds(path)
-    sequences = [sequence(x) for x in coder.texts([s for k, t in enumerate(some) for s in _segments(t, INIT_EVERY, k)])]
+    sequences = [sequence(x) for x in coder.texts([t.translate(_LOWER) for t in some])]
     state: dict = {}
     for _ in range(INIT_EPOCHS):
         state["counts"] = np.zeros_like(model.counts)
-        learn_from(model, sequences, state)
+        learn_from(model, sequences, [1] * len(sequences), state)
         model.counts = state["counts"]
         model.set_topics()
-    first = model.counts
-    for number in range(ROUNDS):
-        start = write_arrays(spark, "model", model.arrays())
-
-        def local(batches, start=start, number=number):
-            coder, own = of_worker(FewWords, path), None
-            for batch in batches:
-                if own is None:
-                    own = Model.of(read_arrays(start)).copy()
-                    state, windows = {"counts": np.zeros((BUCKETS, TOPICS), np.float32)}, 0
-                texts = ["" if t is None else t for t in batch["text"]]
-                parts = [s for t in texts for s in _segments(t, TRAIN_EVERY, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) + number)]
-                for a, b in slices(parts, 400_000):
-                    windows += learn_from(own, [sequence(x) for x in coder.texts(parts[a:b])], state)
-            if own is not None:
-                values = own.p | {"counts": state["counts"]}
-                w = {k: 1 if k == "counts" else windows for k in values}
-                yield pd.DataFrame([(k, TaskContext.get().partitionId() % 64, float(windows), (v * np.float32(w[k])).astype("<f4").tobytes()) for k, v in values.items()], columns=["name", "part", "windows", "total"])
-
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows["total"]).astype("<f4")
-            return pd.DataFrame({"name": [rows["name"].iloc[0]], "part": [0], "windows": [rows["windows"].sum()], "total": [total.tobytes()]})
-
-        schema = "name string, part int, windows double, total binary"
-        sums = training.select("text").mapInPandas(local, schema).groupBy("name", "part").applyInPandas(add, schema).groupBy("name").applyInPandas(add, schema)
-        with small_batches(spark):
-            found = sums.collect()
-        for r in found:
-            total = np.frombuffer(r["total"], "<f4").astype(np.float64)
-            if r["name"] == "counts":
-                model.counts = first + total.reshape(model.counts.shape).astype(np.float32)
-            else:
-                model.p[r["name"]] = (total / max(r["windows"], 1)).reshape(model.p[r["name"]].shape).astype(np.float32)
-        model.set_topics()
+    start = write_arrays(spark, "model", model.arrays())
+
+    def local(batches):
+        coder, own = of_worker(FewWords, path), None
+        for batch in batches:
+            if own is None:
+                own = Model.of(read_arrays(start)).copy()
+                state, windows = {"counts": np.zeros((BUCKETS, TOPICS), np.float32)}, 0
+            texts, times = [t.translate(_LOWER) for t in batch["text"]], batch["times"].tolist()
+            for a, b in slices(texts, 1_000_000):
+                windows += learn_from(own, [sequence(x) for x in coder.texts(texts[a:b])], times[a:b], state)
+        if own is not None:
+            values = own.p | {"counts": state["counts"]}
+            w = {k: 1 if k == "counts" else windows for k in values}
+            yield pd.DataFrame([(k, TaskContext.get().partitionId() % 64, float(windows), (v * np.float32(w[k])).astype("<f4").tobytes()) for k, v in values.items()], columns=["name", "part", "windows", "total"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows["total"]).astype("<f4")
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "part": [0], "windows": [rows["windows"].sum()], "total": [total.tobytes()]})
+
+    schema = "name string, part int, windows double, total binary"
+    sums = texts.mapInPandas(local, schema).groupBy("name", "part").applyInPandas(add, schema).groupBy("name").applyInPandas(add, schema)
+    with small_batches(spark):
+        found = sums.collect()
+    for r in found:
+        total = np.frombuffer(r["total"], "<f4").astype(np.float64)
+        if r["name"] == "counts":
+            model.counts = total.reshape(model.counts.shape).astype(np.float32)
+        else:
+            model.p[r["name"]] = (total / max(r["windows"], 1)).reshape(model.p[r["name"]].shape).astype(np.float32)
+    model.set_topics()
     return model
 
 

@@ -262,6 +262,33 @@ def test_lm_learns(spark):
     assert got and per_word > -1.0  # 15 kinds of tokens, by their frequency alone: -1.17
 
 
+def test_lm_trains_on_every_text(spark):
+    """Each short text's own word is met in training, also in texts beyond the first fit; in all windows of a long text."""
+    path = vocabulary(lm_scoring.TOKENIZER)
+    coder = WordIds(path)
+    own = [w[:-4] for w in sorted(coder.tokenizer.get_vocab()) if w.endswith("</w>") and w[:-4].isalpha() and w.isascii()][:1500]
+    own = [(w, x[0]) for w, e in zip(own, coder.texts(own), strict=True) if len(x := np.frombuffer(e, "<u4")) == 1][:900]
+    assert len(own) == 900
+    texts = [f"the wind and the {w} of a cold sea" for w, _ in own[:700]] + [" ".join(w for w, _ in own[700:])]
+    ids = np.bincount(np.concatenate([lm_scoring.sequence(x) for x in coder.texts(texts)]), minlength=lm_scoring.N_IDS).astype(float)
+    model = lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"), ids, None, path)
+    met = model.counts.sum(1)[model.bucket[[k for _, k in own]]]
+    assert (met > 1e-6).all()
+
+
+def test_lm_copies_weigh_as_often_as_they_stand():
+    rng = np.random.default_rng(3)
+    sequences = [np.r_[lm_scoring.BEGIN, rng.integers(0, 100, n), lm_scoring.END] for n in (5, 40, 90)]
+    counts, first = [], lm_scoring.Model(rng.integers(1, 50, lm_scoring.N_IDS).astype(float))
+    for weight in (1, 1000):
+        model, state = first.copy(), {"counts": np.zeros((lm_scoring.BUCKETS, lm_scoring.TOPICS), np.float32)}
+        windows, targets, on, _ = lm_scoring.in_windows(sequences)
+        model.learn(windows, targets, on * np.float32(weight), state)
+        counts.append(state["counts"])
+        assert all(np.abs(model.p[k] - first.p[k]).max() <= lm_scoring.RATE * 1.001 for k in model.p)
+    np.testing.assert_allclose(counts[1], 1000 * counts[0], rtol=1e-3)
+
+
 # 6
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
