@@ -67,7 +67,7 @@ class Model:
 
     def __init__(self, ids: np.ndarray, pairs: tuple | None = None, seed: int = 0):
         """ids: how often each subword id stands in the training texts; pairs: (first, second, number) inside words,
-        with BEGIN before a word's first id and END after its last."""
+        with BEGIN before a word's first id and END after its last; (BEGIN, END) is the number of texts."""
         rng = np.random.default_rng(seed)
         rank = np.empty(len(ids), np.int64)
         rank[np.argsort(-ids, kind="stable")] = np.arange(len(ids))
@@ -94,7 +94,8 @@ class Model:
         start, ends = self.frequency.copy(), np.zeros(BUCKETS, np.float32)
         if pairs is not None:
             first, second, number = pairs
-            begins, last = first == BEGIN, second == END
+            begins = first == BEGIN
+            last = (second == END) & ~begins
             inside = ~begins & ~last
             np.add.at(n, (self.bucket[first[inside]], self.bucket[second[inside]]), number[inside])
             np.add.at(start, self.bucket[second[begins]], number[begins])
@@ -286,9 +287,10 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(words: DataFrame, path: str) -> tuple[np.ndarray, tuple]:
+def id_counts(words: DataFrame, texts: int, path: str) -> tuple[np.ndarray, tuple]:
     """How often each subword id stands in the training texts, and each pair of ids inside words, from the word counts.
 
+    END stands once in each of the texts. As what may follow a word's end (BEGIN's pairs), it counts as often.
     Pairs are packed by their first id before they come back: at most N_IDS rows, as long as the vocabulary allows.
     """
 
@@ -324,7 +326,9 @@ def id_counts(words: DataFrame, path: str) -> tuple[np.ndarray, tuple]:
     second = np.concatenate([np.zeros(0, np.int64), *second])
     number = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["n"], "<f4") for r in rows)])
     real = second != END
-    return np.bincount(second[real], number[real], N_IDS), (first, second, number)
+    ids = np.bincount(second[real], number[real], N_IDS)
+    ids[END] = texts
+    return ids, (np.r_[first, BEGIN], np.r_[second, END], np.r_[number, np.float32(texts)])
 
 
 def train(training: DataFrame, ids: np.ndarray, pairs: tuple, path: str) -> Model:
@@ -442,7 +446,7 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     ends = training.count()
     types, total = words.agg(F.count("*"), F.sum("n")).first()
     n_train, n_types = (total or 0) + ends, types + bool(ends)
-    model = train(training, *id_counts(words, path), path)
+    model = train(training, *id_counts(words, ends, path), path)
     frequent = new_folder(spark, "frequent-words")
     words.where(F.col("n") >= least_frequent(words)).select("word", F.log10(F.col("n") + 1).alias("log")).coalesce(1).write.parquet(frequent)
     with small_batches(spark):

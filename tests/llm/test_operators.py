@@ -289,6 +289,28 @@ def test_lm_copies_weigh_as_often_as_they_stand():
     np.testing.assert_allclose(counts[1], 1000 * counts[0], rtol=1e-3)
 
 
+def test_lm_end_of_text_is_counted(spark):
+    """However many texts there are, the end after a text's last word is as likely as in the corpus, and unlikely before."""
+    path = vocabulary(lm_scoring.TOKENIZER)
+    text = "north wind blows over the cold sea and red apples grow on green trees today"
+    ends = []
+    for n in (10, 10_000):
+        words = spark.createDataFrame([(w.encode(), n) for w in text.split()], "word binary, n long")
+        ids, pairs = lm_scoring.id_counts(words, n, path)
+        assert ids[lm_scoring.END] == n
+        model = lm_scoring.Model(ids, pairs)
+        assert model.within[lm_scoring.END] > 0.5
+        x = lm_scoring.sequence(next(iter(WordIds(path).texts([text]))))[None]
+        ends.append(model.probability(x[:, :-1], x[:, 1:])[0, -1])
+    assert ends[1] > 0.5 * ends[0] > 0.005
+    long = [" ".join([text] * 25) + " " * k for k in range(60)]  # 375 words each
+    df = spark.createDataFrame([(t,) for t in long], "text string")
+    x = lm_scoring.sequence(next(iter(WordIds(path).texts(long[:1]))))[None]
+    model = lm_scoring.train(df, *lm_scoring.id_counts(lm_scoring.word_counts(df), 60, path), path)
+    inside = model.probability(x[:, :32], np.full((1, 32), lm_scoring.END))
+    assert inside.mean() < 1 / 200  # 1 in 376, and not 1 in 41
+
+
 # 6
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
