@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text, times, urls
 from ..operators import audit, calendar, clusters, dedupe, display, event_log, gates, priority, readiness, selectors, summaries, whispers
 from ..sources import rss
-from .inputs import ITEMS_SQL, items, now, observations, sources, table
+from .inputs import ITEMS_SQL, NOW_MS, items, now, observations, sources, table
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -373,21 +373,36 @@ def quiet_window_hold(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("candidate_id").alias("event_id"), F.coalesce(F.size("quiet_targets"), F.lit(0)).cast("long").alias("dismissals"))
 
 
-@query()
-def whisper_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Annotated items as candidates of one instant, against a history made of events."""
-    rows = _annotated(spark, sf)
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Annotated items as candidates of one instant."""
     missing = F.lit(None).cast("string")
-    candidates = rows.select(
+    return rows.select(
         F.concat(F.lit("cand-"), "item_id").alias("candidate_id"), "ordinal", F.lit("item").alias("candidate_type"), "item_id", missing.alias("cluster_id"), missing.alias("calendar_event_id"), "source_id",
         F.col("verification_tier").isin("verified", "reported", "scheduled").alias("promotable"), "legal_status", F.col("enabled").alias("source_enabled"), F.lit(False).alias("forbidden_wording"), "verification_tier",
         F.col("verification_tier").isin("verified", "reported", "scheduled").alias("may_promote"), F.lit("source_item_id").alias("evidence_type"), F.col("source_item_id").alias("evidence_value"), "priority_reason", "priority_tier",
         F.col("freshness_state").alias("freshness"), F.concat(F.lit("/audit/"), "item_id").alias("audit_href"), missing.alias("cluster_rule"), F.lit(None).cast("int").alias("member_count"), missing.alias("confirmation_state"),
         F.lit(None).cast("timestamp").alias("scheduled_for"), missing.alias("revision_status"), missing.alias("importance_tier"),
     )
-    e = table(spark, sf, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("item_id"), missing.alias("cluster_id"), missing.alias("calendar_event_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), missing.alias("priority_reason"), F.lit(None).cast("int").alias("member_count"), missing.alias("calendar_signature"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+def _whispered(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """All events as earlier whispers of the item of their number, as long before now as they lie from it on either side.
+
+    Every other one had the item's present reason; the others, and those of no item, had none.
+    """
+    missing = F.lit(None).cast("string")
+    ms = F.lit(NOW_MS) - F.abs(F.lit(NOW_MS) - F.unix_millis(F.col("ts").cast("timestamp")))
+    e = table(spark, sf, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("item_id"), missing.alias("cluster_id"), missing.alias("calendar_event_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_id"), F.lit(None).cast("int").alias("member_count"), missing.alias("calendar_signature"), F.timestamp_millis(ms).alias("created_at"))
+    return e.join(rows.where(F.col("ordinal") % 2 == 0).select("item_id", "priority_reason"), "item_id", "left")
+
+
+@query()
+def whisper_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotated items as candidates of one instant, against a history made of all events."""
+    _checkpointed(spark)
+    rows = _annotated(spark, sf).checkpoint()  # read many times, and its plan is long
     dismissals = spark.createDataFrame([("source", "src1", "2024-01-02 01:00:00")], "target_type string, target_id string, quiet_until string").withColumn("quiet_until", F.col("quiet_until").cast("timestamp"))
-    return whispers.decide(candidates, e.where(F.col("created_at") < F.lit("2023-12-31").cast("timestamp")), dismissals, now()).select("candidate_id", "decision", "reason_code", "reason")
+    return whispers.decide(_candidates(rows), _whispered(spark, sf, rows), dismissals, now()).select("candidate_id", "decision", "reason_code", "reason")
 
 
 @query()

@@ -5,8 +5,9 @@ import json
 from pyspark.sql import functions as F
 from test_news import lit_now, sample_dataset
 
-from newsmill.operators import audit
-from newsmill.plans import flows
+from newsmill.operators import audit, whispers
+from newsmill.plans import flows, queries
+from newsmill.plans.inputs import now
 
 
 def test_dataset_to_audited_run(spark, tmp_path):
@@ -38,3 +39,26 @@ def test_calendar_views(spark):
     sources = spark.createDataFrame([("c", True, "allowed", "economic_calendar_fixture"), ("d", True, "needs_review", "economic_calendar_fixture")], "source_id string, enabled boolean, legal_status string, source_type string")
     (view,) = flows.calendar_views(payloads, sources, lit_now()).collect()
     assert (view.source_id, view.revision_number, view.confirmation_state, view.minutes_until, view.promotable, len(view.history)) == ("c", 2, "fresh", 120, True, 2)
+
+
+def test_whisper_history_is_all_events(spark, tmp_path):
+    """Counts and repeats of the query against brute force over every event, some at the instant's edges."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 2)
+    minutes = [-9000, -61, -60, -59.9, -31, 3, 14.9, 15, 40, 59, 61, 20000]
+    events = [(k, at + timedelta(minutes=m), k % 3) for k, m in enumerate(minutes)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k, f"text {k}", "en", f"src{k % 4}") for k in range(8)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries._annotated(spark, str(tmp_path))
+    candidates, history = queries._candidates(rows), queries._whispered(spark, str(tmp_path), rows)
+    assert history.count() == len(events)
+    ago = {k: abs(m) for k, m in enumerate(minutes)}
+    want = {r.item_id: (sum(m < 15 for m in ago.values()), sum(m < 60 for m in ago.values()), sum(m < 60 and f"src{k % 3}" == r.source_id for k, m in ago.items()), True) for r in rows.collect()}
+    got = {r.item_id: (r.last_15m, r.last_60m, r.source_60m, r.cooldown) for r in whispers.rate_state(candidates, history, now()).collect()}
+    assert got and got == want
+    again = {r.candidate_id for r in whispers.repeats(candidates, history).collect()}
+    assert again and again == {f"cand-{i}" for i in want if int(i) % 2 == 0}
+    decided = {r.candidate_id: r.reason_code for r in queries.whisper_decisions(spark, str(tmp_path)).collect()}
+    assert len(decided) == len(want) and "whisper_threshold_met" not in decided.values() and "repeat_item_no_reason_change" in decided.values()
