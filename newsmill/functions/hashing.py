@@ -30,3 +30,8 @@ def _value(c: Column) -> Column:
 
 def content_hash(fields: dict[str, Column], optional: tuple[str, ...] = ()) -> Column:
     return F.sha2(canonical_json(fields, optional), 256)
+
+
+def prompt_hash(text: Column) -> Column:
+    """Identity of a prompt: SHA-256 of its text with \\n line ends and no white space around it."""
+    return F.sha2(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", ""), 256)

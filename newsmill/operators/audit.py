@@ -1,8 +1,7 @@
 """Run artifacts and their hash-chained ledger.
 
-A link's hash covers the hash before it, so the chain is made in order: content hashes in parallel, then one fold over
-(position, hash) rows of a run, which are as many as the run's records. Checking needs no fold: a window looks one row
-back, in ranges of positions.
+A link's hash covers its record, payload included, and the hash before it, so a chain is made in order: by one pass over
+a run's sorted records that holds one hash. Checking needs no order: each link meets the one before it by its number.
 """
 
 from __future__ import annotations
@@ -14,16 +13,15 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 KINDS = ["snapshot", "raw_payload", "normalized_item", "quarantined_item", "dedupe_decision", "cluster", "generation"]
 RUN_ID = re.compile(r"[a-zA-Z0-9-]{1,100}")
 
 
-def link(sequence: int, kind: str, content: str, previous: str | None) -> str:
-    """Hash of a link: canonical JSON of its fields (keys sorted)."""
-    record = {"payloadHash": content, "previousHash": previous, "sequence": sequence, "type": kind}
-    return hashlib.sha256(json.dumps(record, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+def link(sequence: int, kind: str, payload: str, previous: str | None) -> str:
+    """Hash of a link: canonical JSON of its fields (keys sorted); payload is canonical JSON already."""
+    before = "null" if previous is None else f'"{previous}"'
+    return hashlib.sha256(f'{{"payload":{payload},"previousHash":{before},"sequence":{sequence},"type":{json.dumps(kind)}}}'.encode()).hexdigest()
 
 
 def contents(parts: dict[str, DataFrame]) -> DataFrame:
@@ -36,28 +34,34 @@ def contents(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def ledger(records: DataFrame, run_id: str = "run") -> DataFrame:
-    """(run_id, sequence, kind, key, content, previous_hash, hash) in order of (ordinal, key)."""
-    schema = "run_id string, sequence long, kind string, key string, content string, previous_hash string, hash string"
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ordinal", "key"]).reset_index(drop=True)
-        hashes, previous = [], None
-        for k, (kind, content) in enumerate(zip(pdf["kind"], pdf["content"], strict=True)):
-            hashes.append(link(k, kind, content, previous))
-            previous = hashes[-1]
-        out = pdf.assign(sequence=range(len(pdf)), hash=hashes, previous_hash=[None, *hashes[:-1]][: len(pdf)])
-        return out[["run_id", "sequence", "kind", "key", "content", "previous_hash", "hash"]]
-
-    return records.select(F.lit(run_id).alias("run_id"), "ordinal", "kind", "key", "content").groupBy("run_id").applyInPandas(chain, schema)
+    """(run_id, sequence, kind, key, content, payload, previous_hash, hash) in order of (ordinal, key)."""
+    schema = "run_id string, sequence long, kind string, key string, content string, payload string, previous_hash string, hash string"
+
+    def chain(batches):
+        run, k, previous = None, 0, None
+        for batch in batches:
+            out = []
+            for name, kind, key, content, payload in batch[["run_id", "kind", "key", "content", "payload"]].itertuples(index=False, name=None):
+                if name != run:
+                    run, k, previous = name, 0, None
+                own = link(k, kind, payload, previous)
+                out.append((name, k, kind, key, content, payload, previous, own))
+                k, previous = k + 1, own
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = records.withColumn("run_id", F.lit(run_id)) if "run_id" not in records.columns else records
+    rows = rows.select("run_id", "ordinal", "kind", "key", "content", "payload").repartition("run_id").sortWithinPartitions("run_id", "ordinal", "key", "content")
+    return rows.mapInPandas(chain, schema)
 
 
 def broken_links(chain: DataFrame) -> DataFrame:
-    """Links whose place, predecessor or own hash is wrong; no rows means an intact chain."""
-    order = Window.partitionBy("run_id").orderBy("sequence")
+    """Links that stand twice, or whose predecessor, own hash or payload's hash is wrong; no rows means an intact chain."""
     quote = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.concat(F.lit('"'), c, F.lit('"')))
-    text = F.concat(F.lit('{"payloadHash":'), quote("content"), F.lit(',"previousHash":'), quote("previous_hash"), F.lit(',"sequence":'), F.col("sequence").cast("string"), F.lit(',"type":'), quote("kind"), F.lit("}"))
-    rows = chain.withColumns({"place": F.row_number().over(order) - 1, "before": F.lag("hash").over(order), "own": F.sha2(text, 256)})
-    return rows.where((F.col("place") != F.col("sequence")) | ~F.col("previous_hash").eqNullSafe(F.col("before")) | (F.col("own") != F.col("hash"))).select("run_id", "sequence")
+    text = F.concat(F.lit('{"payload":'), F.col("payload"), F.lit(',"previousHash":'), quote("previous_hash"), F.lit(',"sequence":'), F.col("sequence").cast("string"), F.lit(',"type":'), quote("kind"), F.lit("}"))
+    before = chain.groupBy("run_id", (F.col("sequence") + 1).alias("sequence")).agg(F.min("hash").alias("before"), F.count("*").alias("times"))
+    rows = chain.withColumn("own", F.sha2(text, 256)).join(before, ["run_id", "sequence"], "left")
+    wrong = (F.sha2("payload", 256) != F.col("content")) | (F.col("own") != F.col("hash")) | ~F.col("previous_hash").eqNullSafe(F.col("before")) | (F.coalesce("times", F.lit(1)) > 1) | (F.col("times").isNull() != (F.col("sequence") == 0))
+    return rows.where(wrong).select("run_id", "sequence")
 
 
 def manifest(chain: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Economic calendar: revisions with supersession, confirmations and what may be promoted.
 
 A revision depends on the revision before it, not on the observation before it, so the fold of an event's observations
-is a state machine. It runs per (source_id, source_event_id); the groups are one event's observations.
+is a state machine. Observations are dealt by (source_id, source_event_id) and sorted inside their partition; each task
+walks its rows once and holds the current revision of one event, however many observations that has.
 """
 
 from __future__ import annotations
@@ -21,29 +22,23 @@ OUT = (
 )
 
 
-def _same(a, b) -> bool:
-    return a == b or (pd.isna(a) and pd.isna(b))
-
-
 def decide(event: dict, prior: dict | None) -> tuple[str, str, str, object, object]:
     """(action, status, reason, scheduled for, previous time) of an observation after the current revision."""
     at, hint = event["scheduled_for"], event["status_hint"]
     if prior is None:
         return "create", "active" if hint == "scheduled" else hint, "first_seen", at, None
     before = prior["scheduled_for"]
-    moved = not _same(at, before)
-    kept = before if pd.isna(at) else at
-    new_actual = not pd.isna(event["actual"]) and not _same(event["actual"], prior["actual"])
+    kept = before if at is None else at
     if hint == "cancelled" and prior["revision_status"] != "cancelled":
         return "create", "cancelled", "cancelled", kept, before
     if hint == "postponed":
         return "create", "postponed", "postponed", at, before
-    if hint == "completed" or new_actual:
-        return "create", "completed", "actual_added", kept, before if moved else None
-    if moved:
+    if hint == "completed" or (event["actual"] is not None and event["actual"] != prior["actual"]):
+        return "create", "completed", "actual_added", kept, before if at != before else None
+    if at != before:
         return "create", "active", "time_changed", at, before
     for names, reason in ((VALUES, "forecast_changed"), (METADATA, "metadata_changed")):
-        if not all(_same(event[c], prior[c]) for c in names):
+        if any(event[c] != prior[c] for c in names):
             return "create", "active", reason, at, None
     return "confirm", prior["revision_status"], "unchanged_confirmation", before, None
 
@@ -52,26 +47,35 @@ def revisions(observations: DataFrame) -> DataFrame:
     """OUT: a row for each observation, which either creates a revision or confirms the current one.
 
     observations: source_id, source_event_id, seq (order), observed_at, status_hint, scheduled_for and the columns of
-    METADATA, VALUES, source_url.
+    METADATA, VALUES, source_url. Times go through the fold as text of microseconds, which keeps nulls apart.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        prior, number, out = None, 0, []
-        for event in pdf.sort_values("seq").to_dict("records"):
-            action, status, reason, at, before = decide(event, prior)
-            row = event | {"action": action, "revision_status": status, "change_reason": reason, "scheduled_for": at, "previous_scheduled_for": before, "supersedes": None}
-            if action == "create":
-                row["supersedes"] = number or None
-                number += 1
-                prior = row
-            out.append(row | {"revision_number": number})
-        names = [c.split()[0] for c in OUT.split(",")]
-        done = pd.DataFrame(out)[names]
-        for c in ("scheduled_for", "previous_scheduled_for"):
-            done[c] = pd.to_datetime(done[c])
-        return done.astype({"supersedes": "Int32", "revision_number": "int32"})
-
-    return observations.groupBy("source_id", "source_event_id").applyInPandas(run, OUT)
+    key, times = ["source_id", "source_event_id"], ["scheduled_for", "observed_at"]
+    columns = [*key, "seq", "status_hint", *times, *METADATA, *VALUES, "source_url"]
+    made = ["action", "revision_number", "revision_status", "change_reason", "previous_scheduled_for", "supersedes"]
+
+    def run(batches):
+        event, prior, number = None, None, 0
+        for batch in batches:
+            out = []
+            for values in zip(*(batch[c].tolist() for c in columns), strict=True):
+                row = dict(zip(columns, values, strict=True))
+                if (row["source_id"], row["source_event_id"]) != event:
+                    event, prior, number = (row["source_id"], row["source_event_id"]), None, 0
+                action, status, reason, at, before = decide(row, prior)
+                row["scheduled_for"], row["revision_status"] = at, status
+                replaced = str(number) if action == "create" and number else None
+                if action == "create":
+                    prior, number = row, number + 1
+                out.append((*(row[c] for c in columns), action, number, status, reason, before, replaced))
+            yield pd.DataFrame(out, columns=[*columns, *made])
+
+    text = ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in columns)
+    rows = observations.select(*(F.unix_micros(c).cast("string").alias(c) if c in times else F.col(c) for c in columns))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "seq")
+    folded = rows.mapInPandas(run, f"{text}, action string, revision_number int, revision_status string, change_reason string, previous_scheduled_for string, supersedes string")
+    as_time = lambda c: F.timestamp_micros(F.col(c).cast("long")).alias(c)
+    named = [f.split()[0] for f in OUT.split(",")]
+    return folded.select(*(as_time(c) if c in (*times, "previous_scheduled_for") else F.col(c).cast("int").alias(c) if c == "supersedes" else F.col(c) for c in named))
 
 
 def supersession_reason(change: Column) -> Column:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import TITLE_WINDOW_MS
 from ..functions.text import normalize_title
 from ..functions.times import millis
 from ..functions.urls import canonical_url
 from .gates import usable_tags
+from .lineage import cut
 
 #: Rules in order of precedence.
 RULES = ["source_item_id_exact", "canonical_url_exact", "dedupe_hash_exact", "normalized_title_exact_strict"]
@@ -51,7 +53,10 @@ def _title_pairs(ids: DataFrame) -> DataFrame:
 
 
 def matches(ids: DataFrame, strict_title: bool = False) -> DataFrame:
-    """Every matching pair a < b with the rule that decides: the first in order of precedence."""
+    """Every matching pair a < b with the rule that decides: the first in order of precedence.
+
+    The square of a key's items: for datasets, whose size is bounded. links() says the same of tables of any size.
+    """
     k = keys(ids)
     pairs = k.withColumnRenamed("item_id", "a").join(k.withColumnRenamed("item_id", "b"), ["rule", "key"]).where("a < b").select("a", "b", "rule")
     if strict_title:
@@ -60,25 +65,52 @@ def matches(ids: DataFrame, strict_title: bool = False) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min("rule").alias("rule")).select("a", "b", F.get(names, F.col("rule")).alias("reason_type"))
 
 
+def _stars(ids: DataFrame) -> DataFrame:
+    """(rule, a, b, members): each item of a key with the key's smallest item."""
+    k = keys(ids)
+    least = k.groupBy("rule", "key").agg(F.min("item_id").alias("a"), F.count("*").alias("members")).where("members > 1")
+    return k.join(least, ["rule", "key"]).where("a <> item_id").select("rule", "a", F.col("item_id").alias("b"), "members")
+
+
 def stars(ids: DataFrame) -> DataFrame:
     """(a, b): each item of a key with the key's smallest item; connects what matches() connects."""
-    k = keys(ids)
-    least = k.groupBy("rule", "key").agg(F.min("item_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return k.join(least, ["rule", "key"]).where("a <> item_id").select("a", F.col("item_id").alias("b")).distinct()
+    return _stars(ids).select("a", "b").distinct()
+
+
+def _title_chain(ids: DataFrame) -> DataFrame:
+    """(rule, a, b, members) of equal titles and tags: each item and the one before it in time, six hours apart at most.
+    members counts those at most six hours before or after b, itself included."""
+    at = millis(F.coalesce("source_event_time", "observed_at"))
+    rows = ids.where(F.col("normalized_title").isNotNull() & (F.size("asset_tags") + F.size("topic_tags") > 0)).withColumn("at", at)
+    same = Window.partitionBy("normalized_title", "asset_tags", "topic_tags").orderBy("at")
+    rows = rows.select("item_id", "at", F.lag(F.struct("at", "item_id")).over(same.orderBy("at", "item_id")).alias("last"), F.count("*").over(same.rangeBetween(-TITLE_WINDOW_MS, TITLE_WINDOW_MS)).alias("members"))
+    near = rows.where(F.col("at") - F.col("last.at") <= TITLE_WINDOW_MS)
+    return near.select(F.lit(3).alias("rule"), F.least("last.item_id", "item_id").alias("a"), F.greatest("last.item_id", "item_id").alias("b"), "members")
+
+
+def links(ids: DataFrame, strict_title: bool = False) -> DataFrame:
+    """(a, b, reason_type, members) that connect all matching items, a row for each item and rule at most: with the
+    smallest item of a shared key (members: how many share it), and by title with the neighbour in time."""
+    rows = _stars(ids)
+    if strict_title:
+        rows = rows.unionByName(_title_chain(ids))
+    names = F.array(*map(F.lit, RULES))
+    one = rows.groupBy("a", "b").agg(F.min(F.struct("rule", "members")).alias("m"))
+    return one.select("a", "b", F.get(names, F.col("m.rule")).alias("reason_type"), F.col("m.members").alias("members"))
 
 
 def components(links: DataFrame, root: Column | None = None) -> DataFrame:
     """(item_id, root): the smallest item of each linked item's component.
 
-    Minimum labels with pointer jumping; each round is checkpointed to the folder that executors share.
+    Minimum labels with pointer jumping; each round is written to the folder that executors share.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("item_id")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("item_id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("item_id", "b"), "b").groupBy(F.col("a").alias("item_id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "item_id").select("item_id", "root", F.least("root", "near").alias("low"))
         jump = step.join(labels.select(F.col("item_id").alias("low"), F.col("root").alias("far")), "low")
-        new = jump.select("item_id", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("changed")).checkpoint()
+        new = cut(jump.select("item_id", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("changed")))
         labels = new.drop("changed")
         if new.where("changed").isEmpty():
             return labels

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import fnv1a
+from .numbering import numbered
 
 SCHEMA = "record_id string, stream_name string, stream_key string, sequence long, recorded_at timestamp, schema_version string, producer_version string, payload_hash string, source_phase string, reason string, payload string, contract_version string"
 CONTRACT = "persistence-contract-v1"
@@ -39,13 +40,14 @@ STREAMS = {
 
 
 def to_envelope(df: DataFrame, stream: str, natural_id: Column, order: list[str], before: int = 0, reason: Column | None = None, version: str = "v1") -> DataFrame:
-    """Domain rows as log records; `before` records are in the stream already. Ids count by stream name."""
+    """Domain rows as log records; `before` records are in the stream already. Ids count by stream name; order has no ties."""
     prefix, key, at = STREAMS[stream]
-    n = F.row_number().over(Window.partitionBy(F.lit(stream)).orderBy(*order)) - 1 + before
-    return df.select(
+    n = F.col("_n") + before
+    payload = F.to_json(F.struct(*sorted(df.columns)))
+    return numbered(df, [F.col(c) for c in order], "_n").select(
         F.concat_ws(":", F.lit(prefix), n.cast("string"), natural_id).alias("record_id"), F.lit(stream).alias("stream_name"), (F.col(key) if key else F.lit(None)).cast("string").alias("stream_key"),
         F.col(at).cast("timestamp").alias("recorded_at"), F.lit(f"{prefix}-{version}").alias("schema_version"), F.lit(f"{stream}-producer-{version}").alias("producer_version"),
-        F.lit(stream.partition("-")[0]).alias("source_phase"), (reason if reason is not None else F.lit(None)).cast("string").alias("reason"), F.to_json(F.struct(*sorted(df.columns))).alias("payload"),
+        F.lit(stream.partition("-")[0]).alias("source_phase"), (reason if reason is not None else F.lit(None)).cast("string").alias("reason"), payload.alias("payload"),
     )
 
 
@@ -130,6 +132,11 @@ def payloads(log: DataFrame, stream: str, schema: str) -> DataFrame:
     return log.where(F.col("stream_name") == stream).select("sequence", "recorded_at", F.from_json("payload", schema).alias("p")).select("sequence", "recorded_at", "p.*")
 
 
+def summary(log: DataFrame) -> DataFrame:
+    """(stream_name, records, keys) of each stream."""
+    return log.groupBy("stream_name").agg(F.count("*").alias("records"), F.countDistinct("stream_key").alias("keys"))
+
+
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last event of each key."""
     return events.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), F.struct(*order)).alias("last")).select(*keys, "last.*")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +76,51 @@ def generate(clusters: DataFrame, provider: Provider, items: DataFrame) -> DataF
     return judged.unionByName(skipped)
 
 
+#: What a summary's JSON may hold, by level (fixed values).
+SUMMARY_KEYS = {"$": ["schemaVersion", "headline", "claims", "uncertainty"], "claims": ["text", "evidence"], "evidence": ["itemId", "quote"]}
+_SUMMARY = "schemaVersion string, headline string, claims array<struct<text:string,evidence:array<struct<itemId:string,quote:string>>>>, uncertainty array<string>"
+
+
+def parsed(candidates: DataFrame) -> DataFrame:
+    """candidates (generation_id, json) as summaries. What isn't an object of the schema's keys and version gets no
+    headline, and so fails the size rules of validated()."""
+    none = F.array().cast("array<string>")
+    listed = lambda j, path: F.coalesce(F.from_json(F.get_json_object(j, path), "array<string>"), none)
+    only = lambda j, level: F.coalesce(F.size(F.array_except(F.json_object_keys(j), F.array(*map(F.lit, SUMMARY_KEYS[level])))) == 0, F.lit(False))
+    claims = listed(F.col("json"), "$.claims")
+    nested = F.forall(claims, lambda c: only(c, "claims") & F.forall(listed(c, "$.evidence"), lambda e: only(e, "evidence")))
+    d = F.from_json("json", _SUMMARY)
+    rows = candidates.select("generation_id", d.alias("d"), (only(F.col("json"), "$") & nested & F.coalesce(d["schemaVersion"] == "summary-v1", F.lit(False))).alias("fits"))
+    evidence = lambda c: F.transform(c["evidence"], lambda e: F.struct(e["itemId"].alias("item_id"), e["quote"].alias("quote")))
+    return rows.select("generation_id", F.when(F.col("fits"), F.col("d.headline")).alias("headline"), F.transform("d.claims", lambda c: F.struct(c["text"].alias("text"), evidence(c).alias("evidence"))).alias("claims"), F.col("d.uncertainty").alias("uncertainty"))
+
+
+RETRIED_ATTEMPTS = 3
+
+
+def provider_outcome() -> Column:
+    """The failure that an attempt ends its generation with, null if it doesn't; 'retry' before another attempt.
+
+    Columns: number, priced (the budget holds the request), error (timeout, network), http_status, envelope_ok, refused,
+    envelope_status, output_json_ok.
+    """
+    status = F.col("http_status")
+    again = ((status == 429) | (status >= 500)) & (F.col("number") < RETRIED_ATTEMPTS)
+    return (
+        F.when(~F.col("priced"), "budget_exceeded_or_unpriced_model").when(F.col("error") == "timeout", "provider_timeout").when(F.col("error").isNotNull(), "provider_network_error")
+        .when(~status.between(200, 299) & again, "retry").when(~status.between(200, 299), F.concat(F.lit("provider_http_"), status.cast("string")))
+        .when(~F.col("envelope_ok"), "invalid_provider_envelope").when(F.col("refused"), "provider_refused").when(F.col("envelope_status") != "completed", "provider_incomplete").when(~F.col("output_json_ok"), "invalid_output_json")
+    )
+
+
 def telemetry(generations: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
-    """One row: accepted, rejected, skipped."""
-    return generations.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "rejected", "skipped")))
+    """One row: accepted, rejected, skipped; with attempts (generation_id, cost): calls and cost, null if any is null."""
+    out = generations.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "rejected", "skipped")))
+    if attempts is None:
+        return out
+    spent = attempts.groupBy("generation_id").agg(F.count("*").alias("calls"), all_or_null(F.col("cost")).alias("cost"))
+    each = generations.select("generation_id").join(spent, "generation_id", "left").agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.round(all_or_null(F.col("cost")), 8).alias("cost"))
+    return out.withColumn("_one", F.lit(1)).join(each.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def cost(model: Column, tokens_in: Column, tokens_cached: Column, tokens_out: Column) -> Column:
@@ -95,41 +138,57 @@ def all_or_null(value: Column) -> Column:
 def within_budget(requests: DataFrame, limit_usd: float) -> DataFrame:
     """requests (seq, ceiling) and reserved: first come, first served; a refused one takes nothing.
 
-    The ceilings of one run are few; the walk is an aggregate over their sorted array.
+    What a request may take depends on all before it, so one task walks their sorted (seq, ceiling), holding one sum.
     """
     if not 0 < limit_usd <= 10:
         raise ValueError("the budget must be above 0 and at most 10 USD")
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    step = lambda s, e: F.when(s["used"] + e["ceiling"] <= limit_usd, F.struct((s["used"] + e["ceiling"]).alias("used"), F.concat(s["taken"], F.array(e["seq"])).alias("taken"))).otherwise(s)
-    rows = requests.select(F.struct(F.col("seq").cast("long").alias("seq"), F.col("ceiling").cast("double").alias("ceiling")).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("all"))
-    taken = rows.select(F.explode(F.aggregate("all", start, step)["taken"]).alias("seq")).withColumn("reserved", F.lit(True))
+
+    def walk(batches):
+        used = 0.0
+        for batch in batches:
+            taken = []
+            for seq, ceiling in zip(batch["seq"].tolist(), batch["ceiling"].tolist(), strict=True):
+                if used + ceiling <= limit_usd:
+                    used += ceiling
+                    taken.append(seq)
+            yield pd.DataFrame({"seq": pd.Series(taken, dtype="int64")})
+
+    rows = requests.select(F.col("seq").cast("long").alias("seq"), F.col("ceiling").cast("double").alias("ceiling"))
+    taken = rows.repartition(1).sortWithinPartitions("seq").mapInPandas(walk, "seq long").withColumn("reserved", F.lit(True))
     return requests.join(taken, "seq", "left").withColumn("reserved", F.coalesce("reserved", F.lit(False)))
 
 
-def quoted(texts: DataFrame, quotes: DataFrame, key: str = "doc_id", run: int = 8) -> DataFrame:
+def quoted(texts: DataFrame, quotes: DataFrame, key: str = "doc_id", run: int = 8, letters: int = 8) -> DataFrame:
     """(key, item_id) of the texts that hold a quote as it stands.
 
     Each quote gives one run of words from its middle, which a text with the quote must have too; the texts' runs meet
-    them in an equi-join, and only the pairs that meet are searched. Quotes of fewer words are met by their first word.
+    them in an equi-join, and only the pairs that meet are searched. Quotes of two words or fewer have no such run and
+    are met by their first characters.
     """
-    words = lambda c: F.split(c, " ")
-    inner = quotes.withColumn("w", words(F.col("quote"))).withColumn("n", F.least(F.lit(run), F.size("w") - 2))
-    few = inner.where("n < 1").select("item_id", "quote")
-    inner = inner.where("n >= 1").select("item_id", "quote", "n", F.array_join(F.expr("slice(w, 2, n)"), " ").alias("part"))
+    parts = quotes.withColumn("w", F.split("quote", " ")).withColumn("n", F.least(F.lit(run), F.size("w") - 2)).withColumn("by_word", F.col("n") >= 1)
+    n = F.when(F.col("by_word"), F.col("n")).otherwise(F.least(F.lit(letters), F.char_length("quote")))
+    part = F.when(F.col("by_word"), F.array_join(F.expr("slice(w, 2, greatest(n, 0))"), " ")).otherwise(F.substring("quote", F.lit(1), n))
+    parts = parts.select("item_id", "quote", "by_word", n.alias("n"), part.alias("part"))
+    few = parts.count() <= 20_000
     out = None
-    for (n,) in sorted(inner.select("n").distinct().collect()):
-        rows = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= n)
-        at = rows.select(key, "text", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"), "w").select(key, "text", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("part"))
-        met = at.join(F.broadcast(inner.where(F.col("n") == n)) if inner.count() <= 20_000 else inner.where(F.col("n") == n), "part").where(F.contains("text", "quote")).select(key, "item_id")
-        out = met if out is None else out.unionByName(met)
-    if not few.isEmpty():
-        letters = few.withColumn("c", F.substring(F.trim("quote"), 1, 1))
-        at = texts.select(key, "text", F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
-        met = at.join(letters, "c").where(F.contains("text", "quote")).select(key, "item_id")
+    for by_word, size in sorted(tuple(r) for r in parts.select("by_word", "n").distinct().collect()):  # run + letters rows at most
+        mine = parts.where((F.col("by_word") == by_word) & (F.col("n") == size)).select("item_id", "quote", "part")
+        rows = texts.withColumn("w", F.split("text", " ") if by_word else F.split("text", "")).where(F.size("w") >= size)
+        at = rows.select(key, "text", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("i")) if size else rows.select(key, "text", "w", F.lit(0).alias("i"))
+        at = at.select(key, "text", F.array_join(F.slice("w", F.col("i") + 1, size), " " if by_word else "").alias("part"))
+        met = at.join(F.broadcast(mine) if few else mine, "part").where(F.contains("text", "quote")).select(key, "item_id")
         out = met if out is None else out.unionByName(met)
     return (out if out is not None else texts.select(key).join(quotes.select("item_id"), F.lit(False))).distinct()
 
 
+def stage_share(stages: DataFrame) -> DataFrame:
+    """(stage, runs, share) of stages (stage, duration): each stage's time against the longest one's, one percent at least."""
+    total = stages.groupBy("stage").agg(F.count("*").alias("runs"), F.sum("duration").alias("_d"))
+    most = total.agg(F.max("_d").alias("_most")).withColumn("_one", F.lit(1))
+    share = F.round(F.greatest(F.lit(0.01), F.col("_d") / F.col("_most")), 6)
+    return total.withColumn("_one", F.lit(1)).join(F.broadcast(most), "_one").select("stage", "runs", share.alias("share"))
+
+
 def citations(generations: DataFrame) -> DataFrame:
     """(generation_id, citations): evidence of all claims."""
     return generations.select("generation_id", F.aggregate(F.transform("claims", lambda c: F.size(c["evidence"])), F.lit(0), lambda a, b: a + b).cast("long").alias("citations"))

@@ -7,12 +7,14 @@ cooldown holds the rest. Hence at most the first candidate that would whisper do
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..functions.times import millis
+from . import display
 
 MINUTE = 60_000
 
@@ -123,6 +125,55 @@ def repeats(candidates: DataFrame, whispers: DataFrame) -> DataFrame:
     return met.select("candidate_id", reason.alias("repeat_reason")).where("repeat_reason is not null")
 
 
+def _candidate(**columns: Column) -> list[Column]:
+    """All candidate columns; those that aren't given are null."""
+    kinds = {"member_count": "int", "scheduled_for": "timestamp", "source_enabled": "boolean", "ordinal": "long"}
+    names = ["candidate_id", "ordinal", "candidate_type", "item_id", "cluster_id", "calendar_event_id", "source_id", "promotable", "legal_status", "source_enabled", "forbidden_wording", "verification_tier", "may_promote", "evidence_type", "evidence_value", "priority_reason", "priority_tier", "freshness", "audit_href", "cluster_rule", "member_count", "confirmation_state", "scheduled_for", "revision_status", "importance_tier"]
+    fixed = {"promotable": F.lit(True), "forbidden_wording": F.lit(False)}
+    return [(columns.get(n, fixed.get(n, F.lit(None).cast(kinds.get(n, "string"))))).alias(n) for n in names]
+
+
+def item_candidates(annotated: DataFrame, order: list[Column]) -> DataFrame:
+    """Candidates of annotated, promotable items; items of one confirmed cluster give one, of the first in order."""
+    shown = display.items(annotated)
+    clustered = F.col("cluster_id").isNotNull() & (F.col("cluster_size") >= C.CLUSTER_GLOW)
+    ident = F.when(clustered, F.concat(F.lit("cand-cluster-"), "cluster_id")).otherwise(F.concat(F.lit("cand-item-"), "item_id"))
+    rows = shown.withColumns({"_id": ident, "_order": F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))})
+    first = rows.groupBy("_id").agg(F.min("_order").alias("_order"))
+    rows = rows.join(first, ["_id", "_order"])
+    c = F.col
+    return rows.select("_order", *_candidate(
+        candidate_id=c("_id"), candidate_type=F.when(clustered, "cluster").otherwise("item"), item_id=F.when(~clustered, c("item_id")), cluster_id=F.when(clustered, c("cluster_id")), source_id=c("source_id"), legal_status=c("legal_status"),
+        source_enabled=c("enabled"), verification_tier=c("verification_tier"), may_promote=c("verification.may_promote"), evidence_type=c("evidence.type"), evidence_value=c("evidence.value"), priority_reason=c("priority_reason"),
+        priority_tier=c("priority_tier"), freshness=c("freshness_state"), audit_href=c("audit.href"), cluster_rule=F.when(clustered, F.lit(C.CLUSTER_RULE)), member_count=F.when(clustered, c("cluster_size")).cast("int"),
+    ))
+
+
+def calendar_candidates(views: DataFrame, legal_status: str, enabled: bool) -> DataFrame:
+    """Candidates of calendar views (source_id, source_event_id, source_url, importance_tier, scheduled_for,
+    revision_status, confirmation_state); legal_status and enabled prove their source."""
+    ident = F.concat_ws("::", "source_id", "source_event_id")
+    shown = display.calendar_evidence(F.col("source_url"), F.col("source_event_id"))
+    return views.select(F.struct(ident.alias("o0")).alias("_order"), *_candidate(
+        candidate_id=F.concat(F.lit("cand-cal-"), ident), candidate_type=F.lit("calendar_event"), calendar_event_id=ident, source_id=F.col("source_id"), legal_status=F.lit(legal_status), source_enabled=F.lit(enabled),
+        verification_tier=F.lit("scheduled"), may_promote=F.lit(True), evidence_type=shown["type"], evidence_value=shown["value"], priority_reason=F.concat(F.lit("scheduled "), "importance_tier", F.lit("-importance event")), priority_tier=F.lit("P2"),
+        freshness=F.lit("live"), audit_href=F.lit(display.AUDIT["calendar_event"][1]), confirmation_state=F.col("confirmation_state"), scheduled_for=F.col("scheduled_for"), revision_status=F.col("revision_status"), importance_tier=F.col("importance_tier"),
+    ))
+
+
+def message() -> Column:
+    """What a decision says to the reader."""
+    told = F.when(F.col("candidate_type") == "cluster", "Confirmed cluster updated").when(F.col("candidate_type") == "calendar_event", "Scheduled event approaching").otherwise("Source-backed item to review")
+    name = F.when(F.col("decision") == "hold", "Held (").otherwise("Suppressed (")
+    return F.when(F.col("decision").isin("glow", "whisper"), told).otherwise(F.concat(name, "reason_code", F.lit(")")))
+
+
+def decision_views(decided: DataFrame) -> DataFrame:
+    """Decisions as the session shows them: target_type, target_id, level, message beside the candidate's columns."""
+    own = F.coalesce(F.when(F.col("candidate_type") == "cluster", F.col("cluster_id")).when(F.col("candidate_type") == "calendar_event", F.col("calendar_event_id")).otherwise(F.col("item_id")), F.col("candidate_id"))
+    return decided.withColumns({"target_type": F.col("candidate_type"), "target_id": own, "level": F.col("decision"), "message": message()})
+
+
 def decide(candidates: DataFrame, whispers: DataFrame, dismissals: DataFrame, now: Column) -> DataFrame:
     """candidates (ordinal: their order) and decision (suppress, hold, glow, whisper), reason_code, reason.
 
@@ -144,14 +195,21 @@ def decide(candidates: DataFrame, whispers: DataFrame, dismissals: DataFrame, no
 
 
 def sliding_counts(events: DataFrame) -> DataFrame:
-    """Per event: earlier ones within 15 and 60 minutes overall by type, and by source; ties go by event_id."""
+    """Per event: others within the 15 and 60 minutes up to it, of its type and of its user; equal times count each other.
+
+    Time is cut into hours, and an event also counts in the next one. So a type's or user's events are spread over as
+    many groups as they span hours.
+    """
+    hour = 60 * 60_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.withColumn("at", at)
-    span = lambda keys, minutes: Window.partitionBy(*keys).orderBy("at").rangeBetween(-(minutes * 60_000_000 - 1), 0)
+    slot = F.floor(F.col("_at") / hour)
+    rows = events.withColumn("_at", at)
+    rows = rows.withColumn("_in", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")))))
+    span = lambda key, minutes: Window.partitionBy(key, "_in.slot").orderBy("_at").rangeBetween(-(minutes * 60_000_000 - 1), 0)
     return rows.withColumns({
-        "type_15m": F.count("*").over(span(["event_type"], 15)) - 1, "type_60m": F.count("*").over(span(["event_type"], 60)) - 1,
-        "user_60m": F.count("*").over(span(["user_id"], 60)) - 1,
-    }).drop("at")
+        "type_15m": F.count("*").over(span("event_type", 15)) - 1, "type_60m": F.count("*").over(span("event_type", 60)) - 1,
+        "user_60m": F.count("*").over(span("user_id", 60)) - 1,
+    }).where("_in.own").drop("_at", "_in")
 
 
 def cooldowns(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +228,7 @@ def record_interactions(intents: DataFrame) -> DataFrame:
     """intents (seq, intent_id, interaction_type, target_type, target_id, at) and status, result, quiet_until.
 
     A dismissal counts if none of its target is in force. Those of one target are a chain in time: an accepted one
-    silences its followers for the quiet window. The chain is walked by an aggregate over the target's sorted times.
+    silences its followers for the quiet window. Each task walks its targets' sorted times once and holds one instant.
     """
     bad = F.coalesce(F.trim("intent_id"), F.lit("")) == ""
     reject = (
@@ -179,12 +237,21 @@ def record_interactions(intents: DataFrame) -> DataFrame:
         .when((F.col("interaction_type") == "dismiss") & ~F.col("target_type").isin(DISMISSABLE), "undismissable_target")
     )
     rows = intents.withColumn("reject", reject)
-    valid = rows.where("reject is null and interaction_type = 'dismiss'").select("target_type", "target_id", F.struct(millis(F.col("at")).alias("ms"), "seq").alias("e"))
+    valid = rows.where("reject is null and interaction_type = 'dismiss'").select("target_type", "target_id", millis(F.col("at")).alias("ms"), F.col("seq").cast("long").alias("seq"))
     length = C.QUIET_MIN * MINUTE
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("until"), F.array().cast("array<bigint>").alias("taken"))
-    step = lambda s, e: F.when(e["ms"] >= s["until"], F.struct((e["ms"] + length).alias("until"), F.concat(s["taken"], F.array(e["seq"])).alias("taken"))).otherwise(s)
-    chain = valid.groupBy("target_type", "target_id").agg(F.aggregate(F.array_sort(F.collect_list("e")), start, step)["taken"].alias("taken"))
-    taken = chain.select(F.explode("taken").alias("seq")).withColumn("taken", F.lit(True))
+
+    def chain(batches):
+        target, until = None, 0
+        for batch in batches:
+            taken = []
+            for kind, name, ms, seq in batch.itertuples(index=False, name=None):
+                if (kind, name) != target or ms >= until:
+                    target, until = (kind, name), ms + length
+                    taken.append(seq)
+            yield pd.DataFrame({"seq": pd.Series(taken, dtype="int64")})
+
+    ordered = valid.repartition("target_type", "target_id").sortWithinPartitions("target_type", "target_id", "ms", "seq")
+    taken = ordered.mapInPandas(chain, "seq long").withColumn("taken", F.lit(True))
     rows = rows.join(taken, "seq", "left")
     dismiss = F.col("interaction_type") == "dismiss"
     status = F.when(F.col("reject").isNotNull(), "rejected").when(dismiss & F.col("taken").isNull(), "ignored").otherwise("recorded")
@@ -196,21 +263,23 @@ def record_interactions(intents: DataFrame) -> DataFrame:
 def session_view(views: DataFrame, dismissals: DataFrame, interactions: DataFrame, now: Column) -> DataFrame:
     """views (decision_id, target_type, target_id, level) and placement, projection_reason, quiet_until, record_id.
 
-    Matches are the first in log order (seq): by target or by decision, and everything for global dismissals.
+    Matches are the first in log order (seq): by target or by decision, and everything for global dismissals. Each table
+    is reduced to a row for its key, and global dismissals to one row, before any join.
     """
     key = ["target_type", "target_id"]
-    here = views.select("decision_id", *key)
-    everywhere = dismissals.where("target_type = 'global'").select(F.lit(1).alias("_one"), "dismissal_id", "quiet_until", "seq")
-    met = here.join(dismissals.where("target_type <> 'global'").select(*key, "dismissal_id", "quiet_until", "seq"), key).select("decision_id", "dismissal_id", "quiet_until", "seq")
-    met = met.unionByName(here.withColumn("_one", F.lit(1)).join(everywhere, "_one").select("decision_id", "dismissal_id", "quiet_until", "seq"))
     on = F.col("quiet_until") > now
-    of_dismissal = met.groupBy("decision_id").agg(F.min_by(F.when(on, F.struct("quiet_until", "dismissal_id")), F.when(on, F.col("seq"))).alias("held"), F.bool_or(~on).alias("expired"))
-    acts = interactions.select("decision_id", *key, "interaction_type", "record_id", "seq")
-    by_decision = here.select("decision_id").join(acts.select("decision_id", "interaction_type", "record_id", "seq"), "decision_id")
-    by_target = here.join(acts.drop("decision_id"), key).select("decision_id", "interaction_type", "record_id", "seq")
-    first = lambda kinds: F.min_by(F.when(F.col("interaction_type").isin(kinds), F.col("record_id")), F.when(F.col("interaction_type").isin(kinds), F.col("seq")))
-    of_act = by_decision.unionByName(by_target).groupBy("decision_id").agg(first(["mark_seen"]).alias("seen"), first(["open_audit", "open_evidence"]).alias("opened"))
-    rows = views.join(of_dismissal, "decision_id", "left").join(of_act, "decision_id", "left")
+    earliest = F.min(F.when(on, F.struct("seq", "quiet_until", "dismissal_id")))
+    everywhere = dismissals.where("target_type = 'global'").agg(earliest.alias("_all"), F.bool_or(~on).alias("_all_expired"))
+    of_target = dismissals.where("target_type <> 'global'").groupBy(*key).agg(earliest.alias("_held"), F.bool_or(~on).alias("_expired"))
+    first = lambda kinds: F.min(F.when(F.col("interaction_type").isin(kinds), F.struct("seq", "record_id")))
+    acts = lambda by, name: interactions.groupBy(*by).agg(first(["mark_seen"]).alias(f"_seen_{name}"), first(["open_audit", "open_evidence"]).alias(f"_open_{name}"))
+    rows = views.join(of_target, key, "left").join(acts(["decision_id"], "d"), "decision_id", "left").join(acts(key, "t"), key, "left")
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(everywhere.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    sooner = lambda a, b: F.least(F.coalesce(a, b), F.coalesce(b, a))
+    rows = rows.withColumns({
+        "held": sooner(F.col("_held"), F.col("_all")), "expired": F.coalesce("_expired", F.lit(False)) | F.coalesce("_all_expired", F.lit(False)),
+        "seen": sooner(F.col("_seen_d"), F.col("_seen_t"))["record_id"], "opened": sooner(F.col("_open_d"), F.col("_open_t"))["record_id"],
+    })
     suppressed = F.col("level") == "suppress"
     held = ~suppressed & F.col("held").isNotNull()
     expired = F.coalesce("expired", F.lit(False))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, times, urls
-from ..operators import audit, calendar, clusters, dedupe, display, event_log, gates, priority, readiness, selectors, summaries, whispers
+from ..operators import audit, calendar, clusters, dedupe, display, event_log, gates, numbering, priority, readiness, selectors, summaries, whispers
+from ..operators.lineage import cut
 from ..sources import rss
-from .inputs import ITEMS_SQL, NOW_MS, items, now, observations, sources, table
+from .inputs import CLUSTERS_SQL, ITEMS_SQL, NOW_MS, clusters_sql, items, now, observations, sources, table
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -18,18 +19,20 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if sql.lstrip().upper().startswith(("SELECT", "WITH")) else f"WITH {sql}"
+            SQL[f.__name__] = sql if sql.lstrip().upper().startswith(("SELECT", "WITH")) else f"WITH RECURSIVE {sql}"
         return f
 
     return add
 
 
 def _checkpointed(spark: SparkSession) -> None:
-    """Iterative queries need a checkpoint folder: the session's, or a local one where none is set (tests)."""
+    """Iterative queries need a checkpoint folder: the session's, or a local one in a local session without (tests)."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsmill-"))
 
 
@@ -57,23 +60,32 @@ def promotable_items(spark: SparkSession, sf: str) -> DataFrame:
     return gates.promotable_items(items(spark, sf), sources(spark, sf)).select("item_id", "verification_tier")
 
 
-@query(ITEMS_SQL + """
-SELECT a.item_id AS a, b.item_id AS b, 'dedupe_hash_exact' AS reason_type FROM visible a JOIN visible b ON a.dedupe_hash = b.dedupe_hash AND a.item_id < b.item_id""")
-def dedupe_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.matches(dedupe.identities(gates.visible_items(items(spark, sf), sources(spark, sf))))
+_STARS = """, least AS (SELECT rule, key, min(item_id) AS a, count(*) AS members FROM v_k GROUP BY 1, 2 HAVING count(*) > 1),
+star AS (SELECT l.a, k.item_id AS b, l.rule, members FROM least l JOIN v_k k ON l.rule = k.rule AND l.key = k.key WHERE k.item_id <> l.a)"""
+_NAMED = "['source_item_id_exact', 'canonical_url_exact', 'dedupe_hash_exact', 'normalized_title_exact_strict'][min(rule) + 1] AS reason_type"
 
 
-@query(ITEMS_SQL + """, ids AS (
-  SELECT item_id, observed_ms, regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(title, E' \\n\\t\\r')), '\\s+', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g')), '^$', '') AS t,
-         CASE WHEN usable THEN coalesce(asset, '') ELSE '' END AS asset, usable AND topic AS topic, usable AND macro AS macro, dedupe_hash FROM visible)
-SELECT a.item_id AS a, b.item_id AS b, CASE WHEN a.dedupe_hash = b.dedupe_hash THEN 'dedupe_hash_exact' ELSE 'normalized_title_exact_strict' END AS reason_type
-FROM ids a JOIN ids b ON a.item_id < b.item_id AND (a.dedupe_hash = b.dedupe_hash OR (a.t = b.t AND a.t <> '' AND a.asset = b.asset AND a.topic = b.topic AND a.macro = b.macro AND (a.asset <> '' OR a.topic OR a.macro) AND abs(a.observed_ms - b.observed_ms) <= 21600000))""")
+@query(ITEMS_SQL + "," + clusters_sql("v", "visible") + _STARS + f" SELECT a, b, {_NAMED}, arg_min(members, rule) AS members FROM star GROUP BY a, b")
+def dedupe_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of exact identity: each item with the smallest one of a shared key."""
+    return dedupe.links(dedupe.identities(gates.visible_items(items(spark, sf), sources(spark, sf))))
+
+
+@query(ITEMS_SQL + "," + clusters_sql("v", "visible") + _STARS + f""", ids AS (
+  SELECT item_id, observed_ms, trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '[\\s\\p{{Z}}]+', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g')) AS t,
+         CASE WHEN usable THEN coalesce(asset, '') ELSE '' END AS asset, usable AND topic AS topic, usable AND macro AS macro FROM visible),
+chain AS (
+  SELECT lag(item_id) OVER (PARTITION BY t, asset, topic, macro ORDER BY observed_ms, item_id) AS last, lag(observed_ms) OVER (PARTITION BY t, asset, topic, macro ORDER BY observed_ms, item_id) AS before, item_id, observed_ms,
+         count(*) OVER (PARTITION BY t, asset, topic, macro ORDER BY observed_ms RANGE BETWEEN 21600000 PRECEDING AND 21600000 FOLLOWING) AS members
+  FROM ids WHERE t <> '' AND (asset <> '' OR topic OR macro)),
+every AS (SELECT * FROM star UNION ALL SELECT least(last, item_id), greatest(last, item_id), 3, members FROM chain WHERE observed_ms - before <= 21600000)
+SELECT a, b, {_NAMED}, arg_min(members, rule) AS members FROM every GROUP BY a, b""")
 def strict_title_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return dedupe.matches(dedupe.identities(gates.visible_items(items(spark, sf), sources(spark, sf))), strict_title=True)
+    """The same, and neighbours in time of equal titles and tags."""
+    return dedupe.links(dedupe.identities(gates.visible_items(items(spark, sf), sources(spark, sf))), strict_title=True)
 
 
-@query(ITEMS_SQL + """
-SELECT item_id, min(item_id) OVER (PARTITION BY dedupe_hash) AS root FROM visible WHERE dedupe_hash IN (SELECT dedupe_hash FROM visible GROUP BY 1 HAVING count(*) > 1)""")
+@query(CLUSTERS_SQL + " SELECT item_id, root FROM v_root")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     _checkpointed(spark)
     return dedupe.components(dedupe.stars(dedupe.identities(gates.visible_items(items(spark, sf), sources(spark, sf)))))
@@ -84,10 +96,10 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"category": F.col("lang"), "time_known": F.col("ordinal") % 10 != 3})
 
 
-@query(ITEMS_SQL + """
-SELECT 'cluster-' || substring(sha256('["' || string_agg(item_id, '","' ORDER BY item_id) || '"]'), 1, 16) AS cluster_id, min(item_id) AS first_item, count(*) AS members, count(DISTINCT source_id) AS source_count,
+@query(CLUSTERS_SQL + """
+SELECT 'cluster-' || substring(sha256('["' || string_agg(i.item_id, '","' ORDER BY i.item_id) || '"]'), 1, 16) AS cluster_id, min(i.item_id) AS first_item, count(*) AS members, count(DISTINCT source_id) AS source_count,
        bool_and(ordinal % 10 <> 3 AND verification_tier = 'reported') AS eligible
-FROM visible GROUP BY dedupe_hash""")
+FROM visible i LEFT JOIN v_root ON i.item_id = v_root.item_id GROUP BY coalesce(root, i.item_id)""")
 def evidence_clusters(spark: SparkSession, sf: str) -> DataFrame:
     _checkpointed(spark)
     rows = _evidence(spark, sf)
@@ -95,7 +107,7 @@ def evidence_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("cluster_id", F.element_at("item_ids", 1).alias("first_item"), F.size("item_ids").cast("long").alias("members"), F.size("source_ids").cast("long").alias("source_count"), "eligible")
 
 
-@query(ITEMS_SQL + """, c AS (SELECT dedupe_hash, bool_and(ordinal % 10 <> 3 AND verification_tier = 'reported') AS eligible FROM visible GROUP BY 1)
+@query(CLUSTERS_SQL + """, c AS (SELECT coalesce(root, i.item_id) AS root, bool_and(ordinal % 10 <> 3 AND verification_tier = 'reported') AS eligible FROM visible i LEFT JOIN v_root ON i.item_id = v_root.item_id GROUP BY 1)
 SELECT (SELECT count(*) FROM items) AS input, (SELECT count(*) FROM visible) AS ingested, (SELECT count(*) FROM items) - (SELECT count(*) FROM visible) AS quarantined,
        (SELECT count(*) FROM visible) - (SELECT count(*) FROM c) AS duplicates, (SELECT count(*) FROM c) AS clusters, (SELECT count(*) FROM c WHERE eligible) AS eligible""")
 def snapshot_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,12 +120,11 @@ def snapshot_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _confirmed(spark: SparkSession, sf: str) -> DataFrame:
     _checkpointed(spark)
     rows = gates.visible_items(items(spark, sf), sources(spark, sf))
-    ids = dedupe.identities(rows)
-    pairs = dedupe.matches(ids)
-    return clusters.confirmed(clusters.membership_events(pairs, dedupe.components(dedupe.stars(ids))), rows)
+    ids = cut(dedupe.identities(rows))
+    return clusters.confirmed(cut(clusters.membership_events(dedupe.keys(ids), dedupe.components(dedupe.stars(ids)))), rows)
 
 
-@query(ITEMS_SQL + """
+@query(CLUSTERS_SQL + """
 SELECT cluster_id, count(*) AS member_count, count(DISTINCT v.source_id) AS source_count, epoch_ms(min(observed_ms)) AS first_observed_at, epoch_ms(max(observed_ms)) AS last_observed_at, 'active' AS status
 FROM ccl JOIN visible v ON ccl.item_id = v.item_id WHERE size > 1 GROUP BY cluster_id""")
 def confirmed_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +136,7 @@ def _annotated(spark: SparkSession, sf: str) -> DataFrame:
     return priority.annotated(items(spark, sf), sources(spark, sf), clusters.members_of(_confirmed(spark, sf)), now())
 
 
-_SCORES = ITEMS_SQL + """, s1 AS (
+_SCORES = CLUSTERS_SQL + """, s1 AS (
   SELECT v.*, s.source_name, s.source_tier, CASE WHEN ccl.size > 1 THEN ccl.cluster_id END AS cluster_id, ccl.size,
          CASE source_tier WHEN 'primary' THEN 3 WHEN 'reputable' THEN 2 WHEN 'curated' THEN 1 ELSE 0 END AS tier_n,
          CASE verification_tier WHEN 'verified' THEN 3 WHEN 'scheduled' THEN 2 WHEN 'reported' THEN 1 WHEN 'rumor' THEN -1 ELSE 0 END AS ver_n,
@@ -152,11 +163,12 @@ def priority_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_SCORES + " SELECT item_id, priority_tier, CAST(row_number() OVER (PARTITION BY priority_tier ORDER BY observed_ms DESC, item_id) AS BIGINT) AS place FROM scored")
 def priority_stream_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Places within a tier; the whole order is a range-partitioned sort, priority.stream_order()."""
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("priority_tier").orderBy(F.desc("observed_at"), "item_id"))
-    return priority.stream_order(_annotated(spark, sf)).select("item_id", "priority_tier", place.cast("long").alias("place"))
+    """Places within a tier, from the place in the whole order."""
+    _checkpointed(spark)
+    order = [priority.rank(F.col("priority_tier")), F.desc("observed_at"), F.col("item_id")]
+    rows = numbering.numbered(_annotated(spark, sf).select("item_id", "priority_tier", "observed_at"), order, "n")
+    first = rows.groupBy("priority_tier").agg(F.min("n").alias("first"))  # a row a tier
+    return rows.join(F.broadcast(first), "priority_tier").select("item_id", "priority_tier", (F.col("n") - F.col("first") + 1).alias("place"))
 
 
 def _legacy(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +211,7 @@ def pulse_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(ITEMS_SQL + """, regions(ordinal, key, title) AS (VALUES (0, 'us_fed_usd', 'United States / Fed / USD'), (1, 'eu_ecb_eur', 'Europe / ECB / EUR'), (2, 'china_demand_macro', 'China / demand / macro'), (3, 'me_geopolitics_oil_gold', 'Middle East / geopolitics / oil / gold'), (4, 'global_risk_vol_equities_bonds', 'Global risk / volatility / equities / bonds')),
-k AS (SELECT *, CASE WHEN NOT usable THEN NULL WHEN macro THEN 'us_fed_usd' WHEN region THEN 'eu_ecb_eur' WHEN topic OR asset = 'Gold' THEN 'me_geopolitics_oil_gold' WHEN asset IN ('VIX', 'SPX') THEN 'global_risk_vol_equities_bonds' END AS key FROM visible),
+k AS (SELECT *, CASE WHEN NOT usable THEN NULL WHEN macro THEN 'us_fed_usd' WHEN region AND NOT china THEN 'eu_ecb_eur' WHEN china THEN 'china_demand_macro' WHEN topic OR asset = 'Gold' THEN 'me_geopolitics_oil_gold' WHEN asset IN ('VIX', 'SPX') THEN 'global_risk_vol_equities_bonds' END AS key FROM visible),
 i AS (SELECT key, count(*) AS n, count(DISTINCT source_id) AS s FROM k WHERE key IS NOT NULL GROUP BY key),
 f AS (SELECT key, row_number() OVER (PARTITION BY ordinal // 10 ORDER BY ordinal) AS rn FROM k),
 c AS (SELECT key, count(*) AS n FROM f WHERE rn = 1 AND key IS NOT NULL GROUP BY key)
@@ -211,9 +223,9 @@ def world_regions(spark: SparkSession, sf: str) -> DataFrame:
 _LINE = "'[' || verification_tier || '] ' || source_name || ' · ' || strftime(epoch_ms(observed_ms), '%Y-%m-%d %H:%M') || ' — ' || title"
 
 
-@query(_SCORES + f""", pccl AS (SELECT dedupe_hash, min(item_id) AS cid, count(*) AS n, count(DISTINCT source_id) AS s FROM promotable GROUP BY dedupe_hash HAVING count(*) > 1)
+@query(_SCORES + "," + clusters_sql("p", "promotable") + f""", pccl AS (SELECT p_c.cluster_id AS cid, count(*) AS n, count(DISTINCT source_id) AS s FROM p_c JOIN promotable ON p_c.item_id = promotable.item_id GROUP BY 1)
 SELECT 0 AS section, 'Scheduled events' AS heading, {_LINE} AS line FROM promotable p JOIN sources s ON p.source_id = s.source_id WHERE verification_tier = 'scheduled'
-UNION ALL SELECT 1, 'Major source-backed clusters', 'Confirmed deterministic cluster: ccl-' || cid || ' · ' || n || ' confirmed members (cluster-rule-v1) · ' || s || ' sources' FROM pccl
+UNION ALL SELECT 1, 'Major source-backed clusters', 'Confirmed deterministic cluster: ' || cid || ' · ' || n || ' confirmed members (cluster-rule-v1) · ' || s || ' sources' FROM pccl
 UNION ALL SELECT 2, 'Relevant watched assets / topics', {_LINE} FROM promotable p JOIN sources s ON p.source_id = s.source_id WHERE usable AND asset IS NOT NULL
 UNION ALL SELECT 3, 'Unverified / rumor / needs review (inspection only)', {_LINE} FROM visible v JOIN sources s ON v.source_id = s.source_id WHERE verification_tier IN ('unverified', 'rumor')
 UNION ALL SELECT 3, 'Unverified / rumor / needs review (inspection only)', {_LINE} || ' [needs review]' FROM items i JOIN sources s ON i.source_id = s.source_id WHERE legal_status = 'needs_review'
@@ -225,7 +237,7 @@ def morning_brief(spark: SparkSession, sf: str) -> DataFrame:
     all_items, known = items(spark, sf), sources(spark, sf)
     promotable = gates.promotable_items(all_items, known)
     ids = dedupe.identities(promotable)
-    found = clusters.confirmed(clusters.membership_events(dedupe.matches(ids), dedupe.components(dedupe.stars(ids))), promotable)
+    found = clusters.confirmed(clusters.membership_events(dedupe.keys(ids), dedupe.components(dedupe.stars(ids))), promotable)
     return selectors.morning_brief(promotable, gates.visible_items(all_items, known), gates.quarantine_items(all_items, known), _annotated(spark, sf), found, known).select("section", "heading", "line")
 
 
@@ -251,15 +263,15 @@ def sanitize_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(regexp_replace(substring(text, 1, 80), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}]+', ' ', 'g'), ' +([,.;:!?])', '\1', 'g')), '') AS title FROM documents""")
+SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}]+', ' ', 'g'), ' +([,.;:!?])', '\1', 'g')), '') AS title FROM documents""")
 def normalize_title(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"))
 
 
 @query("""
-SELECT n_nationkey, lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(n_name, ''), lambda x: unicode(x)::UBIGINT)), lambda h, c: ((xor(h, c) * 16777619) % 4294967296)::UBIGINT)), 8, '0')) AS hash FROM nation""")
+SELECT p_partkey, lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(p_name || ' é' || p_partkey, ''), lambda x: unicode(x)::UBIGINT)), lambda h, c: ((xor(h, c) * 16777619) % 4294967296)::UBIGINT)), 8, '0')) AS hash FROM part""")
 def fnv_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select("n_nationkey", hashing.fnv1a(F.col("n_name")).alias("hash"))
+    return table(spark, sf, "part").select("p_partkey", hashing.fnv1a(F.concat("p_name", F.lit(" é"), F.col("p_partkey").cast("string"))).alias("hash"))
 
 
 @query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d+(?:[.,]\d+)*(?:%|bps)?'), '|') AS numbers FROM documents")
@@ -317,15 +329,41 @@ def lineage_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return event_log.unresolved(table(spark, sf, "orders").select("o_orderkey"), lines, "o_orderkey")
 
 
-@query()
+#: Each event's rows one after the other; the columns p_* are the current revision's.
+_REVISIONS = """
+WITH RECURSIVE e AS (
+  SELECT event_type, user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS k,
+         CASE WHEN event_id % 23 = 0 THEN 'cancelled' WHEN event_id % 29 = 0 THEN 'postponed' WHEN event_id % 31 = 0 THEN 'completed' ELSE 'scheduled' END AS hint,
+         1704153600000 + (event_id % 3) * 3600000 - (user_id % 2) * 60000 AS at_ms, event_id % 2 AS forecast, CASE WHEN event_id % 19 = 0 THEN event_id % 3 END AS actual FROM events),
+r AS (
+  SELECT event_type, user_id, event_id, us, k, 'create' AS action, 1 AS number, CASE hint WHEN 'scheduled' THEN 'active' ELSE hint END AS status, 'first_seen' AS reason, NULL::INT AS supersedes,
+         at_ms AS p_at, CASE hint WHEN 'scheduled' THEN 'active' ELSE hint END AS p_status, forecast AS p_forecast, actual AS p_actual FROM e WHERE k = 1
+  UNION ALL
+  SELECT event_type, user_id, event_id, us, k, CASE WHEN made THEN 'create' ELSE 'confirm' END, CASE WHEN made THEN number + 1 ELSE number END, status, reason, CASE WHEN made THEN number END,
+         CASE WHEN made THEN at_ms ELSE p_at END, CASE WHEN made THEN status ELSE p_status END, CASE WHEN made THEN forecast ELSE p_forecast END, CASE WHEN made THEN actual ELSE p_actual END
+  FROM (SELECT *, reason <> 'unchanged_confirmation' AS made, CASE reason WHEN 'cancelled' THEN 'cancelled' WHEN 'postponed' THEN 'postponed' WHEN 'actual_added' THEN 'completed' WHEN 'unchanged_confirmation' THEN p_status ELSE 'active' END AS status
+    FROM (SELECT e.*, r.number, r.p_at, r.p_status, r.p_forecast, r.p_actual,
+            CASE WHEN e.hint = 'cancelled' AND r.p_status <> 'cancelled' THEN 'cancelled' WHEN e.hint = 'postponed' THEN 'postponed'
+                 WHEN e.hint = 'completed' OR (e.actual IS NOT NULL AND e.actual IS DISTINCT FROM r.p_actual) THEN 'actual_added' WHEN e.at_ms <> r.p_at THEN 'time_changed'
+                 WHEN e.forecast <> r.p_forecast OR e.actual IS DISTINCT FROM r.p_actual THEN 'forecast_changed' ELSE 'unchanged_confirmation' END AS reason
+          FROM r JOIN e ON r.event_type = e.event_type AND r.user_id = e.user_id AND e.k = r.k + 1)))"""
+
+
+@query(_REVISIONS + " SELECT event_type AS source_id, CAST(user_id AS VARCHAR) AS source_event_id, event_id AS seq, action, CAST(number AS INT) AS revision_number, status AS revision_status, reason AS change_reason, supersedes FROM r")
 def calendar_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    """A state machine over each event's observations; held against a plain fold in the tests."""
+    """A state machine over each event's observations."""
     return calendar.revisions(observations(spark, sf)).select("source_id", "source_event_id", "seq", "action", "revision_number", "revision_status", "change_reason", "supersedes")
 
 
-@query()
+@query(_REVISIONS + """,
+c AS (SELECT event_type, user_id, number, arg_min(status, k) AS status, arg_min(p_at, k) AS at_ms, arg_min(event_id, k) AS made_by, max(us) AS us FROM r GROUP BY 1, 2, 3),
+l AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY number DESC) AS rn, greatest(0, (1704153600000 - us // 1000) // 60000) AS age, CASE made_by % 2 WHEN 0 THEN 30 ELSE 60 END AS w, CAST(floor((at_ms - 1704153600000) / 60000) AS BIGINT) AS until FROM c),
+v AS (SELECT *, CASE WHEN age <= w THEN 'fresh' WHEN age <= 2 * w THEN 'aging' ELSE 'stale' END AS state FROM l WHERE rn = 1),
+p AS (SELECT *, CASE WHEN status <> 'active' THEN 'status ' || status || ' is never high-attention' WHEN until < 0 THEN 'scheduledFor is in the past' WHEN until <= 120 AND state <> 'fresh' THEN 'within 2h but confirmation is ' || state WHEN until > 120 AND state = 'stale' THEN 'confirmation is stale' END AS why FROM v)
+SELECT event_type AS source_id, CAST(user_id AS VARCHAR) AS source_event_id, CAST(number AS INT) AS revision_number, status AS revision_status, state AS confirmation_state, until AS minutes_until, why IS NULL AS promotable,
+       coalesce(why, 'active + future + evidence + confirmation ok') AS promotion_reason FROM p""")
 def current_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    folded = calendar.revisions(observations(spark, sf))
+    folded = calendar.revisions(observations(spark, sf)).persist()
     made, kept = folded.where("action = 'create'"), folded.where("action = 'confirm'")
     views = calendar.confirmed_at(calendar.current(calendar.applied(made, calendar.supersessions(folded))), kept)
     return calendar.promotion(views, now()).select("source_id", "source_event_id", "revision_number", "revision_status", "confirmation_state", "minutes_until", "promotable", "promotion_reason")
@@ -396,16 +434,35 @@ def _whispered(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     return e.join(rows.where(F.col("ordinal") % 2 == 0).select("item_id", "priority_reason"), "item_id", "left")
 
 
-@query()
+@query(_SCORES + """,
+past AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS item_id, 'src' || (user_id % 20) AS source_id, abs(1704153600000 - epoch_ms(ts)) AS ago FROM events),
+every AS (SELECT count(*) FILTER (ago < 900000) AS last_15m, count(*) FILTER (ago < 3600000) AS last_60m, min(ago) AS latest FROM past),
+per_source AS (SELECT source_id, count(*) FILTER (ago < 3600000) AS n FROM past GROUP BY source_id),
+c AS (
+  SELECT s.item_id, s.ordinal, CASE WHEN s.priority_tier IN ('P0', 'P1') THEN 'whisper' ELSE 'glow' END AS level,
+    CASE s.verification_tier WHEN 'rumor' THEN 'ineligible[not_promotable,rumor_high_attention]' WHEN 'unverified' THEN 'ineligible[not_promotable,unverified_high_attention]' END AS excluded,
+    CASE WHEN s.source_id = 'src1' THEN 'dismissal_quiet_window' WHEN s.ordinal % 2 = 0 AND s.item_id IN (SELECT item_id FROM past) THEN 'repeat_item_no_reason_change' END AS held,
+    CASE WHEN e.latest < 300000 THEN 'cooldown_active' WHEN e.last_15m >= 2 THEN 'rate_limit_global_15m' WHEN e.last_60m >= 5 THEN 'rate_limit_global_60m' WHEN coalesce(p.n, 0) >= 2 THEN 'rate_limit_per_source_60m' END AS limited
+  FROM scored s CROSS JOIN every e LEFT JOIN per_source p ON s.source_id = p.source_id),
+f AS (SELECT min(ordinal) AS first FROM c WHERE coalesce(excluded, held, limited) IS NULL AND level = 'whisper'),
+d AS (SELECT item_id, excluded, coalesce(excluded, held) AS blocked, level, CASE WHEN level = 'whisper' THEN CASE WHEN ordinal > first THEN 'cooldown_active' ELSE limited END END AS cap FROM c CROSS JOIN f),
+o AS (SELECT item_id, CASE WHEN excluded IS NOT NULL THEN 'suppress' WHEN coalesce(blocked, cap) IS NOT NULL THEN 'hold' ELSE level END AS decision, coalesce(blocked, cap, level || '_threshold_met') AS code FROM d)
+SELECT 'cand-' || item_id AS candidate_id, decision, code AS reason_code, decision || ': ' || code || ' (whisper-rule-v1)' AS reason FROM o""")
 def whisper_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Annotated items as candidates of one instant, against a history made of all events."""
     _checkpointed(spark)
-    rows = _annotated(spark, sf).checkpoint()  # read many times, and its plan is long
+    rows = cut(_annotated(spark, sf))  # read many times, and its plan is long
     dismissals = spark.createDataFrame([("source", "src1", "2024-01-02 01:00:00")], "target_type string, target_id string, quiet_until string").withColumn("quiet_until", F.col("quiet_until").cast("timestamp"))
     return whispers.decide(_candidates(rows), _whispered(spark, sf, rows), dismissals, now()).select("candidate_id", "decision", "reason_code", "reason")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_id % 4 AS kind, epoch_ms(ts) AS ms FROM events),
+d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM e WHERE kind = 0),
+r AS (SELECT user_id, event_id, k, ms + 7200000 AS until, TRUE AS taken FROM d WHERE k = 1 UNION ALL SELECT d.user_id, d.event_id, d.k, CASE WHEN d.ms >= r.until THEN d.ms + 7200000 ELSE r.until END, d.ms >= r.until FROM r JOIN d ON r.user_id = d.user_id AND d.k = r.k + 1)
+SELECT e.event_id AS seq, ['dismiss', 'mark_seen', 'open_audit', 'open_evidence'][CAST(kind + 1 AS INT)] AS interaction_type, CAST(e.user_id AS VARCHAR) AS target_id, CASE WHEN kind = 0 AND NOT taken THEN 'ignored' ELSE 'recorded' END AS status,
+       CASE WHEN kind > 0 THEN ['', 'mark_seen_recorded', 'open_audit_recorded', 'open_evidence_recorded'][CAST(kind + 1 AS INT)] WHEN taken THEN 'dismissal_recorded' ELSE 'already_dismissed_in_quiet_window' END AS result
+FROM e LEFT JOIN r ON e.event_id = r.event_id""")
 def interaction_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events as interactions with their users' items."""
     kinds = F.array(*map(F.lit, whispers.INTERACTIONS))
@@ -413,14 +470,22 @@ def interaction_log(spark: SparkSession, sf: str) -> DataFrame:
     return whispers.record_interactions(e).select("seq", "interaction_type", "target_id", "status", "result")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS broken, count(*) AS links FROM nation")
+@query("SELECT c_custkey AS sequence FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS c_custkey, c_custkey AS k FROM customer) WHERE k % 97 = 5 UNION SELECT 0")
 def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    records = audit.contents({"normalized_item": table(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("key"), F.to_json(F.struct("n_name", "n_regionkey")).alias("payload"))})
+    """A chain in which some records were changed after the fact, and the first one's predecessor was made up."""
+    records = audit.contents({"normalized_item": table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("key"), F.to_json(F.struct("c_name", "c_nationkey")).alias("payload"))})
     chain = audit.ledger(records)
-    return chain.agg(F.count("*").alias("links")).select(F.lit(audit.broken_links(chain).count()).cast("long").alias("broken"), "links")
+    changed = chain.withColumn("payload", F.when(F.col("key").cast("long") % 97 == 5, F.lit("{}")).otherwise(F.col("payload")))
+    return audit.broken_links(changed.withColumn("previous_hash", F.when(F.col("sequence") == 0, "x").otherwise(F.col("previous_hash")))).select("sequence")
 
 
-@query()
+@query(ITEMS_SQL + r""",
+s AS (SELECT ordinal, title, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1:2] AS claims FROM items WHERE ordinal % 10 <> 3),
+w AS (SELECT *, NOT coalesce(length(title) BETWEEN 1 AND 160, FALSE) AS bad_head, len(claims) = 0 OR len(list_filter(claims, lambda x: length(x) NOT BETWEEN 12 AND 500)) > 0 AS bad_claims,
+             list_filter(regexp_extract_all(title, '\d+(?:[.,]\d+)*(?:%|bps)?'), lambda x: NOT list_contains(regexp_extract_all(array_to_string(claims, chr(1)), '\d+(?:[.,]\d+)*(?:%|bps)?'), x)) AS loose FROM s),
+i AS (SELECT ordinal, CASE WHEN bad_head OR bad_claims THEN array_to_string(list_filter([CASE WHEN bad_claims THEN 'schema@claims' END, CASE WHEN bad_head THEN 'schema@headline' END], lambda x: x IS NOT NULL), ';')
+        ELSE array_to_string(list_filter([CASE WHEN regexp_matches(title || ' ' || array_to_string(claims, ' '), '(?i)\b(buy now|sell now|go long|go short|execute order|guaranteed return|price will|trade signal)\b') THEN 'trade_action@output' END, CASE WHEN len(loose) > 0 THEN 'unsupported_number@headline' END], lambda x: x IS NOT NULL), ';') END AS issues FROM w)
+SELECT ordinal AS generation_id, CASE WHEN issues = '' THEN 'accepted' ELSE 'rejected' END AS status, issues FROM i UNION ALL SELECT ordinal, 'skipped', 'ineligible_source_time' FROM items WHERE ordinal % 10 = 3""")
 def summary_generation(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a cluster of one: extractive summaries, checked against their source."""
     rows = items(spark, sf).withColumns({"generation_id": F.col("ordinal"), "text": F.col("excerpt"), "eligible": F.col("ordinal") % 10 != 3})
@@ -428,7 +493,7 @@ def summary_generation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, substring(text, 1, 80) AS title, text FROM documents),
+WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text FROM documents),
 d AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' ') AS title,
              replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' ') AS text FROM t)
 SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS source_item_id, CASE WHEN trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g')) = '' THEN 'missing_title' END AS quarantine_reason, FALSE AS duplicate,
@@ -437,13 +502,13 @@ def rss_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as RSS payloads by source and hash, scanned again."""
     from ..sources import dataset
 
-    docs = table(spark, sf, "documents").select(F.concat_ws("-", "source", F.pmod(F.col("doc_id"), F.lit(64)).cast("string")).alias("source_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("article_id"), F.substring("text", 1, 80).alias("title"), "text", F.concat(F.lit("https://news.example.org/"), F.col("doc_id").cast("string")).alias("url"), F.expr("timestamp_millis(1704067200000 + doc_id * 60000)").alias("published_at"))
+    docs = table(spark, sf, "documents").select(F.concat_ws("-", "source", F.pmod(F.col("doc_id"), F.lit(64)).cast("string")).alias("source_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("article_id"), F.get(F.split("text", "\\n"), F.lit(0)).alias("title"), "text", F.concat(F.lit("https://news.example.org/"), F.col("doc_id").cast("string")).alias("url"), F.expr("timestamp_millis(1704067200000 + doc_id * 60000)").alias("published_at"))
     found = rss.scanned(dataset.to_rss(docs), now())
     return found.select("source_item_id", "quarantine_reason", "duplicate", F.col("publication.state").alias("date_state"), F.char_length("excerpt").alias("chars"))
 
 
 @query(_SCORES + """
-SELECT item_id, 'Source ref' AS evidence_label, CAST(ordinal AS VARCHAR) AS evidence_value, CASE verification_tier WHEN 'reported' THEN 'low' WHEN 'unverified' THEN 'medium' WHEN 'rumor' THEN 'high' ELSE 'none' END AS caution,
+SELECT item_id, CASE WHEN canonical IS NULL THEN 'Source ref' ELSE 'Evidence' END AS evidence_label, CASE WHEN canonical IS NULL THEN source_item_id ELSE replace(canonical, '//news', '//News') || '/?utm_source=feed&gclid=' || ordinal END AS evidence_value, CASE verification_tier WHEN 'reported' THEN 'low' WHEN 'unverified' THEN 'medium' WHEN 'rumor' THEN 'high' ELSE 'none' END AS caution,
   CASE freshness_state WHEN 'stale' THEN 'source data may be stale' END AS caveat, len(string_split(priority_reason, ';')) AS inputs, cluster_id IS NOT NULL AS uses_cluster, '/newsroom/' || item_id AS href FROM scored""")
 def item_display(spark: SparkSession, sf: str) -> DataFrame:
     rows = display.items(_annotated(spark, sf))
@@ -463,11 +528,7 @@ def scheduled_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 SELECT event_type AS stage, count(*) AS runs, round(greatest(0.01, sum(value) / max(sum(value)) OVER ()), 6) AS share FROM events GROUP BY event_type""")
 def stage_share(spark: SparkSession, sf: str) -> DataFrame:
-    """Each stage's time against the longest stage's, one percent at least."""
-    from pyspark.sql.window import Window
-
-    total = table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("runs"), F.sum("value").alias("d"))
-    return total.select("stage", "runs", F.round(F.greatest(F.lit(0.01), F.col("d") / F.max("d").over(Window.partitionBy())), 6).alias("share"))
+    return summaries.stage_share(table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("duration")))
 
 
 @query("SELECT user_id, CASE WHEN bool_and(event_id % 97 <> 0) THEN sum(event_id % 1000) END AS tokens FROM events GROUP BY user_id")
@@ -479,7 +540,7 @@ def token_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS stream, count(*) AS records, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY o_orderpriority")
 def log_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stream")).agg(F.count("*").alias("records"), F.countDistinct("o_custkey").alias("keys"))
+    return event_log.summary(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stream_name"), F.col("o_custkey").cast("string").alias("stream_key"))).withColumnRenamed("stream_name", "stream")
 
 
 @query(r"""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
 
-MAX_BYTES = 1_000_000
+MAX_BYTES, MAX_SOURCES, MAX_ARTICLES = 1_000_000, 32, 128
 SCHEMA = (
     "schemaVersion string, id string, description string, license string, synthetic boolean, observedAt string,"
     "sources array<struct<id:string,name:string,tier:string,legalStatus:string,enabled:boolean>>,"
@@ -23,14 +23,24 @@ _ALLOWED = {
 def faults(documents: DataFrame) -> DataFrame:
     """(path, fault) of every rule that a dataset document (column json) breaks; one rejects the whole document."""
     doc = documents.select("json", F.from_json("json", SCHEMA).alias("d"))
-    keys = lambda j: F.array_except(F.json_object_keys(j), F.array(*map(F.lit, _ALLOWED["$"])))
+    unknown = lambda j, part: F.array_except(F.json_object_keys(j), F.array(*map(F.lit, _ALLOWED[part])))
+    keys = lambda j: unknown(j, "$")
+    none = F.array().cast("array<string>")
+
+    def strange(part: str) -> Column:
+        """Whether an entry of the part has a key that the schema doesn't know."""
+        entries = F.coalesce(F.from_json(F.get_json_object("json", f"$.{part}"), "array<string>"), none)
+        return F.exists(entries, lambda e: F.size(unknown(e, part)) > 0)
+
     ident = lambda c, n: ~F.coalesce(c.rlike(f"^[a-z0-9-]{{1,{n}}}$"), F.lit(False))
     size = lambda c, n: ~F.coalesce(F.char_length(c).between(1, n), F.lit(False))
     instant = lambda c: c.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?Z$")
     whole = F.array_compact(F.array(
         F.when(F.octet_length("json") > MAX_BYTES, "size"), F.when(F.col("d.schemaVersion").isNull() | (F.col("d.schemaVersion") != "dataset-v1"), "schemaVersion"),
         F.when(F.size(keys(F.col("json"))) > 0, "unknown_key"), F.when(ident(F.col("d.id"), 80), "id"), F.when(~F.coalesce(instant(F.col("d.observedAt")), F.lit(False)), "observedAt"),
-        F.when(F.size("d.sources") < 1, "no_sources"), F.when(F.size("d.articles") < 1, "no_articles"),
+        F.when(F.coalesce(F.size("d.sources"), F.lit(0)) < 1, "no_sources"), F.when(F.coalesce(F.size("d.articles"), F.lit(0)) < 1, "no_articles"),
+        F.when(F.size("d.sources") > MAX_SOURCES, "too_many_sources"), F.when(F.size("d.articles") > MAX_ARTICLES, "too_many_articles"),
+        *(F.when(strange(part), f"unknown_key_in_{part}") for part in ("sources", "articles")),
     ))
     top = doc.select(F.lit("$").alias("path"), F.explode(whole).alias("fault"))
     source = doc.select(F.explode("d.sources").alias("s"))

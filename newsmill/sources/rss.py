@@ -70,6 +70,11 @@ def normalised(items: DataFrame, sources: DataFrame, observed_at: Column) -> Dat
     )
 
 
+def external_items(normal: DataFrame) -> DataFrame:
+    """Normalised items as a snapshot takes them: those with a known event time, '' for a missing excerpt."""
+    return normal.where("source_event_time is not null").withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
+
+
 def runs(payloads: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame:
     """A row for each source: its skip reason, or counts and status of its payload."""
     from ..operators.gates import skip_reason
@@ -77,7 +82,7 @@ def runs(payloads: DataFrame, items: DataFrame, sources: DataFrame) -> DataFrame
     each = items.groupBy("source_id").agg(F.count_if(F.expr("quarantine_reason is null and not duplicate")).alias("items"), F.count_if(F.col("quarantine_reason").isNotNull()).alias("malformed"), F.sum(F.size("warnings")).alias("warnings"))
     fetched = payloads.select("source_id", well_formed().alias("ok"), F.col("payload_text").isNotNull().alias("fetched"))
     rows = sources.withColumn("skip_reason", skip_reason()).join(fetched, "source_id", "left").join(each, "source_id", "left").fillna(0, ["items", "malformed", "warnings"])
-    status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(~F.coalesce("ok", F.lit(False)) | (F.col("items") == 0), "failed").when(F.col("malformed") > 0, "partial").otherwise("succeeded")
+    status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(~F.coalesce("ok", F.lit(False)) | (F.col("items") == 0), "failed").when(F.col("malformed") > 0, "partial_success").otherwise("success")
     return rows.select("source_id", "skip_reason", status.alias("status"), "items", "malformed", "warnings")
 
 

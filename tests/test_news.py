@@ -106,7 +106,7 @@ def test_dedupe_and_clusters(spark):
     assert strict == {("n", "o")}
     roots = dedupe.components(dedupe.stars(ids))
     assert dict(roots.collect()) == {x: "a" for x in "abcde"}
-    events = clusters.membership_events(dedupe.matches(ids), roots)
+    events = clusters.membership_events(dedupe.keys(ids), roots)
     assert sorted(map(tuple, clusters.active_members(events).collect())) == [("ccl-a", "a"), ("ccl-a", "b"), ("ccl-a", "e"), ("ccl-c", "c"), ("ccl-c", "d")]  # clusters never merge
     fixed = clusters.corrected(events, spark.createDataFrame([("ccl-a", "b")], "cluster_id string, item_id string"))
     got = {r.cluster_id: (r.item_ids, r.status, r.member_count, r.source_count) for r in clusters.confirmed(fixed, df).collect()}
@@ -115,6 +115,52 @@ def test_dedupe_and_clusters(spark):
     assert clusters.unmatched_removals(fixed).isEmpty()
 
 
+def plain_fold(pairs):
+    """The engine over pairs (a, b, rule), as a plain loop."""
+    earlier, of, out = {}, {}, []
+    for a, b, rule in pairs:
+        earlier.setdefault(max(a, b), []).append((min(a, b), rule))
+    for item in sorted(earlier):
+        met = sorted(earlier[item])
+        held = sorted({of[p] for p, _ in met if p in of})
+        cluster = held[0] if held else "ccl-" + min([item, *(p for p, _ in met)])
+        for prior, rule in [] if held else met:
+            of[prior] = cluster
+            out.append((cluster, prior, rule))
+        of[item] = cluster
+        out.append((cluster, item, met[0][1]))
+    return out
+
+
+def test_fold_over_keys_is_the_fold_over_pairs():
+    import random
+
+    for seed in range(300):
+        rng = random.Random(seed)
+        items = [("%02d" % k, sorted({f"{r}:{rng.randrange(5)}" for r in range(3) if rng.random() < 0.6})) for k in range(rng.randrange(2, 14))]
+        pairs = [(a, b, dedupe.RULES[int(min(set(x) & set(y))[0])]) for k, (a, x) in enumerate(items) for b, y in items[k + 1 :] if set(x) & set(y)]
+        assert [(c, i, r) for c, i, _, r in clusters.fold(items)] == plain_fold(pairs)
+
+
+def test_one_key_of_many_items(spark):
+    """Copies in great number are clustered without pairs and without a fold."""
+    rows = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("item_id"), F.lit(2).alias("rule"), F.lit("h").alias("key"))
+    rows = rows.unionByName(spark.createDataFrame([("a1", 0, "x"), ("a2", 0, "x"), ("a2", 2, "y"), ("a3", 2, "y"), ("a9", 2, "z")], "item_id string, rule int, key string"))
+    roots = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("item_id"), F.lit("000000").alias("root"))
+    events = clusters.membership_events(rows, roots.unionByName(spark.createDataFrame([(x, "a1") for x in ("a1", "a2", "a3")], "item_id string, root string")))
+    got = {r.cluster_id: r.n for r in events.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {"ccl-000000": 20_000, "ccl-a1": 3}
+    assert {r.reason_type for r in events.where("cluster_id = 'ccl-000000'").collect()} == {"dedupe_hash_exact"}
+
+
+def test_removed_members_stay_out(spark):
+    events = spark.createDataFrame([("ccl-a", "a", "added", "r", 0), ("ccl-a", "b", "added", "r", 1)], clusters.EVENTS)
+    later = spark.createDataFrame([("ccl-a", "b", "added", "r", 0), ("ccl-a", "a", "added", "r", 1), ("ccl-a", "c", "added", "r", 2)], clusters.EVENTS)
+    fixed = clusters.corrected(events, spark.createDataFrame([("ccl-a", "b")], "cluster_id string, item_id string"), later)
+    assert {r.item_id for r in clusters.active_members(fixed).collect()} == {"a", "c"}
+    assert fixed.count() == 4  # neither b again nor a twice
+
+
 def sample_dataset():
     at = "2026-05-28T12:00:00.000Z"
     src = [{"id": f"s{k}", "name": f"S {k}", "tier": "curated", "legalStatus": legal, "enabled": on} for k, (legal, on) in enumerate([("allowed", True)] * 4 + [("needs_review", True), ("disabled", False)])]
@@ -141,10 +187,10 @@ def test_dataset_to_clusters(spark):
     counts = dedupe.snapshot_counts(articles, items, got).first().asDict()
     assert (counts["input"], counts["ingested"], counts["quarantined"], counts["duplicates"], counts["clusters"], counts["eligible"]) == (11, 9, 2, 4, 5, 4)
     status = {r.source_id: (r.skip_reason, r.status) for r in rss.runs(payloads, found, known).collect()}
-    assert status["s4"] == ("legal_status_needs_review", "skipped") and status["s0"] == (None, "succeeded")
+    assert status["s4"] == ("legal_status_needs_review", "skipped") and status["s0"] == (None, "success")  # the statuses that ingestion runs carry
 
 
-@pytest.mark.parametrize("change, fault", [({"extra": 1}, "unknown_key"), ({"schemaVersion": "v9"}, "schemaVersion"), ({"id": "Bad Id"}, "id"), ({"sources": []}, "no_sources")])
+@pytest.mark.parametrize("change, fault", [({"extra": 1}, "unknown_key"), ({"schemaVersion": "v9"}, "schemaVersion"), ({"id": "Bad Id"}, "id"), ({"sources": []}, "no_sources"), ({"sources": [{**sample_dataset()["sources"][0], "extra": 1}]}, "unknown_key_in_sources"), ({"articles": [{**sample_dataset()["articles"][0], "extra": 1}]}, "unknown_key_in_articles"), ({"sources": sample_dataset()["sources"] * 33}, "too_many_sources"), ({"articles": sample_dataset()["articles"] * 129}, "too_many_articles")])
 def test_dataset_rejects(spark, change, fault):
     doc = spark.createDataFrame([(json.dumps(sample_dataset() | change),)], "json string")
     assert fault in {r.fault for r in dataset.faults(doc).collect()}
@@ -168,7 +214,7 @@ def test_rss(spark, sources):
     items = {r.source_item_id: r for r in rss.normalised(df, sources, lit_now()).collect()}
     assert items["g1"].title == "A bold title" and items["g1"].verification_tier == "reported" and items["g4"].source_event_time is None and items["g4"].source_event_time_status == "caveat_future"
     assert {r.malformed_item_id for r in rss.malformed(df).collect()} == {"mal-raw-1-2", "mal-raw-1-3"}
-    assert {r.source_id: r.status for r in rss.runs(rows, df, sources.where("source_id in ('s1', 's5')")).collect()} == {"s1": "partial", "s5": "skipped"}
+    assert {r.source_id: r.status for r in rss.runs(rows, df, sources.where("source_id in ('s1', 's5')")).collect()} == {"s1": "partial_success", "s5": "skipped"}
 
 
 def test_calendar_source(spark):
@@ -237,6 +283,30 @@ def test_whisper_levels(spark):
     assert got == [("glow", "glow_threshold_met"), ("whisper", "whisper_threshold_met"), ("hold", "cooldown_active"), ("suppress", "ineligible[not_promotable,missing_source_legal_status,missing_source_proof,rumor_high_attention]"), ("glow", "glow_threshold_met"), ("hold", "stale_calendar_confirmation"), ("glow", "glow_threshold_met")]
 
 
+def test_calendar_candidates(spark):
+    row = ("fed", "e1", "https://c.example.org/", "high", (NOW + timedelta(minutes=30)).replace(tzinfo=None), "active", "fresh")
+    views = spark.createDataFrame([row, ("fed", "e2", "", *row[3:6], "stale")], "source_id string, source_event_id string, source_url string, importance_tier string, scheduled_for timestamp, revision_status string, confirmation_state string")
+    made = whispers.calendar_candidates(views, "allowed", True).withColumn("ordinal", F.when(F.col("candidate_id") == "cand-cal-fed::e1", 0).otherwise(1)).drop("_order")
+    none = [spark.createDataFrame([], s) for s in (HISTORY, DISMISSAL)]
+    got = {r.candidate_id: (r.target_id, r.level, r.message) for r in whispers.decision_views(whispers.decide(made, *none, lit_now())).collect()}
+    assert got == {"cand-cal-fed::e1": ("fed::e1", "whisper", "Scheduled event approaching"), "cand-cal-fed::e2": ("fed::e2", "hold", "Held (stale_calendar_confirmation)")}
+    assert {(r.evidence_type, r.evidence_value) for r in made.collect()} == {("url", "https://c.example.org/"), ("calendarSourceEventId", "e2")}
+
+
+def test_numbering(spark):
+    from newsmill.operators.numbering import numbered
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("a"), "id").repartition(7)
+    got = [(r.n, r.a, r.id) for r in numbered(rows, [F.desc("a"), F.col("id")], "n").orderBy("n").collect()]
+    want = sorted(((i % 3, i) for i in range(500)), key=lambda x: (-x[0], x[1]))
+    assert got == [(k, *x) for k, x in enumerate(want)]
+
+
+def test_prompt_identity(spark):
+    got = values(spark, hashing.prompt_hash, [" one\r\ntwo\n", "one\ntwo", "one two"])
+    assert got[0] == got[1] != got[2] == __import__("hashlib").sha256(b"one two").hexdigest()
+
+
 def test_whisper_limits(spark):
     assert decide(spark, [candidate(0)], [past(4.99)]) == [("hold", "cooldown_active")]
     assert decide(spark, [candidate(0)], [past(5)]) == [("whisper", "whisper_threshold_met")]
