@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="newsmill-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -65,6 +67,21 @@ def crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
+def sampled_texts(docs: DataFrame, texts: int, chars: int) -> list[str]:
+    """About so many different texts of docs, none longer than chars: those whose hashes are below a bound.
+
+    The bound comes from an estimate of the number of different texts, so only the sample itself reaches the driver,
+    however many rows, partitions or copies there are: at most about texts * chars characters.
+    """
+    rows = docs.where(F.char_length("text") <= chars).select("text", F.xxhash64("text").alias("h"))
+    different = rows.agg(F.approx_count_distinct("h")).first()[0]
+    if not different:
+        return []
+    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * texts // different)
+    found = rows.where(F.col("h") <= F.lit(bound)).groupBy("h").agg(F.min("text").alias("text"))
+    return [r["text"] for r in found.orderBy("h").collect()]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000):
     """While this is open, Python tasks get so many rows at once: for stages that hold much beside their batch."""
