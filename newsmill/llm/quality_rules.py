@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sampled_texts, table
 from .wordcache import slices
 
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-#: One document of this many is in the sample that costs and selectivities are measured on, and at most SAMPLE_ROWS.
-SAMPLE_OF, SAMPLE_ROWS = 64, 2_000
+#: About so many different texts, none longer than SAMPLE_CHARS, are the sample that costs and selectivities are measured on.
+SAMPLE_TEXTS, SAMPLE_CHARS = 1_000, 20_000
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _ODD_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -143,15 +143,9 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def sampled(docs: DataFrame) -> list[str]:
-    """Texts of the sample: by hash of the text, so that the same rows give the same sample."""
-    rows = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0))
-    return [r[0] for r in rows.select("text").limit(SAMPLE_ROWS).collect()]
-
-
 def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES) -> DataFrame:
     """Columns `keep` of docs (none of SCHEMA's names) and SCHEMA."""
-    order = [r.name for r in order_by_yield(sampled(docs), rules)]
+    order = [r.name for r in order_by_yield(sampled_texts(docs, SAMPLE_TEXTS, SAMPLE_CHARS), rules)]
     by_name = {r.name: r for r in rules}
 
     def judge(batches):
@@ -174,7 +168,7 @@ def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES) -> DataFr
 
 def kept(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns."""
-    order = [r.name for r in order_by_yield(sampled(docs), rules)]
+    order = [r.name for r in order_by_yield(sampled_texts(docs, SAMPLE_TEXTS, SAMPLE_CHARS), rules)]
     by_name = {r.name: r for r in rules}
 
     @F.pandas_udf("boolean")
