@@ -1,31 +1,36 @@
 """Operator 5: language-model scoring with a causal self-attention model on subword ids, in numpy.
 
-The model reads subword ids (a public tokenizer's) in windows of WINDOW positions. Each position attends to itself and
-those before it; what it gathers, and its own id, give the weights of TOPICS distributions over buckets of ids and of
-one more, which is how ids follow each other inside the corpus' words. A bucket's ids share its probability by their
-corpus frequency. So p(next id) sums to one over all ids.
+A text is its words (A-Z lower-cased), each after one space, as ids of a public byte-level tokenizer, then END. The
+model reads windows of WINDOW ids. Each position attends to itself and those before it, with a learned weight for the
+distance; what it gathers, its own embedding and that of the position before it go through a hidden layer to a softmax
+over CLASSES classes of ids. One component is counted, not learned: which MEMBER of a class follows which id, from all
+pairs in the training texts (a softmax over all ids, for each of some 400 million ids a GB, is out of reach in numpy).
+Frequent ids have a bucket of their own, the others share HASHED ones by corpus frequency; p(next id) sums to one.
 
 Windows overlap by WINDOW - STRIDE: every prediction is made once, in the first window that holds it, and then has at
 least so many positions before it (unless the text begins there). Attention is masked and batched over windows.
 
-What is learned, and from what (training texts only):
-- counts of all words, N, V, the frequency of every subword id and which follows which inside words: from every
-  training text, by Spark aggregation;
-- attention, topic weights and topic distributions: a start from INIT_TEXTS different texts (those with the smallest
-  hashes) on the driver, then a round of local training in Spark tasks over every window of every training text,
-  averaged by Spark in two levels by numbers of windows. Equal texts are met once, with their number as weight.
+What is learned, and from what (all training texts, whole):
+- counts of words, ids and pairs of buckets: by Spark aggregation;
+- all other parameters: rounds of local training in Spark tasks. Round r takes the texts of slice r (hashes in
+  SLICES[r] to SLICES[r + 1]), each once and in every window; tasks begin with the same parameters, and Spark averages
+  what they come to in two levels, by windows (an embedding: by how often its bucket was met). Slices grow, since
+  averaging matters most in the beginning. Nothing is fitted on the driver.
 
 Base scores need each word's count, and words are too many to broadcast. The FREQUENT most frequent words go to the
-tasks (a fixed bound); the others leave as (document, word hash, number) and meet their counts in a join.
+tasks (a fixed bound); the others leave as (row, word hash, number) and meet their counts in a join.
 
 Defined cases: null text is empty, which is the end token alone; a null doc_id counts as the empty string in the fold
-rule; repeated rows are scored each; an empty table, or one without training texts, scores by uniform ids (c = N = V = 0).
+rule; repeated rows are scored each; an empty table, or one without training texts, scores by uniform ids (c = N = V = 0);
+other columns than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -33,185 +38,175 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import new_folder, read_arrays, small_batches, table, write_and_read, write_arrays
-from .wordcache import WordIds, of_worker, slices, vocabulary
-
-TOKENIZER = "word_bpe_49k.json"
-#: Ids of the tokenizer's file: all, begin and end of a text (fixed values).
-N_IDS, BEGIN, END = 49408, 49406, 49407
-WINDOW, STRIDE = 32, 24
-#: Sizes of the model; ids beyond the most frequent ones share HASHED buckets.
-BUCKETS, HASHED, TOPICS, HEAD = 4096, 512, 24, 8
-#: Words whose counts every task holds, at most.
-FREQUENT = 200_000
-INIT_TEXTS, INIT_EPOCHS = 600, 8
-RATE, PRIOR = 0.3, 50.0
+from .wordcache import ByteIds, of_worker, slices, vocabulary
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: Ids of the tokenizer's file, and two more: begin and end of a text.
+N_IDS, BEGIN, END = 50258, 50256, 50257
+WINDOW, STRIDE = 16, 12
+#: Ids beyond the most frequent ones share HASHED buckets; buckets are dealt into CLASSES of MEMBERS each.
+BUCKETS, HASHED, CLASSES = 2048, 256, 32
+MEMBERS = BUCKETS // CLASSES
+WIDTH, HEAD, HIDDEN = 16, 8, 24
+RATE, FIRST_SQUARE, PRIOR = 0.2, 1.0, 2.0
+#: Bounds of the rounds' slices among 64 hash values.
+SLICES = (0, 1, 2, 4, 8, 16, 32, 64)
+#: Windows of a step, and ids whose windows are there at once.
+STEP, AT_ONCE = 256, 200_000
+#: Words whose counts every task holds, at most; and words that a counting task holds before it passes them on.
+FREQUENT, HELD_WORDS = 400_000, 200_000
 FOLDS, HELD_OUT = 7, 2
-#: Word counts that a task holds before it passes them on.
-HELD_WORDS = 400_000
-CHUNK = 128
-#: Ids whose windows are there at once in training.
-LEARN_AT_ONCE = 500_000
 
-
-class FewWords(WordIds):
-    """A memory of its own: beside it a task holds the model and the frequent words."""
-
-    cache = 500_000
+_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_BACK = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None], 0)
+
+
+def classes(n: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Buckets in an order whose runs of MEMBERS are the classes: halved, and halved again, along the direction in
+    which the buckets that stand before them differ most."""
+    profile = np.sqrt(n / np.maximum(n.sum(0), 1e-9)).T.astype(np.float32)
+    basis = np.random.default_rng(1).normal(size=(BUCKETS, 12)).astype(np.float32)
+    for _ in range(4):
+        basis = np.linalg.qr(profile.T @ (profile @ basis))[0]
+    low, groups = profile @ basis, [np.arange(BUCKETS)]
+    while len(groups) < CLASSES:
+        halves = []
+        for g in groups:
+            weight = frequency[g] + 1e-9
+            apart = (low[g] - np.average(low[g], axis=0, weights=weight)) * np.sqrt(weight)[:, None]
+            along = low[g] @ np.linalg.svd(apart, full_matrices=False)[2][0]
+            halves += np.split(g[np.argsort(along, kind="stable")], 2)
+        groups = halves
+    return np.concatenate(groups)
+
+
+def buckets_of(ids: np.ndarray) -> np.ndarray:
+    """The bucket of each id by its frequency rank."""
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(-ids, kind="stable")] = np.arange(len(ids))
+    own = BUCKETS - HASHED
+    return np.where(rank < own, rank, own + rank % HASHED)
 
 
 class Model:
-    """Parameters by bucket: query/key/value, own topic weights, topic distributions; and ids within buckets."""
+    """Parameters p; the bucket of each id and its share of it; after[a, b]: p(b | its class, a before it), as counted."""
 
-    def __init__(self, ids: np.ndarray, pairs: tuple | None = None, seed: int = 0):
-        """ids: how often each subword id stands in the training texts; pairs: (first, second, number) inside words,
-        with BEGIN before a word's first id and END after its last; (BEGIN, END) is the number of texts."""
-        rng = np.random.default_rng(seed)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(-ids, kind="stable")] = np.arange(len(ids))
-        self.bucket = np.where(rank < BUCKETS - HASHED, rank, BUCKETS - HASHED + rank % HASHED).astype(np.int32)
+    def __init__(self, ids: np.ndarray, n: np.ndarray, seed: int = 0):
+        """ids: how often each id stands in the training texts; n[a, b]: how often bucket b follows bucket a there."""
         smooth = ids + 0.1
-        mass = np.bincount(self.bucket, smooth, BUCKETS)
+        bucket = buckets_of(ids)
+        mass = np.bincount(bucket, smooth, BUCKETS)
+        order = classes(n, mass / mass.sum())
+        place = np.empty(BUCKETS, np.int64)
+        place[order] = np.arange(BUCKETS)
+        self.bucket = place[bucket]
+        mass = mass[order]
         self.within = (smooth / mass[self.bucket]).astype(np.float32)
-        self.frequency = (mass / mass.sum()).astype(np.float32)
+        frequency = mass / mass.sum()
+        of_class = frequency.reshape(CLASSES, MEMBERS).sum(1)
+        after = (n[order][:, order]).reshape(BUCKETS, CLASSES, MEMBERS) + PRIOR * (frequency.reshape(CLASSES, MEMBERS) / of_class[:, None]).astype(np.float32)
+        self.after = (after / after.sum(2, keepdims=True)).reshape(BUCKETS, BUCKETS).astype(np.float32)
+        rng = np.random.default_rng(seed)
+
+        def noise(deviation: float, *shape: int) -> np.ndarray:
+            return rng.normal(0, deviation, shape).astype(np.float32)
+
         self.p = {
-            "qkv": rng.normal(0, 0.1, (BUCKETS, 3 * HEAD)).astype(np.float32),
-            "place": rng.normal(0, 0.1, (WINDOW, 3 * HEAD)).astype(np.float32),
-            "own": rng.normal(0, 0.3, (BUCKETS, TOPICS + 1)).astype(np.float32),
-            "out": rng.normal(0, 0.3, (HEAD, TOPICS + 1)).astype(np.float32),
-            "bias": np.log(np.r_[np.ones(TOPICS), TOPICS])[None].astype(np.float32),
+            "embed": noise(0.5, BUCKETS, WIDTH),
+            "qkv": noise(0.2, WIDTH, 3 * HEAD),
+            "near": np.zeros((1, WINDOW), np.float32),
+            "mix": noise(0.15, 2 * WIDTH + HEAD + 1, HIDDEN),
+            "class": noise(0.05, HIDDEN, CLASSES),
         }
-        self.after = self.followers(pairs)
-        noise = rng.gamma(1.0, 1.0, (BUCKETS, TOPICS)).astype(np.float32)
-        self.counts = self.frequency[:, None] * noise * 1000
-        self.set_topics()
-
-    def followers(self, pairs: tuple | None) -> np.ndarray:
-        """p(bucket | the bucket before it): inside a word as counted; after its end, how words and texts begin and end."""
-        n = np.zeros((BUCKETS, BUCKETS), np.float32)
-        start, ends = self.frequency.copy(), np.zeros(BUCKETS, np.float32)
-        if pairs is not None:
-            first, second, number = pairs
-            begins = first == BEGIN
-            last = (second == END) & ~begins
-            inside = ~begins & ~last
-            np.add.at(n, (self.bucket[first[inside]], self.bucket[second[inside]]), number[inside])
-            np.add.at(start, self.bucket[second[begins]], number[begins])
-            np.add.at(ends, self.bucket[first[last]], number[last])
-        start /= start.sum()
-        n += ends[:, None] * start + 2.0 * self.frequency
-        n[self.bucket[BEGIN]] = start
-        n /= n.sum(1, keepdims=True)
-        return n.astype(np.float16)
-
-    def set_topics(self) -> None:
-        """Topic distributions from soft counts, with the corpus frequency as prior."""
-        n = self.counts + PRIOR * self.frequency[:, None]
-        self.topics = np.zeros((BUCKETS, TOPICS + 1), np.float32)  # the last place is for what follows inside words
-        self.topics[:, :TOPICS] = n / n.sum(0)
+        # the last hidden unit is 1, so classes begin with their corpus frequencies
+        self.p["class"][-1] = np.log(of_class)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"p_" + k: v for k, v in self.p.items()} | {k: getattr(self, k) for k in ("bucket", "within", "after", "topics")}
+        return {"p_" + k: v for k, v in self.p.items()} | {k: getattr(self, k) for k in ("bucket", "within", "after")}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray]) -> Model:
-        """A model that can score and learn, from its arrays."""
+        """A model from its arrays; its parameters may change."""
         new = cls.__new__(cls)
-        new.p = {k[2:]: v for k, v in arrays.items() if k.startswith("p_")}
-        new.bucket, new.within, new.after, new.topics = (arrays[k] for k in ("bucket", "within", "after", "topics"))
-        return new
-
-    def copy(self) -> Model:
-        """A model whose parameters may change; the rest is shared."""
-        new = Model.__new__(Model)
-        new.__dict__ = self.__dict__ | {"p": {k: v.copy() for k, v in self.p.items()}}
+        new.p = {k[2:]: v.copy() for k, v in arrays.items() if k.startswith("p_")}
+        new.bucket, new.within, new.after = (arrays[k] for k in ("bucket", "within", "after"))
         return new
 
-    def attend(self, b: np.ndarray, skip: int = 0):
-        """Of windows of buckets: unnormalised weights of the positions from skip on, and what they are made of."""
-        x = self.p["qkv"][b] + self.p["place"][: b.shape[1]]
-        q, k, v = x[:, skip:, :HEAD], x[..., HEAD : 2 * HEAD], x[..., 2 * HEAD :]
-        e = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(e, 30, out=e)
-        np.exp(e, out=e)
-        e *= _CAUSAL[skip : b.shape[1], : b.shape[1]]
-        return e, q, k, v
-
-    def gate(self, b: np.ndarray, gathered: np.ndarray) -> np.ndarray:
-        """Unnormalised topic weights."""
-        g = self.p["own"][b]
-        g += (gathered.reshape(-1, HEAD) @ self.p["out"] + self.p["bias"]).reshape(g.shape)
-        np.minimum(g, 60, out=g)
-        return np.exp(g, out=g)
+    def forward(self, b: np.ndarray, t: np.ndarray, skip: int):
+        """For windows of buckets and the targets from position skip on: p(class of target), and what a step needs."""
+        p, (n, size) = self.p, b.shape
+        x = p["embed"][b]
+        qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, size, 3 * HEAD)
+        e = np.matmul(qkv[:, skip:, :HEAD], qkv[..., HEAD : 2 * HEAD].transpose(0, 2, 1))
+        e += p["near"][0][_BACK[skip:size, :size]]
+        np.exp(np.minimum(e, 30, out=e), out=e)
+        e *= _CAUSAL[skip:size, :size]
+        e /= (e.reshape(-1, size) @ np.ones((size, 1), np.float32)).reshape(n, -1, 1)
+        z = np.ones((n, size - skip, 2 * WIDTH + HEAD + 1), np.float32)
+        z[..., :WIDTH] = x[:, skip:]
+        z[:, :1, WIDTH : 2 * WIDTH] = x[:, skip - 1 : skip] if skip else 0
+        z[:, 1:, WIDTH : 2 * WIDTH] = x[:, skip:-1]
+        np.matmul(e, qkv[..., 2 * HEAD :], out=z[..., 2 * WIDTH : -1])
+        z = z.reshape(-1, z.shape[2])
+        h = z @ p["mix"]
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        c = h @ p["class"]
+        np.exp(np.minimum(c, 30, out=c), out=c)
+        c /= (c @ np.ones(CLASSES, np.float32))[:, None]
+        of = t.ravel() // MEMBERS
+        return c[np.arange(len(of)), of], x, qkv, e, z, h, c, of
 
     def probability(self, windows: np.ndarray, targets: np.ndarray, skip: int = 0) -> np.ndarray:
         """p(target | the ids up to there) for windows of ids, from position skip on; targets are ids too."""
-        b, t = self.bucket[windows], self.bucket[targets[:, skip:]]
-        e, _, _, v = self.attend(b, skip)
-        both = np.matmul(e, np.concatenate([v, np.ones_like(v[..., :1])], 2))
-        g = self.gate(b[:, skip:], both[..., :HEAD] / both[..., HEAD:])
-        likely = np.einsum("nlk,nlk->nl", g, self.topics[t]) + g[..., TOPICS] * self.after[b[:, skip:], t].astype(np.float32)
-        return likely / g.sum(2) * self.within[targets[:, skip:]]
-
-    def learn(self, windows: np.ndarray, targets: np.ndarray, on: np.ndarray, state: dict, skip: int = 0) -> None:
-        """One step on windows, from position skip on: soft counts of topics, and Adagrad on all else.
-
-        on holds the weight of each prediction, which is how often its text stands in the corpus.
-        """
-        b, t, on = self.bucket[windows], self.bucket[targets[:, skip:]], on[:, skip:]
-        repeats = np.float32(np.square(on).sum() / max(on.sum(), 1e-30))
-        e, q, k, v = self.attend(b, skip)
-        e /= e.sum(2, keepdims=True)
-        h = np.matmul(e, v)
-        pi = self.gate(b[:, skip:], h)
-        pi /= pi.sum(2, keepdims=True)
-        r = self.topics[t]
-        r[..., TOPICS] = self.after[b[:, skip:], t]
-        r *= pi
-        r *= (on / np.maximum(r.sum(2), 1e-30))[..., None]
-        at, total = sums_by(t.ravel(), r.reshape(-1, TOPICS + 1))
-        state["counts"][at] += total[:, :TOPICS]
-        pi *= on[..., None]
-        d = np.subtract(r, pi, out=r)
-        dh = (d.reshape(-1, TOPICS + 1) @ self.p["out"].T).reshape(h.shape)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        ds -= (dh * h).sum(2, keepdims=True)
+        targets = targets[:, skip:]
+        t = self.bucket[targets]
+        b = self.bucket[windows]
+        return self.forward(b, t, skip)[0].reshape(t.shape) * self.after[b[:, skip:], t] * self.within[targets]
+
+    def learn(self, windows: np.ndarray, targets: np.ndarray, on: np.ndarray, squares: dict, skip: int = 0) -> None:
+        """One step of Adagrad on windows, from position skip on; on says which predictions count."""
+        p, b = self.p, self.bucket[windows]
+        n, size = b.shape
+        on = on[:, skip:].ravel().astype(np.float32)
+        _, x, qkv, e, z, h, c, of = self.forward(b, self.bucket[targets[:, skip:]], skip)
+        c *= -on[:, None]
+        c[np.arange(len(on)), of] += on
+        dh = c @ p["class"].T
+        dh *= 1 - h * h
+        dz = (dh @ p["mix"].T).reshape(n, size - skip, -1)
+        d_out = dz[..., 2 * WIDTH : -1]
+        ds = np.matmul(d_out, qkv[..., 2 * HEAD :].transpose(0, 2, 1))
+        ds -= np.einsum("nij,nij->ni", d_out, z[:, 2 * WIDTH : -1].reshape(d_out.shape))[..., None]
         ds *= e
-        both = np.zeros((*b.shape, 3 * HEAD + TOPICS + 1), np.float32)
-        both[:, skip:, :HEAD] = np.matmul(ds, k)
-        both[..., HEAD : 2 * HEAD] = np.matmul(ds.transpose(0, 2, 1), q)
-        both[..., 2 * HEAD : 3 * HEAD] = np.matmul(e.transpose(0, 2, 1), dh)
-        both[:, skip:, 3 * HEAD :] = d
-        grads = {"place": both[..., : 3 * HEAD].sum(0), "out": h.reshape(-1, HEAD).T @ d.reshape(-1, TOPICS + 1), "bias": d.sum((0, 1))[None]}
-        met, total = sums_by(b.ravel(), both.reshape(-1, both.shape[2]))
-        for name, part in (("qkv", total[:, : 3 * HEAD]), ("own", total[:, 3 * HEAD :])):
-            self.step(name, met, part, state, repeats)
-        for name, part in grads.items():
-            self.step(name, slice(0, len(part)), part, state, repeats)
-
-    def step(self, name: str, rows, total: np.ndarray, state: dict, repeats: np.float32) -> None:
-        """The squares of a text met n times grow by n, not n squared; no step is longer than RATE."""
-        if name not in state:
-            state[name] = np.full(self.p[name].shape, 1e-2, np.float32)
-        square = total**2
-        seen = state[name][rows] + square / repeats
-        state[name][rows] = seen
-        self.p[name][rows] += RATE * total / np.sqrt(np.maximum(seen, square))
-
-
-def sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, and the sum of each one's rows."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")  # buckets fit, and 16 bits are sorted by radix
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(rows[order], first, axis=0)
-
-
-#: The tokenizer lower-cases; doing it first for A-Z leaves fewer different words to encode.
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        d_qkv = np.zeros_like(qkv)
+        np.matmul(ds, qkv[..., HEAD : 2 * HEAD], out=d_qkv[:, skip:, :HEAD])
+        np.matmul(ds.transpose(0, 2, 1), qkv[:, skip:, :HEAD], out=d_qkv[..., HEAD : 2 * HEAD])
+        np.matmul(e.transpose(0, 2, 1), d_out, out=d_qkv[..., 2 * HEAD :])
+        d_qkv = d_qkv.reshape(-1, 3 * HEAD)
+        dx = (d_qkv @ p["qkv"].T).reshape(x.shape)
+        dx[:, skip:] += dz[..., :WIDTH]
+        dx[:, skip:-1] += dz[:, 1:, WIDTH : 2 * WIDTH]
+        if skip:
+            dx[:, skip - 1] += dz[:, 0, WIDTH : 2 * WIDTH]
+        keys = b.ravel()
+        at = (keys[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        grads = {
+            "embed": np.bincount(at, dx.ravel(), BUCKETS * WIDTH).astype(np.float32).reshape(BUCKETS, WIDTH),
+            "qkv": x.reshape(-1, WIDTH).T @ d_qkv,
+            "near": np.bincount(_BACK[skip:size, :size].ravel(), ds.sum(0).ravel(), WINDOW)[None].astype(np.float32),
+            "mix": z.T @ dh,
+            "class": h.T @ c,
+        }
+        squares["met"] += np.bincount(keys, minlength=BUCKETS)
+        for name, d in grads.items():
+            squares[name] += d * d
+            p[name] += RATE * d / np.sqrt(squares[name])
+
+def first_squares(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: np.full(v.shape, FIRST_SQUARE, np.float32) for k, v in p.items()}
 
 
 def in_windows(sequences: list[np.ndarray]):
@@ -232,42 +227,50 @@ def in_windows(sequences: list[np.ndarray]):
     return flat[at], flat[at + 1], on, of
 
 
+def steps_of(of: np.ndarray):
+    """Batches of windows with the position from which they count: 0 for the first of a sequence."""
+    first = np.r_[True, of[1:] != of[:-1]]
+    for part, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
+        for c in range(0, len(part), STEP):
+            yield part[c : c + STEP], skip
+
+
 def sequence(ids: bytes) -> np.ndarray:
-    return np.concatenate([[BEGIN], np.frombuffer(ids, "<u4").astype(np.int64), [END]])
+    return np.concatenate([[BEGIN], np.frombuffer(ids, "<u2").astype(np.int32), [END]])
+
+
+def parts_of(packed: list[bytes]):
+    """Pieces of a batch of about AT_ONCE ids, no text cut."""
+    for a, z in slices(packed, 2 * AT_ONCE):
+        yield a, [sequence(x) for x in packed[a:z]]
 
 
 def log10_of(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 p of each sequence."""
     windows, targets, on, of = in_windows(sequences)
     out = np.zeros(len(sequences))
-    first = np.r_[True, of[1:] != of[:-1]]
-    for part, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
-        for c in range(0, len(part), CHUNK):
-            k = part[c : c + CHUNK]
-            p = model.probability(windows[k], targets[k], skip)
-            np.add.at(out, of[k], np.where(on[k, skip:], np.log10(np.maximum(p, 1e-30)), 0).sum(1))
+    for k, skip in steps_of(of):
+        p = model.probability(windows[k], targets[k], skip)
+        np.add.at(out, of[k], np.where(on[k, skip:], np.log10(np.maximum(p, 1e-30)), 0).sum(1))
     return out
 
 
-def learn_from(model: Model, sequences: list[np.ndarray], weights: list[int], state: dict) -> int:
-    """Training over the sequences once, each as often as its weight; the number of windows."""
-    total = 0
-    for a, z in slices(sequences, LEARN_AT_ONCE):
-        windows, targets, on, of = in_windows(sequences[a:z])
-        on = on * np.array(weights[a:z], np.float32)[of, None]
-        first = np.r_[True, of[1:] != of[:-1]]
-        for part, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
-            for c in range(0, len(part), 64):
-                k = part[c : c + 64]
-                model.learn(windows[k], targets[k], on[k], state, skip)
-        total += len(windows)
-    return total
+def learn_from(model: Model, sequences: list[np.ndarray], squares: dict) -> int:
+    """Training over every window of the sequences, once; the number of windows."""
+    windows, targets, on, of = in_windows(sequences)
+    for k, skip in steps_of(of):
+        model.learn(windows[k], targets[k], on[k], squares, skip)
+    return len(windows)
 
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def hashed_word(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) of all words of the training texts; counted inside tasks before they are shuffled."""
 
@@ -275,7 +278,7 @@ def word_counts(training: DataFrame) -> DataFrame:
         held: Counter = Counter()
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 500_000):
                 for t in texts[a:b]:
                     held.update(_words(t))
                 if len(held) > HELD_WORDS:
@@ -287,103 +290,6 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(words: DataFrame, texts: int, path: str) -> tuple[np.ndarray, tuple]:
-    """How often each subword id stands in the training texts, and each pair of ids inside words, from the word counts.
-
-    END stands once in each of the texts. As what may follow a word's end (BEGIN's pairs), it counts as often.
-    Pairs are packed by their first id before they come back: at most N_IDS rows, as long as the vocabulary allows.
-    """
-
-    def count(batches):
-        coder = of_worker(FewWords, path)
-        for batch in batches:
-            texts = [w.decode("utf-8", "replace") for w in batch["word"]]
-            n = batch["n"].to_numpy()
-            for a, b in slices(texts, 1_000_000):
-                parts = [np.frombuffer(e, "<u4") for e in coder.texts(texts[a:b])]
-                coder.known = {}  # every word comes once
-                size = np.array([len(p) + 2 for p in parts])
-                flat = np.full(int(size.sum()), END, np.int64)
-                ends = np.cumsum(size)
-                inside = np.ones(len(flat), bool)
-                inside[ends - 1] = inside[ends - size] = False
-                flat[inside] = np.concatenate(parts)
-                flat[ends - size] = BEGIN
-                first = np.ones(len(flat), bool)
-                first[ends - 1] = False
-                at = np.flatnonzero(first)
-                pair, where = np.unique(flat[at] * N_IDS + flat[at + 1], return_inverse=True)
-                total = np.bincount(where, np.repeat(n[a:b], size - 1))
-                yield pd.DataFrame({"first": pair // N_IDS, "second": pair % N_IDS, "n": total})
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"first": rows["first"].iloc[:1], "second": [rows["second"].to_numpy("<u4").tobytes()], "n": [rows["n"].to_numpy("<f4").tobytes()]})
-
-    pairs = words.mapInPandas(count, "first long, second long, n double").groupBy("first", "second").agg(F.sum("n").alias("n"))
-    rows = pairs.groupBy("first").applyInPandas(pack, "first long, second binary, n binary").collect()
-    second = [np.frombuffer(r["second"], "<u4").astype(np.int64) for r in rows]
-    first = np.repeat(np.array([r["first"] for r in rows], np.int64), [len(x) for x in second])
-    second = np.concatenate([np.zeros(0, np.int64), *second])
-    number = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["n"], "<f4") for r in rows)])
-    real = second != END
-    ids = np.bincount(second[real], number[real], N_IDS)
-    ids[END] = texts
-    return ids, (np.r_[first, BEGIN], np.r_[second, END], np.r_[number, np.float32(texts)])
-
-
-def train(training: DataFrame, ids: np.ndarray, pairs: tuple, path: str) -> Model:
-    """The model of the training texts."""
-    spark = training.sparkSession
-    model = Model(ids, pairs)
-    texts = write_and_read(training.groupBy("text").agg(F.count("*").alias("times")), "training-texts")
-    some = [r[0] for r in texts.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(INIT_TEXTS).collect()]
-    if not some:
-        return model
-    coder = WordIds(path)
-    sequences = [sequence(x) for x in coder.texts([t.translate(_LOWER) for t in some])]
-    state: dict = {}
-    for _ in range(INIT_EPOCHS):
-        state["counts"] = np.zeros_like(model.counts)
-        learn_from(model, sequences, [1] * len(sequences), state)
-        model.counts = state["counts"]
-        model.set_topics()
-    start = write_arrays(spark, "model", model.arrays())
-
-    def local(batches):
-        coder, own = of_worker(FewWords, path), None
-        for batch in batches:
-            if own is None:
-                own = Model.of(read_arrays(start)).copy()
-                state, windows = {"counts": np.zeros((BUCKETS, TOPICS), np.float32)}, 0
-            texts, times = [t.translate(_LOWER) for t in batch["text"]], batch["times"].tolist()
-            for a, b in slices(texts, 1_000_000):
-                windows += learn_from(own, [sequence(x) for x in coder.texts(texts[a:b])], times[a:b], state)
-        if own is not None:
-            values = own.p | {"counts": state["counts"]}
-            w = {k: 1 if k == "counts" else windows for k in values}
-            yield pd.DataFrame([(k, TaskContext.get().partitionId() % 64, float(windows), (v * np.float32(w[k])).astype("<f4").tobytes()) for k, v in values.items()], columns=["name", "part", "windows", "total"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows["total"]).astype("<f4")
-        return pd.DataFrame({"name": [rows["name"].iloc[0]], "part": [0], "windows": [rows["windows"].sum()], "total": [total.tobytes()]})
-
-    schema = "name string, part int, windows double, total binary"
-    sums = texts.mapInPandas(local, schema).groupBy("name", "part").applyInPandas(add, schema).groupBy("name").applyInPandas(add, schema)
-    with small_batches(spark):
-        found = sums.collect()
-    for r in found:
-        total = np.frombuffer(r["total"], "<f4").astype(np.float64)
-        if r["name"] == "counts":
-            model.counts = total.reshape(model.counts.shape).astype(np.float32)
-        else:
-            model.p[r["name"]] = (total / max(r["windows"], 1)).reshape(model.p[r["name"]].shape).astype(np.float32)
-    model.set_topics()
-    return model
-
-
-_SCORED = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
-
-
 def least_frequent(words: DataFrame) -> int:
     """The least count of which no more than FREQUENT words have as much, up to 1000 (a histogram of counts comes back)."""
     above, least = 0, 1001
@@ -411,29 +317,136 @@ def frequent_words(folder: str) -> dict[bytes, float]:
     return _HELD[folder]
 
 
-def scored(docs: DataFrame, model: Model, frequent_at: str, path: str) -> DataFrame:
-    """Model scores, and base scores as far as the frequent words go; the others' hashes and numbers."""
-    spark = docs.sparkSession
-    model_at = write_arrays(spark, "model", model.arrays())
+_ENCODED = "row long, doc_id long, held_out boolean, slice int, n_tokens long, n_known long, base double, rare array<long>, times array<int>, ids binary"
+
+
+def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
+    """Every row's ids, and its base score as far as the frequent words go; the others' hashes and numbers."""
+
+    def encode(batches):
+        frequent, coder = frequent_words(frequent_at), of_worker(ByteIds, path)
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows = []
+            for t in batch["text"]:
+                words = _words(t)
+                logs = list(map(frequent.get, words))
+                rare = Counter(compress(words, map(is_, logs, repeat(None))))
+                hashes = [hashed_word(w) for w in rare]
+                rows.append((row, len(words) + 1, len(words) - rare.total(), sum(filter(None, logs)), hashes, list(rare.values()), coder.words(words)))
+                row += 1
+            out = pd.DataFrame(rows, columns=["row", "n_tokens", "n_known", "base", "rare", "times", "ids"])
+            yield pd.concat([batch[["doc_id", "held_out", "slice"]].reset_index(drop=True).astype({"doc_id": "Int64"}), out], axis=1)
+
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES[-1])).cast("int").alias("slice")
+    return docs.select("doc_id", "text", "held_out", part).mapInPandas(encode, _ENCODED)
+
+
+def id_counts(training: DataFrame) -> np.ndarray:
+    """How often each id is a target in the training sequences (ids binary); at most N_IDS rows come back."""
+
+    def count(batches):
+        n = np.zeros(N_IDS, np.int64)
+        for batch in batches:
+            n += np.bincount(np.frombuffer(b"".join(batch["ids"]), "<u2"), minlength=N_IDS)
+            n[END] += len(batch)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"id": at, "n": n[at]})
+
+    out = np.zeros(N_IDS, np.int64)
+    for i, n in training.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+        out[i] = n
+    return out
+
+
+def pair_counts(training: DataFrame, bucket: np.ndarray) -> np.ndarray:
+    """n[a, b]: how often bucket b follows bucket a; summed by Spark, packed to at most BUCKETS rows to come back."""
+
+    def count(batches):
+        n, held, size = np.zeros(BUCKETS * BUCKETS, np.int64), [], 0
+        for batch in batches:
+            for _, sequences in parts_of(batch["ids"].tolist()):
+                flat = bucket[np.concatenate(sequences)]
+                ends = np.cumsum([len(s) for s in sequences])[:-1]
+                held.append(np.delete(flat[:-1] * BUCKETS + flat[1:], ends - 1))  # none from one text to the next
+                size += len(flat)
+                if size > len(n) // 4:
+                    n += np.bincount(np.concatenate(held), minlength=len(n))
+                    held, size = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"a": at // BUCKETS, "b": at % BUCKETS, "n": n[at]})
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": rows["a"].iloc[:1], "b": [rows["b"].to_numpy("<u4").tobytes()], "n": [rows["n"].to_numpy("<f4").tobytes()]})
+
+    sums = training.select("ids").mapInPandas(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    out = np.zeros((BUCKETS, BUCKETS), np.float32)
+    for r in sums.groupBy("a").applyInPandas(pack, "a long, b binary, n binary").collect():
+        out[r["a"], np.frombuffer(r["b"], "<u4")] = np.frombuffer(r["n"], "<f4")
+    return out
+
+
+def train(training: DataFrame) -> Model:
+    """The model of the training sequences (slice, ids)."""
+    spark = training.sparkSession
+    ids = id_counts(training)
+    model = Model(ids, pair_counts(training, buckets_of(ids)))
+    squares = first_squares(model.p)
+    for low, high in zip(SLICES, SLICES[1:], strict=False):
+        part = training.where((F.col("slice") >= low) & (F.col("slice") < high)).select("ids")
+        one_round(spark, model, squares, part)
+    return model
+
+
+def one_round(spark: SparkSession, model: Model, squares: dict, part: DataFrame) -> None:
+    """Tasks train on their texts from the same start; parameters and their squares become the averages."""
+    start = write_arrays(spark, "model", model.arrays() | {"s_" + k: v for k, v in squares.items()})
+
+    def local(batches):
+        own, windows = None, 0
+        for batch in batches:
+            if own is None:
+                arrays = read_arrays(start)
+                own = Model.of(arrays)
+                held = {k[2:]: v.copy() for k, v in arrays.items() if k.startswith("s_")} | {"met": np.zeros(BUCKETS)}
+            for _, sequences in parts_of(batch["ids"].tolist()):
+                windows += learn_from(own, sequences, held)
+        if windows:
+            met = held.pop("met").astype("<f4")
+            rows = []
+            for name, v in (own.p | {"s_" + k: v for k, v in held.items()}).items():
+                weight = met[:, None] if name in ("embed", "s_embed") else np.float32(windows)
+                rows.append((name, TaskContext.get().partitionId() % 64, np.asarray(weight, "<f4").tobytes(), (v * weight).astype("<f4").tobytes()))
+            yield pd.DataFrame(rows, columns=["name", "part", "weight", "total"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        weight, total = (sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows[c]).astype("<f4").tobytes() for c in ("weight", "total"))
+        return pd.DataFrame({"name": rows["name"].iloc[:1], "part": [0], "weight": [weight], "total": [total]})
+
+    schema = "name string, part int, weight binary, total binary"
+    sums = part.mapInPandas(local, schema).groupBy("name", "part").applyInPandas(add, schema).groupBy("name").applyInPandas(add, schema)
+    for r in sums.collect():
+        weight, total = np.frombuffer(r["weight"], "<f4"), np.frombuffer(r["total"], "<f4")
+        at, name = (squares, r["name"][2:]) if r["name"].startswith("s_") else (model.p, r["name"])
+        weight = weight.reshape(-1, *[1] * (at[name].ndim - 1))
+        at[name] = np.where(weight > 0, total.reshape(at[name].shape) / np.maximum(weight, 1e-30), at[name]).astype(np.float32)
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (row, ids and others) with their model scores in place of ids."""
+    model_at = write_arrays(rows.sparkSession, "model", model.arrays())
+    others = [c for c in rows.columns if c != "ids"]
 
     def score(batches):
-        model, frequent = Model.of(read_arrays(model_at)), frequent_words(frequent_at)
-        coder = of_worker(FewWords, path)
+        model = Model.of(read_arrays(model_at))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            rows, scores = [], []
-            for a, b in slices(texts, 1_000_000):
-                scores.append(log10_of(model, [sequence(x) for x in coder.texts([t.translate(_LOWER) for t in texts[a:b]])]))
-                for t in texts[a:b]:
-                    words = _words(t)
-                    logs = [frequent.get(w) for w in words]
-                    rare = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                    rows.append((len(words) + 1, len(words) - rare.total(), math.fsum(x for x in logs if x is not None), [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in rare], list(rare.values())))
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "rare", "times"])
-            out["score"] = np.concatenate(scores)
-            yield pd.concat([batch[["doc_id", "held_out", "key"]].reset_index(drop=True), out], axis=1)
+            out = batch[others].copy()
+            out["score"] = np.concatenate([np.zeros(0), *(log10_of(model, s) for _, s in parts_of(batch["ids"].tolist()))])
+            yield out
 
-    return docs.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("key")).mapInPandas(score, _SCORED)
+    return rows.mapInPandas(score, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("ids").schema) + ", score double")
 
 
 def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -446,25 +459,23 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     ends = training.count()
     types, total = words.agg(F.count("*"), F.sum("n")).first()
     n_train, n_types = (total or 0) + ends, types + bool(ends)
-    model = train(training, *id_counts(words, ends, path), path)
     frequent = new_folder(spark, "frequent-words")
-    words.where(F.col("n") >= least_frequent(words)).select("word", F.log10(F.col("n") + 1).alias("log")).coalesce(1).write.parquet(frequent)
+    words.where(F.col("n") >= least_frequent(words)).select("word", F.log10(F.col("n") + 1).alias("log")).repartition(1).write.parquet(frequent)
     with small_batches(spark):
-        rows = write_and_read(scored(docs, model, frequent, path), "scored")
+        texts = write_and_read(encoded(docs, frequent, path), "encoded")
+        model = train(texts.where(~F.col("held_out")))
+        rows = write_and_read(scored(texts.drop("slice", "rare", "times"), model), "scored")
 
     @F.pandas_udf("long")
     def hashed(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63))
+        return w.map(hashed_word)
 
     known = words.select(hashed("word").alias("rare"), F.log10(F.col("n") + 1).alias("log"))
-    met = rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("rare"), F.col("r.times").alias("times"))
-    met = met.join(known, "rare").groupBy("key").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.col("log")).alias("more"))
-    same = F.count("*").over(Window.partitionBy("key"))  # equal rows have one key, under which their words add up
-    out = rows.withColumn("same", same).join(met, "key", "left")
-    none = F.coalesce(F.col("more") / F.col("same"), F.lit(0.0))
-    base = F.col("base") + none + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n_train + n_types + 1)
-    n_known = F.col("n_known") + F.coalesce((F.col("more_known") / F.col("same")).cast("long"), F.lit(0)) + int(ends > 0)
-    return out.select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    met = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("rare"), F.col("r.times").alias("times"))
+    met = met.join(known, "rare").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.col("log")).alias("more"))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n_train + n_types + 1)
+    n_known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)
+    return rows.join(met, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,11 +122,32 @@ def slices(texts: list[str], chars: int = 2_000_000):
         yield begin, len(texts)
 
 
+class ByteIds:
+    """Little-endian unsigned 16-bit ids of words, each after one space, for a byte-level tokenizer (byte_bpe ranks)."""
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.tokenizer = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def words(self, words: list[bytes]) -> bytes:
+        if not words:
+            return b""
+        text = " " + b" ".join(words).decode("utf-8", "replace")
+        return self.tokenizer.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
+
 _OPEN: dict[tuple, object] = {}
 
 
 def of_worker(kind, path: str):
-    """The worker's own instance, kept between tasks."""
+    """The worker's own instance, kept between tasks; another kind or file takes its place, so that one memory is held."""
     if (kind, path) not in _OPEN:
+        _OPEN.clear()
         _OPEN[kind, path] = kind(path)
     return _OPEN[kind, path]
