@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities in the order in which they are decoded; &amp; first, so that &amp;lt; ends as <.
+#: Named entities in the order in which they are decoded (fixed values); &amp; first, so that &amp;lt; ends as <.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " ")]
-#: Opening and closing quotes that a title may be wrapped in.
+#: Opening and closing quotes that a title may be wrapped in (fixed values).
 QUOTES = [('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’")]
 
 
@@ -26,13 +26,13 @@ def strip_tags(text: Column) -> Column:
 
 
 def decode_numeric(text: Column) -> Column:
-    """Decimal character references in order of appearance; others stay as they are."""
-    parts = F.split(text, r"(?=&#\d{1,7};)")
-    code = lambda p: F.regexp_extract(p, r"^&#(\d{1,7});", 1)
+    """Decimal character references in order of appearance, leading zeros included; those beyond Unicode stay as they are."""
+    parts = F.split(text, r"(?=&#0*\d{1,7};)")
+    code = lambda p: F.regexp_extract(p, r"^&#0*(\d{1,7});", 1)
     value = lambda p: F.try_to_number(code(p), F.lit("9999999")).cast("int")
     char = lambda p: F.decode(F.unhex(F.lpad(F.hex(value(p)), 8, "0")), "UTF-32")
-    one = lambda p: F.when(code(p) == "", p).when(value(p) > 1114111, p).otherwise(F.concat(char(p), F.regexp_replace(p, r"^&#\d{1,7};", "")))
-    return F.when(text.rlike(r"&#\d{1,7};"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    one = lambda p: F.when(code(p) == "", p).when(value(p) > 1114111, p).otherwise(F.concat(char(p), F.regexp_replace(p, r"^&#0*\d{1,7};", "")))
+    return F.when(text.rlike(r"&#0*\d{1,7};"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def decode_entities(text: Column) -> Column:

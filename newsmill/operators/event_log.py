@@ -18,7 +18,8 @@ SCHEMA = "record_id string, stream_name string, stream_key string, sequence long
 CONTRACT = "persistence-contract-v1"
 REQUIRED = ["record_id", "stream_name", "schema_version", "producer_version", "source_phase"]
 
-#: Streams in the order in which records of one instant are replayed: name, prefix of record ids, key, time column.
+#: Streams in the order in which records of one instant are replayed: name, prefix of record ids, key, time column (fixed
+#: values).
 STREAMS = {
     "ingestion-raw-payloads": ("ingestion-raw-payload", "source_id", "observed_at"),
     "ingestion-normalized-items": ("ingestion-normalized-item", "source_id", "normalized_at"),

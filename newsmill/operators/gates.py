@@ -85,7 +85,7 @@ def has_asset(tags: Column, asset: str) -> Column:
     return tag_exists(tags, "asset", lambda v: F.lower(v) == asset.lower())
 
 
-#: World regions in the order in which an item takes the first that fits: key, title, tag words, region words.
+#: World regions in the order in which an item takes the first that fits: key, title, tag words, region words (fixed values).
 REGIONS = [
     ("us_fed_usd", "United States / Fed / USD", "fed|powell|usd|fomc", "us|united-states"),
     ("eu_ecb_eur", "Europe / ECB / EUR", "ecb|euro|eur", "eu|europe"),

@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions.hashing import fnv1a
 from .gates import readiness_reason
 
+#: Failures that are tried again (fixed values).
 RETRYABLE = ["network_timeout", "network_unavailable_simulated", "http_status_failure", "transport_unavailable"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.times import age_label
 from . import gates
 
-#: Cell key, label and the asset it watches; news and world have predicates of their own.
+#: Cell key, label and the asset it watches; news and world have predicates of their own (fixed values).
 CELLS = [("gold", "Gold", "Gold"), ("dxy", "DXY", "DXY"), ("spx", "S&P", "SPX"), ("vix", "VIX", "VIX"), ("news", "News", None), ("world", "World", None)]
 
 
@@ -44,7 +44,7 @@ def world_regions(spark: SparkSession, visible: DataFrame, clusters: DataFrame)
     return out.select("ordinal", "key", "title", zero("items"), zero("sources"), zero("clusters"))
 
 
-#: Sections of the brief in order.
+#: Sections of the brief in order (fixed values).
 SECTIONS = ["Scheduled events", "Major source-backed clusters", "Relevant watched assets / topics", "Unverified / rumor / needs review (inspection only)", "Items worth attention", "Items to ignore unless they escalate"]
 WATCHED = ["Gold", "DXY", "SPX", "VIX"]
 

@@ -35,8 +35,10 @@ def ingest_dataset(documents: DataFrame, now: Column) -> Snapshot:
     payloads = dataset.to_rss(open_)
     found = rss.scanned(payloads, now)
     normal = rss.normalised(found, sources, now)
-    known = articles.select("source_id", F.trim("article_id").alias("source_item_id"), "text", "category")
-    items = normal.join(known, ["source_id", "source_item_id"]).withColumn("dedupe_hash", F.sha2(F.to_json(F.struct("text", "title")), 256))
+    known = articles.select("source_id", F.trim("article_id").alias("source_item_id"), "text", "category", F.lit(True).alias("_known"))
+    items = normal.join(known, ["source_id", "source_item_id"], "left")
+    traced = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no article of item "), "item_id"))).otherwise(F.col("text"))
+    items = items.withColumn("text", traced).drop("_known").withColumn("dedupe_hash", F.sha2(F.to_json(F.struct("text", "title")), 256))
     items = items.withColumn("time_known", F.col("source_event_time").isNotNull())
     ids = dedupe.identities(items).withColumn("normalized_title", F.lit(None).cast("string"))
     clusters = dedupe.clusters(items, dedupe.components(dedupe.stars(ids)))

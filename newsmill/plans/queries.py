@@ -279,7 +279,10 @@ def numeric_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.numbers(F.col("text")), "|").alias("numbers"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(buy now|sell now|go long|go short|execute order|guaranteed return|price will|trade signal)\b') AS forbidden FROM conversations")
+_PHRASES = r"(?i)\b(" + "|".join(summaries.FORBIDDEN) + r")\b"
+
+
+@query(f"SELECT conv_id, turn, regexp_matches(text, '{_PHRASES}') AS forbidden FROM conversations")
 def forbidden_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", text.forbidden(F.col("text"), summaries.FORBIDDEN).alias("forbidden"))
 
@@ -363,7 +366,8 @@ p AS (SELECT *, CASE WHEN status <> 'active' THEN 'status ' || status || ' is ne
 SELECT event_type AS source_id, CAST(user_id AS VARCHAR) AS source_event_id, CAST(number AS INT) AS revision_number, status AS revision_status, state AS confirmation_state, until AS minutes_until, why IS NULL AS promotable,
        coalesce(why, 'active + future + evidence + confirmation ok') AS promotion_reason FROM p""")
 def current_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    folded = calendar.revisions(observations(spark, sf)).persist()
+    _checkpointed(spark)
+    folded = cut(calendar.revisions(observations(spark, sf)))
     made, kept = folded.where("action = 'create'"), folded.where("action = 'confirm'")
     views = calendar.confirmed_at(calendar.current(calendar.applied(made, calendar.supersessions(folded))), kept)
     return calendar.promotion(views, now()).select("source_id", "source_event_id", "revision_number", "revision_status", "confirmation_state", "minutes_until", "promotable", "promotion_reason")
@@ -484,7 +488,7 @@ s AS (SELECT ordinal, title, list_filter(list_transform(string_split(regexp_repl
 w AS (SELECT *, NOT coalesce(length(title) BETWEEN 1 AND 160, FALSE) AS bad_head, len(claims) = 0 OR len(list_filter(claims, lambda x: length(x) NOT BETWEEN 12 AND 500)) > 0 AS bad_claims,
              list_filter(regexp_extract_all(title, '\d+(?:[.,]\d+)*(?:%|bps)?'), lambda x: NOT list_contains(regexp_extract_all(array_to_string(claims, chr(1)), '\d+(?:[.,]\d+)*(?:%|bps)?'), x)) AS loose FROM s),
 i AS (SELECT ordinal, CASE WHEN bad_head OR bad_claims THEN array_to_string(list_filter([CASE WHEN bad_claims THEN 'schema@claims' END, CASE WHEN bad_head THEN 'schema@headline' END], lambda x: x IS NOT NULL), ';')
-        ELSE array_to_string(list_filter([CASE WHEN regexp_matches(title || ' ' || array_to_string(claims, ' '), '(?i)\b(buy now|sell now|go long|go short|execute order|guaranteed return|price will|trade signal)\b') THEN 'trade_action@output' END, CASE WHEN len(loose) > 0 THEN 'unsupported_number@headline' END], lambda x: x IS NOT NULL), ';') END AS issues FROM w)
+        ELSE array_to_string(list_filter([CASE WHEN regexp_matches(title || ' ' || array_to_string(claims, ' '), '""" + _PHRASES + r"""') THEN 'trade_action@output' END, CASE WHEN len(loose) > 0 THEN 'unsupported_number@headline' END], lambda x: x IS NOT NULL), ';') END AS issues FROM w)
 SELECT ordinal AS generation_id, CASE WHEN issues = '' THEN 'accepted' ELSE 'rejected' END AS status, issues FROM i UNION ALL SELECT ordinal, 'skipped', 'ineligible_source_time' FROM items WHERE ordinal % 10 = 3""")
 def summary_generation(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a cluster of one: extractive summaries, checked against their source."""

@@ -24,7 +24,7 @@ def values(spark, column, inputs, kind="string"):
 
 
 def test_text(spark):
-    assert values(spark, text.sanitize, ["<![CDATA[<b>A</b>]]>  x", "&lt;b&gt; &amp;lt; &#8364;&#39;", None, " a \n b ", "R&amp;D &nbsp;x", "&#9999999; y"]) == ["A x", "<b> < €'", "", "a b", "R&D x", "&#9999999; y"]
+    assert values(spark, text.sanitize, ["<![CDATA[<b>A</b>]]>  x", "&lt;b&gt; &amp;lt; &#8364;&#39;", None, " a \n b ", "R&amp;D &nbsp;x", "&#9999999; y", "&#00000000065;b &#123456789;"]) == ["A x", "<b> < €'", "", "a b", "R&D x", "&#9999999; y", "Ab &#123456789;"]
     assert values(spark, text.contains_html, ["a <b>", "a < b", "<![CDATA[<i>]]>", None]) == [True, False, True, False]
     assert values(spark, text.normalize_title, ['  "Fed  Holds Rates"  ', "‘X’ ,  y !", '"', "", None, "“Q”"]) == ["fed holds rates", "‘x’, y!", '"', None, None, "q"]
     assert values(spark, text.xml_escape, ["a&b<c>\"'"]) == ["a&amp;b&lt;c&gt;&quot;&apos;"]
