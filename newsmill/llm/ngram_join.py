@@ -91,6 +91,16 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _numbers(n: np.ndarray) -> bytes:
+    """Counts in 16 bits each, or in 32 where one needs them (a text of more than 65,535 shingles in one range)."""
+    wide = bool(n.max(initial=0) > 65535)
+    return bytes([wide]) + n.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _numbers_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1)
+
+
 _BLOCKS = "unit long, range int, columns binary, rows binary, facts binary"
 _BACK = "unit long, columns binary, rows binary, counts binary, facts binary"
 _SETS = "doc_id long, text_hash long, n_shingles long, digest binary, columns binary, first array<long>"
@@ -120,11 +130,11 @@ def _incidence(ranges: int, words: int):
         keys = np.concatenate([sets[k] for k in own]) if own else np.zeros(0, np.uint64)
         rows = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])
         at = (((keys >> _LOW) * np.uint64(ranges)) >> np.uint64(16)).astype(np.int64)
-        each = np.bincount(at * len(own) + rows, minlength=ranges * len(own)).astype("<u2").reshape(ranges, len(own))
+        each = np.bincount(at * len(own) + rows, minlength=ranges * len(own)).reshape(ranges, len(own))
         sizes = each.sum(1, dtype=np.int64)
         low = (keys & np.uint64((1 << 48) - 1))[np.argsort(at, kind="stable")]  # by range, then document
         facts = pickle.dumps((ids, hashes, [len(s) for s in sets], digests, own))
-        out = [(unit, r, _packed(low[end - n : end]), each[r].tobytes(), None) for r, (n, end) in enumerate(zip(sizes, np.cumsum(sizes), strict=True)) if n]
+        out = [(unit, r, _packed(low[end - n : end]), _numbers(each[r]), None) for r, (n, end) in enumerate(zip(sizes, np.cumsum(sizes), strict=True)) if n]
         out.append((unit, unit % ranges, None, None, facts))
         return pd.DataFrame(out, columns=["unit", "range", "columns", "rows", "facts"])
 
@@ -139,7 +149,7 @@ def _count_columns(block: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(c) for c in block["columns"]]
         low = np.concatenate(parts)
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        each = [np.frombuffer(r, "<u2") for r in block["rows"]]
+        each = [_numbers_of(r) for r in block["rows"]]
         rows = np.concatenate([np.repeat(np.arange(len(e), dtype="<u2"), e) for e in each])
         order = np.argsort(low, kind="stable")
         low, of, rows = low[order], of[order], rows[order]
