@@ -1,4 +1,10 @@
-"""Operators as pipeline stages: (spark, docs, sf_dir) to a DataFrame with the columns of docs."""
+"""Operators as pipeline stages: (spark, docs, sf_dir) to a DataFrame with the columns of docs.
+
+Defined cases: null and empty texts have no words, so the first stage rejects them; met by a later stage they link with
+nothing, hit nothing, hold no secret and are one end token. Of rows that tie (equal doc_id, equal texts) the
+near-duplicate stage keeps one, all others keep each. Null doc_ids are kept and come last among equals. Long texts are
+taken whole. Empty tables stay empty. Other columns keep their values, whatever their names.
+"""
 
 from __future__ import annotations
 

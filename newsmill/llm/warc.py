@@ -192,8 +192,9 @@ def normalise(spark: SparkSession, archives: list[str], folder: str) -> None:
     todo.mapInPandas(rewrite, "archive string, records long").collect()
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """RECORDS of the normalised archives below folder, by their indexes."""
+def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """RECORDS of the normalised archives below folder, by their indexes; payloads: whether they leave the task, once
+    their digests are checked there."""
 
     def fetch(batches):
         for batch in batches:
@@ -208,7 +209,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         payload = whole.partition(b"\r\n\r\n")[2][len(_HTTP) : -4] if response else None
                         if response and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{uri} at {at}: the payload doesn't have its digest")
-                        rows.append((_page(head["warc-record-id"]), int(head["warc-payload-length"]), digest, head["warc-type"], None if response else _page(head["warc-refers-to"]), payload))
+                        rows.append((_page(head["warc-record-id"]), int(head["warc-payload-length"]), digest, head["warc-type"], None if response else _page(head["warc-refers-to"]), payload if payloads else None))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
@@ -222,7 +223,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not archives:
         return spark.createDataFrame([], RECORDS).drop("payload")
     normalise(spark, archives, f"{folder}/members")
-    return read(spark, f"{folder}/members").drop("payload")
+    return read(spark, f"{folder}/members", payloads=False).drop("payload")
 
 
 OP10_SQL = """
