@@ -9,12 +9,15 @@ Fingerprints live inside the row of their document until the join, which is a br
 no text is shuffled, only hits are. A benchmark of more than BLOCK_ITEMS items is taken in blocks of so many.
 
 Defined cases: null texts have no words; texts and items without words hit nothing; repeated documents each get their
-row; repeated items count once by item_id; null item_ids are not counted as items; an empty benchmark or table is fine.
+row; repeated items count once by item_id; null item_ids are not counted as items; an empty benchmark or table is fine;
+find() replaces columns of its own result's names and keeps all others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +49,21 @@ def grams_of(words: Column) -> Column:
 
 
 def winnowed(grams: Column) -> Column:
-    """The distinct smallest hashes of SPAN consecutive ones."""
+    """Where the smallest hashes of SPAN consecutive ones stand, ties included: (at, print)."""
     least = lambda i: F.least(*(F.get(grams, i + k) for k in range(SPAN)))
-    return F.when(F.size(grams) >= SPAN, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(grams) - SPAN), least))).otherwise(F.array().cast("array<bigint>"))
+    is_least = lambda low, i: reduce(or_, (F.get(low, i - k) == F.get(grams, i) for k in range(SPAN)))  # noqa: E731  null beyond an end
+    kept = lambda low: F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: is_least(low, i))
+    at = let(F.transform(F.sequence(F.lit(0), F.size(grams) - SPAN), least), kept)
+    none = F.array().cast("array<struct<at:int,print:bigint>>")
+    return F.when(F.size(grams) >= SPAN, F.transform(at, lambda i: F.struct(i.alias("at"), F.get(grams, i).alias("print")))).otherwise(none)
 
 
 def fingerprinted(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, words, grams and one row for each kept hash (print)."""
-    facts = lambda w: let(grams_of(w), lambda g: F.struct(w.alias("words"), g.alias("grams"), winnowed(g).alias("prints")))
+    """keys, words and one row for each kept hash (print) and its place (at)."""
+    facts = lambda w: F.struct(w.alias("words"), let(grams_of(w), winnowed).alias("prints"))
     rows = df.select(*keys, let(words_of(F.col(text)), facts).alias("of"))
-    return rows.select(*keys, "of", F.explode("of.prints").alias("print")).select(*keys, F.col("of.words").alias("words"), F.col("of.grams").alias("grams"), "print")
+    rows = rows.select(*keys, F.col("of.words").alias("words"), F.explode("of.prints").alias("kept"))
+    return rows.select(*keys, "words", F.col("kept.at").alias("at"), F.col("kept.print").alias("print"))
 
 
 def window_text(words: Column, start: Column, size: int) -> Column:
@@ -71,17 +79,18 @@ def _hits_of_block(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     windows = windows.select(window_text(F.col("words"), F.col("start"), window).alias("window"), "item_id").distinct()
     prints = fingerprinted(items, ["item_id"]).select("print").distinct()
     met = fingerprinted(docs, ["key"]).join(F.broadcast(prints), "print")
-    near = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.get("grams", i) == F.col("print"))
-    starts = F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - SPAN + 1, F.lit(0)), F.least(i, F.size("words") - window))))
-    held = met.select("key", "words", F.explode(F.array_distinct(starts)).alias("start")).select("key", "start", window_text(F.col("words"), F.col("start"), window).alias("window"))
+    starts = F.sequence(F.greatest(F.col("at") - SPAN + 1, F.lit(0)), F.least(F.col("at"), F.size("words") - window))
+    held = met.select("key", "words", F.explode(starts).alias("start")).select("key", "start", window_text(F.col("words"), F.col("start"), window).alias("window"))
     hits = held.join(F.broadcast(windows), "window").select("key", "start", F.lit(window).alias("size"), "item_id")
     short = words.where((F.size("words") > 0) & (F.size("words") < window))
-    for (size,) in sorted(short.select(F.size("words")).distinct().collect()):
-        whole = short.where(F.size("words") == size).select(F.array_join("words", " ").alias("window"), "item_id").distinct()
-        all_words = docs.select("key", words_of(F.col("text")).alias("words")).where(F.size("words") >= size)
-        at = all_words.select("key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("start"))
-        at = at.select("key", "start", window_text(F.col("words"), F.col("start"), size).alias("window"))
-        hits = hits.unionByName(at.join(F.broadcast(whole), "window").select("key", "start", F.lit(size).alias("size"), "item_id"))
+    sizes = sorted(r[0] for r in short.select(F.size("words")).distinct().collect())  # below window, so few
+    if sizes:
+        whole = short.select(F.array_join("words", " ").alias("window"), "item_id").distinct()
+        places = lambda size: F.when(F.size("words") >= size, F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.struct(i.alias("start"), size.alias("size")))).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+        at = docs.select("key", words_of(F.col("text")).alias("words")).where(F.size("words") >= sizes[0])
+        at = at.select("key", "words", F.explode(F.flatten(F.array(*(places(F.lit(n)) for n in sizes)))).alias("at"))
+        at = at.select("key", "at.start", "at.size", F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.size")), " ").alias("window"))
+        hits = hits.unionByName(at.join(F.broadcast(whole), "window").select("key", "start", "size", "item_id"))
     return hits
 
 
@@ -99,19 +108,25 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     return by_doc.select("key", F.size(covered).cast("long").alias("n_hit"), "items")
 
 
+def _key() -> Column:
+    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"))
+
+
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs and n_words, n_hit, items (ids), contaminated; one row for each row of docs."""
-    keyed = docs.withColumn("key", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h")))
-    found = hits(keyed.select("key", "text"), items.select("item_id", "text"))
-    out = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long"))
-    return out.join(found, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("contaminated", F.col("n_hit") > 0).drop("key")
+    """docs and n_words, n_hit, items (ids), contaminated (in place of columns of these names); a row for each of docs."""
+    found = hits(docs.select(_key().alias("key"), "text"), items.select("item_id", "text"))
+    found = found.select(F.col("key").alias("_hit_key"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")  # before the join, which then needs no text
+    rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumns({"n_words": n_words, "_key": _key()})
+    out = rows.join(found, F.col("_key") == F.col("_hit_key"), "left")
+    out = out.withColumn("n_hit", F.coalesce("_n_hit", F.lit(0)).cast("long")).withColumn("items", F.col("_items")).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.drop("_key", "_hit_key", "_n_hit", "_items")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that no item hits, with all their columns."""
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"))
-    found = hits(docs.select(key.alias("key"), "text"), items.select("item_id", "text")).select(F.col("key").alias("_hit_key"))
-    return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_hit_key"), "left_anti").drop("_key")
+    found = hits(docs.select(_key().alias("key"), "text"), items.select("item_id", "text")).select(F.col("key").alias("_hit_key"))
+    return docs.withColumn("_key", _key()).join(found, F.col("_key") == F.col("_hit_key"), "left_anti").drop("_key")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
