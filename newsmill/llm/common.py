@@ -57,6 +57,17 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has (Spark doesn't tell cases apart); pairwise different."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. lower() does just that on texts of ASCII alone and is many times faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
