@@ -22,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, spare, table
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
@@ -115,18 +115,20 @@ def _key() -> Column:
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs and n_words, n_hit, items (ids), contaminated (in place of columns of these names); a row for each of docs."""
     found = hits(docs.select(_key().alias("key"), "text"), items.select("item_id", "text"))
-    found = found.select(F.col("key").alias("_hit_key"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"))
+    own, key, n_hit, ids = spare(docs, "own_key", "hit_key", "hits", "ids")
+    found = found.select(F.col("key").alias(key), F.col("n_hit").alias(n_hit), F.col("items").alias(ids))
     n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")  # before the join, which then needs no text
-    rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumns({"n_words": n_words, "_key": _key()})
-    out = rows.join(found, F.col("_key") == F.col("_hit_key"), "left")
-    out = out.withColumn("n_hit", F.coalesce("_n_hit", F.lit(0)).cast("long")).withColumn("items", F.col("_items")).withColumn("contaminated", F.col("n_hit") > 0)
-    return out.drop("_key", "_hit_key", "_n_hit", "_items")
+    rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumns({"n_words": n_words, own: _key()})
+    out = rows.join(found, F.col(own) == F.col(key), "left")
+    out = out.withColumn("n_hit", F.coalesce(n_hit, F.lit(0)).cast("long")).withColumn("items", F.col(ids)).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.drop(own, key, n_hit, ids)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that no item hits, with all their columns."""
-    found = hits(docs.select(_key().alias("key"), "text"), items.select("item_id", "text")).select(F.col("key").alias("_hit_key"))
-    return docs.withColumn("_key", _key()).join(found, F.col("_key") == F.col("_hit_key"), "left_anti").drop("_key")
+    found = hits(docs.select(_key().alias("key"), "text"), items.select("item_id", "text"))
+    own, key = spare(docs, "own_key", "hit_key")
+    return docs.withColumn(own, _key()).join(found.select(F.col("key").alias(key)), F.col(own) == F.col(key), "left_anti").drop(own)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

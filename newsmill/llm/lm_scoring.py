@@ -317,7 +317,7 @@ def frequent_words(folder: str) -> dict[bytes, float]:
     return _HELD[folder]
 
 
-_ENCODED = "row long, doc_id long, held_out boolean, slice int, n_tokens long, n_known long, base double, rare array<long>, times array<int>, ids binary"
+_ENCODED = "row long, doc_id string, held_out boolean, slice int, n_tokens long, n_known long, base double, rare array<long>, times array<int>, ids binary"
 
 
 def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
@@ -336,10 +336,11 @@ def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
                 rows.append((row, len(words) + 1, len(words) - rare.total(), sum(filter(None, logs)), hashes, list(rare.values()), coder.words(words)))
                 row += 1
             out = pd.DataFrame(rows, columns=["row", "n_tokens", "n_known", "base", "rare", "times", "ids"])
-            yield pd.concat([batch[["doc_id", "held_out", "slice"]].reset_index(drop=True).astype({"doc_id": "Int64"}), out], axis=1)
+            yield pd.concat([batch[["doc_id", "held_out", "slice"]].reset_index(drop=True), out], axis=1)
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES[-1])).cast("int").alias("slice")
-    return docs.select("doc_id", "text", "held_out", part).mapInPandas(encode, _ENCODED)
+    ids = F.col("doc_id").cast("string").alias("doc_id")  # as text: pandas would make doubles of longs beside a null
+    return docs.select(ids, "text", "held_out", part).mapInPandas(encode, _ENCODED)
 
 
 def id_counts(training: DataFrame) -> np.ndarray:
@@ -475,7 +476,7 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     met = met.join(known, "rare").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.col("log")).alias("more"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n_train + n_types + 1)
     n_known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)
-    return rows.join(met, "row", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return rows.join(met, "row", "left").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ The documents of an indexed column form a list. Links are sought in two steps, a
 Equal sets are one node throughout. A shingle's identity is a hash of 48 bits and its column range (54 bits or more).
 
 Defined cases: null or empty texts have no shingles and link with nothing (component: themselves); fewer than WORDS
-words are one shingle; repeated rows link as equal sets; null doc_ids are ignored in the smallest id; an empty table
-gives an empty result.
+words are one shingle; repeated rows link as equal sets; doc_ids are longs, and null ones are ignored in the smallest
+id; an empty table gives an empty result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def _incidence(ranges: int, words: int):
         unit = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+            ids = [None if i is None else int(i) for i in batch["doc_id"]]
             hashes = batch["text_hash"].tolist()
             for a, b in slices(texts, UNIT_CHARS):
                 for c in range(a, b, UNIT_DOCS):
@@ -188,7 +188,7 @@ def _bounded(percent: int):
                 out.append((i, h, n, digest, np.sort(mine).tobytes(), mine[:indexed].astype(np.int64)))
             else:
                 out.append((i, h, n, digest, None, None))
-        return pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "digest", "columns", "first"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "text_hash", "n_shingles", "digest", "columns", "first"], dtype=object)
 
     return sets
 
@@ -201,7 +201,8 @@ def column_ranges(docs: DataFrame) -> int:
 
 def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """_SETS of every row of docs (doc_id, text): a table in the shared folder."""
-    blocks = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(_incidence(column_ranges(docs), words), _BLOCKS)
+    ids = F.col("doc_id").cast("long").cast("string").alias("doc_id")  # as text: pandas would make doubles of longs beside a null
+    blocks = docs.select(ids, "text", F.xxhash64("text").alias("text_hash")).mapInPandas(_incidence(column_ranges(docs), words), _BLOCKS)
     back = blocks.groupBy("range").applyInPandas(_count_columns, _BACK)
     return write_and_read(back.groupBy("unit").applyInPandas(_bounded(percent), _SETS), "sets")
 

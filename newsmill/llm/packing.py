@@ -13,7 +13,8 @@ number of lengths and groups, not on the data. A piece then finds its place from
 pieces of that length, which Spark counts in ranges of ids.
 
 Defined cases: a null or empty text is the end id alone; a document longer than a sequence is cut, others stay whole;
-repeated rows are separate documents; an empty table gives an empty result.
+repeated rows are separate documents; doc_ids are longs, and null ones stay; an empty table gives an empty result;
+columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,17 +53,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         step = 4 * capacity
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            keys = batch["doc_id"].astype("Int64").tolist()
+            keys = [None if i is None else int(i) for i in batch["doc_id"]]
             for a, b in slices(texts):
                 rows = []
                 for key, ids in zip(keys[a:b], coder.texts(texts[a:b]), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
-                        rows.append((None if key is pd.NA else key, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
+    ids = F.col("doc_id").cast("long").cast("string").alias("doc_id")  # as text: pandas would make doubles of longs beside a null
+    return docs.select(ids, "text").mapInPandas(cut, PIECES)
 
 
 @dataclass
@@ -245,13 +248,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     def place(batches):
         for batch in batches:
-            at = np.searchsorted(places["key"], (batch["length"].to_numpy() << 48) + batch["number"].to_numpy(), side="right") - 1
-            batch["sequence_id"] = places["base"][at] + batch["number"].to_numpy() - places["number"][at]
-            batch["offset"] = places["offset"][at]
-            yield batch.drop(columns="number")
+            length, number = (batch.column(c).to_numpy() for c in ("length", "number"))
+            at = np.searchsorted(places["key"], (length << 48) + number, side="right") - 1
+            found = [pa.array(places["base"][at] + number - places["number"][at]), pa.array(places["offset"][at])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     out = numbered(rows, hist).select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    return out.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return out.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ the cascade then runs the rules in descending order of rejections per cost, and
 it let through. The order changes what is computed, never which documents are kept: a document is kept if no rule
 rejects it.
 
-The statistics are computed in one pass over each text, in bounded slices inside the tasks that read the table; no row
-is shuffled.
+The statistics are computed in one pass over each text inside the tasks that read the table; no row is shuffled.
 
 Defined cases: null text has no words and is rejected; empty texts likewise; texts of any length are taken whole;
 repeated rows stay; an empty table gives an empty result (rules then keep their given order).
@@ -21,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled_texts, table
-from .wordcache import slices
+from .common import sampled_texts, spare, table
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -151,19 +150,18 @@ def apply(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES) -> DataFr
     def judge(batches):
         ranked = [by_name[x] for x in order]
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            rows = []
-            for a, b in slices(texts):
-                for text in texts[a:b]:
-                    t = Text(text)
-                    why = verdict(t, ranked)
-                    failed = t.n_words < MIN_WORDS or 100 * t.n_repeat_words > REPEAT_PERCENT * t.n_words
-                    rows.append((*(getattr(t, c) for c in _COUNTS), failed, why is None, why))
-            out = pd.DataFrame(rows, columns=[*_COUNTS, "base_failed", "kept", "rejected_by"], dtype=object)
-            yield pd.concat([batch[keep].reset_index(drop=True), out], axis=1)
-
+            found = []
+            for text in batch.column(len(keep)):
+                t = Text(text.as_py() or "")
+                why = verdict(t, ranked)
+                failed = t.n_words < MIN_WORDS or 100 * t.n_repeat_words > REPEAT_PERCENT * t.n_words
+                found.append((*(getattr(t, c) for c in _COUNTS), failed, why is None, why))
+            columns = zip(*found, strict=True) if found else [()] * len(added)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, columns, added.values())], names=[*keep, *added])
+
+    added = dict.fromkeys(_COUNTS, pa.int64()) | {"base_failed": pa.bool_(), "kept": pa.bool_(), "rejected_by": pa.string()}
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(judge, f"{fields}, {SCHEMA}")
+    return docs.select(*keep, F.col("text").alias(spare(docs, "content")[0])).mapInArrow(judge, f"{fields}, {SCHEMA}")
 
 
 def kept(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

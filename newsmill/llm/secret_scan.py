@@ -13,7 +13,9 @@ LEAD at least. Scanner.recall and false_positives say what it does on them. Scan
 the tasks that read the table.
 
 Defined cases: null text counts as empty; an empty table trains on the random strings and on built-in words alone;
-repeated rows stay; spans are in code points, end exclusive.
+repeated rows stay; spans are in code points, end exclusive; scan() returns doc_id (of any type, null or not) and its own
+columns, redact() keeps all others. A run of several parts joined by other characters (a token with dots) is judged part
+by part.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,16 +171,17 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     def find(batches):
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch.column(1).to_pylist():
                 spans = scanner.spans(text) if text else []
                 base = [s for s in spans if s[1] != "random"]
                 n = [sum(s[1] == k for s in spans) for k in KINDS]
                 rows.append((*n[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), out], axis=1)
+            columns = zip(*rows, strict=True) if rows else [()] * len(added)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, added.values())], names=["doc_id", *added])
 
+    added = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "spans": pa.string(), "n_random": pa.int64()}
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(find, f"doc_id {key}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {key}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:

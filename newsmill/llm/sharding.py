@@ -76,9 +76,9 @@ def numbered(rows: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
 
     @F.pandas_udf(T.IntegerType())
     def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(-(2**63)).to_numpy(np.int64), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right").astype(np.int32))
 
-    once = once.withColumn("span", range_of(F.col("doc_id")) if cuts else F.lit(0))
+    once = once.withColumn("span", range_of(F.coalesce("doc_id", F.lit(-(2**63)))) if cuts else F.lit(0))
     before = (
         once.groupBy("shard", "span").agg(F.sum("copies").alias("n"))
         .withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, ngram_join, packing, quality_rules, secret_scan
-from .common import table
+from .common import spare, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or similar ones: the one with the smallest doc_id. Of equal rows one stays."""
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    keep = ngram_join.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), F.col("same").alias("_same"))
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
-    once = kept.where("_same = 1").unionByName(kept.where("_same > 1").dropDuplicates(["doc_id", "_hash"]))
-    return once.select(*docs.columns)
+    own, key, of, same = spare(docs, "own_hash", "key", "hash", "same")
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    keep = ngram_join.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias(key), F.col("text_hash").alias(of), F.col("same").alias(same))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(of)))
+    once = kept.where(F.col(same) == 1).unionByName(kept.where(F.col(same) > 1).dropDuplicates(["doc_id", own]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

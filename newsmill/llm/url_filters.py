@@ -9,7 +9,8 @@ is joined by token; Spark then chooses the join from its size.
 
 Defined cases: a null url, or one without "://", has an empty host and path and no rule; of fitting rules the longest
 (host and path) wins, then the longer host, then block before allow; without a rule the default verdict (allow)
-holds; repeated rows stay; an empty table or an empty rule list is fine.
+holds; repeated rows stay; an empty table or an empty rule list is fine; columns of the input named like an added one
+are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, spare, table
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,8 @@ def _best(hits: Column) -> Column:
 
 def judge(df: DataFrame, rules: list[Rule], default: str = DEFAULT, inline_rules: int = INLINE_RULES) -> DataFrame:
     """df (with a url column) and host, path, rule, verdict."""
-    rows = parts(df, "url")
+    best, = spare(df, "best")
+    rows = parts(df.drop("rule", "verdict"), "url")
     if not rules:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     index: dict[str, list] = {}
@@ -99,15 +101,15 @@ def judge(df: DataFrame, rules: list[Rule], default: str = DEFAULT, inline_rules
     if len(rules) <= inline_rules:
         filed = F.from_json(F.lit(json.dumps(index)), f"map<string,array<{_HIT}>>")
         hits = F.flatten(F.transform(F.filter(url_tokens(), lambda t: F.map_contains_key(filed, t)), lambda t: F.element_at(filed, t)))
-        out = rows.withColumn("best", _best(hits))
+        out = rows.withColumn(best, _best(hits))
     else:
         filed = df.sparkSession.createDataFrame([(t, json.dumps(h)) for t, h in index.items()], "token string, hits string")
         filed = filed.select("token", F.from_json("hits", f"array<{_HIT}>").alias("hits"))
         keys = rows.select("url", "host", "path").distinct()
         found = keys.withColumn("token", F.explode(url_tokens())).join(filed, "token").withColumn("best", _best(F.col("hits")))
-        found = found.where("best is not null").groupBy("url").agg(F.max("best").alias("best"))
-        out = rows.join(found, "url", "left")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.action", F.lit(default))}).drop("best")
+        found = found.where("best is not null").groupBy("url").agg(F.max("best").alias(best))
+        out = rows.join(found, "url", "left").select(*(F.col(f"`{c}`") for c in rows.columns), best)
+    return out.withColumns({"rule": F.col(best)["rule"], "verdict": F.coalesce(F.col(best)["action"], F.lit(default))}).drop(best)
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

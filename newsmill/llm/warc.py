@@ -14,7 +14,8 @@ others revisit it. The hot payload's rows meet as (page_id, digest) only, in a j
 Up to FEW_REVISITS revisits are broadcast to the tasks that read the pages; more meet the pages in a shuffled join.
 
 Defined cases: null html is an empty payload; null urls leave out their header; equal rows (page_id and payload) are
-all responses if they come first; null page_ids come first in order; an empty table gives an empty result.
+all responses if they come first; null page_ids come first in order; an empty table gives an empty result; extra
+columns stay in what is decided, those named like an added one are replaced, and archives leave both out.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table, write_and_read
+from .common import new_folder, spare, table, write_and_read
 
 MIN_REVISIT = 100
 FEW_REVISITS = 200_000
@@ -125,16 +126,17 @@ def member(data: bytes) -> bytes:
 def decide(pages: DataFrame) -> DataFrame:
     """pages and payload_bytes, payload_digest, record_type, refers_to."""
     text = F.coalesce("html", F.lit(""))
-    rows = pages.withColumns({"payload_bytes": F.octet_length(text).cast("long"), "payload_digest": F.sha2(text, 256)})
+    page, digest, first_page = spare(pages, "page", "digest", "first")
+    rows = pages.drop("record_type", "refers_to").withColumns({"payload_bytes": F.octet_length(text).cast("long"), "payload_digest": F.sha2(text, 256)})
     ids = rows.groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("n"))
     first = ids.where(F.col("n") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min_by("page_id", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("first"), F.count("*").alias("pages")).where("pages > 1")
-    later = ids.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "first")
+    later = ids.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias(page), F.col("payload_digest").alias(digest), F.col("first").alias(first_page))
     later = write_and_read(later, "revisits")
     if later.count() <= FEW_REVISITS:
         later = F.broadcast(later)
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    same = F.col("page_id").eqNullSafe(F.col(page)) & (F.col("payload_digest") == F.col(digest))
     out = rows.join(later, same, "left")
-    return out.withColumns({"record_type": F.when(F.col("_digest").isNotNull(), "revisit").otherwise("response"), "refers_to": F.col("first")}).drop("_page", "_digest", "first")
+    return out.withColumns({"record_type": F.when(F.col(digest).isNotNull(), "revisit").otherwise("response"), "refers_to": F.col(first_page)}).drop(page, digest, first_page)
 
 
 def write(pages: DataFrame, folder: str) -> list[str]:
@@ -150,9 +152,7 @@ def write(pages: DataFrame, folder: str) -> list[str]:
         for batch in batches:
             for r in batch.itertuples():
                 out = out or files.open_output_stream(f"{top}/{name}{own}", compression=None)
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
-                page = None if pd.isna(r.page_id) else int(r.page_id)
-                out.write(gz.compress(record(page, r.url, (r.html or "").encode("utf-8", "surrogatepass"), r.payload_digest, refers, r.record_type == "revisit")))
+                out.write(gz.compress(record(r.page_id, r.url, (r.html or "").encode("utf-8", "surrogatepass"), r.payload_digest, r.refers_to, r.record_type == "revisit")))
                 n += 1
         if out:
             out.write(gz.flush())
@@ -160,7 +160,8 @@ def write(pages: DataFrame, folder: str) -> list[str]:
             files.move(f"{top}/{name}{own}", f"{top}/{name}")
             yield pd.DataFrame({"archive": [f"{folder}/{name}"], "records": [n]})
 
-    rows = pages.select("page_id", "url", "html", "payload_digest", "record_type", "refers_to")
+    as_text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  pandas would make doubles of longs beside a null
+    rows = pages.select(as_text("page_id"), "url", "html", "payload_digest", "record_type", as_text("refers_to"))
     return sorted(r[0] for r in rows.mapInPandas(archive, "archive string, records long").collect())
 
 
@@ -210,8 +211,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                         if response and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{uri} at {at}: the payload doesn't have its digest")
                         rows.append((_page(head["warc-record-id"]), int(head["warc-payload-length"]), digest, head["warc-type"], None if response else _page(head["warc-refers-to"]), payload if payloads else None))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")], dtype=object)
 
     return spark.read.schema(INDEX).csv(f"{folder}/*.idx", sep="\t").mapInPandas(fetch, RECORDS)
 
