@@ -105,6 +105,18 @@ def small_batches(spark: SparkSession, rows: int = 1_000):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """While this is open, a query's shuffle files go when it ends: for tables that are written once and then read."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_arrays(spark: SparkSession, name: str, arrays: dict[str, np.ndarray]) -> str:
     """A bounded set of arrays as one file in the shared folder; its URI."""
     from pyarrow import fs

@@ -6,17 +6,17 @@ much likelier it is among the target's features. The gains come back to the docu
 
 The dictionary is never on the driver and never a row a string:
 
-1. Tasks cut the texts into units of UNIT_WORDS words at most (a longer text spans several; its parts overlap by two
-   words, and each feature belongs to the part it begins in). A unit numbers its words and counts its distinct features,
-   which leave packed, a block for each range of feature hashes: the block's words, and three columns of their numbers.
-2. A range's blocks meet in one task, which numbers their words anew, counts each string over all units, hashes it, and
+1. Tasks cut the texts into units of some UNIT_PARTS * PART_WORDS words (a long text has several parts, which overlap by two
+   words, and each feature belongs to the part it begins in) and number a unit's words. The numbered units are a table.
+2. A unit counts its distinct features, which leave packed, a block for each range of the hashes of a feature's first two
+   words: the block's words, and for each such pair the words that follow it.
+3. A range's blocks meet in one task, which numbers their words anew, counts each string over all units, hashes it, and
    sends the buckets of a unit's strings back to the unit, in the order of its block.
-3. Buckets are added up by Spark; the gains (BUCKETS numbers) go to all tasks.
-4. A unit's word numbers, which travelled along, give its documents' feature counts again, now with the gains.
+4. Buckets are added up by Spark; the gains (BUCKETS numbers) go to all tasks.
+5. A unit's numbers give its documents' feature counts again, now joined with the gains.
 
-A word or passage that stands in very many documents is one string of each unit. Ranges follow the hash of the whole
-string, so frequent words spread over all of them. Word numbers are dealt by 16 bits of each word's hash; strings are
-always compared as words.
+A word or passage that stands in very many documents is one string of each unit, and a frequent word's strings spread
+over the ranges with the words beside it. Ranges follow 16 bits of each word's hash; strings are compared as words.
 
 Drawing takes the documents in order of score, numbered in sorted ranges side by side. Ties in score go to the smaller
 doc_id; of equal rows any goes first.
@@ -43,13 +43,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, remove, table, write_and_read
+from .common import LOWER, UPPER, remove, shuffles_removed, table, write_and_read
 
 BUCKETS, LONGEST = 10_000, 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
-UNIT_WORDS, SLICE_BYTES = 2_000_000, 4_000_000
+#: Words of a part; parts' worth of words in a unit; and its different words, so that three numbers fit in 63 bits.
+PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 4, (1 << 21) - 8
+SLICE_BYTES = 4_000_000
 #: UTF-8 bytes of text whose features a range takes, about; and the most ranges there are.
-RANGE_BYTES, MOST_RANGES = 6_000_000, 1 << 15
+RANGE_BYTES, MOST_RANGES = 16_000_000, 1 << 15
+#: Strings that are hashed at once.
+HASH_AT_ONCE = 500_000
 
 #: Bytes to bytes: A-Z lower-cased, those outside words to spaces. Bytes above 127 are parts of words.
 _TABLE = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -60,8 +64,9 @@ for _u, _l in zip(UPPER, LOWER, strict=True):
 
 #: The unit of a target's blocks, and of a range's sums.
 _TARGET = -1
-_BLOCKS = "unit long, range int, words binary, grams array<binary>, facts binary"
-_BACK = "unit long, range int, buckets binary, facts binary, sums binary"
+_UNITS = "unit long, words binary, ids binary, parts binary"
+_BLOCKS = "unit long, range int, words binary, columns array<binary>"
+_BACK = "unit long, range int, buckets binary, sums binary"
 _WEIGHTS = "row long, doc_id long, n_words long, n_features long, weight long, whole boolean"
 
 
@@ -89,21 +94,52 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
+def packed_words(words: list[bytes]) -> bytes:
+    text = b" ".join(words)
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).split()
+
+
+def steps(a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences inside groups that rise and begin at starts."""
+    out = np.diff(a, prepend=0)
+    out[starts] = a[starts]
+    return out
+
+
+def summed(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What steps() was given."""
+    c = np.cumsum(d)
+    return c - np.repeat(c[starts] - d[starts], sizes)
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
 class Unit:
     """Parts of documents whose words are numbered from 1; 0 is no word."""
 
     def __init__(self):
         self.number = defaultdict(count(1).__next__)
-        self.parts: list[tuple] = []  # (row, doc_id, first of its document, last of it, words that begin features)
+        self.parts: list[tuple] = []  # (row, doc_id, first of its document, last of it, words that begin features, words)
         self.ids: list[np.ndarray] = []
         self.size = 0
 
     def take(self, words: list[bytes], own: int, row: int, doc_id, first: bool, last: bool) -> None:
         """words: `own` ones, and up to LONGEST - 1 that follow them in the document."""
         self.parts.append((row, doc_id, first, last, own, len(words)))
-        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
+    def row(self, number: int) -> pa.RecordBatch:
+        """A row of _UNITS."""
+        values = (number, packed_words(list(self.number)), packed(np.concatenate([np.zeros(0, np.int32), *self.ids])), pickle.dumps(self.parts))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["unit", "words", "ids", "parts"])
+
 
 def feature_keys(ids: np.ndarray, parts: list[tuple], vocabulary: int):
     """A key for each feature (three word numbers in 63 bits), and the part it belongs to."""
@@ -123,127 +159,143 @@ def feature_keys(ids: np.ndarray, parts: list[tuple], vocabulary: int):
     return np.concatenate(keys), np.concatenate(owner)
 
 
-def split_keys(keys: np.ndarray, vocabulary: int) -> list[np.ndarray]:
-    """The three word numbers of each key."""
-    base = vocabulary + 1
-    rest, third = np.divmod(keys, base)
-    return [*np.divmod(rest, base), third]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """16 bits of each word's hash, after those of no word."""
+    return np.fromiter((0, *(h & 0xFFFF for h in map(xxhash.xxh3_64_intdigest, words))), np.uint64, len(words) + 1)
 
 
-def ranges_of(numbers: list[np.ndarray], hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each feature by the 16-bit hashes of its words (hashes[0]: of none)."""
-    h = np.zeros(len(numbers[0]), np.uint64)
-    for n in numbers:
-        h = (h ^ (hashes[n].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+def ranges_of(first: np.ndarray, second: np.ndarray, hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each pair of words by their hashes."""
+    h = np.zeros(len(first), np.uint64)
+    for n in (first, second):
+        h = (h ^ (hashes[n] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint16)
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and how often each is there."""
-    keys = np.sort(keys)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.diff(np.r_[starts, len(keys)])
-
-
-def unit_blocks(unit: Unit, number: int, ranges: int, with_facts: bool):
-    """Rows of _BLOCKS."""
-    words = [b"", *unit.number]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) & 0xFFFF for w in words), np.uint16, len(words))
-    ids = np.concatenate([np.zeros(0, np.int64), *unit.ids])
-    keys, times = distinct(feature_keys(ids, unit.parts, len(words))[0])
-    numbers = split_keys(keys, len(words))
-    where = ranges_of(numbers, hashes, ranges)
-    order = np.argsort(where, kind="stable")
-    edges = np.searchsorted(where[order], np.arange(ranges + 1))
-    renumbered = np.zeros(len(words), np.int64)
+def changes(keys: np.ndarray) -> np.ndarray:
+    """True where a sorted key differs from the one before it."""
+    return np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+
+
+def dealt(keys: np.ndarray, hashes: np.ndarray, ranges: int):
+    """Of sorted distinct keys: pairs (first, second, how many strings begin with it, range) and the order of the
+    strings, by range and then as they are."""
+    base = len(hashes) + 1
+    new = changes(keys // base)
+    first, second = np.divmod(keys[new] // base, base)
+    sizes = np.diff(np.r_[np.flatnonzero(new), len(keys)])
+    where = ranges_of(first, second, hashes, ranges)
+    return first, second, sizes, where, np.argsort(np.repeat(where, sizes), kind="stable")
+
+
+def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges: int):
+    """(range, words, columns) of a unit's blocks."""
+    hashes = word_hashes(words)
+    base = len(hashes) + 1
+    keys = np.sort(feature_keys(ids, parts, len(hashes))[0])
+    new = np.flatnonzero(changes(keys))
+    keys, times = keys[new], np.diff(np.r_[new, len(keys)])
+    first, second, sizes, where, order = dealt(keys, hashes, ranges)
+    third, times = (keys % base)[order], times[order]
+    pairs = np.argsort(where, kind="stable")
+    first, second, sizes = first[pairs], second[pairs], sizes[pairs]
+    edges = np.searchsorted(where[pairs], np.arange(ranges + 1))
+    ends = np.r_[0, np.cumsum(sizes)][edges]
+    names, renumbered = np.array([b"", *words], object), np.zeros(len(hashes), np.int64)
     for r in np.flatnonzero(np.diff(edges)).tolist():
-        at = order[edges[r] : edges[r + 1]]
-        three = [n[at] for n in numbers]
-        every = np.concatenate([np.zeros(1, np.int64), *three])
-        used = np.unique(every) if 8 * len(every) < len(words) else np.flatnonzero(np.bincount(every, minlength=len(words)))
+        a, z = slice(edges[r], edges[r + 1]), slice(ends[r], ends[r + 1])
+        every = np.concatenate([np.zeros(1, np.int64), first[a], second[a], third[z]])
+        used = np.unique(every) if 8 * len(every) < len(names) else np.flatnonzero(np.bincount(every, minlength=len(names)))
         renumbered[used] = np.arange(len(used))
-        first, second, third = (renumbered[n] for n in three)
-        columns = [packed(np.diff(first, prepend=0)), packed(second), packed(third), packed(times[at])]
-        text = b" ".join(words[k] for k in used[1:].tolist())
-        yield number, r, len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True), columns, None
-    if with_facts:
-        yield number, number % ranges, None, None, pickle.dumps((packed(ids), packed(hashes), unit.parts))
+        one, two, three = renumbered[first[a]], renumbered[second[a]], renumbered[third[z]]
+        columns = (np.diff(one, prepend=0), steps(two, np.flatnonzero(changes(one))), sizes[a], steps(three, starts_of(sizes[a])), times[z])
+        yield r, packed_words(names[used[1:]].tolist()), list(map(packed, columns))
 
 
-def _units(ranges: int, with_facts: bool, most: int):
-    """Texts to blocks, unit by unit."""
+def parts_of(text: str, most: int):
+    """(words, how many of them begin features, is it the first, is it the last) of a text's parts."""
+    held, first = [], True
+    for more in words_of(text):
+        held += more
+        while len(held) >= most + LONGEST:
+            yield held[: most + LONGEST - 1], most, first, False
+            held, first = held[most:], False
+    yield held, len(held), first, True
 
-    def rows(unit: Unit, number: int) -> pa.RecordBatch:
-        columns = list(zip(*unit_blocks(unit, number, ranges, with_facts), strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["unit", "range", "words", "grams", "facts"])
+
+def units(docs: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+    """_UNITS of docs (doc_id, text)."""
 
     def run(batches):
         number = row = TaskContext.get().partitionId() << 32
         unit = Unit()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held, first = [], True
-                for more in words_of(text.as_py() or ""):
-                    held += more
-                    while len(held) >= most + LONGEST:
-                        if unit.size:
-                            yield rows(unit, number)
-                            unit, number = Unit(), number + 1
-                        unit.take(held[: most + LONGEST - 1], most, row, doc_id, first, False)
-                        held, first = held[most:], False
-                if unit.size + len(held) > most + LONGEST:
-                    yield rows(unit, number)
-                    unit, number = Unit(), number + 1
-                unit.take(held, len(held), row, doc_id, first, True)
+                for words, own, first, last in parts_of(text.as_py() or "", part_words):
+                    if unit.size and (unit.size + len(words) > UNIT_PARTS * part_words or len(unit.number) + len(words) > UNIT_VOCABULARY):
+                        yield unit.row(number)
+                        unit, number = Unit(), number + 1
+                    unit.take(words, own, row, doc_id, first, last)
                 row += 1
         if unit.parts:
-            yield rows(unit, number)
+            yield unit.row(number)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _UNITS)
 
-    return run
 
+def blocks(rows: DataFrame, ranges: int) -> DataFrame:
+    """_BLOCKS of _UNITS."""
 
-def blocks(docs: DataFrame, ranges: int, with_facts: bool, unit_words: int = UNIT_WORDS) -> DataFrame:
-    """Packed features of docs (doc_id, text), and with_facts what their weights need later."""
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_units(ranges, with_facts, unit_words), _BLOCKS)
-    return out if with_facts else out.withColumn("unit", F.lit(_TARGET).cast("long"))
+    def run(batches):
+        for batch in batches:
+            for number, words, ids, parts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                out = list(unit_blocks(unpacked_words(words), unpacked(ids), pickle.loads(parts), ranges))
+                for k in range(0, len(out), 64):
+                    r, w, c = zip(*out[k : k + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(r), pa.int64()), pa.array(r, pa.int32()), pa.array(w, pa.binary()), pa.array(c, pa.list_(pa.binary()))], names=["unit", "range", "words", "columns"])
+
+    return rows.mapInArrow(run, _BLOCKS)
 
 
 def dictionary(block: pd.DataFrame) -> pd.DataFrame:
     """A range of the dictionary: its strings are counted and hashed, and the buckets go back to the units."""
-    out = [(u, r, None, f, None) for u, r, f in zip(block["unit"], block["range"], block["facts"], strict=True) if f is not None]
-    block = block[block["facts"].isna()]
-    if len(block):
-        number = defaultdict(count(1).__next__)
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for text, grams in zip(block["words"], block["grams"], strict=True):
-            words = pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd", asbytes=True).split(b" ") if len(text) else []
-            place = np.fromiter((0, *map(number.__getitem__, words)), np.int64, len(words) + 1)
-            first, second, third, times = map(unpacked, grams)
-            for c, v in zip(columns, (place[np.cumsum(first)], place[second], place[third], times), strict=True):
-                c.append(v)
-        first, second, third, times = map(np.concatenate, columns)
-        sizes = [len(c) for c in columns[0]]
-        del columns
-        base = len(number) + 1
-        pairs, pair = np.unique(first * base + second, return_inverse=True)
-        grams, gram = np.unique(pair * base + third, return_inverse=True)
-        # the CRC of "a b c" goes on from that of "a b", so each distinct string is hashed once
-        plain = [crc32(w) for w in (b"", *number)]
-        spaced = [b"", *(b" " + w for w in number)]
-        of_pair = [crc32(spaced[b], plain[a]) for a, b in zip(*(x.tolist() for x in np.divmod(pairs, base)), strict=True)]
-        of_gram = np.fromiter(map(crc32, map(spaced.__getitem__, (grams % base).tolist()), map(of_pair.__getitem__, (grams // base).tolist())), np.int64, len(grams))
-        bucket = (of_gram % BUCKETS).astype("<u2")
-        own = np.repeat((block["unit"] != _TARGET).to_numpy(), sizes)
-        sums = [np.bincount(bucket, np.bincount(gram[k], times[k], len(grams)), BUCKETS).astype("<i8") for k in (own, ~own)]
-        out.append((_TARGET, 0, None, None, np.concatenate(sums).tobytes()))
-        bucket, end = bucket[gram], 0
-        for unit, r, size in zip(block["unit"], block["range"], sizes, strict=True):
-            if unit != _TARGET:
-                out.append((unit, r, bucket[end : end + size].tobytes(), None, None))
-            end += size
-    return pd.DataFrame(out, columns=["unit", "range", "buckets", "facts", "sums"])
+    number = defaultdict(count(1).__next__)
+    held: list[list[np.ndarray]] = [[], [], [], [], []]
+    for text, columns in zip(block["words"], block["columns"], strict=True):
+        words = unpacked_words(text)
+        place = np.fromiter((0, *map(number.__getitem__, words)), np.int64, len(words) + 1)
+        one, two, sizes, three, times = map(unpacked, columns)
+        one = np.cumsum(one)
+        groups = np.flatnonzero(changes(one))
+        two = summed(two, groups, np.diff(np.r_[groups, len(one)]))
+        three = summed(three, starts_of(sizes), sizes)
+        for h, v in zip(held, (place[one], place[two], sizes, place[three].astype(np.int32), times.astype(np.int32)), strict=True):
+            h.append(v)
+    each = [len(h) for h in held[3]]
+    first, second, sizes, third, times = map(np.concatenate, held)
+    del held
+    base = len(number) + 1
+    pairs, pair = np.unique(first * base + second, return_inverse=True)
+    grams, gram = np.unique(np.repeat(pair, sizes) * base + third, return_inverse=True)
+    # the CRC of "a b c" goes on from that of "a b", so each distinct string is hashed once
+    plain = [crc32(w) for w in (b"", *number)]
+    spaced = [b"", *(b" " + w for w in number)]
+    of_pair = np.fromiter((crc32(spaced[b], plain[a]) for a, b in zip(*(x.tolist() for x in np.divmod(pairs, base)), strict=True)), np.int64, len(pairs))
+    bucket = np.empty(len(grams), np.int64)
+    for k in range(0, len(grams), HASH_AT_ONCE):
+        of, last = np.divmod(grams[k : k + HASH_AT_ONCE], base)
+        bucket[k : k + len(of)] = np.fromiter(map(crc32, map(spaced.__getitem__, last.tolist()), of_pair[of].tolist()), np.int64, len(of))
+    bucket %= BUCKETS
+    own = np.repeat((block["unit"] != _TARGET).to_numpy(), each)
+    bucket = bucket[gram]
+    sums = [np.bincount(bucket[k], times[k], BUCKETS).astype("<i8") for k in (own, ~own)]
+    out, end = [(_TARGET, 0, None, np.concatenate(sums).tobytes())], 0
+    for unit, r, size in zip(block["unit"], block["range"], each, strict=True):
+        if unit != _TARGET:
+            out.append((unit, r, packed(bucket[end : end + size]), None))
+        end += size
+    return pd.DataFrame(out, columns=["unit", "range", "buckets", "sums"])
 
 
 def bucket_counts(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -269,37 +321,40 @@ def gains(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def _weigh(gain: np.ndarray, ranges: int):
+    """A unit's row and its buckets to _WEIGHTS."""
+
     def weights(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, hashes, parts = pickle.loads(rows["facts"].dropna().iloc[0])
-        ids, hashes = unpacked(ids), unpacked(hashes)
-        keys, owner = feature_keys(ids, parts, len(hashes))
+        words, ids, parts = rows.loc[rows["ids"].notna(), ["words", "ids", "parts"]].iloc[0]
+        hashes, parts = word_hashes(unpacked_words(words)), pickle.loads(parts)
+        keys, owner = feature_keys(unpacked(ids), parts, len(hashes))
         order = np.argsort(keys)
         keys, owner = keys[order], owner[order]
-        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-        own = keys[new]
-        where = ranges_of(split_keys(own, len(hashes)), hashes, ranges)
+        new = changes(keys)
         back = rows[rows["buckets"].notna()].sort_values("range")
-        of_key = np.empty(len(own), np.int64)
-        of_key[np.argsort(where, kind="stable")] = gain[np.frombuffer(b"".join(back["buckets"]), "<u2")]
+        of_key = np.zeros(int(new.sum()), np.int64)
+        of_key[dealt(keys[new], hashes, ranges)[-1]] = gain[np.concatenate([np.zeros(0, np.int64), *map(unpacked, back["buckets"])])]
         weight = np.bincount(owner, of_key[np.cumsum(new) - 1], len(parts)).astype(np.int64)
         n = np.bincount(owner, minlength=len(parts))
-        out = [(row, doc_id, words, n[k], weight[k], first and last) for k, (row, doc_id, first, last, words, _) in enumerate(parts)]
+        out = [(row, doc_id, own, n[k], weight[k], first and last) for k, (row, doc_id, first, last, own, _) in enumerate(parts)]
         return pd.DataFrame(out, columns=["row", "doc_id", "n_words", "n_features", "weight", "whole"], dtype=object)
 
     return weights
 
 
-def weights(docs: DataFrame, target: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """(row, doc_id, n_words, n_features, weight) of each row of docs (doc_id, text): a table in the shared folder.
     target: text."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
-    both = blocks(docs, ranges, True, unit_words).unionByName(blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), ranges, False, unit_words))
-    back = write_and_read(both.groupBy("range").applyInPandas(dictionary, _BACK), "buckets")
-    gain = gains(*bucket_counts(back.where("sums is not null").select("sums")))
-    parts = write_and_read(back.where(F.col("unit") != _TARGET).select("unit", "range", "buckets", "facts").groupBy("unit").applyInPandas(_weigh(gain, ranges), _WEIGHTS), "weights")
-    remove(back)
+    ranges = min(MOST_RANGES, max(1, -(-size // RANGE_BYTES)))
+    own = write_and_read(units(docs, part_words), "units")
+    theirs = blocks(units(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), part_words), ranges).withColumn("unit", F.lit(_TARGET).cast("long"))
+    with shuffles_removed(docs.sparkSession):
+        back = write_and_read(blocks(own, ranges).unionByName(theirs).groupBy("range").applyInPandas(dictionary, _BACK), "buckets")
+        gain = gains(*bucket_counts(back.where("sums is not null").select("sums")))
+        rows = own.unionByName(back.where(F.col("unit") != _TARGET).select("unit", "range", "buckets"), allowMissingColumns=True)
+        parts = write_and_read(rows.groupBy("unit").applyInPandas(_weigh(gain, ranges), _WEIGHTS), "weights")
+    for done in (own, back):
+        remove(done)
     several = parts.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")))
     return parts.where("whole").drop("whole").unionByName(several)
 

@@ -170,17 +170,17 @@ def some_texts():
     return [" ".join(rng.choice(vocabulary_) for _ in range(rng.choice([1, 2, 3, 19, 20, 21, 60, 200]))) + rng.choice(["", "\n", "."]) for _ in range(150)], rng
 
 
-@pytest.mark.parametrize("unit_words", [3, 100, resampling.UNIT_WORDS])
-def test_draw(spark, unit_words):
-    """Units of three words cut every text; the whole table is one unit otherwise."""
+@pytest.mark.parametrize("part_words", [3, 100, resampling.PART_WORDS])
+def test_draw(spark, part_words):
+    """Parts of three words cut every text; the whole table is one unit otherwise."""
     texts, rng = some_texts()
     texts = [*texts, None, "", " .,", texts[5] * 20]
     rows = [(BIG + 2 * k + 1, t) for k, t in enumerate(texts)] + [(None, texts[3]), (None, None), (5, texts[7]), (5, texts[7]), (6, texts[7])]
-    if unit_words == 3:
+    if part_words == 3:
         rows = rows[:12] + rows[-8:]
     target = [*texts[:4], "the of", None, ""]
     docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, row string, unit int")
-    found = resampling.weights(docs.repartition(3), spark.createDataFrame([(t,) for t in target], "text string"), unit_words)
+    found = resampling.weights(docs.repartition(3), spark.createDataFrame([(t,) for t in target], "text string"), part_words)
     got = Counter((r.doc_id, r.n_features, r.weight, r.score, r.rank) for r in resampling.drawn(found).collect())
     assert got == plain_draw(rows, target)
 
