@@ -48,12 +48,10 @@ from .common import LOWER, UPPER, remove, shuffles_removed, table, write_and_rea
 BUCKETS, LONGEST = 10_000, 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 #: Words of a part; parts' worth of words in a unit; and its different words, so that three numbers fit in 63 bits.
-PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 4, (1 << 21) - 8
+PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 2, (1 << 21) - 8
 SLICE_BYTES = 4_000_000
 #: UTF-8 bytes of text whose features a range takes, about; and the most ranges there are.
-RANGE_BYTES, MOST_RANGES = 16_000_000, 1 << 15
-#: Strings that are hashed at once.
-HASH_AT_ONCE = 500_000
+RANGE_BYTES, MOST_RANGES = 8_000_000, 1 << 15
 
 #: Bytes to bytes: A-Z lower-cased, those outside words to spaces. Bytes above 127 are parts of words.
 _TABLE = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -159,6 +157,34 @@ def feature_keys(ids: np.ndarray, parts: list[tuple], vocabulary: int):
     return np.concatenate(keys), np.concatenate(owner)
 
 
+def _zero_byte() -> np.ndarray:
+    """What a CRC-32 becomes by one more zero byte, for each value of each of its four bytes."""
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = np.where(x & 1, (x >> 1) ^ np.uint32(0xEDB88320), x >> 1)
+    out = np.arange(256, dtype=np.uint32)[None] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    return x[out & 255] ^ (out >> 8)
+
+
+def _applied(step: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return step[0][crc & 255] ^ step[1][(crc >> 8) & 255] ^ step[2][(crc >> 16) & 255] ^ step[3][crc >> 24]
+
+
+_ZEROS = [_zero_byte()]
+
+
+def joined(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of two strings' concatenation from their own and the second's number of bytes."""
+    out, k = first.copy(), 0
+    while (sizes >> k).any():
+        if k == len(_ZEROS):  # twice as many zero bytes
+            _ZEROS.append(_applied(_ZEROS[-1], _ZEROS[-1]))
+        at = np.flatnonzero((sizes >> k) & 1)
+        out[at] = _applied(_ZEROS[k], out[at])
+        k += 1
+    return out ^ second
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """16 bits of each word's hash, after those of no word."""
     return np.fromiter((0, *(h & 0xFFFF for h in map(xxhash.xxh3_64_intdigest, words))), np.uint64, len(words) + 1)
@@ -279,14 +305,14 @@ def dictionary(block: pd.DataFrame) -> pd.DataFrame:
     pairs, pair = np.unique(first * base + second, return_inverse=True)
     grams, gram = np.unique(np.repeat(pair, sizes) * base + third, return_inverse=True)
     # the CRC of "a b c" goes on from that of "a b", so each distinct string is hashed once
-    plain = [crc32(w) for w in (b"", *number)]
-    spaced = [b"", *(b" " + w for w in number)]
-    of_pair = np.fromiter((crc32(spaced[b], plain[a]) for a, b in zip(*(x.tolist() for x in np.divmod(pairs, base)), strict=True)), np.int64, len(pairs))
-    bucket = np.empty(len(grams), np.int64)
-    for k in range(0, len(grams), HASH_AT_ONCE):
-        of, last = np.divmod(grams[k : k + HASH_AT_ONCE], base)
-        bucket[k : k + len(of)] = np.fromiter(map(crc32, map(spaced.__getitem__, last.tolist()), of_pair[of].tolist()), np.int64, len(of))
-    bucket %= BUCKETS
+    sizes_of = np.fromiter((0, *map(len, number)), np.int64, base)
+    plain = np.fromiter((0, *map(crc32, number)), np.uint32, base)
+    after_space = np.where(sizes_of > 0, joined(np.full(base, crc32(b" "), np.uint32), plain, sizes_of), 0).astype(np.uint32)
+    spaced = sizes_of + (sizes_of > 0)
+    a, b = np.divmod(pairs, base)
+    of_pair = joined(plain[a], after_space[b], spaced[b])
+    a, b = np.divmod(grams, base)
+    bucket = joined(of_pair[a], after_space[b], spaced[b]).astype(np.int64) % BUCKETS
     own = np.repeat((block["unit"] != _TARGET).to_numpy(), each)
     bucket = bucket[gram]
     sums = [np.bincount(bucket[k], times[k], BUCKETS).astype("<i8") for k in (own, ~own)]

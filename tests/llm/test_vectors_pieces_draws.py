@@ -213,3 +213,11 @@ def test_packed_numbers():
     for a in ([], [0], [255, 0], [256], [1 << 40, 3], range(1000)):
         a = np.array(a, np.int64)
         assert resampling.unpacked(resampling.packed(a)).tolist() == a.tolist()
+
+
+def test_joined_crcs():
+    rng = random.Random(2)
+    a = [rng.randbytes(rng.randrange(30)) for _ in range(300)]
+    b = [rng.randbytes(rng.choice([0, 1, 7, 64, 5000])) for _ in range(300)]
+    of = lambda x: np.array(list(map(zlib.crc32, x)), np.uint32)
+    assert resampling.joined(of(a), of(b), np.array(list(map(len, b)))).tolist() == [zlib.crc32(x + y) for x, y in zip(a, b, strict=True)]
