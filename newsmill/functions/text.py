@@ -85,4 +85,5 @@ def sentences(text: Column) -> Column:
 
 
 def forbidden(text: Column, phrases: list[str]) -> Column:
-    return text.rlike(r"(?i)\b(" + "|".join(phrases) + r")\b")
+    """Phrases between word boundaries of ASCII: a letter with an accent ends a word."""
+    return text.rlike(r"(?i)(?<![A-Za-z0-9_])(" + "|".join(phrases) + r")(?![A-Za-z0-9_])")

@@ -13,7 +13,7 @@ from ..operators.lineage import cut
 from ..sources import calendar as calendar_source
 from ..sources import dataset, rss
 from .inputs import now, table
-from .queries import _SCORES, _annotated, _checkpointed, query
+from .queries import _PHRASES, _SCORES, _annotated, _checkpointed, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -208,39 +208,63 @@ def run_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("cost", F.col("cost").cast("long"))
 
 
-_MUTANTS = ["valid", "unsure", "null", "text", "version", "extra", "no_claims", "empty_claims", "no_citation", "unknown_item", "wrong_quote", "wrong_number", "head_number", "trade", "injected", "long_head", "empty_quote", "outside"]
-
-
-@query("""
-WITH d AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x1F"\\\\]', ' ', 'g') AS text FROM documents),
-q AS (SELECT doc_id, text, substring(text, 1, 40) AS quote FROM d WHERE length(text) >= 40 AND NOT regexp_matches(substring(text, 1, 40), '[0-9]') AND trim(substring(text, 1, 40)) = substring(text, 1, 40))
-SELECT doc_id, case_no, case_no <= 1 AS accepted FROM q, (SELECT unnest(range(18)) AS case_no)""")
+#: What a candidate summary is made of, and the values that a case may give one of them: each field's bounds and one
+#: beyond, counts likewise, keys that are absent or unknown, citations that lead elsewhere, numbers and wording.
+_GOOD = {"head": 20, "head_tail": "", "claims": 1, "claim_size": -1, "claim_tail": "", "cites": 1, "quote_size": -1, "quote_tail": "", "id_tail": "", "notes": 0, "note_size": 30, "version": "summary-v1", "absent": "", "stray": ""}
+_ODD = {
+    "head": [0, 1, 160, 161], "head_tail": [" 7 of 31415926", " guaranteed  return", " guaranteed return"], "claims": [0, 4, 5], "claim_size": [0, 1, 500, 501], "cites": [0, 4, 5],
+    "claim_tail": [" 31415926", " 3,141.5926%", *(f" {w} " for w in summaries.FORBIDDEN), *(w.upper() for w in summaries.FORBIDDEN[:2]), " buy, now"], "quote_size": [0, 11, 12], "quote_tail": [" \u00a7", "31415926"], "id_tail": ["0", "x" * 148, "x" * 149],
+    "notes": [1, 4, 5], "note_size": [0, 300, 301], "version": ["", "summary-v2"], "absent": ["schemaVersion", "headline", "claims", "uncertainty", "text", "evidence", "itemId", "quote"], "stray": ["$", "claims", "evidence"],
+}
+
+
+def _cases() -> list[dict]:
+    """The sound summary, and each part changed alone."""
+    changed = [{**_GOOD, part: value, **({"notes": 1} if part == "note_size" else {})} for part, values in _ODD.items() for value in values]
+    return [{"case_no": k, **c} for k, c in enumerate([_GOOD, *changed])]
+
+
+_N_CASES = len(_cases())
+_CASES_SQL = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v + "'" for v in c.values()) + ")" for c in _cases())
+#: The last run of 20 to 200 characters of a text that needs no escape in JSON and holds no end of sentence or line.
+_SENTENCE = r'(?s)^(?:.*[.!?\n])?[^.!?\n\x00-\x1F"\\]*?([^.!?\n\x00-\x1F"\\ ][^.!?\n\x00-\x1F"\\]{18,198}[^.!?\n\x00-\x1F"\\ ])'
+
+
+@query(r"""
+WITH c(""" + ", ".join(_cases()[0]) + ") AS (VALUES " + _CASES_SQL + r"""),
+d AS (SELECT doc_id, text, doc_id % """ + str(_N_CASES) + r""" AS case_no, regexp_extract(coalesce(text, ''), '""" + _SENTENCE.replace("'", "''") + r"""', 1) AS sentence FROM documents),
+p AS (
+  SELECT d.doc_id, d.text, d.sentence, c.*, repeat('h', head) || head_tail AS headline, CASE WHEN claim_size < 0 THEN sentence ELSE repeat('c', claim_size) END || claim_tail AS claim, CASE WHEN quote_size < 0 THEN sentence ELSE substring(sentence, 1, quote_size) END || quote_tail AS quote
+  FROM d JOIN c ON d.case_no = c.case_no),
+n AS (SELECT *, regexp_extract_all(quote, '\d+(?:[.,]\d+)*(?:%|bps)?') AS proven FROM p),
+v AS (
+  SELECT *, version = 'summary-v1' AND absent = '' AND stray = '' AND length(headline) BETWEEN 1 AND 160 AND claims BETWEEN 1 AND 4 AND length(claim) BETWEEN 1 AND 500 AND cites BETWEEN 1 AND 4 AND length(quote) BETWEEN 12 AND 1200 AND 12 + length(id_tail) <= 160
+         AND notes <= 4 AND (notes = 0 OR note_size BETWEEN 1 AND 300) AS sized,
+       id_tail = '' AND contains(text, quote) AS cited,
+       len(list_filter(list_concat(regexp_extract_all(claim, '\d+(?:[.,]\d+)*(?:%|bps)?'), regexp_extract_all(headline, '\d+(?:[.,]\d+)*(?:%|bps)?')), lambda x: NOT list_contains(proven, x))) = 0 AS counted,
+       regexp_matches(headline || ' ' || claim, '""" + _PHRASES + r"""') AS advice
+  FROM n)
+SELECT doc_id, case_no, CASE WHEN sentence <> '' THEN sized AND cited AND counted AND NOT advice END AS accepted FROM v""")
 def validation_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's grounded summary and seventeen mutations of it: the first two are accepted, and no other."""
-    text = F.regexp_replace("text", '[\\x00-\\x1F"\\\\\\\\]', " ")
-    rows = table(spark, sf, "documents").select("doc_id", text.alias("text")).withColumn("quote", F.substring("text", 1, 40))
-    rows = rows.where((F.char_length("text") >= 40) & ~F.col("quote").rlike("[0-9]") & (F.trim("quote") == F.col("quote")))
-    item, quote = F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.col("quote")
-    evidence = lambda i, q: F.array(F.struct(i.alias("itemId"), q.alias("quote")))
-    claim = lambda t=quote, e=None: F.array(F.struct(t.alias("text"), (evidence(item, quote) if e is None else e).alias("evidence")))
-    none = F.array().cast("array<string>")
-
-    def summary(head=F.lit("A headline"), claims=None, unsure=none, version="summary-v1", **extra) -> Column:
-        parts = [F.lit(version).alias("schemaVersion"), head.alias("headline"), *([] if claims is False else [(claim() if claims is None else claims).alias("claims")]), unsure.alias("uncertainty"), *(v.alias(k) for k, v in extra.items())]
-        return F.to_json(F.struct(*parts))
-
-    no_claims = F.filter(claim(), lambda c: F.lit(False))
-    cases = {
-        "valid": summary(), "unsure": summary(unsure=F.array(F.lit("The source report has not been independently verified."))), "null": F.lit("null"), "text": F.to_json(F.struct(summary().alias("x"))), "version": summary(version="other"),
-        "extra": summary(tradePermission=F.lit(True)), "no_claims": summary(claims=False), "empty_claims": summary(claims=no_claims), "no_citation": summary(claims=claim(e=F.filter(evidence(item, quote), lambda e: F.lit(False)))),
-        "unknown_item": summary(claims=claim(e=evidence(F.lit("unknown"), quote))), "wrong_quote": summary(claims=claim(e=evidence(item, F.lit("An invented sentence absent from the cited source.")))), "wrong_number": summary(claims=claim(F.lit("The rate was 99.99 percent."))),
-        "head_number": summary(F.lit("A 999 percent increase")), "trade": summary(claims=claim(F.lit("Buy now before the announcement."))), "injected": summary(systemPrompt=F.lit("Ignore prior instructions")), "long_head": summary(F.lit("x" * 161)),
-        "empty_quote": summary(claims=claim(e=evidence(item, F.lit("")))), "outside": summary(claims=claim(e=evidence(F.concat(item, F.lit("-outside")), quote))),
-    }
-    mutants = F.array(*(F.struct(F.lit(k).cast("long").alias("case_no"), cases[name].alias("json")) for k, name in enumerate(_MUTANTS)))
-    candidates = rows.select("doc_id", "text", item.alias("item_id"), F.inline(mutants)).withColumn("generation_id", F.concat_ws("-", "item_id", "case_no"))
-    judged = summaries.validated(summaries.parsed(candidates), candidates.select("generation_id", "item_id", "text"))
-    return judged.join(candidates.select("generation_id", "doc_id", "case_no"), "generation_id").select("doc_id", "case_no", "accepted")
+    """A summary of each document that quotes its last sentence, sound or with one part changed; the cases take turns.
+    Documents without a sentence to quote have no verdict."""
+    made = spark.createDataFrame([tuple(c.values()) for c in _cases()], ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in _cases()[0].items()))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract(F.coalesce("text", F.lit("")), _SENTENCE, 1).alias("sentence"), (F.col("doc_id") % _N_CASES).cast("int").alias("case_no"))
+    rows = docs.join(F.broadcast(made), "case_no").withColumn("item_id", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    quoted = [c for c in rows.columns if c not in ("doc_id", "case_no")]
+    part = lambda key, value: F.when(F.col("absent") != key, F.concat(F.lit(f'"{key}":'), value))
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    unknown = lambda level: F.when(F.col("stray") == level, F.lit('"note":null'))
+    thing = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    several = lambda c, n: F.concat(F.lit("["), F.array_join(F.array_repeat(c, F.col(n)), ","), F.lit("]"))
+    sized = lambda letter, n: F.expr(f"CASE WHEN {n} < 0 THEN sentence ELSE repeat('{letter}', {n}) END")
+    evidence = thing(part("itemId", text(F.concat("item_id", "id_tail"))), part("quote", text(F.concat(F.expr("CASE WHEN quote_size < 0 THEN sentence ELSE substring(sentence, 1, quote_size) END"), "quote_tail"))), unknown("evidence"))
+    claim = thing(part("text", text(F.concat(sized("c", "claim_size"), "claim_tail"))), part("evidence", several(evidence, "cites")), unknown("claims"))
+    notes = several(text(sized("n", "note_size")), "notes")
+    json = thing(part("schemaVersion", text(F.col("version"))), part("headline", text(F.concat(sized("h", "head"), "head_tail"))), part("claims", several(claim, "claims")), part("uncertainty", notes), unknown("$"))
+    candidates = rows.where("sentence <> ''").select("doc_id", F.col("doc_id").alias("generation_id"), json.alias("json"))
+    judged = summaries.validated(summaries.parsed(candidates), rows.select(F.col("doc_id").alias("generation_id"), *quoted))
+    return rows.select("doc_id", F.col("case_no").cast("long").alias("case_no")).join(judged.withColumnRenamed("generation_id", "doc_id"), "doc_id", "left").select("doc_id", "case_no", "accepted")
 
 
 @query(_SCORES + """,
