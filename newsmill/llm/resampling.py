@@ -51,7 +51,9 @@ MIN_WORDS, PERCENT, SEED = 20, 5, 42
 PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 2, (1 << 21) - 8
 SLICE_BYTES = 4_000_000
 #: UTF-8 bytes of text whose features a range takes, about; and the most ranges there are.
-RANGE_BYTES, MOST_RANGES = 8_000_000, 1 << 15
+RANGE_BYTES, MOST_RANGES = 16_000_000, 1 << 15
+#: Pairs of words whose strings are counted at once.
+PAIRS_AT_ONCE = 300_000
 
 #: Bytes to bytes: A-Z lower-cased, those outside words to spaces. Bytes above 127 are parts of words.
 _TABLE = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -94,7 +96,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def packed_words(words: list[bytes]) -> bytes:
     text = b" ".join(words)
-    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(text, asbytes=True)
 
 
 def unpacked_words(data: bytes) -> list[bytes]:
@@ -140,21 +142,19 @@ class Unit:
 
 
 def feature_keys(ids: np.ndarray, parts: list[tuple], vocabulary: int):
-    """A key for each feature (three word numbers in 63 bits), and the part it belongs to."""
+    """Yields, for features of 1, 2 and 3 words, a key each (three word numbers in 63 bits) and the part it belongs to."""
     sizes, own = np.array([p[5] for p in parts], np.int64), np.array([p[4] for p in parts], np.int64)
-    of = np.repeat(np.arange(len(parts)), sizes)
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    left = sizes[of] - place
-    begins = place < own[of]
-    keys, owner, base = [], [], vocabulary + 1
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    place = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    left = np.where(place < own.astype(np.int32)[of], sizes.astype(np.int32)[of] - place, 0)
+    del place
+    base = vocabulary + 1
     for n in range(1, LONGEST + 1):
-        at = np.flatnonzero(begins & (left >= n))
-        key = np.zeros(len(at), np.int64)
-        for k in range(LONGEST):
-            key = key * base + (ids[at + k] if k < n else 0)
-        keys.append(key)
-        owner.append(of[at])
-    return np.concatenate(keys), np.concatenate(owner)
+        at = np.flatnonzero(left >= n)
+        key = ids[at] * base**2
+        for k in range(1, n):
+            key += ids[at + k] * base ** (2 - k)
+        yield key, of[at]
 
 
 def _zero_byte() -> np.ndarray:
@@ -219,7 +219,8 @@ def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges:
     """(range, words, columns) of a unit's blocks."""
     hashes = word_hashes(words)
     base = len(hashes) + 1
-    keys = np.sort(feature_keys(ids, parts, len(hashes))[0])
+    keys = np.concatenate([k for k, _ in feature_keys(ids, parts, len(hashes))])
+    keys.sort()
     new = np.flatnonzero(changes(keys))
     keys, times = keys[new], np.diff(np.r_[new, len(keys)])
     first, second, sizes, where, order = dealt(keys, hashes, ranges)
@@ -303,7 +304,7 @@ def dictionary(block: pd.DataFrame) -> pd.DataFrame:
     del held
     base = len(number) + 1
     pairs, pair = np.unique(first * base + second, return_inverse=True)
-    grams, gram = np.unique(np.repeat(pair, sizes) * base + third, return_inverse=True)
+    del first, second
     # the CRC of "a b c" goes on from that of "a b", so each distinct string is hashed once
     sizes_of = np.fromiter((0, *map(len, number)), np.int64, base)
     plain = np.fromiter((0, *map(crc32, number)), np.uint32, base)
@@ -311,12 +312,19 @@ def dictionary(block: pd.DataFrame) -> pd.DataFrame:
     spaced = sizes_of + (sizes_of > 0)
     a, b = np.divmod(pairs, base)
     of_pair = joined(plain[a], after_space[b], spaced[b])
-    a, b = np.divmod(grams, base)
-    bucket = joined(of_pair[a], after_space[b], spaced[b]).astype(np.int64) % BUCKETS
-    own = np.repeat((block["unit"] != _TARGET).to_numpy(), each)
-    bucket = bucket[gram]
-    sums = [np.bincount(bucket[k], times[k], BUCKETS).astype("<i8") for k in (own, ~own)]
-    out, end = [(_TARGET, 0, None, np.concatenate(sums).tobytes())], 0
+    of_string = np.repeat(pair.astype(np.int32), sizes)
+    target = np.repeat((block["unit"] == _TARGET).to_numpy(), each)
+    bucket, counts = np.empty(len(third), np.uint16), np.zeros((2, BUCKETS), np.int64)
+    for low in range(0, len(pairs), PAIRS_AT_ONCE):
+        at = np.flatnonzero((of_string >= low) & (of_string < low + PAIRS_AT_ONCE))
+        strings, which = np.unique(of_string[at].astype(np.int64) * base + third[at], return_inverse=True)
+        a, b = np.divmod(strings, base)
+        hashed = (joined(of_pair[a], after_space[b], spaced[b]) % np.uint32(BUCKETS)).astype(np.uint16)
+        for row, mine in enumerate((~target[at], target[at])):
+            of_each = np.bincount(which[mine], times[at][mine], len(strings))
+            counts[row] += np.bincount(hashed, of_each, BUCKETS).astype(np.int64)
+        bucket[at] = hashed[which]
+    out, end = [(_TARGET, 0, None, counts.astype("<i8").tobytes())], 0
     for unit, r, size in zip(block["unit"], block["range"], each, strict=True):
         if unit != _TARGET:
             out.append((unit, r, packed(bucket[end : end + size]), None))
@@ -352,9 +360,10 @@ def _weigh(gain: np.ndarray, ranges: int):
     def weights(rows: pd.DataFrame) -> pd.DataFrame:
         words, ids, parts = rows.loc[rows["ids"].notna(), ["words", "ids", "parts"]].iloc[0]
         hashes, parts = word_hashes(unpacked_words(words)), pickle.loads(parts)
-        keys, owner = feature_keys(unpacked(ids), parts, len(hashes))
+        keys, owner = map(np.concatenate, zip(*feature_keys(unpacked(ids), parts, len(hashes)), strict=True))
         order = np.argsort(keys)
         keys, owner = keys[order], owner[order]
+        del order
         new = changes(keys)
         back = rows[rows["buckets"].notna()].sort_values("range")
         of_key = np.zeros(int(new.sum()), np.int64)
