@@ -43,39 +43,57 @@ def decide(event: dict, prior: dict | None) -> tuple[str, str, str, object, obje
     return "confirm", prior["revision_status"], "unchanged_confirmation", before, None
 
 
+#: A fold's input and what it adds; times are text of microseconds, which keeps nulls apart.
+KEY, TIMES = ["source_id", "source_event_id"], ["scheduled_for", "observed_at"]
+COLUMNS = [*KEY, "seq", "status_hint", *TIMES, *METADATA, *VALUES, "source_url"]
+MADE = ["action", "revision_number", "revision_status", "change_reason", "previous_scheduled_for", "supersedes"]
+FOLDED = ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in COLUMNS) + ", action string, revision_number int, revision_status string, change_reason string, previous_scheduled_for string, supersedes string"
+
+
+def as_text(observations: DataFrame) -> DataFrame:
+    """COLUMNS of observations."""
+    return observations.select(*(F.unix_micros(c).cast("string").alias(c) if c in TIMES else F.col(c) for c in COLUMNS))
+
+
+def from_text(folded: DataFrame) -> DataFrame:
+    """OUT of folded rows."""
+    as_time = lambda c: F.timestamp_micros(F.col(c).cast("long")).alias(c)
+    named = [f.split()[0] for f in OUT.split(",")]
+    return folded.select(*(as_time(c) if c in (*TIMES, "previous_scheduled_for") else F.col(c).cast("int").alias(c) if c == "supersedes" else F.col(c) for c in named))
+
+
+def observed(row: dict, prior: dict | None, number: int) -> tuple[tuple, dict, int]:
+    """The folded row (COLUMNS and MADE) of an observation after the current revision and its number; and what is
+    current then."""
+    row = dict(row)
+    action, status, reason, at, before = decide(row, prior)
+    row["scheduled_for"], row["revision_status"] = at, status
+    replaced = str(number) if action == "create" and number else None
+    if action == "create":
+        prior, number = row, number + 1
+    return (*(row[c] for c in COLUMNS), action, number, status, reason, before, replaced), prior, number
+
+
 def revisions(observations: DataFrame) -> DataFrame:
     """OUT: a row for each observation, which either creates a revision or confirms the current one.
 
     observations: source_id, source_event_id, seq (order), observed_at, status_hint, scheduled_for and the columns of
-    METADATA, VALUES, source_url. Times go through the fold as text of microseconds, which keeps nulls apart.
+    METADATA, VALUES, source_url.
     """
-    key, times = ["source_id", "source_event_id"], ["scheduled_for", "observed_at"]
-    columns = [*key, "seq", "status_hint", *times, *METADATA, *VALUES, "source_url"]
-    made = ["action", "revision_number", "revision_status", "change_reason", "previous_scheduled_for", "supersedes"]
 
     def run(batches):
         event, prior, number = None, None, 0
         for batch in batches:
             out = []
-            for values in zip(*(batch[c].tolist() for c in columns), strict=True):
-                row = dict(zip(columns, values, strict=True))
+            for values in zip(*(batch[c].tolist() for c in COLUMNS), strict=True):
+                row = dict(zip(COLUMNS, values, strict=True))
                 if (row["source_id"], row["source_event_id"]) != event:
                     event, prior, number = (row["source_id"], row["source_event_id"]), None, 0
-                action, status, reason, at, before = decide(row, prior)
-                row["scheduled_for"], row["revision_status"] = at, status
-                replaced = str(number) if action == "create" and number else None
-                if action == "create":
-                    prior, number = row, number + 1
-                out.append((*(row[c] for c in columns), action, number, status, reason, before, replaced))
-            yield pd.DataFrame(out, columns=[*columns, *made])
-
-    text = ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in columns)
-    rows = observations.select(*(F.unix_micros(c).cast("string").alias(c) if c in times else F.col(c) for c in columns))
-    rows = rows.repartition(*key).sortWithinPartitions(*key, "seq")
-    folded = rows.mapInPandas(run, f"{text}, action string, revision_number int, revision_status string, change_reason string, previous_scheduled_for string, supersedes string")
-    as_time = lambda c: F.timestamp_micros(F.col(c).cast("long")).alias(c)
-    named = [f.split()[0] for f in OUT.split(",")]
-    return folded.select(*(as_time(c) if c in (*times, "previous_scheduled_for") else F.col(c).cast("int").alias(c) if c == "supersedes" else F.col(c) for c in named))
+                folded, prior, number = observed(row, prior, number)
+                out.append(folded)
+            yield pd.DataFrame(out, columns=[*COLUMNS, *MADE])
+
+    return from_text(as_text(observations).repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInPandas(run, FOLDED))
 
 
 def supersession_reason(change: Column) -> Column:

@@ -87,6 +87,12 @@ class EventLog:
         rows = log.where(F.col("stream_name") == name) if log is not None else None
         return rows if rows is None or key is None else rows.where(F.col("stream_key") == key)
 
+    def holds(self, batch: DataFrame) -> bool:
+        """Whether every record of the batch is in the log with its payload."""
+        log = self.read_all()
+        hashed = batch.select("record_id", fnv1a(F.coalesce("payload", F.lit("null"))).alias("payload_hash"))
+        return log is not None and hashed.join(log.select("record_id", "payload_hash"), ["record_id", "payload_hash"], "left_anti").isEmpty()
+
     def append(self, batch: DataFrame, order: list[str], recorded_at: str | None = None) -> None:
         """Appends all records of the batch or none: required fields, a time, and ids that are new everywhere."""
         log = self.read_all()
