@@ -48,7 +48,7 @@ from .common import LOWER, UPPER, remove, shuffles_removed, table, write_and_rea
 BUCKETS, LONGEST = 10_000, 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 #: Words of a part; parts' worth of words in a unit; and its different words, so that three numbers fit in 63 bits.
-PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 2, (1 << 21) - 8
+PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 3, (1 << 21) - 8
 SLICE_BYTES = 4_000_000
 #: UTF-8 bytes of text whose features a range takes, about; and the most ranges there are.
 RANGE_BYTES, MOST_RANGES = 16_000_000, 1 << 15
@@ -236,7 +236,9 @@ def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges:
         used = np.unique(every) if 8 * len(every) < len(names) else np.flatnonzero(np.bincount(every, minlength=len(names)))
         renumbered[used] = np.arange(len(used))
         one, two, three = renumbered[first[a]], renumbered[second[a]], renumbered[third[z]]
-        columns = (np.diff(one, prepend=0), steps(two, np.flatnonzero(changes(one))), sizes[a], steps(three, starts_of(sizes[a])), times[z])
+        # a pair's first string is the pair itself, so its third number, 0, goes without saying
+        follow = np.delete(steps(three, starts_of(sizes[a])), starts_of(sizes[a]))
+        columns = (np.diff(one, prepend=0), steps(two, np.flatnonzero(changes(one))), sizes[a] - 1, follow, times[z])
         yield r, packed_words(names[used[1:]].tolist()), list(map(packed, columns))
 
 
@@ -292,7 +294,9 @@ def dictionary(block: pd.DataFrame) -> pd.DataFrame:
     for text, columns in zip(block["words"], block["columns"], strict=True):
         words = unpacked_words(text)
         place = np.fromiter((0, *map(number.__getitem__, words)), np.int64, len(words) + 1)
-        one, two, sizes, three, times = map(unpacked, columns)
+        one, two, more, follow, times = map(unpacked, columns)
+        sizes = more + 1
+        three = np.insert(follow, starts_of(more), 0)
         one = np.cumsum(one)
         groups = np.flatnonzero(changes(one))
         two = summed(two, groups, np.diff(np.r_[groups, len(one)]))
