@@ -222,14 +222,16 @@ def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges:
     keys = np.concatenate([k for k, _ in feature_keys(ids, parts, len(hashes))])
     keys.sort()
     new = np.flatnonzero(changes(keys))
-    keys, times = keys[new], np.diff(np.r_[new, len(keys)])
+    keys, times = keys[new], np.diff(np.r_[new, len(keys)]).astype(np.int32)
+    del new
     first, second, sizes, where, order = dealt(keys, hashes, ranges)
-    third, times = (keys % base)[order], times[order]
+    third, times = (keys % base).astype(np.int32)[order], times[order]
+    del keys, order
     pairs = np.argsort(where, kind="stable")
     first, second, sizes = first[pairs], second[pairs], sizes[pairs]
     edges = np.searchsorted(where[pairs], np.arange(ranges + 1))
     ends = np.r_[0, np.cumsum(sizes)][edges]
-    names, renumbered = np.array([b"", *words], object), np.zeros(len(hashes), np.int64)
+    names, renumbered = np.array([b"", *words], object), np.zeros(len(hashes), np.int32)
     for r in np.flatnonzero(np.diff(edges)).tolist():
         a, z = slice(edges[r], edges[r + 1]), slice(ends[r], ends[r + 1])
         every = np.concatenate([np.zeros(1, np.int64), first[a], second[a], third[z]])
@@ -364,17 +366,20 @@ def _weigh(gain: np.ndarray, ranges: int):
     def weights(rows: pd.DataFrame) -> pd.DataFrame:
         words, ids, parts = rows.loc[rows["ids"].notna(), ["words", "ids", "parts"]].iloc[0]
         hashes, parts = word_hashes(unpacked_words(words)), pickle.loads(parts)
-        keys, owner = map(np.concatenate, zip(*feature_keys(unpacked(ids), parts, len(hashes)), strict=True))
-        order = np.argsort(keys)
-        keys, owner = keys[order], owner[order]
-        del order
-        new = changes(keys)
+        ids = unpacked(ids)
+        own = np.concatenate([k for k, _ in feature_keys(ids, parts, len(hashes))])
+        own.sort()
+        own = own[changes(own)]
         back = rows[rows["buckets"].notna()].sort_values("range")
-        of_key = np.zeros(int(new.sum()), np.int64)
-        of_key[dealt(keys[new], hashes, ranges)[-1]] = gain[np.concatenate([np.zeros(0, np.int64), *map(unpacked, back["buckets"])])]
-        weight = np.bincount(owner, of_key[np.cumsum(new) - 1], len(parts)).astype(np.int64)
-        n = np.bincount(owner, minlength=len(parts))
-        out = [(row, doc_id, own, n[k], weight[k], first and last) for k, (row, doc_id, first, last, own, _) in enumerate(parts)]
+        of_key = np.zeros(len(own), np.int32)
+        of_key[dealt(own, hashes, ranges)[-1]] = gain[np.concatenate([np.zeros(0, np.int64), *map(unpacked, back["buckets"])])]
+        weight, n = np.zeros(len(parts)), np.zeros(len(parts), np.int64)
+        for keys, owner in feature_keys(ids, parts, len(hashes)):
+            order = np.argsort(keys)  # sorted ones are found faster
+            weight += np.bincount(owner[order], of_key[np.searchsorted(own, keys[order])], len(parts))
+            n += np.bincount(owner, minlength=len(parts))
+        weight = weight.astype(np.int64)
+        out = [(row, doc_id, begin, n[k], weight[k], first and last) for k, (row, doc_id, first, last, begin, _) in enumerate(parts)]
         return pd.DataFrame(out, columns=["row", "doc_id", "n_words", "n_features", "weight", "whole"], dtype=object)
 
     return weights
