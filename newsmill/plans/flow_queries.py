@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.hashing import canonical_text
 from ..operators import audit, event_log, gates, readiness, summaries, whispers
 from ..operators.lineage import cut
 from ..sources import calendar as calendar_source
@@ -169,17 +170,63 @@ def session_view(spark: SparkSession, sf: str) -> DataFrame:
     return whispers.session_view(views, dismissals, acts, now()).select("decision_id", "placement", "projection_reason", "record_id")
 
 
+def _runs(spark: SparkSession, sf: str, name: str, key: str, nation: str, fields: list[str]) -> DataFrame:
+    """A table's rows as records of runs, a run a nation."""
+    rows = table(spark, sf, name).select(F.concat(F.lit("run-"), F.col(nation).cast("string")).alias("run_id"), F.lpad(F.col(key).cast("string"), 12, "0").alias("key"), F.to_json(F.struct(*fields)).alias("payload"))
+    return audit.contents({"normalized_item": rows})
+
+
 @query("""
-WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY lpad(CAST(s_suppkey AS VARCHAR), 12, '0')) - 1 AS k, '{"name":"' || s_name || '","nation":' || s_nationkey || '}' AS payload FROM supplier),
-c AS (SELECT k, NULL::VARCHAR AS previous, sha256('{"payload":' || payload || ',"previousHash":null,"sequence":0,"type":"normalized_item"}') AS hash FROM s WHERE k = 0
-  UNION ALL SELECT s.k, c.hash, sha256('{"payload":' || payload || ',"previousHash":"' || c.hash || '","sequence":' || s.k || ',"type":"normalized_item"}') FROM c JOIN s ON s.k = c.k + 1)
-SELECT CAST(k AS BIGINT) AS sequence, previous AS previous_hash, hash FROM c""")
+WITH RECURSIVE s AS (SELECT 'run-' || s_nationkey AS run_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY lpad(CAST(s_suppkey AS VARCHAR), 12, '0')) - 1 AS k, '{"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || '}' AS payload FROM supplier),
+c AS (SELECT run_id, k, NULL::VARCHAR AS previous, sha256('{"payload":' || payload || ',"previousHash":null,"sequence":0,"type":"normalized_item"}') AS hash FROM s WHERE k = 0
+  UNION ALL SELECT s.run_id, s.k, c.hash, sha256('{"payload":' || payload || ',"previousHash":"' || c.hash || '","sequence":' || s.k || ',"type":"normalized_item"}') FROM c JOIN s ON s.run_id = c.run_id AND s.k = c.k + 1)
+SELECT run_id, CAST(k AS BIGINT) AS sequence, previous AS previous_hash, hash FROM c""")
 def audit_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as an audited run: written, verified whole, its chain read back."""
-    rows = table(spark, sf, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("key"), F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))).alias("payload"))
-    folder = audit.write_run(_folder(spark, "runs"), "run", audit.contents({"normalized_item": rows}))
-    audit.verify_run(spark, folder)
-    return spark.read.parquet(f"{folder}/ledger").select("sequence", "previous_hash", "hash")
+    """Suppliers as audited runs, one a nation: their chains."""
+    return audit.ledger(_runs(spark, sf, "supplier", "s_suppkey", "s_nationkey", ["s_nationkey", "s_name"])).select("run_id", "sequence", "previous_hash", "hash")
+
+
+_DAMAGE = "CASE n % 8 WHEN 1 THEN 'audit file integrity mismatch' WHEN 2 THEN 'run semantic identity mismatch' WHEN 3 THEN 'manifest identity mismatch' WHEN 4 THEN 'audit chain is broken' WHEN 5 THEN 'audit ledger is truncated' WHEN 6 THEN 'the ledger doesn''t describe the run' END"
+
+
+@query(f"SELECT DISTINCT 'run-' || n AS run_id, {_DAMAGE} AS problem FROM (SELECT c_nationkey AS n FROM customer)")
+def audit_damage(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as audited runs, one a nation, six of eight damaged in different ways. Whoever damages a run makes new
+    digests of its tables where that hides the damage from the first check."""
+    _checkpointed(spark)
+    records = cut(_runs(spark, sf, "customer", "c_custkey", "c_nationkey", ["c_name", "c_acctbal"]))
+    runs = audit.sealed(records)
+    kind = F.substring_index("run_id", "-", -1).cast("int") % 8
+    least = records.groupBy("run_id").agg(F.min("key").alias("least"))
+    first = F.col("key") == F.col("least")
+    # 1: a payload; 2: a payload, then chain and digests anew; 6: a record is taken from the ledger, its digests anew
+    edited = records.join(F.broadcast(least), "run_id").withColumn("payload", F.when(kind.isin(1, 2) & first, F.lit('{"c_name":"other"}')).otherwise(F.col("payload"))).withColumn("content", F.sha2("payload", 256))
+    told = edited.where(~((kind == 6) & first)).drop("least")
+    edited = cut(edited.drop("least"))
+    chain = cut(audit.ledger(told.where(kind != 1)).unionByName(runs.chain.where(kind == 1)))
+    last = chain.groupBy("run_id").agg(F.max("sequence").alias("last"))
+    # 4: a link's hash before it; 5: the last link is missing; both with digests anew
+    damaged = chain.join(F.broadcast(last), "run_id").where((kind != 5) | (F.col("sequence") < F.col("last"))).withColumn("previous_hash", F.when((kind == 4) & (F.col("sequence") == F.col("last")), "x").otherwise(F.col("previous_hash")))
+    damaged = cut(damaged.select(*chain.columns))
+    honest = audit.manifest(chain, records).where(kind.isin(0, 1, 3, 7)).withColumn("schema_version", F.when(kind == 3, "audit-manifest-v0").otherwise(F.col("schema_version")))
+    renewed = audit.manifest(damaged, edited).where(kind.isin(2, 4, 5, 6))
+    kept = audit.manifest(chain, edited).select("run_id", F.col("event_count").alias("whole"), F.col("final_hash").alias("end"))
+    renewed = renewed.join(kept, "run_id").withColumns({"event_count": F.when(kind == 5, F.col("whole")).otherwise(F.col("event_count")), "final_hash": F.when(kind == 5, F.col("end")).otherwise(F.col("final_hash"))}).drop("whole", "end")
+    return audit.problems(audit.Runs(edited, runs.documents, damaged, honest.unionByName(renewed)))
+
+
+_JSONS = """SELECT doc_id, '{"z": {"b": [' || doc_id || ', {"y": null, "x": "' || lang || '"}], "a": ' || (doc_id % 2 = 0) || '}, "Z": ' || (doc_id % 1000) || CASE doc_id % 5 WHEN 0 THEN '.50' WHEN 1 THEN 'e3' WHEN 2 THEN '.0' ELSE '' END || ', "é": [[], {}, "' || source || '"], "a": -0}' AS given,
+  '{"Z":' || CASE doc_id % 5 WHEN 0 THEN (doc_id % 1000) || '.5' WHEN 1 THEN CAST(doc_id % 1000 * 1000 AS VARCHAR) ELSE CAST(doc_id % 1000 AS VARCHAR) END || ',"a":0,"z":{"a":' || (doc_id % 2 = 0) || ',"b":[' || doc_id || ',{"x":"' || lang || '","y":null}]},"é":[[],{},"' || source || '"]}' AS canonical FROM documents"""
+
+
+@query(f"SELECT doc_id, sha256(canonical) AS hash FROM ({_JSONS})")
+def canonical_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested JSON of each document, its keys in no order and its numbers in other forms, hashed in canonical form."""
+    number = F.expr("concat(doc_id % 1000, CASE doc_id % 5 WHEN 0 THEN '.50' WHEN 1 THEN 'e3' WHEN 2 THEN '.0' ELSE '' END)")
+    given = F.concat(
+        F.lit('{"z": {"b": ['), F.col("doc_id").cast("string"), F.lit(', {"y": null, "x": "'), F.col("lang"), F.lit('"}], "a": '), (F.col("doc_id") % 2 == 0).cast("string"), F.lit('}, "Z": '), number, F.lit(', "é": [[], {}, "'), F.col("source"), F.lit('"], "a": -0}'),
+    )
+    return table(spark, sf, "documents").select("doc_id", F.sha2(canonical_text(given), 256).alias("hash"))
 
 
 @query("""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import canonical_text
 from ..operators import audit, calendar, dedupe, gates, summaries
 from ..sources import calendar as calendar_source
 from ..sources import dataset, rss
@@ -23,6 +24,7 @@ class Snapshot:
     decisions: DataFrame
     clusters: DataFrame
     counts: DataFrame
+    identity: DataFrame
 
 
 def ingest_dataset(documents: DataFrame, now: Column) -> Snapshot:
@@ -45,7 +47,8 @@ def ingest_dataset(documents: DataFrame, now: Column) -> Snapshot:
     reason = sources.select("source_id", gates.skip_reason().alias("reason")).where("reason is not null")
     shut = articles.join(reason, "source_id").select("source_id", F.col("article_id").alias("record"), "reason")
     bad = rss.malformed(found).select("source_id", F.col("malformed_item_id").alias("record"), "reason")
-    return Snapshot(sources, payloads, items, shut.unionByName(bad), dedupe.matches(ids), clusters, dedupe.snapshot_counts(articles, items, clusters))
+    identity = documents.select(F.sha2(canonical_text(F.col("json")), 256).alias("sha256")).select(F.concat(F.lit("snapshot-"), F.substring("sha256", 1, 16)).alias("id"), "sha256")
+    return Snapshot(sources, payloads, items, shut.unionByName(bad), dedupe.matches(ids), clusters, dedupe.snapshot_counts(articles, items, clusters), identity)
 
 
 def summarise(snapshot: Snapshot, provider: summaries.Provider = summaries.extractive) -> DataFrame:
@@ -60,7 +63,7 @@ def audit_records(snapshot: Snapshot, generations: DataFrame) -> DataFrame:
     """A run's records in the form that audit.ledger() and audit.write_run() take."""
     part = lambda df, key: df.select(key.alias("key"), F.to_json(F.struct(*sorted(df.columns))).alias("payload"))
     return audit.contents({
-        "raw_payload": part(snapshot.payloads, F.col("raw_payload_id")), "normalized_item": part(snapshot.items, F.col("item_id")),
+        "snapshot": part(snapshot.identity, F.col("id")), "raw_payload": part(snapshot.payloads, F.col("raw_payload_id")), "normalized_item": part(snapshot.items, F.col("item_id")),
         "quarantined_item": part(snapshot.quarantined, F.concat_ws(":", "source_id", "record")), "dedupe_decision": part(snapshot.decisions, F.concat_ws(":", "a", "b")),
         "cluster": part(snapshot.clusters.drop("root"), F.col("cluster_id")), "generation": part(generations, F.col("generation_id")),
     })

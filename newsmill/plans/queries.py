@@ -474,13 +474,13 @@ def interaction_log(spark: SparkSession, sf: str) -> DataFrame:
     return whispers.record_interactions(e).select("seq", "interaction_type", "target_id", "status", "result")
 
 
-@query("SELECT c_custkey AS sequence FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS c_custkey, c_custkey AS k FROM customer) WHERE k % 97 = 5 UNION SELECT 0")
+@query("SELECT 'run-' || c_nationkey AS run_id, CAST(k AS BIGINT) AS sequence FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k FROM customer) WHERE c_custkey % 97 = 5 OR k = 0")
 def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """A chain in which some records were changed after the fact, and the first one's predecessor was made up."""
-    records = audit.contents({"normalized_item": table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("key"), F.to_json(F.struct("c_name", "c_nationkey")).alias("payload"))})
-    chain = audit.ledger(records)
+    """Chains, one a nation, in which some records were changed after the fact, and the first ones' predecessors made up."""
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("run-"), F.col("c_nationkey").cast("string")).alias("run_id"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("key"), F.to_json(F.struct("c_name", "c_nationkey")).alias("payload"))
+    chain = audit.ledger(audit.contents({"normalized_item": rows}))
     changed = chain.withColumn("payload", F.when(F.col("key").cast("long") % 97 == 5, F.lit("{}")).otherwise(F.col("payload")))
-    return audit.broken_links(changed.withColumn("previous_hash", F.when(F.col("sequence") == 0, "x").otherwise(F.col("previous_hash")))).select("sequence")
+    return audit.broken_links(changed.withColumn("previous_hash", F.when(F.col("sequence") == 0, "x").otherwise(F.col("previous_hash")))).select("run_id", "sequence")
 
 
 @query(ITEMS_SQL + r""",

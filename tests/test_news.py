@@ -1,6 +1,7 @@
 """Operators of the news domain against expected results on literal rows."""
 
 import json
+import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -378,9 +379,53 @@ def test_audit(spark, tmp_path):
     for bad in ("run 1", "run-1"):
         with pytest.raises(Exception):  # noqa: B017
             audit.write_run(str(tmp_path), bad, records)
-    chain.where("sequence < 7").write.mode("overwrite").parquet(f"{folder}/ledger")
-    with pytest.raises(ValueError, match="truncated"):
+    audit.ledger(records, "run-1").where("sequence < 7").write.mode("overwrite").parquet(f"{folder}/ledger")
+    with pytest.raises(ValueError, match="integrity"):
         audit.verify_run(spark, folder)
+    short = audit.read_run(spark, folder)
+    again = audit.manifest(short.chain, short.records).drop("event_count", "final_hash").join(short.manifest.select("run_id", "event_count", "final_hash"), "run_id")
+    assert [r.problem for r in audit.problems(audit.Runs(short.records, short.documents, short.chain, again)).collect()] == ["audit ledger is truncated"]
+
+
+def test_runs_without_a_table_are_named(spark):
+    records = audit.contents({"generation": spark.createDataFrame([("a", "1", '{"x": 1}'), ("b", "1", "{}")], "run_id string, key string, payload string")})
+    runs = audit.sealed(records)
+    lost = audit.Runs(runs.records.where("run_id = 'a'"), runs.documents, runs.chain, runs.manifest.where("run_id = 'a'"))
+    assert {r.run_id: r.problem for r in audit.problems(lost).collect()} == {"a": None, "b": "run semantic identity mismatch"}
+
+
+def test_semantic_hash_leaves_out_what_is_incidental(spark):
+    def of(payload, kind="generation"):
+        return audit.semantic_hashes(audit.contents({kind: spark.createDataFrame([("r", "1", payload)], "run_id string, key string, payload string")})).first().semantic_hash
+
+    base = of('{"status": "accepted", "n": 1.0, "telemetry": {"cost": 1}, "responseId": "a"}')
+    assert base == of('{"n": 1, "telemetry": null, "status": "accepted"}') != of('{"n": 2, "status": "accepted"}')
+    assert of('{"telemetry": 1}', "cluster") != of('{"telemetry": 2}', "cluster")
+
+
+CANONICAL = {
+    '{"b":1,"a":{"d":[1,{"z":null,"y":true}],"c":"x"}}': '{"a":{"c":"x","d":[1,{"y":true,"z":null}]},"b":1}',
+    '[1.0, 1e2, 1e21, 1e20, 0.1, -0, -0.0, 12345678901234567890, 1.50, 1e-7, 0.000001, 0.0000001, 123456789.125, 1E400]': "[1,100,1e+21,100000000000000000000,0.1,0,0,12345678901234567000,1.5,1e-7,0.000001,1e-7,123456789.125,null]",
+    '{"é":"a\\u001fb/\\"\\\\","e":"\\u00e9\\u0007"}': '{"e":"é\\u0007","é":"a\\u001fb/\\"\\\\"}',
+    '{"\\uffff":1,"\\ud83d\\ude00":2,"Z":3,"a":4}': '{"Z":3,"a":4,"\U0001f600":2,"\uffff":1}',
+    '{"a":1,"a":{"b":2}}': '{"a":{"b":2}}', ' { "a" : [ ] } ': '{"a":[]}', '"x"': '"x"', "null": "null", "[[],[{}]]": "[[],[{}]]", '"\\ud800"': '"\\ud800"', "1.0E5": "100000", "bad": None, "": None, "NaN": None,
+}
+
+
+def test_canonical_text(spark):
+    """Both ways to a canonical text agree with it written by hand."""
+    rows = spark.createDataFrame([*((k,) for k in CANONICAL), (None,)], "j string")
+    got = {r.j: r.c for r in rows.select("j", hashing.canonical_text(F.col("j")).alias("c")).collect()}
+    assert got == CANONICAL | {None: None}
+    assert {k: hashing._plain_canonical(k) for k in CANONICAL} == CANONICAL
+    deep = "[" * 60 + "]" * 60
+    assert spark.createDataFrame([(deep,)], "j string").select(hashing.canonical_text(F.col("j"))).first()[0] == deep
+
+
+def test_number_text():
+    rng = random.Random(6)
+    assert [hashing.number_text(x) for x in (0.0, -0.0, 5e-324, 1.7976931348623157e308, 1e21, 1e20, 123e-8, 1e-6, -1.5, 2.0**53, float("nan"), float("inf"))] == ["0", "0", "5e-324", "1.7976931348623157e+308", "1e+21", "100000000000000000000", "0.00000123", "0.000001", "-1.5", "9007199254740992", "null", "null"]
+    assert all(float(hashing.number_text(x)) == x for x in (rng.uniform(-1, 1) * 10 ** rng.randrange(-300, 300) for _ in range(2000)))
 
 
 def test_summaries(spark):
