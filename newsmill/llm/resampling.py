@@ -9,7 +9,7 @@ The dictionary is never on the driver and never a row a string:
 1. Tasks cut the texts into units of some UNIT_PARTS * PART_WORDS words (a long text has several parts, which overlap by two
    words, and each feature belongs to the part it begins in) and number a unit's words. The numbered units are a table.
 2. A unit counts its distinct features, which leave packed, a block for each range of the hashes of a feature's first two
-   words: the block's words, and for each such pair the words that follow it.
+   words: the block's words, and for each such pair the words that follow it. The ranges are shuffled in ROUNDS rounds.
 3. A range's blocks meet in one task, which numbers their words anew, counts each string over all units, hashes it, and
    sends the buckets of a unit's strings back to the unit, in the order of its block.
 4. Buckets are added up by Spark; the gains (BUCKETS numbers) go to all tasks.
@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import defaultdict
+from functools import reduce
 from itertools import count
 from zlib import crc32
 
@@ -48,10 +49,12 @@ from .common import LOWER, UPPER, remove, shuffles_removed, table, write_and_rea
 BUCKETS, LONGEST = 10_000, 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 #: Words of a part; parts' worth of words in a unit; and its different words, so that three numbers fit in 63 bits.
-PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 3, (1 << 21) - 8
+PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 2, (1 << 21) - 8
 SLICE_BYTES = 4_000_000
 #: UTF-8 bytes of text whose features a range takes, about; and the most ranges there are.
 RANGE_BYTES, MOST_RANGES = 16_000_000, 1 << 15
+#: Rounds in which the ranges are shuffled, a part of them each: less disk at a time, for sorting each unit so often.
+ROUNDS = 2
 #: Pairs of words whose strings are counted at once.
 PAIRS_AT_ONCE = 300_000
 
@@ -157,6 +160,17 @@ def feature_keys(ids: np.ndarray, parts: list[tuple], vocabulary: int):
         yield key, of[at]
 
 
+def sorted_keys(ids: np.ndarray, parts: list[tuple], vocabulary: int) -> np.ndarray:
+    """All feature keys in order."""
+    out, end = np.empty(LONGEST * len(ids), np.int64), 0
+    for keys, _ in feature_keys(ids, parts, vocabulary):
+        out[end : end + len(keys)] = keys
+        end += len(keys)
+    out = out[:end]
+    out.sort()
+    return out
+
+
 def _zero_byte() -> np.ndarray:
     """What a CRC-32 becomes by one more zero byte, for each value of each of its four bytes."""
     x = np.arange(256, dtype=np.uint32)
@@ -215,12 +229,11 @@ def dealt(keys: np.ndarray, hashes: np.ndarray, ranges: int):
     return first, second, sizes, where, np.argsort(np.repeat(where, sizes), kind="stable")
 
 
-def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges: int):
-    """(range, words, columns) of a unit's blocks."""
+def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges: int, low: int, high: int):
+    """(range, words, columns) of a unit's blocks for the ranges from low to high - 1."""
     hashes = word_hashes(words)
     base = len(hashes) + 1
-    keys = np.concatenate([k for k, _ in feature_keys(ids, parts, len(hashes))])
-    keys.sort()
+    keys = sorted_keys(ids, parts, len(hashes))
     new = np.flatnonzero(changes(keys))
     keys, times = keys[new], np.diff(np.r_[new, len(keys)]).astype(np.int32)
     del new
@@ -232,7 +245,7 @@ def unit_blocks(words: list[bytes], ids: np.ndarray, parts: list[tuple], ranges:
     edges = np.searchsorted(where[pairs], np.arange(ranges + 1))
     ends = np.r_[0, np.cumsum(sizes)][edges]
     names, renumbered = np.array([b"", *words], object), np.zeros(len(hashes), np.int32)
-    for r in np.flatnonzero(np.diff(edges)).tolist():
+    for r in (low + np.flatnonzero(np.diff(edges[low : high + 1]))).tolist():
         a, z = slice(edges[r], edges[r + 1]), slice(ends[r], ends[r + 1])
         every = np.concatenate([np.zeros(1, np.int64), first[a], second[a], third[z]])
         used = np.unique(every) if 8 * len(every) < len(names) else np.flatnonzero(np.bincount(every, minlength=len(names)))
@@ -275,13 +288,13 @@ def units(docs: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _UNITS)
 
 
-def blocks(rows: DataFrame, ranges: int) -> DataFrame:
-    """_BLOCKS of _UNITS."""
+def blocks(rows: DataFrame, ranges: int, low: int, high: int) -> DataFrame:
+    """_BLOCKS of _UNITS for the ranges from low to high - 1."""
 
     def run(batches):
         for batch in batches:
             for number, words, ids, parts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                out = list(unit_blocks(unpacked_words(words), unpacked(ids), pickle.loads(parts), ranges))
+                out = list(unit_blocks(unpacked_words(words), unpacked(ids), pickle.loads(parts), ranges, low, high))
                 for k in range(0, len(out), 64):
                     r, w, c = zip(*out[k : k + 64], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(r), pa.int64()), pa.array(r, pa.int32()), pa.array(w, pa.binary()), pa.array(c, pa.list_(pa.binary()))], names=["unit", "range", "words", "columns"])
@@ -367,8 +380,7 @@ def _weigh(gain: np.ndarray, ranges: int):
         words, ids, parts = rows.loc[rows["ids"].notna(), ["words", "ids", "parts"]].iloc[0]
         hashes, parts = word_hashes(unpacked_words(words)), pickle.loads(parts)
         ids = unpacked(ids)
-        own = np.concatenate([k for k, _ in feature_keys(ids, parts, len(hashes))])
-        own.sort()
+        own = sorted_keys(ids, parts, len(hashes))
         own = own[changes(own)]
         back = rows[rows["buckets"].notna()].sort_values("range")
         of_key = np.zeros(len(own), np.int32)
@@ -391,16 +403,21 @@ def weights(docs: DataFrame, target: DataFrame, part_words: int = PART_WORDS) ->
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(MOST_RANGES, max(1, -(-size // RANGE_BYTES)))
     own = write_and_read(units(docs, part_words), "units")
-    theirs = blocks(units(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), part_words), ranges).withColumn("unit", F.lit(_TARGET).cast("long"))
+    theirs = write_and_read(units(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), part_words), "units")
     with shuffles_removed(docs.sparkSession):
-        back = write_and_read(blocks(own, ranges).unionByName(theirs).groupBy("range").applyInPandas(dictionary, _BACK), "buckets")
+        parts = []
+        for k in range(ROUNDS):
+            mine = ranges, k * ranges // ROUNDS, (k + 1) * ranges // ROUNDS
+            both = blocks(own, *mine).unionByName(blocks(theirs, *mine).withColumn("unit", F.lit(_TARGET).cast("long")))
+            parts.append(write_and_read(both.groupBy("range").applyInPandas(dictionary, _BACK), "buckets"))
+        back = reduce(DataFrame.unionByName, parts)
         gain = gains(*bucket_counts(back.where("sums is not null").select("sums")))
         rows = own.unionByName(back.where(F.col("unit") != _TARGET).select("unit", "range", "buckets"), allowMissingColumns=True)
-        parts = write_and_read(rows.groupBy("unit").applyInPandas(_weigh(gain, ranges), _WEIGHTS), "weights")
-    for done in (own, back):
+        found = write_and_read(rows.groupBy("unit").applyInPandas(_weigh(gain, ranges), _WEIGHTS), "weights")
+    for done in (own, theirs, *parts):
         remove(done)
-    several = parts.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")))
-    return parts.where("whole").drop("whole").unionByName(several)
+    several = found.where("not whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")))
+    return found.where("whole").drop("whole").unionByName(several)
 
 
 def noise(doc_id) -> F.Column:
