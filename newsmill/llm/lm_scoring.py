@@ -1,19 +1,19 @@
 """Operator 5: language-model scoring with a causal self-attention model on subword ids, in numpy.
 
-A text is its words (A-Z lower-cased), each after one space, as ids of a public byte-level tokenizer, then END. The
-model reads windows of WINDOW ids. Each position attends to itself and those before it, with a learned weight for the
+A text is its words (A-Z lower-cased), each after one space and by itself, as ids of a public byte-level tokenizer, then
+END. The model reads windows of WINDOW ids. Each position attends to itself and those before it, with a learned weight for the
 distance; what it gathers, its own embedding and that of the position before it go through a hidden layer to a softmax
 over CLASSES classes of ids. One component is counted, not learned: which MEMBER of a class follows which id, from all
 pairs in the training texts (a softmax over all ids, for each of some 400 million ids a GB, is out of reach in numpy).
 Frequent ids have a bucket of their own, the others share HASHED ones by corpus frequency; p(next id) sums to one.
 
-Windows overlap by WINDOW - STRIDE: every prediction is made once, in the first window that holds it, and then has at
-least so many positions before it (unless the text begins there). Attention is masked and batched over windows.
+In scoring, windows overlap by WINDOW - STRIDE: every prediction is made once, in the first window that holds it, and then
+has at least so many positions before it (unless the text begins there). In training they lie side by side. Attention is masked and batched over windows.
 
 What is learned, and from what (all training texts, whole):
 - counts of words, ids and pairs of buckets: by Spark aggregation;
 - all other parameters: rounds of local training in Spark tasks. Round r takes the texts of slice r (hashes in
-  SLICES[r] to SLICES[r + 1]), each once and in every window; tasks begin with the same parameters, and Spark averages
+  SLICES[r] to SLICES[r + 1]), each prediction once; tasks begin with the same parameters, and Spark averages
   what they come to in two levels, by windows (an embedding: by how often its bucket was met). Slices grow, since
   averaging matters most in the beginning. Nothing is fitted on the driver.
 
@@ -209,7 +209,7 @@ def first_squares(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: np.full(v.shape, FIRST_SQUARE, np.float32) for k, v in p.items()}
 
 
-def in_windows(sequences: list[np.ndarray]):
+def in_windows(sequences: list[np.ndarray], stride: int = STRIDE):
     """Windows of inputs, their targets, the predictions that count there, and the sequence of each window.
 
     A sequence begins with BEGIN and ends with END; each id after the first is predicted, once.
@@ -217,12 +217,12 @@ def in_windows(sequences: list[np.ndarray]):
     sizes = np.array([len(s) - 1 for s in sequences])
     flat = np.concatenate(sequences)
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    n = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    n = 1 + np.maximum(0, -(-(sizes - WINDOW) // stride))
     of = np.repeat(np.arange(len(sequences)), n)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    place = nth[:, None] * STRIDE + np.arange(WINDOW)
+    place = nth[:, None] * stride + np.arange(WINDOW)
     inside = place < sizes[of][:, None]
-    on = inside & ((nth == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
+    on = inside & ((nth == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - stride))
     at = starts[of][:, None] + np.minimum(place, sizes[of][:, None] - 1)
     return flat[at], flat[at + 1], on, of
 
@@ -256,10 +256,11 @@ def log10_of(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def learn_from(model: Model, sequences: list[np.ndarray], squares: dict) -> int:
-    """Training over every window of the sequences, once; the number of windows."""
-    windows, targets, on, of = in_windows(sequences)
-    for k, skip in steps_of(of):
-        model.learn(windows[k], targets[k], on[k], squares, skip)
+    """Training over every prediction of the sequences, once, in windows side by side; the number of windows."""
+    windows, targets, on, _ = in_windows(sequences, WINDOW)
+    for c in range(0, len(windows), STEP):
+        k = slice(c, c + STEP)
+        model.learn(windows[k], targets[k], on[k], squares)
     return len(windows)
 
 
@@ -290,12 +291,14 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def least_frequent(words: DataFrame) -> int:
-    """The least count of which no more than FREQUENT words have as much, up to 1000 (a histogram of counts comes back)."""
-    above, least = 0, 1001
-    for n, types in sorted(words.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), reverse=True):
+def least_frequent(words: DataFrame, most: int = FREQUENT) -> int:
+    """A count that at most so many words have or exceed, and nearly so many: a histogram of some thousand bins at most
+    (64 to each doubling) comes back. Words of one bin are held all or none."""
+    above, least = 0, 1 << 62
+    bins = words.groupBy(F.floor(F.log2("n") * 64).alias("bin")).agg(F.count("*").alias("types"), F.min("n").alias("least"))
+    for _, types, n in sorted(map(tuple, bins.collect()), reverse=True):
         above += types
-        if above > FREQUENT:
+        if above > most:
             break
         least = n
     return least
@@ -317,7 +320,7 @@ def frequent_words(folder: str) -> dict[bytes, float]:
     return _HELD[folder]
 
 
-_ENCODED = "row long, doc_id string, held_out boolean, slice int, n_tokens long, n_known long, base double, rare array<long>, times array<int>, ids binary"
+_ENCODED = "row long, doc_id string, held_out boolean, round int, n_tokens long, n_known long, base double, rare array<long>, times array<int>, ids binary"
 
 
 def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
@@ -330,15 +333,17 @@ def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
             rows = []
             for t in batch["text"]:
                 words = _words(t)
+                ids = coder.words(words)
                 logs = list(map(frequent.get, words))
                 rare = Counter(compress(words, map(is_, logs, repeat(None))))
                 hashes = [hashed_word(w) for w in rare]
-                rows.append((row, len(words) + 1, len(words) - rare.total(), sum(filter(None, logs)), hashes, list(rare.values()), coder.words(words)))
+                rows.append((row, len(words) + 1, len(words) - rare.total(), sum(filter(None, logs)), hashes, list(rare.values()), ids))
                 row += 1
             out = pd.DataFrame(rows, columns=["row", "n_tokens", "n_known", "base", "rare", "times", "ids"])
-            yield pd.concat([batch[["doc_id", "held_out", "slice"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([batch[["doc_id", "held_out", "round"]].reset_index(drop=True), out], axis=1)
 
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES[-1])).cast("int").alias("slice")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES[-1]))
+    part = sum((part >= low).cast("int") for low in SLICES[1:-1]).alias("round")
     ids = F.col("doc_id").cast("string").alias("doc_id")  # as text: pandas would make doubles of longs beside a null
     return docs.select(ids, "text", "held_out", part).mapInPandas(encode, _ENCODED)
 
@@ -390,14 +395,13 @@ def pair_counts(training: DataFrame, bucket: np.ndarray) -> np.ndarray:
 
 
 def train(training: DataFrame) -> Model:
-    """The model of the training sequences (slice, ids)."""
+    """The model of the training sequences (round, ids)."""
     spark = training.sparkSession
     ids = id_counts(training)
     model = Model(ids, pair_counts(training, buckets_of(ids)))
     squares = first_squares(model.p)
-    for low, high in zip(SLICES, SLICES[1:], strict=False):
-        part = training.where((F.col("slice") >= low) & (F.col("slice") < high)).select("ids")
-        one_round(spark, model, squares, part)
+    for k in range(len(SLICES) - 1):
+        one_round(spark, model, squares, training.where(F.col("round") == k).select("ids"))
     return model
 
 
@@ -463,9 +467,9 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     frequent = new_folder(spark, "frequent-words")
     words.where(F.col("n") >= least_frequent(words)).select("word", F.log10(F.col("n") + 1).alias("log")).repartition(1).write.parquet(frequent)
     with small_batches(spark):
-        texts = write_and_read(encoded(docs, frequent, path), "encoded")
+        texts = write_and_read(encoded(docs, frequent, path), "encoded", ["round"])
         model = train(texts.where(~F.col("held_out")))
-        rows = write_and_read(scored(texts.drop("slice", "rare", "times"), model), "scored")
+        rows = write_and_read(scored(texts.drop("round", "rare", "times"), model), "scored")
 
     @F.pandas_udf("long")
     def hashed(w: pd.Series) -> pd.Series:

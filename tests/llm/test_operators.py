@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsmill.llm import components as cc
 from newsmill.llm import decontamination, lm_scoring, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, url_filters, warc
@@ -371,8 +372,8 @@ def test_lm_learns(spark):
 
 def encoded_rows(spark, texts):
     coder = ByteIds(vocabulary(lm_scoring.TOKENIZER))
-    rows = [(k % lm_scoring.SLICES[-1], coder.words(t.encode().split())) for k, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "slice int, ids binary"), [lm_scoring.sequence(x) for _, x in rows]
+    rows = [(k % (len(lm_scoring.SLICES) - 1), coder.words(t.encode().split())) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "round int, ids binary"), [lm_scoring.sequence(x) for _, x in rows]
 
 
 def test_ids_of_words():
@@ -385,6 +386,22 @@ def test_ids_of_words():
         assert coder.tokenizer.decode(np.frombuffer(e, "<u2").tolist()) == " " + w.decode()
 
 
+def test_frequent_words_are_bounded(spark):
+    """Words above any count are too many to hold when they are more than the bound; a bin is held whole or not."""
+    many = spark.createDataFrame([(b"w%d" % k, 1000 + k % 3) for k in range(50)] + [(b"x", 10**9), (b"y", 5), (b"z", 1)], "word binary, n long")
+    for most, held in ((0, 0), (3, 1), (49, 1), (51, 51), (52, 52), (53, 53), (60, 53)):
+        assert many.where(F.col("n") >= lm_scoring.least_frequent(many, most)).count() == held, most
+    assert lm_scoring.least_frequent(many.where("false")) > 10**18
+
+
+def test_ids_beyond_the_held_words(monkeypatch):
+    texts = [[b"a", b"b", b"a"], [b"c", b"a"], ["é中".encode(), b"\xff", b"b"]]
+    want = [ByteIds(vocabulary(lm_scoring.TOKENIZER)).words(t) for t in texts]
+    monkeypatch.setattr("newsmill.llm.wordcache.HELD_IDS", 2)
+    coder = ByteIds(vocabulary(lm_scoring.TOKENIZER))
+    assert [coder.words(t) for t in texts] == want and len(coder.known) <= 2 and coder.words([]) == b""
+
+
 def test_lm_trains_on_every_text(spark):
     """Each text's own word is met in training: in short texts of every slice, and in all windows of a long one."""
     coder = ByteIds(vocabulary(lm_scoring.TOKENIZER))
