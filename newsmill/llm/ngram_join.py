@@ -10,10 +10,11 @@ the first n - ceil(THRESHOLD n) + 1. Only these are indexed, and mostly they are
 
 The documents of an indexed column form a list. Links are sought in two steps, and lose nothing:
 
-1. every document of a list is compared with the list's first one (as many pairs as list entries, not their square);
-2. in the lists whose documents aren't all connected by then, every pair across components is compared. Short lists
-   are joined; long ones are multiplied in blocks of BLOCK documents inside tasks, which return only links that
-   connect something new.
+1. the row of a list's first document is multiplied with the rows of the others (as many overlaps as list entries, not
+   their square), in blocks of some BLOCK rows;
+2. in the lists whose documents aren't all connected by then, every pair across components is compared. In short lists
+   a document's row is multiplied with its partners' rows likewise; long ones are multiplied block by block inside
+   tasks, which return only links that connect something new.
 
 Equal sets are one node throughout. A shingle's identity is a hash of 48 bits and its column range (54 bits or more).
 
@@ -211,18 +212,44 @@ def _sizes_fit(a, b, percent: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their overlap over all columns."""
+def _row_product(percent: int):
+    """A row of the matrix times a block of other rows: the row's document is `a`, the block's are the others.
+
+    Both are sparse (sorted columns). The entries of the block that meet one of the row's columns are found by one search
+    and counted by document, which is the product; overlaps below the bound that the sizes give are discarded.
+    """
 
-    @F.pandas_udf("long")
-    def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        mine = block["digest"] == block["a"]
+        row, others = block[mine].iloc[0], block[~mine].drop_duplicates("digest")
+        columns = np.frombuffer(row["columns"], "<u8")
+        sets = [np.frombuffer(c, "<u8") for c in others["columns"]]
+        entries, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(columns, entries), len(columns) - 1)
+        both = np.bincount(of[columns[at] == entries], minlength=len(sets))
+        n = others["n_shingles"].to_numpy(np.int64) + int(row["n_shingles"])
+        found = others["digest"][both * 100 >= (n - both) * percent]
+        return pd.DataFrame({"a": [row["a"]] * len(found), "b": found.tolist()}, dtype=object)
 
-    x = nodes.select(F.col("digest").alias("a"), F.col("n_shingles").alias("na"), F.col("columns").alias("ca"))
-    y = nodes.select(F.col("digest").alias("b"), F.col("n_shingles").alias("nb"), F.col("columns").alias("cb"))
-    met = pairs.join(x, "a").join(y, "b").where(_sizes_fit(F.col("na"), F.col("nb"), percent))
-    met = met.withColumn("both", overlap("ca", "cb")).select("a", "b", "na", "nb", "both")
-    return met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
+    return links
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link: rows a of the incidence matrix times blocks of their partners' rows. Partners
+    whose sizes alone rule a link out don't come into a block."""
+    pairs = write_and_read(pairs, "pairs")
+    size = nodes.select(F.col("digest").alias("a"), F.col("n_shingles").alias("na"))
+    met = pairs.join(size, "a").join(nodes.select(F.col("digest").alias("b"), "n_shingles", "columns"), "b").where(_sizes_fit(F.col("na"), F.col("n_shingles"), percent))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")
+    others = met.join(blocks, "a").select("a", block, F.col("b").alias("digest"), "n_shingles", "columns")
+    rows = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(nodes.withColumn("a", F.col("digest")).select("a", "digest", "n_shingles", "columns"), "a")
+    return others.unionByName(rows).groupBy("a", "block").applyInPandas(_guarded(_row_product(percent)), "a binary, b binary")
+
+
+def _guarded(links):
+    """links() of the blocks that have others beside their row."""
+    return lambda block: links(block) if (block["digest"] != block["a"]).any() else pd.DataFrame({"a": [], "b": []}, dtype=object)
 
 
 def _product(percent: int):
