@@ -7,13 +7,16 @@ checks explode claims and citations, join them to the sources and compare; a sum
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import constants as C
 from ..functions.text import forbidden, numbers, sentences
+from .lineage import cut
 
 Provider = Callable[[DataFrame], DataFrame]
 CLAIMS = "array<struct<text:string,evidence:array<struct<item_id:string,quote:string>>>>"
@@ -135,27 +138,47 @@ def all_or_null(value: Column) -> Column:
     return F.when(F.bool_and(value.isNotNull()), F.sum(value))
 
 
-def within_budget(requests: DataFrame, limit_usd: float) -> DataFrame:
-    """requests (seq, ceiling) and reserved: first come, first served; a refused one takes nothing.
+def within_budget(requests: DataFrame, limit_usd: float, rounds: int = 32) -> DataFrame:
+    """requests (seq, which has no ties, and ceiling) and reserved: first come, first served; a refused one takes nothing, and
+    one without a ceiling is refused. Amounts are exact to eight decimals.
 
-    What a request may take depends on all before it, so one task walks their sorted (seq, ceiling), holding one sum.
+    Requests are cut into ranges of seq. What the ranges take together tells in which one the budget is met, and that one
+    alone is summed row by row, up to the first request that is refused. From there on only requests that what is left
+    could hold are looked at, in the same way; so a round ends with a refusal, and every other request up to it is
+    reserved. If that takes more than so many rounds, one task walks what little is left of the budget.
     """
     if not 0 < limit_usd <= 10:
         raise ValueError("the budget must be above 0 and at most 10 USD")
+    seq, ceiling = F.col("seq").cast("long"), F.col("ceiling").cast("decimal(28,8)")
+    rows = requests.select(seq.alias("seq"), ceiling.alias("ceiling")).where("ceiling is not null")
+    rows = cut(rows.repartitionByRange("seq").withColumn("span", F.spark_partition_id()))
+    left, after, reserved = Decimal(str(limit_usd)).quantize(Decimal("1e-8")), None, F.lit(False)
+    for _ in range(rounds):
+        may = (F.col("ceiling") <= F.lit(left)) & (F.col("seq") > after if after is not None else F.lit(True))
+        taken = rows.where(may).groupBy("span").agg(F.sum("ceiling").alias("total"))
+        met = taken.withColumn("upto", F.sum("total").over(Window.orderBy("span"))).where(F.col("upto") > F.lit(left)).orderBy("span").first()
+        fits = (ceiling <= F.lit(left)) & (seq > after if after is not None else F.lit(True))
+        if met is None:
+            return requests.withColumn("reserved", F.coalesce(reserved | fits, F.lit(False)))
+        inside = rows.where(may & (F.col("span") == met["span"])).withColumn("upto", F.sum("ceiling").over(Window.orderBy("seq")) + F.lit(met["upto"] - met["total"]))
+        refused = inside.where(F.col("upto") > F.lit(left)).orderBy("seq").first()
+        reserved = reserved | (fits & (seq < refused["seq"]))
+        left, after = left - (refused["upto"] - refused["ceiling"]), refused["seq"]
 
     def walk(batches):
-        used = 0.0
+        room = left
         for batch in batches:
-            taken = []
-            for seq, ceiling in zip(batch["seq"].tolist(), batch["ceiling"].tolist(), strict=True):
-                if used + ceiling <= limit_usd:
-                    used += ceiling
-                    taken.append(seq)
-            yield pd.DataFrame({"seq": pd.Series(taken, dtype="int64")})
-
-    rows = requests.select(F.col("seq").cast("long").alias("seq"), F.col("ceiling").cast("double").alias("ceiling"))
-    taken = rows.repartition(1).sortWithinPartitions("seq").mapInPandas(walk, "seq long").withColumn("reserved", F.lit(True))
-    return requests.join(taken, "seq", "left").withColumn("reserved", F.coalesce("reserved", F.lit(False)))
+            found = []
+            for number, price in zip(batch["seq"].tolist(), batch["ceiling"].tolist(), strict=True):
+                if price <= room:
+                    room -= price
+                    found.append(number)
+            yield pd.DataFrame({"walked": pd.Series(found, dtype="int64")})
+
+    rest = rows.where((F.col("seq") > after) & (F.col("ceiling") <= F.lit(left))).select("seq", "ceiling")
+    walked = rest.repartition(1).sortWithinPartitions("seq").mapInPandas(walk, "walked long")
+    out = requests.join(walked, seq == F.col("walked"), "left")
+    return out.withColumn("reserved", F.coalesce(reserved, F.lit(False)) | F.col("walked").isNotNull()).drop("walked")
 
 
 def quoted(texts: DataFrame, quotes: DataFrame, key: str = "doc_id", run: int = 8, letters: int = 8) -> DataFrame:

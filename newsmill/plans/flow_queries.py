@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.hashing import canonical_text
-from ..operators import audit, event_log, gates, readiness, summaries, whispers
+from ..operators import audit, event_log, gates, readiness, replay, summaries, whispers
 from ..operators.lineage import cut
 from ..sources import calendar as calendar_source
 from ..sources import dataset, rss
@@ -148,6 +148,35 @@ def log_append_replay(spark: SparkSession, sf: str) -> DataFrame:
     return event_log.replayed(back).select("record_id", "stream_name", "stream_key", "sequence", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))
 
 
+@query("""
+WITH e AS (SELECT event_id, ts, 'r' || event_id AS record_id, CAST(user_id AS VARCHAR) AS stream_key, CAST(event_id % 4 + 1 AS BIGINT) AS place, ['ingestion-raw-payloads', 'ingestion-normalized-items', 'ingestion-malformed-items', 'ingestion-runs'][CAST(event_id % 4 + 1 AS INT)] AS stream_name FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY stream_name, stream_key ORDER BY ts, event_id) - 1 AS sequence FROM e),
+m AS (SELECT ts, place, sequence, record_id FROM s ORDER BY abs(event_id - (SELECT max(event_id) * 2 // 3 FROM events)), event_id LIMIT 1)
+SELECT s.stream_name, s.stream_key, count(*) AS records, CAST(max(s.sequence) AS BIGINT) AS last, CAST(sum(event_id) AS BIGINT) AS events FROM s, m WHERE (s.ts, s.place, s.sequence, s.record_id) <= (m.ts, m.place, m.sequence, m.record_id) GROUP BY 1, 2""")
+def replay_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the ingestion streams' records: a snapshot as of one of them, stored, and resumed up to a later one."""
+    _checkpointed(spark)
+    e = table(spark, sf, "events")
+    name = F.get(F.array(*map(F.lit, replay.DOMAINS["ingestion"])), (F.col("event_id") % 4).cast("int"))
+    rows = e.select(
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("record_id"), name.alias("stream_name"), F.col("user_id").cast("string").alias("stream_key"), F.col("ts").cast("timestamp").alias("recorded_at"), F.lit("v1").alias("schema_version"),
+        F.lit("p1").alias("producer_version"), F.lit("ingestion").alias("source_phase"), F.lit(None).cast("string").alias("reason"), F.to_json(F.struct("event_id")).alias("payload"), "event_id",
+    )
+    log = event_log.sequenced(rows, None, ["recorded_at", "event_id"]).withColumns({"payload_hash": F.lit(""), "contract_version": F.lit(event_log.CONTRACT)})
+    log = cut(log.drop("event_id"))
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    near = lambda k: e.orderBy(F.abs(F.col("event_id") - k), "event_id").select("event_id", "ts").first()
+    early, late = near(most // 3), near(most * 2 // 3)
+    if late is None:
+        history = log
+    else:
+        folder = _folder(spark, "snapshot")
+        replay.store(replay.replay(log, "ingestion", f"r{early[0] if early[1] < late[1] else late[0]}"), folder)
+        history = replay.resume(spark, folder, log, "ingestion", f"r{late[0]}")
+    rows = history.withColumn("event_id", F.get_json_object("payload", "$.event_id").cast("long"))
+    return rows.groupBy("stream_name", "stream_key").agg(F.count("*").alias("records"), F.max("sequence").alias("last"), F.sum("event_id").alias("events"))
+
+
 @query("""
 WITH v AS (SELECT event_id, user_id, event_id % 10 = 0 AS suppressed FROM events),
 d AS (SELECT event_id AS seq, user_id, epoch_ms(ts) + 7200000 > 1704153600000 AS live FROM events WHERE event_id % 40 = 1),
@@ -244,6 +273,19 @@ def provider_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", summaries.provider_outcome().alias("outcome"))
 
 
+@query("""
+WITH RECURSIVE r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, CASE WHEN event_id % 41 <> 0 THEN CAST(event_id * 7919 % 1000 + 1 AS DECIMAL(18,8)) / 1000 END AS ceiling FROM events),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS DECIMAL(18,8)) AS used, FALSE AS reserved
+  UNION ALL SELECT r.k, CAST(CASE WHEN used + ceiling <= 7.5 THEN used + ceiling ELSE used END AS DECIMAL(18,8)), coalesce(used + ceiling <= 7.5, FALSE) FROM w JOIN r ON r.k = w.k + 1)
+SELECT event_id, reserved FROM w JOIN r ON w.k = r.k""")
+def budget_reservations(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as priced requests of one budget, some without a price: first come, first served."""
+    _checkpointed(spark)
+    price = F.expr("CASE WHEN event_id % 41 <> 0 THEN cast(event_id * 7919 % 1000 + 1 AS decimal(18,8)) / 1000 END")
+    requests = table(spark, sf, "events").select("event_id", F.col("event_id").alias("seq"), price.alias("ceiling"))
+    return summaries.within_budget(requests, 7.5).select("event_id", "reserved")
+
+
 @query("""
 WITH g AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'skipped' END AS status, count(*) AS calls, bool_and(event_id % 9973 <> 0) AS known, sum(event_id % 100) AS cost FROM events GROUP BY user_id)
 SELECT count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'skipped') AS skipped, CAST(sum(calls) AS BIGINT) AS calls, CASE WHEN bool_and(known) THEN CAST(sum(cost) AS BIGINT) END AS cost FROM g""")

@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import UTC, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -457,3 +458,32 @@ def test_readiness(spark):
     fails = spark.createDataFrame([("network_timeout", True, 1), ("network_timeout", True, 2), ("network_timeout", True, 3), ("empty_payload", True, 1), ("network_timeout", False, 1)], "failure_code string, retryable boolean, attempt int")
     plan = {(r.failure_code, r.retryable, r.attempt): (r.retry_reason, r.delay_ms) for r in readiness.retry_plan(fails, lit_now()).collect()}
     assert plan == {("network_timeout", True, 1): ("scheduled_backoff", 1000), ("network_timeout", True, 2): ("scheduled_backoff", 2000), ("network_timeout", True, 3): ("max_attempts_reached", None), ("empty_payload", True, 1): ("failure_code_not_in_policy", None), ("network_timeout", False, 1): ("failure_not_retryable", None)}
+
+
+def plain_budget(rows, limit):
+    left, out = Decimal(str(limit)), set()
+    for seq, price in sorted(rows):
+        if price is not None and price <= left:
+            left -= price
+            out.add(seq)
+    return out
+
+
+@pytest.mark.parametrize(("kind", "rounds"), [("even", 32), ("mixed", 32), ("mixed", 1), ("shrinking", 3), ("fits", 32)])
+def test_budget_equals_the_walk(spark, kind, rounds):
+    rng = random.Random(5)
+    price = {"even": lambda k: Decimal("0.0123"), "mixed": lambda k: Decimal(rng.randrange(1, 10**8)) / 10**8, "shrinking": lambda k: Decimal(2) / 1000 if k % 2 else Decimal(999 - k // 2) / 1000, "fits": lambda k: Decimal("0.00001")}[kind]
+    rows = [(k * 3, None if k % 50 == 7 else price(k)) for k in range(400)]
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    got = summaries.within_budget(spark.createDataFrame(rows, "seq long, ceiling decimal(18,8)").repartition(5), 1.0, rounds)
+    assert got.columns == ["seq", "ceiling", "reserved"]
+    assert {r.seq for r in got.where("reserved").collect()} == plain_budget(rows, 1.0) and got.count() == 400
+
+
+def test_budget_of_many_requests(spark):
+    """A million requests: what is reserved sums up to the budget as the walk has it."""
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    rows = spark.range(1_000_000).select(F.col("id").alias("seq"), ((F.col("id") * 7919 % 10_007 + 1) / 10_000_000).cast("decimal(18,8)").alias("ceiling"))
+    want = plain_budget([(k, (Decimal(k * 7919 % 10_007 + 1) / 10_000_000).quantize(Decimal("1e-8"))) for k in range(30_000)], 10)
+    got = summaries.within_budget(rows, 10.0).where("reserved")
+    assert got.count() == len(plain_budget([(k, (Decimal(k * 7919 % 10_007 + 1) / 10_000_000).quantize(Decimal("1e-8"))) for k in range(1_000_000)], 10)) and got.where("seq < 30000").count() == len(want)
