@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,29 +43,32 @@ GROUPS, LONG_SHARES = 40, (0.3, 0.4, 0.5)
 ROWS_EACH = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A document's number, which tells equal rows apart.
+_ROW = "row long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Token pieces of all documents; no shuffle."""
+    """Token pieces of all documents, and each document's number (row); no shuffle."""
 
     def cut(batches):
         coder = of_worker(WordIds, path)
         end = np.array([end_id], "<u4").tobytes()
-        step = 4 * capacity
+        step, row = 4 * capacity, TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             keys = [None if i is None else int(i) for i in batch["doc_id"]]
             for a, b in slices(texts):
                 rows = []
                 for key, ids in zip(keys[a:b], coder.texts(texts[a:b]), strict=True):
+                    row += 1
                     ids += end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
-                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
+                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), row))
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"], dtype=object)
 
     ids = F.col("doc_id").cast("long").cast("string").alias("doc_id")  # as text: pandas would make doubles of longs beside a null
-    return docs.select(ids, "text").mapInPandas(cut, PIECES)
+    return docs.select(ids, "text").mapInPandas(cut, f"{PIECES}, {_ROW}")
 
 
 @dataclass
@@ -230,12 +234,13 @@ def _places(classes: list[Class]) -> dict[str, np.ndarray]:
 
 
 def numbered(rows: DataFrame, hist: dict[int, int], rows_each: int = ROWS_EACH) -> DataFrame:
-    """rows with `number`: 0, 1, ... among the rows of a length. A task numbers one bucket of one length."""
+    """rows with `number`: 0, 1, ... among the rows of a length. A task numbers one bucket of one length; equal rows are
+    dealt apart by their own numbers."""
     buckets = -(-max(hist.values(), default=1) // rows_each)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
     first = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begin = rows.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(first), F.lit(0)).alias("begin"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "bucket").orderBy("row", "piece")
     out = rows.withColumn("nth", F.row_number().over(order)).join(begin, ["length", "bucket"])
     return out.withColumn("number", F.col("begin") + F.col("nth") - 1).drop("bucket", "nth", "begin")
 

@@ -62,7 +62,7 @@ def numbered(rows: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     """Adds slot: 0, 1, ... within each shard, by (doc_id, text_crc32, size).
 
     Equal rows are counted before the shuffle and numbered from their count, so that a key that holds a third of all
-    rows is one row here. Ids are cut into ranges at quantiles; a task numbers one range of one shard and the ranges'
+    rows is one row here; its copies come back in chunks. Ids are cut into ranges at quantiles; a task numbers one range of one shard and the ranges'
     sums (shards x ranges rows) give where each begins.
     """
     keys = ["shard", "grown_shard", "doc_id", "text_crc32", "size"]
@@ -87,7 +87,15 @@ def numbered(rows: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     order = Window.partitionBy("shard", "span").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "grown_shard")
     placed = once.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(before, ["shard", "span"])
-    return placed.select(*keys, F.explode(F.sequence(F.col("first") + F.col("upto") - F.col("copies"), F.col("first") + F.col("upto") - 1)).alias("slot"))
+    placed = placed.select(*keys, "copies", (F.col("first") + F.col("upto") - F.col("copies")).alias("begin"))
+    slots = lambda begin, end: F.explode(F.sequence(begin, end)).alias("slot")
+    few = placed.where(F.col("copies") <= rows_each).select(*keys, slots(F.col("begin"), F.col("begin") + F.col("copies") - 1))
+    # a row of more copies is dealt in chunks before they become rows
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / rows_each))).alias("chunk")
+    many = placed.where(F.col("copies") > rows_each).select(*keys, "begin", "copies", chunk).repartition(*keys, "chunk")
+    low = F.col("begin") + F.col("chunk") * rows_each
+    many = many.select(*keys, slots(low, F.least(low + rows_each, F.col("begin") + F.col("copies")) - 1))
+    return few.unionByName(many)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsmill.llm import common, decontamination, queries, sharding, stages, url_filters, warc
+from newsmill.llm import common, decontamination, packing, queries, sharding, stages, url_filters, warc
+from newsmill.llm.wordcache import vocabulary
 
 IDS = [(1 << 60) + 1, None, (1 << 60) + 3, 7]
 ITEM = "one two three four five six seven eight nine ten eleven"
@@ -87,3 +88,16 @@ def test_helper_columns_of_pages(spark, folder):
 
 def test_spare_names(spark):
     assert common.spare(spark.createDataFrame([(1, 2, 3)], "A int, _a int, b int"), "a", "b", "c", "C") == ["__a", "_b", "c", "_C"]
+
+
+def test_one_row_two_hundred_thousand_times(spark):
+    """Its copies are dealt to several tasks, by sharding and by packing."""
+    hot = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one two").alias("text"))
+    rows = hot.select("doc_id", F.lit(3).alias("shard"), F.lit(3).alias("grown_shard"), F.lit(1).cast("long").alias("text_crc32"), F.lit(9).cast("long").alias("size"))
+    found = sharding.numbered(rows).withColumn("task", F.spark_partition_id())
+    assert found.agg(F.countDistinct("slot"), F.min("slot"), F.max("slot")).first()[:] == (200_000, 0, 199_999)
+    packed = packing.pack(hot)
+    assert packed.agg(F.count("*"), F.countDistinct("sequence_id", "offset")).first()[:] == (200_000, 200_000)
+    lengths = packing.pieces(hot.limit(1000).repartition(3), vocabulary(packing.TOKENIZER))
+    numbers = packing.numbered(lengths, {3: 1000}, 50)
+    assert sorted(r.number for r in numbers.collect()) == list(range(1000))
