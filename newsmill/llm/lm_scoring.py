@@ -1,7 +1,7 @@
 """Operator 5: language-model scoring with a causal self-attention model on subword ids, in numpy.
 
-A text is its words (A-Z lower-cased), each after one space and by itself, as ids of a public byte-level tokenizer, then
-END. The model reads windows of WINDOW ids. Each position attends to itself and those before it, with a learned weight for the
+A text is its words (A-Z lower-cased), each after one space, as ids of a public byte-level tokenizer, then END. The
+model reads windows of WINDOW ids. Each position attends to itself and those before it, with a learned weight for the
 distance; what it gathers, its own embedding and that of the position before it go through a hidden layer to a softmax
 over CLASSES classes of ids. One component is counted, not learned: which MEMBER of a class follows which id, from all
 pairs in the training texts (a softmax over all ids, for each of some 400 million ids a GB, is out of reach in numpy).
@@ -53,8 +53,8 @@ WIDTH, HEAD, HIDDEN = 16, 8, 24
 RATE, FIRST_SQUARE, PRIOR = 0.2, 1.0, 2.0
 #: Bounds of the rounds' slices among 64 hash values.
 SLICES = (0, 1, 2, 4, 8, 16, 32, 64)
-#: Windows of a step, and ids whose windows are there at once.
-STEP, AT_ONCE = 256, 200_000
+#: Windows of a step in training, and of a batch in scoring; and ids whose windows are there at once.
+STEP, BATCH, AT_ONCE = 512, 1024, 200_000
 #: Words whose counts every task holds, at most; and words that a counting task holds before it passes them on.
 FREQUENT, HELD_WORDS = 400_000, 200_000
 FOLDS, HELD_OUT = 7, 2
@@ -231,8 +231,8 @@ def steps_of(of: np.ndarray):
     """Batches of windows with the position from which they count: 0 for the first of a sequence."""
     first = np.r_[True, of[1:] != of[:-1]]
     for part, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
-        for c in range(0, len(part), STEP):
-            yield part[c : c + STEP], skip
+        for c in range(0, len(part), BATCH):
+            yield part[c : c + BATCH], skip
 
 
 def sequence(ids: bytes) -> np.ndarray:

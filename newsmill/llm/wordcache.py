@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
 #: ASCII white space, that all the splitting rules agree on.
 _SPACE = " \t\n\r\x0b\x0c"
@@ -21,8 +20,6 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 _ENDS = ".,!?;:"
 #: Words that a worker remembers; more are encoded again when met again.
 CACHE_WORDS = 500_000
-#: Words whose 16-bit ids a worker remembers.
-HELD_IDS = 250_000
 #: Words whose encodings, a hundred times larger than their ids, are there at once.
 ENCODE_AT_ONCE = 10_000
 
@@ -138,16 +135,12 @@ class ByteIds:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.tokenizer = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        self.known: dict[bytes, bytes] = {}
 
     def words(self, words: list[bytes]) -> bytes:
-        """The ids of all words in a row. A worker encodes a word once, as long as HELD_IDS words are enough."""
-        known, encode = self.known, self.tokenizer.encode_ordinary
-        new = {w: array("H", encode(" " + w.decode("utf-8", "replace"))).tobytes() for w in set(words) if w not in known}
-        if len(known) + len(new) <= HELD_IDS:
-            known.update(new)
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([known.get(w) or new[w] for w in words])
+        if not words:
+            return b""
+        text = " " + b" ".join(words).decode("utf-8", "replace")
+        return self.tokenizer.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
 
 _OPEN: dict[tuple, object] = {}

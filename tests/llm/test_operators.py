@@ -394,14 +394,6 @@ def test_frequent_words_are_bounded(spark):
     assert lm_scoring.least_frequent(many.where("false")) > 10**18
 
 
-def test_ids_beyond_the_held_words(monkeypatch):
-    texts = [[b"a", b"b", b"a"], [b"c", b"a"], ["é中".encode(), b"\xff", b"b"]]
-    want = [ByteIds(vocabulary(lm_scoring.TOKENIZER)).words(t) for t in texts]
-    monkeypatch.setattr("newsmill.llm.wordcache.HELD_IDS", 2)
-    coder = ByteIds(vocabulary(lm_scoring.TOKENIZER))
-    assert [coder.words(t) for t in texts] == want and len(coder.known) <= 2 and coder.words([]) == b""
-
-
 def test_lm_trains_on_every_text(spark):
     """Each text's own word is met in training: in short texts of every slice, and in all windows of a long one."""
     coder = ByteIds(vocabulary(lm_scoring.TOKENIZER))
