@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.hashing import canonical_text
-from ..operators import audit, event_log, gates, readiness, replay, summaries, whispers
+from ..operators import attempts, audit, event_log, gates, readiness, replay, summaries, whispers
 from ..operators.lineage import cut
 from ..sources import calendar as calendar_source
 from ..sources import dataset, rss
@@ -286,6 +286,50 @@ def budget_reservations(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.within_budget(requests, 7.5).select("event_id", "reserved")
 
 
+#: A request's ceiling in USD, and the run's budget.
+_CEILING, _RUN_BUDGET = 0.0009, 9.0
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_id % 9 <> 4 AS eligible, event_id % 37 <> 0 AS known, CASE event_id % 13 WHEN 0 THEN 'timeout' WHEN 1 THEN 'network' END AS error, event_id % 6 AS h, event_id % 5 AS j FROM events),
+r1 AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM e WHERE eligible AND known), a1 AS (SELECT event_id FROM r1 WHERE k <= {int(_RUN_BUDGET / _CEILING + 1e-9)}),
+t1 AS (SELECT e.* FROM e JOIN a1 ON e.event_id = a1.event_id), r2 AS (SELECT event_id, row_number() OVER (ORDER BY event_id) + (SELECT count(*) FROM a1) AS k FROM t1 WHERE error IS NULL AND h IN (1, 2)),
+a2 AS (SELECT event_id FROM r2 WHERE k <= {int(_RUN_BUDGET / _CEILING + 1e-9)}), r3 AS (SELECT a2.event_id, row_number() OVER (ORDER BY a2.event_id) + (SELECT count(*) FROM a1) + (SELECT count(*) FROM a2) AS k FROM a2 JOIN e ON a2.event_id = e.event_id WHERE h = 2),
+a3 AS (SELECT event_id FROM r3 WHERE k <= {int(_RUN_BUDGET / _CEILING + 1e-9)}),
+s AS (SELECT e.*, CAST((a1.event_id IS NOT NULL) AS INT) + CAST((a2.event_id IS NOT NULL) AS INT) + CAST((a3.event_id IS NOT NULL) AS INT) AS calls,
+  CASE WHEN NOT eligible THEN 'ineligible_source_time' WHEN a1.event_id IS NULL THEN 'budget_exceeded_or_unpriced_model@provider' WHEN error = 'timeout' THEN 'provider_timeout@provider' WHEN error = 'network' THEN 'provider_network_error@provider'
+    WHEN h = 3 THEN 'provider_http_404@provider' WHEN h IN (1, 2) AND a2.event_id IS NULL OR h = 2 AND a3.event_id IS NULL THEN 'budget_exceeded_or_unpriced_model@provider' WHEN h = 2 THEN 'provider_http_503@provider'
+    WHEN j = 1 THEN 'evidence_mismatch@claims.0.evidence.0' WHEN j = 2 THEN 'unsupported_number@headline' WHEN j = 3 THEN 'invalid_output_json@provider' END AS issue
+  FROM e LEFT JOIN a1 ON e.event_id = a1.event_id LEFT JOIN a2 ON e.event_id = a2.event_id LEFT JOIN a3 ON e.event_id = a3.event_id)
+SELECT event_id AS generation_id, CASE WHEN NOT eligible THEN 'skipped' WHEN issue IS NULL THEN 'accepted' ELSE 'rejected' END AS status, coalesce(issue, '') AS issues, CAST(calls AS BIGINT) AS calls,
+  CASE WHEN NOT eligible THEN 0 WHEN calls = 0 OR error IS NOT NULL OR h IN (1, 2, 3) THEN NULL ELSE CAST((event_id % 100) * 40 + 160 AS BIGINT) END AS cost FROM s""")
+def generation_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as generations of a run: attempts that fail, are retried or exceed the budget, and answers of all kinds.
+    Cost in hundred-millionths of a dollar, of those whose every attempt tells its usage."""
+    _checkpointed(spark)
+    e = table(spark, sf, "events").select("event_id")
+    text = F.concat(F.lit("Orders of lot "), F.col("event_id").cast("string"), F.lit(" rose in the spring."))
+    requests = e.select(F.col("event_id").alias("generation_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 9 != 4).alias("eligible"), F.when(F.col("event_id") % 37 != 0, F.lit(_CEILING).cast("decimal(18,8)")).alias("ceiling"))
+    items = e.select(F.col("event_id").alias("generation_id"), F.lit("item").alias("item_id"), text.alias("text"))
+    k = F.col("generation_id")
+
+    def ask(rows: DataFrame) -> DataFrame:
+        h, j = k % 6, k % 5
+        status = F.when(h == 3, 404).when((h == 1) & (F.col("number") == 1), 429).when(h == 2, 503).otherwise(200)
+        quote = F.concat(F.lit("Orders of lot "), k.cast("string"), F.when(j == 1, F.lit(" fell")).otherwise(F.lit(" rose")))
+        head = F.when(j == 2, F.lit("A headline of 7.25%")).otherwise(F.lit("A headline"))
+        evidence = F.array(F.struct(F.lit("item").alias("itemId"), quote.alias("quote")))
+        json = F.to_json(F.struct(F.lit("summary-v1").alias("schemaVersion"), head.alias("headline"), F.array(F.struct(F.lit("Orders rose").alias("text"), evidence.alias("evidence"))).alias("claims"), F.array(F.lit("one source")).alias("uncertainty")))
+        used = lambda n: F.when((status == 200) & (k % 13 > 1), n)
+        return rows.select(
+            "generation_id", F.when(k % 13 == 0, "timeout").when(k % 13 == 1, "network").alias("error"), status.alias("http_status"), F.lit(True).alias("envelope_ok"), F.lit(False).alias("refused"), F.lit("completed").alias("envelope_status"),
+            (j != 3).alias("output_json_ok"), json.alias("json"), F.lit(summaries.MODELS[1]).alias("model"), used(k % 100).alias("tokens_in"), used(F.lit(0)).alias("tokens_cached"), used(F.lit(1)).alias("tokens_out"),
+        )
+
+    done = attempts.run(requests, ask, items, _RUN_BUDGET).generations
+    return done.select("generation_id", "status", F.array_join("issues", ";").alias("issues"), "calls", (F.col("cost") * 100_000_000).cast("long").alias("cost"))
+
+
 @query("""
 WITH g AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'skipped' END AS status, count(*) AS calls, bool_and(event_id % 9973 <> 0) AS known, sum(event_id % 100) AS cost FROM events GROUP BY user_id)
 SELECT count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'skipped') AS skipped, CAST(sum(calls) AS BIGINT) AS calls, CASE WHEN bool_and(known) THEN CAST(sum(cost) AS BIGINT) END AS cost FROM g""")
