@@ -1,4 +1,7 @@
-"""Canonical URLs as a Column expression for absolute URLs; what doesn't parse gives null."""
+"""Canonical URLs as a Column expression, by the URL standard's rules for absolute URLs; what doesn't parse gives null.
+
+Hosts are lower-cased only: no IDNA, no percent-decoding, no shortening of addresses.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +10,53 @@ from pyspark.sql import functions as F
 
 from ..constants import TRACKING_PARAMETERS
 
+_SHAPE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\\s]+)((?:[/\\][^?#]*)?)(?:\?([^#]*))?(?:#.*)?$"
+#: Ports that go without saying, of the schemes whose paths may be written with backslashes (fixed values).
+_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
+#: One character that a path holds percent-encoded.
+_ENCODED = r'[\x00-\x20"#<>?`{}\x7F]|[^\x00-\x7F]'
+_DOT, _DOTS = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+
+def _path_encoded(path: Column) -> Column:
+    one = lambda c: F.when(c.rlike(_ENCODED), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    letters = F.regexp_extract_all(path, F.lit(r"(?s)(.)"), 1)
+    return F.when(path.rlike(_ENCODED), F.array_join(F.transform(letters, one), "")).otherwise(path)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose dot segments are gone: a fold that keeps the segments so far; `..` takes the last one off."""
+    parts = F.split(F.substring(path, F.lit(2), F.char_length(path)), "/", -1)
+    none = F.array().cast("array<string>")
+    step = lambda kept, s: F.when(s.rlike(_DOTS), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s.rlike(_DOT), kept).otherwise(F.concat(kept, F.array(s)))
+    last = F.element_at(parts, -1)
+    folded = F.concat(F.aggregate(parts, none, step), F.when(last.rlike(_DOT) | last.rlike(_DOTS), F.array(F.lit(""))).otherwise(none))
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(path)
+
+
+def _parameters(query: Column) -> Column:
+    """(name, value) of a form-encoded query; percent signs that begin no code stand for themselves."""
+    decoded = lambda c: F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    at = lambda p: F.locate("=", p)
+    name = lambda p: F.when(at(p) == 0, p).otherwise(F.substring(p, F.lit(1), at(p) - 1))
+    value = lambda p: F.when(at(p) == 0, "").otherwise(F.substring(p, at(p) + 1, F.char_length(p)))
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(decoded(name(p)).alias("name"), decoded(value(p)).alias("value")))
+
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment or tracking parameter; slashes at the end of a path go
-    unless a query follows. Hosts with and without www, and http and https, stay apart."""
-    trimmed = F.trim(url)
-    shape = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-    at = lambda k: F.regexp_extract(trimmed, shape, k)
-    scheme = F.lower(at(1))
-    host = F.lower(at(2))
-    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
-    path = F.when(at(3) == "", "/").otherwise(F.replace(at(3), F.lit(" "), F.lit("%20")))
-    tracked = lambda p: F.lower(F.element_at(F.split(p, "="), 1)).isin(TRACKING_PARAMETERS)
-    kept = F.filter(F.split(at(4), "&"), lambda p: (p != "") & ~tracked(p))
-    query = F.array_join(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    """Lower-case scheme and host, no default port, fragment, dot segment or tracking parameter; the path percent-encoded,
+    the parameters form-encoded; slashes at the end of a path go unless a query follows. Hosts with and without www, and
+    http and https, stay apart."""
+    trimmed = F.regexp_replace(F.regexp_replace(url, r"^[\s\x{A0}\x{FEFF}\p{Z}\x00-\x1F]+|[\s\x{A0}\x{FEFF}\p{Z}\x00-\x1F]+$", ""), r"[\t\n\r]", "")
+    at = lambda k: F.regexp_extract(trimmed, _SHAPE, k)
+    scheme, who = F.lower(at(1)), F.regexp_extract(at(2), r"^(.*@)?", 0)
+    host = F.lower(F.substring(at(2), F.char_length(who) + 1, F.char_length(at(2))))
+    for name, port in _PORTS.items():
+        host = F.when(scheme == name, F.regexp_replace(host, f":(0*{port})?$", "")).otherwise(host)
+    path = F.when(scheme.isin(*_PORTS), F.translate(at(3), "\\", "/")).otherwise(at(3))
+    path = _without_dots(_path_encoded(F.when(path == "", "/").otherwise(path)))
+    kept = F.filter(_parameters(at(4)), lambda p: ~F.lower(p["name"]).isin(TRACKING_PARAMETERS))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
     short = F.when((query == "") & (F.char_length(path) > 1), F.regexp_replace(path, "/+$", "")).otherwise(path)
-    out = F.concat(scheme, F.lit("://"), host, F.when(short == "", "/").otherwise(short), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(trimmed.rlike(shape), out)
+    out = F.concat(scheme, F.lit("://"), who, host, F.when(short == "", "/").otherwise(short), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(trimmed.rlike(_SHAPE), out)

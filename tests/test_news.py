@@ -487,3 +487,20 @@ def test_budget_of_many_requests(spark):
     want = plain_budget([(k, (Decimal(k * 7919 % 10_007 + 1) / 10_000_000).quantize(Decimal("1e-8"))) for k in range(30_000)], 10)
     got = summaries.within_budget(rows, 10.0).where("reserved")
     assert got.count() == len(plain_budget([(k, (Decimal(k * 7919 % 10_007 + 1) / 10_000_000).quantize(Decimal("1e-8"))) for k in range(1_000_000)], 10)) and got.where("seq < 30000").count() == len(want)
+
+
+URLS = {
+    "https://e.com": "https://e.com/", "HTTPS://E.COM/A": "https://e.com/A", "https://e.com:443/a": "https://e.com/a", "http://e.com:443/a": "http://e.com:443/a", "http://e.com:/a": "http://e.com/a", "ftp://e.com:21/a": "ftp://e.com/a",
+    "https://User:Pw@E.com/a": "https://User:Pw@e.com/a", "https://e.com/a/../b": "https://e.com/b", "https://e.com/a/./b": "https://e.com/a/b", "https://e.com/..": "https://e.com/", "https://e.com/a/..": "https://e.com/", "https://e.com/a/b/..": "https://e.com/a",
+    "https://e.com/../../x": "https://e.com/x", "https://e.com/a/%2E%2e/b": "https://e.com/b", "https://e.com/a/.%2E/b/%2e": "https://e.com/b", "https://e.com/a/.../b": "https://e.com/a/.../b", "https://e.com/a//b": "https://e.com/a//b", "https://e.com/a//../b": "https://e.com/a/b",
+    "https://e.com/a/b/../?q=1": "https://e.com/a/?q=1", "https://e.com/a\\b\\..\\c": "https://e.com/a/c", "https://e.com/é": "https://e.com/%C3%A9", "https://e.com/a b": "https://e.com/a%20b", "https://e.com/\U0001f600": "https://e.com/%F0%9F%98%80", 'https://e.com/"<>`{}': "https://e.com/%22%3C%3E%60%7B%7D",
+    "https://e.com/%c3%a9%zz": "https://e.com/%c3%a9%zz", "https://e.com/a+b|[~]": "https://e.com/a+b|[~]", "https://e.com/?q=1 2": "https://e.com/?q=1+2", "https://e.com/?q=1+2&r=%20": "https://e.com/?q=1+2&r=+", "https://e.com/?q=é": "https://e.com/?q=%C3%A9", "https://e.com/?q=%C3%A9": "https://e.com/?q=%C3%A9",
+    "https://e.com/?a": "https://e.com/?a=", "https://e.com/?a=b=c": "https://e.com/?a=b%3Dc", "https://e.com/?=x": "https://e.com/?=x", "https://e.com/?&&a=1&": "https://e.com/?a=1", "https://e.com/?a=100%&b=%4": "https://e.com/?a=100%25&b=%254", "https://e.com/?a=~*-._": "https://e.com/?a=%7E*-._",
+    "https://e.com/p/?UTM_Source=x&utm%5Fterm=y": "https://e.com/p", "https://e.com/p?fbclid=1&b=2#f": "https://e.com/p?b=2", "https://e.com/p///": "https://e.com/p", "https://e.com///": "https://e.com/", "  https://e.com/a\n/b\t ": "https://e.com/a/b", "https://e.com?x=1": "https://e.com/?x=1", "https://e.com#f": "https://e.com/",
+    "/a/b": None, "mailto:a@b.c": None, "https://": None, "": None, "https://a b/": None,
+}
+
+
+def test_urls_by_the_standard(spark):
+    rows = spark.createDataFrame([(k,) for k in URLS], "u string").select("u", urls.canonical_url(F.col("u")).alias("c"))
+    assert {r.u: r.c for r in rows.collect()} == URLS
