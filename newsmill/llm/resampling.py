@@ -52,9 +52,9 @@ MIN_WORDS, PERCENT, SEED = 20, 5, 42
 PART_WORDS, UNIT_PARTS, UNIT_VOCABULARY = 1_000_000, 2, (1 << 21) - 8
 SLICE_BYTES = 4_000_000
 #: UTF-8 bytes of text whose features a range takes, about; and the most ranges there are.
-RANGE_BYTES, MOST_RANGES = 24_000_000, 1 << 15
+RANGE_BYTES, MOST_RANGES = 16_000_000, 1 << 15
 #: Rounds in which the ranges are shuffled, a part of them each: more take less disk at a time, and sort each unit so often.
-ROUNDS = 1
+ROUNDS = 2
 #: Pairs of words whose strings are counted at once.
 PAIRS_AT_ONCE = 300_000
 
