@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.times import age_label
 from . import gates
@@ -44,6 +45,17 @@ def world_regions(spark: SparkSession, visible: DataFrame, clusters: DataFrame)
     return out.select("ordinal", "key", "title", zero("items"), zero("sources"), zero("clusters"))
 
 
+def region_items(visible: DataFrame, most: int = 6) -> DataFrame:
+    """(key, place, item_id, title, observed_at): the latest items of each region, ties by id.
+
+    Spark keeps no more than so many rows a region in each task before it shuffles them (a window group limit), so a region
+    that holds most items is no larger for the task that ranks it.
+    """
+    keyed = visible.select(gates.region_key().alias("key"), "item_id", "title", "observed_at").where("key is not null")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("observed_at").desc(), "item_id"))
+    return keyed.withColumn("place", place).where(F.col("place") <= most).select("key", "place", "item_id", "title", "observed_at")
+
+
 #: Sections of the brief in order (fixed values).
 SECTIONS = ["Scheduled events", "Major source-backed clusters", "Relevant watched assets / topics", "Unverified / rumor / needs review (inspection only)", "Items worth attention", "Items to ignore unless they escalate"]
 WATCHED = ["Gold", "DXY", "SPX", "VIX"]

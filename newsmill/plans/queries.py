@@ -220,6 +220,15 @@ def world_regions(spark: SparkSession, sf: str) -> DataFrame:
     return selectors.world_regions(spark, gates.visible_items(items(spark, sf), sources(spark, sf)), _legacy(spark, sf))
 
 
+@query(ITEMS_SQL + """,
+k AS (SELECT *, CASE WHEN NOT usable THEN NULL WHEN macro THEN 'us_fed_usd' WHEN region AND NOT china THEN 'eu_ecb_eur' WHEN china THEN 'china_demand_macro' WHEN topic OR asset = 'Gold' THEN 'me_geopolitics_oil_gold' WHEN asset IN ('VIX', 'SPX') THEN 'global_risk_vol_equities_bonds' END AS key FROM visible),
+r AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY observed_ms DESC, item_id) AS place, item_id, title FROM k WHERE key IS NOT NULL)
+SELECT key, CAST(place AS INT) AS place, item_id, title FROM r WHERE place <= 6""")
+def region_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The six latest items of each region."""
+    return selectors.region_items(gates.visible_items(items(spark, sf), sources(spark, sf))).select("key", "place", "item_id", "title")
+
+
 _LINE = "'[' || verification_tier || '] ' || source_name || ' · ' || strftime(epoch_ms(observed_ms), '%Y-%m-%d %H:%M') || ' — ' || title"
 
 

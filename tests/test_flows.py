@@ -1,11 +1,12 @@
 """Whole flows on a sample-shaped dataset."""
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 from test_news import lit_now, sample_dataset
 
-from newsmill.operators import audit, whispers
+from newsmill.operators import attempts, audit, selectors, summaries, whispers
 from newsmill.plans import flows, queries
 from newsmill.plans.inputs import now
 
@@ -62,3 +63,48 @@ def test_whisper_history_is_all_events(spark, tmp_path):
     assert again and again == {f"cand-{i}" for i in want if int(i) % 2 == 0}
     decided = {r.candidate_id: r.reason_code for r in queries.whisper_decisions(spark, str(tmp_path)).collect()}
     assert len(decided) == len(want) and "whisper_threshold_met" not in decided.values() and "repeat_item_no_reason_change" in decided.values()
+
+
+def test_region_items_of_a_hot_region(spark):
+    """One region holds nearly all items; ties in time go by id, and tasks keep six rows a region before the shuffle."""
+    tag = lambda kind, value: [{"tag_id": "t", "tag_type": kind, "tag_value": value, "provenance": "deterministic"}]
+    rows = [(f"i{k:04d}", "title", datetime(2024, 1, 1 + k % 3), tag("macro", "FOMC minutes")) for k in range(900)] + [("x", "title", datetime(2024, 1, 1), tag("asset", "Gold")), ("y", "title", datetime(2024, 1, 9), tag("asset", "none"))]
+    items = spark.createDataFrame(rows, "item_id string, title string, observed_at timestamp, tags array<struct<tag_id:string,tag_type:string,tag_value:string,provenance:string>>")
+    found = selectors.region_items(items.repartition(4))
+    got = {}
+    for r in found.orderBy("key", "place").collect():
+        got.setdefault(r.key, []).append(r.item_id)
+    assert got == {"us_fed_usd": [f"i{k:04d}" for k in range(2, 20, 3)], "me_geopolitics_oil_gold": ["x"]}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_of_attempts(spark):
+    """Failures that are retried or not, a refusal for the budget between rounds, an unpriced model, a skipped generation."""
+    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    text = "Orders of lot 7 rose in the spring."
+    script = {"a": [200], "b": [429, 200], "c": [503, 503, 503], "d": [404], "e": ["timeout"], "f": [200], "g": [429, 200], "h": [200]}
+    requests = spark.createDataFrame([(g, k, g != "f", None if g == "h" else 1.0) for k, g in enumerate(script)], "generation_id string, seq long, eligible boolean, ceiling double")
+    items = spark.createDataFrame([(g, "it", text) for g in script], "generation_id string, item_id string, text string")
+    summary = lambda quote: json.dumps({"schemaVersion": "summary-v1", "headline": "Orders", "claims": [{"text": "Orders rose", "evidence": [{"itemId": "it", "quote": quote}]}], "uncertainty": []})
+    asked = []
+
+    def ask(rows):
+        got = [(r.generation_id, r.number) for r in rows.select("generation_id", "number").collect()]
+        asked.append(sorted(g for g, _ in got))
+        out = []
+        for g, n in got:
+            said = script[g][n - 1]
+            ok = said == 200
+            out.append((g, said if isinstance(said, str) else None, None if isinstance(said, str) else said, True, False, "completed", True, summary(text[:20] if g == "a" else "Orders of lot 8 fell"), summaries.MODELS[1], *([1000, 100, 10] if ok else [None] * 3)))
+        return spark.createDataFrame(out, "generation_id string, error string, http_status int, envelope_ok boolean, refused boolean, envelope_status string, output_json_ok boolean, json string, model string, tokens_in long, tokens_cached long, tokens_out long")
+
+    done = attempts.run(requests, ask, items, 8.0)
+    got = {r.generation_id: (r.status, r.issues, r.calls, r.cost) for r in done.generations.collect()}
+    unpriced = [f"{attempts.UNPRICED}@provider"]
+    assert asked == [["a", "b", "c", "d", "e", "g"], ["b", "c"], []]  # two of eight dollars are left for three retries
+    assert {g: v[:3] for g, v in got.items()} == {
+        "a": ("accepted", [], 1), "b": ("rejected", ["evidence_mismatch@claims.0.evidence.0"], 2), "c": ("rejected", unpriced, 2), "d": ("rejected", ["provider_http_404@provider"], 1), "e": ("rejected", ["provider_timeout@provider"], 1),
+        "f": ("skipped", ["ineligible_source_time"], 0), "g": ("rejected", unpriced, 1), "h": ("rejected", unpriced, 0),
+    }
+    assert float(got["a"][3]) == 0.000386 and got["f"][3] == 0 and all(got[g][3] is None for g in "bcdegh")
+    assert done.attempts.count() == 8
