@@ -49,7 +49,7 @@ def cluster(cluster_id: Column, members: Column, sources: Column, rule: Column,
 
 
 def priority(tier: Column, urgency: Column, reason: Column, clustered: Column) -> Column:
-    inputs = F.filter(F.transform(F.split(reason, ";"), F.trim), lambda x: x != "")
+    inputs = F.filter(F.transform(F.split(reason, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(tier.alias("tier"), urgency.alias("urgency"), reason.alias("reason"), inputs.alias("inputs"), (clustered & reason.rlike("(?i)confirmed cluster")).alias("uses_cluster"))
 
 

@@ -27,7 +27,7 @@ MODELS = ["gpt-4.1-mini-2025-04-14", "gpt-4.1-mini"]
 
 def extractive(clusters: DataFrame) -> DataFrame:
     """clusters (generation_id, item_id, title, text of the first member) to summaries: its first two sentences."""
-    parts = F.filter(F.transform(sentences(F.col("text")), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(sentences(F.col("text")), lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would take an index as what to trim
     claims = F.transform(F.slice(parts, 1, 2), lambda s: F.struct(s.alias("text"), F.array(F.struct(F.col("item_id"), s.alias("quote"))).alias("evidence")))
     return clusters.select("generation_id", F.col("title").alias("headline"), claims.alias("claims"), F.array(F.lit("Sentences taken from the source as they stand; no model wrote them.")).alias("uncertainty"))
 

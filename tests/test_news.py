@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmill.functions import hashing, text, times, urls
-from newsmill.operators import audit, calendar, clusters, dedupe, event_log, gates, priority, readiness, summaries, whispers
+from newsmill.operators import audit, calendar, clusters, dedupe, display, event_log, gates, priority, readiness, summaries, whispers
 from newsmill.sources import calendar as calendar_source
 from newsmill.sources import dataset, rss
 
@@ -447,6 +447,21 @@ def test_summaries(spark):
     assert {r.seq: r.reserved for r in budget.collect()} == {1: True, 2: False, 3: True}
 
 
+def test_extracted_sentences_lose_spaces_only(spark):
+    rows = spark.createDataFrame([(0, "a", "Rates at 4630", " Rates rose to 4630"), (1, "b", "Cuts", "Gold lost 100 points. Oil gained 11  \nThird one 2.")], "generation_id long, item_id string, title string, text string")
+    got = {r.generation_id: [c.text for c in r.claims] for r in summaries.extractive(rows).collect()}
+    assert got == {0: ["Rates rose to 4630"], 1: ["Gold lost 100 points.", "Oil gained 11  \nThird one 2."]}
+    out = summaries.generate(rows.withColumn("eligible", F.lit(True)), summaries.extractive, rows)
+    assert {r.generation_id: (r.status, r.issues) for r in out.collect()} == {0: ("accepted", []), 1: ("accepted", [])}
+    ends = spark.createDataFrame([(0, "a", "x", "Up 10 points. Then it fell to 111")], "generation_id long, item_id string, title string, text string")
+    assert [c.text for c in summaries.extractive(ends).first().claims] == ["Up 10 points.", "Then it fell to 111"]
+
+
+def test_displayed_inputs_lose_spaces_only(spark):
+    shown = display.priority(F.lit("P1"), F.lit("soon"), F.lit(" recency 10; size 1; of 22"), F.lit(False))
+    assert spark.range(1).select(shown["inputs"]).first()[0] == ["recency 10", "size 1", "of 22"]
+
+
 def test_readiness(spark):
     base = ("allowed", "allowed", "supported", "recorded_fixture", ["text/xml"], 100, 1000)
     rows = [("a", True, *base), ("b", None, *base), ("c", True, "blocked", *base[1:]), ("d", True, "allowed", None, *base[2:]), ("e", True, *base[:4], [], *base[5:]), ("f", True, *base[:5], 0, 1000), ("g", True, *base), ("h", True, *base), ("i", True, *base), ("j", True, *base)]
