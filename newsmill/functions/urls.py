@@ -48,15 +48,28 @@ def canonical_url(url: Column) -> Column:
     the parameters form-encoded; slashes at the end of a path go unless a query follows. Hosts with and without www, and
     http and https, stay apart."""
     trimmed = F.regexp_replace(F.regexp_replace(url, r"^[\s\x{A0}\x{FEFF}\p{Z}\x00-\x1F]+|[\s\x{A0}\x{FEFF}\p{Z}\x00-\x1F]+$", ""), r"[\t\n\r]", "")
-    at = lambda k: F.regexp_extract(trimmed, _SHAPE, k)
-    scheme, who = F.lower(at(1)), F.regexp_extract(at(2), r"^(.*@)?", 0)
-    host = F.lower(F.substring(at(2), F.char_length(who) + 1, F.char_length(at(2))))
+    return _let(trimmed, lambda t: F.when(t.rlike(_SHAPE), _let(_parts(t), _rebuilt)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), in which value is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _parts(t: Column) -> Column:
+    at = lambda k: F.regexp_extract(t, _SHAPE, k)
+    return F.struct(F.lower(at(1)).alias("scheme"), at(2).alias("place"), F.regexp_extract(at(2), r"^(.*@)?", 0).alias("who"), at(3).alias("path"), at(4).alias("query"))
+
+
+def _rebuilt(p: Column) -> Column:
+    scheme, who = p["scheme"], p["who"]
+    host = F.lower(F.substring(p["place"], F.char_length(who) + 1, F.char_length(p["place"])))
     for name, port in _PORTS.items():
         host = F.when(scheme == name, F.regexp_replace(host, f":(0*{port})?$", "")).otherwise(host)
-    path = F.when(scheme.isin(*_PORTS), F.translate(at(3), "\\", "/")).otherwise(at(3))
-    path = _without_dots(_path_encoded(F.when(path == "", "/").otherwise(path)))
-    kept = F.filter(_parameters(at(4)), lambda p: ~F.lower(p["name"]).isin(TRACKING_PARAMETERS))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
-    short = F.when((query == "") & (F.char_length(path) > 1), F.regexp_replace(path, "/+$", "")).otherwise(path)
-    out = F.concat(scheme, F.lit("://"), who, host, F.when(short == "", "/").otherwise(short), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(trimmed.rlike(_SHAPE), out)
+    path = F.when(scheme.isin(*_PORTS), F.translate(p["path"], "\\", "/")).otherwise(p["path"])
+    path = _let(_let(F.when(path == "", "/").otherwise(path), _path_encoded), _without_dots)
+    kept = F.filter(_parameters(p["query"]), lambda q: ~F.lower(q["name"]).isin(TRACKING_PARAMETERS))
+    query = F.array_join(F.transform(kept, lambda q: F.concat(F.url_encode(q["name"]), F.lit("="), F.url_encode(q["value"]))), "&")
+    short = lambda e: F.when((e["query"] == "") & (F.char_length(e["path"]) > 1), F.regexp_replace(e["path"], "/+$", "")).otherwise(e["path"])
+    end = lambda e: F.concat(F.when(short(e) == "", "/").otherwise(short(e)), F.when(e["query"] == "", "").otherwise(F.concat(F.lit("?"), e["query"])))
+    return F.concat(scheme, F.lit("://"), who, host, _let(F.struct(path.alias("path"), query.alias("query")), end))

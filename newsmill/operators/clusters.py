@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLUSTER_RULE
 from .dedupe import RULES
+from .lineage import cut
 
 EVENTS = "cluster_id string, item_id string, event_type string, reason_type string, seq long"
 
@@ -68,7 +69,7 @@ def membership_events(keys: DataFrame, roots: DataFrame) -> DataFrame:
     shared = keys.groupBy("rule", "key").count().where("count > 1").select("rule", "key")
     named = F.concat(F.col("rule").cast("string"), F.lit(":"), "key").alias("k")
     rows = keys.join(shared, ["rule", "key"], "left_semi").select("item_id", named).join(roots, "item_id")
-    rows = rows.groupBy("root", "item_id").agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    rows = cut(rows.groupBy("root", "item_id").agg(F.array_sort(F.collect_set("k")).alias("keys")))
     kind = rows.groupBy("root").agg((F.min("keys") == F.max("keys")).alias("equal"), F.min("keys").alias("all"))
     rule = F.get(F.array(*map(F.lit, RULES)), F.substring(F.get("all", F.lit(0)), 1, 1).cast("int"))
     even = rows.join(kind.where("equal"), "root").select(F.concat(F.lit("ccl-"), "root").alias("cluster_id"), "item_id", F.lit("added").alias("event_type"), rule.alias("reason_type"), F.lit(0).cast("long").alias("seq"))

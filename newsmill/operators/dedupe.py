@@ -102,14 +102,17 @@ def links(ids: DataFrame, strict_title: bool = False) -> DataFrame:
 def components(links: DataFrame, root: Column | None = None) -> DataFrame:
     """(item_id, root): the smallest item of each linked item's component.
 
-    Minimum labels with pointer jumping; each round is written to the folder that executors share.
+    Minimum labels with pointer jumping; what an item learns its root learns too, so that all who point there follow. Each
+    round is written to the folder that executors share.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("item_id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("item_id", "b"), "b").groupBy(F.col("a").alias("item_id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "item_id").select("item_id", "root", F.least("root", "near").alias("low"))
-        jump = step.join(labels.select(F.col("item_id").alias("low"), F.col("root").alias("far")), "low")
+        hooked = step.unionByName(step.where("low < root").select(F.col("root").alias("item_id"), F.lit(None).cast("string").alias("root"), "low"))
+        step = hooked.groupBy("item_id").agg(F.max("root").alias("root"), F.min("low").alias("low"))
+        jump = step.join(step.select(F.col("item_id").alias("low"), F.col("low").alias("far")), "low")
         new = cut(jump.select("item_id", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("changed")))
         labels = new.drop("changed")
         if new.where("changed").isEmpty():

@@ -40,14 +40,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = lambda c, t: F.when(F.expr(c), t)
     asset = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Gold' WHEN 1 THEN 'DXY' WHEN 2 THEN 'SPX' ELSE 'VIX' END")
     tags = F.array_compact(F.array(when("doc_id % 3 = 0", tag("asset", asset)), when("doc_id % 5 = 0", tag("topic", F.lit("Geopolitics"))), when("doc_id % 7 = 0", tag("macro", F.lit("FOMC minutes"))), when("doc_id % 13 = 0", tag("region", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'europe' ELSE 'china' END")))))
-    return docs.join(labels, "doc_id", "left").select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item_id"), F.col("doc_id").alias("ordinal"), F.col("source").alias("source_id"), F.expr("CASE WHEN doc_id % 10 = 5 THEN concat('r', doc_id div 200) ELSE cast(doc_id AS string) END").alias("source_item_id"),
-        F.expr("CASE WHEN doc_id % 8 = 1 THEN concat('Market note ', doc_id div 800) ELSE get(split(text, '\\n'), 0) END").alias("title"), F.col("text").alias("excerpt"),
+    rows = docs.select(
+        "doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("item_id"), F.col("doc_id").alias("ordinal"), F.col("source").alias("source_id"), F.expr("CASE WHEN doc_id % 10 = 5 THEN concat('r', doc_id div 200) ELSE cast(doc_id AS string) END").alias("source_item_id"),
+        F.expr("CASE WHEN doc_id % 8 = 1 THEN concat('Market note ', doc_id div 800) ELSE substring_index(text, '\\n', 1) END").alias("title"), F.col("text").alias("excerpt"),
         F.expr("CASE WHEN doc_id % 9 = 4 THEN concat('https://News.example.org/p/', doc_id div 27, '/?utm_source=feed&gclid=', doc_id) END").alias("url"),
         F.expr("timestamp_millis(1704067200000 + doc_id * 60000)").alias("observed_at"), F.lit(None).cast("timestamp").alias("source_event_time"),
-        F.expr("CASE WHEN toxic = 1 THEN 'rumor' WHEN quality = 1 THEN 'verified' WHEN quality = 0 THEN 'unverified' WHEN doc_id % 6 = 0 THEN 'scheduled' ELSE 'reported' END").alias("verification_tier"),
         F.expr("CASE WHEN doc_id % 11 = 0 THEN 'stale' ELSE 'live' END").alias("freshness_state"), F.sha2("text", 256).alias("dedupe_hash"), tags.alias("tags"), "lang",
     )
+    tier = F.expr("CASE WHEN toxic = 1 THEN 'rumor' WHEN quality = 1 THEN 'verified' WHEN quality = 0 THEN 'unverified' WHEN doc_id % 6 = 0 THEN 'scheduled' ELSE 'reported' END")
+    # labels come last: a join that shuffles then carries no text for those who drop it
+    return rows.join(labels, "doc_id", "left").select("item_id", "ordinal", "source_id", "source_item_id", "title", "excerpt", "url", "observed_at", "source_event_time", tier.alias("verification_tier"), "freshness_state", "dedupe_hash", "tags", "lang")
 
 
 def clusters_sql(name: str, base: str) -> str:

@@ -117,10 +117,19 @@ def snapshot_counts(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.snapshot_counts(items(spark, sf), rows, found).select("input", "ingested", "quarantined", "duplicates", "clusters", "eligible")
 
 
-def _confirmed(spark: SparkSession, sf: str) -> DataFrame:
+def _prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Items without their texts, and sources: computed once, as tables that all uses read."""
     _checkpointed(spark)
-    rows = gates.visible_items(items(spark, sf), sources(spark, sf))
-    ids = cut(dedupe.identities(rows))
+    return cut(items(spark, sf).drop("excerpt")), cut(sources(spark, sf))
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    """What dedupe.keys() asks for; canonical URLs are costly and computed once."""
+    return cut(dedupe.identities(rows).select("item_id", "source_id", "source_item_id", "canonical_url", "dedupe_hash"))
+
+
+def _clustered(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    ids = _identified(rows) if ids is None else ids
     return clusters.confirmed(cut(clusters.membership_events(dedupe.keys(ids), dedupe.components(dedupe.stars(ids)))), rows)
 
 
@@ -128,12 +137,16 @@ def _confirmed(spark: SparkSession, sf: str) -> DataFrame:
 SELECT cluster_id, count(*) AS member_count, count(DISTINCT v.source_id) AS source_count, epoch_ms(min(observed_ms)) AS first_observed_at, epoch_ms(max(observed_ms)) AS last_observed_at, 'active' AS status
 FROM ccl JOIN visible v ON ccl.item_id = v.item_id WHERE size > 1 GROUP BY cluster_id""")
 def confirmed_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    out = _confirmed(spark, sf)
+    out = _clustered(gates.visible_items(*_prepared(spark, sf)))
     return out.select("cluster_id", "member_count", "source_count", F.col("first_observed_at").cast("timestamp_ntz").alias("first_observed_at"), F.col("last_observed_at").cast("timestamp_ntz").alias("last_observed_at"), "status")
 
 
+def _judged(rows: DataFrame, known: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    return priority.annotated(rows, known, clusters.members_of(_clustered(gates.visible_items(rows, known), ids)), now())
+
+
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
-    return priority.annotated(items(spark, sf), sources(spark, sf), clusters.members_of(_confirmed(spark, sf)), now())
+    return _judged(*_prepared(spark, sf))
 
 
 _SCORES = CLUSTERS_SQL + """, s1 AS (
@@ -242,12 +255,12 @@ UNION ALL SELECT 4, 'Items worth attention', '[' || priority_tier || '] ' || sou
 UNION ALL SELECT 5, 'Items to ignore unless they escalate', '[' || priority_tier || '] ' || source_name || ' — ' || title || ' (source: allowed)' FROM scored WHERE priority_tier IN ('P3', 'muted')""")
 def morning_brief(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters here are those of promotable items, unlike the annotation's."""
-    _checkpointed(spark)
-    all_items, known = items(spark, sf), sources(spark, sf)
-    promotable = gates.promotable_items(all_items, known)
-    ids = dedupe.identities(promotable)
-    found = clusters.confirmed(clusters.membership_events(dedupe.keys(ids), dedupe.components(dedupe.stars(ids))), promotable)
-    return selectors.morning_brief(promotable, gates.visible_items(all_items, known), gates.quarantine_items(all_items, known), _annotated(spark, sf), found, known).select("section", "heading", "line")
+    all_items, known = _prepared(spark, sf)
+    visible, promotable = gates.visible_items(all_items, known), gates.promotable_items(all_items, known)
+    ids = _identified(visible)
+    annotated = cut(_judged(all_items, known, ids).select("item_id", "ordinal", "source_name", "title", "legal_status", "priority_tier"))
+    found = _clustered(promotable, cut(ids.join(promotable.select("item_id"), "item_id", "left_semi")))
+    return selectors.morning_brief(promotable, visible, gates.quarantine_items(all_items, known), annotated, found, known).select("section", "heading", "line")
 
 
 @query(ITEMS_SQL + " SELECT item_id, source_name FROM items JOIN sources ON items.source_id = sources.source_id WHERE verification_tier IN ('verified', 'reported') AND contains(lower(title || ' ' || source_name), 'the')")

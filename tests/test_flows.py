@@ -108,3 +108,9 @@ def test_run_of_attempts(spark):
     }
     assert float(got["a"][3]) == 0.000386 and got["f"][3] == 0 and all(got[g][3] is None for g in "bcdegh")
     assert done.attempts.count() == 8
+
+
+def test_brief_reads_texts_once(spark):
+    """Its sections read tables made from the documents, not the documents again."""
+    brief = queries.morning_brief(spark, "/root/testdata/sf0.001")
+    assert brief.count() > 0 and not [f for f in brief.inputFiles() if "documents.parquet" in f]

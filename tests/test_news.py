@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmill.functions import hashing, text, times, urls
-from newsmill.operators import audit, calendar, clusters, dedupe, display, event_log, gates, priority, readiness, summaries, whispers
+from newsmill.operators import audit, calendar, clusters, dedupe, display, event_log, gates, lineage, priority, readiness, summaries, whispers
 from newsmill.sources import calendar as calendar_source
 from newsmill.sources import dataset, rss
 
@@ -144,6 +144,21 @@ def test_fold_over_keys_is_the_fold_over_pairs():
         assert [(c, i, r) for c, i, _, r in clusters.fold(items)] == plain_fold(pairs)
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    order = [f"{k:04d}" for k in range(60)]
+    random.Random(1).shuffle(order)
+    tables = []
+    monkeypatch.setattr(dedupe, "cut", lambda df: tables.append(df) or lineage.cut(df))
+    got = dedupe.components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a string, b string"))
+    assert {r.root for r in got.collect()} == {"0000"} and got.count() == 60
+    assert len(tables) - 2 <= 8  # 32 rounds when only neighbours told each other
+
+
+def test_canonical_url_computes_its_parts_once(spark):
+    plan = spark.createDataFrame([("https://a.example/",)], "u string").select(urls.canonical_url(F.col("u")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 20
+
+
 def test_one_key_of_many_items(spark):
     """Copies in great number are clustered without pairs and without a fold."""
     rows = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("item_id"), F.lit(2).alias("rule"), F.lit("h").alias("key"))
