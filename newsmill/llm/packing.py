@@ -41,6 +41,8 @@ END_ID = 0
 GROUPS, LONG_SHARES = 40, (0.3, 0.4, 0.5)
 #: Pieces of one length that one task numbers.
 ROWS_EACH = 50_000
+#: Characters whose words a task counts and encodes together: the more, the fewer words are looked up again.
+CHARS_AT_ONCE = 6_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A document's number, which tells equal rows apart.
@@ -57,7 +59,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             keys = [None if i is None else int(i) for i in batch["doc_id"]]
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS_AT_ONCE):
                 rows = []
                 for key, ids in zip(keys[a:b], coder.texts(texts[a:b]), strict=True):
                     row += 1

@@ -11,17 +11,22 @@ import re
 
 #: ASCII white space, that all the splitting rules agree on.
 _SPACE = " \t\n\r\x0b\x0c"
-_WORD = re.compile(f"[^{_SPACE}]+")
 #: A word with the white space before it; white space at the end is a chunk too.
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Other characters that one of Python, Unicode and the tokenizers counts as white space.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-#: Punctuation that is a token of its own at a word's end.
-_ENDS = ".,!?;:"
+#: What isn't ASCII, a letter that Python and the tokenizers lower-case alike, one to one, and no normal form changes, or
+#: common punctuation; and the beginning of special strings.
+_OTHER = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿЀ-џ–—‘’“”«»…€£§°¿¡]|<\\|")
+#: The splitting rule of word_bpe for words without those, in lower case: each part is merged by itself.
+_LETTER = "a-zß-öø-ÿа-џ"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+#: Punctuation that is a part of its own at a word's end.
+_ENDS = frozenset(".,!?;:")
 #: Words that a worker remembers; more are encoded again when met again.
 CACHE_WORDS = 500_000
-#: Words whose encodings, a hundred times larger than their ids, are there at once.
-ENCODE_AT_ONCE = 10_000
+#: Words whose encodings, a hundred times larger than their ids, are there at once; and parts that are encoded as one text.
+ENCODE_AT_ONCE, PARTS_AT_ONCE = 10_000, 2_000
 
 
 def vocabulary(name: str) -> str:
@@ -42,14 +47,72 @@ def load(path: str):
     return out
 
 
+def plain(text: str) -> bool:
+    """Nothing of _OTHER is in a text."""
+    if text.isascii():
+        return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return not _OTHER.search(text)
+
+
+def coded(texts):
+    """The words of an Arrow array of texts as numbers in a row, where each text's begin (and the last ends), and the different words."""
+    import pyarrow.compute as pc
+
+    words = pc.ascii_split_whitespace(texts)
+    flat = words.flatten().dictionary_encode()
+    return flat.indices.to_numpy(), words.offsets.to_numpy(), flat.dictionary.to_pylist()
+
+
+def gathered(codes, begins, ids: list[bytes], kind):
+    """The ids of coded() texts in a row, and where each text's begin, from those of the different words."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n)
+    at += np.arange(len(at))
+    return np.frombuffer(b"".join(ids), kind)[at], np.concatenate([[0], ends])[begins]
+
+
+class Recent:
+    """At most so many words and what is known of them. When one half is full, the half not used for longer goes."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def of(self, words: list, find) -> list:
+        """What is known of each of the words (all different); find tells it for a list of those that aren't remembered."""
+        out = dict(zip(words, map(self.new.get, words), strict=True))
+        lost = [w for w, x in out.items() if x is None]
+        if self.old:
+            out.update(zip(lost, map(self.old.get, lost), strict=True))
+        unknown = [w for w in lost if out[w] is None]
+        out.update(zip(unknown, find(unknown), strict=True))
+        if len(self.new) + len(lost) > self.half:
+            self.old, self.new = self.new, {}
+        if len(lost) <= self.half:
+            self.new.update(zip(lost, map(out.__getitem__, lost), strict=True))
+        return list(out.values())
+
+
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts for a tokenizer that drops white space (word_bpe)."""
 
     cache = CACHE_WORDS
 
     def __init__(self, path: str):
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer = load(path)
-        self.known: dict[str, bytes] = {}
+        # the same model for parts that need no normalizing and no splitting but at spaces
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Recent(self.cache)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         import numpy as np
@@ -59,31 +122,64 @@ class WordIds:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[k : k + ENCODE_AT_ONCE], add_special_tokens=False)]
         return out
 
+    def _merge(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts: many as one text, cut where a token ends a part."""
+        import numpy as np
+
+        out = []
+        for k in range(0, len(parts), PARTS_AT_ONCE):
+            some = parts[k : k + PARTS_AT_ONCE]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) != len(some):
+                out += self._encode(some)
+                continue
+            held = ids.tobytes()
+            out += [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: those of their parts in a row, or of the whole where the parts aren't certain."""
+        one, two, many, whole = {}, {}, {}, []
+        for w in words:
+            low = w.lower()
+            if low.isalpha() and (low.isascii() or not _OTHER.search(w)):
+                one[w] = low
+            elif _OTHER.search(w):
+                whole.append(w)
+            elif low[-1:] in _ENDS and low[:-1].isalpha():
+                two[w] = low
+            else:
+                many[w] = _PARTS.findall(low)
+        parts = set(one.values()) | _ENDS
+        parts.update(low[:-1] for low in two.values())
+        parts = list(parts.union(*many.values()))
+        ids = dict(zip(parts, self._merge(parts), strict=True))
+        out = {w: ids[low] for w, low in one.items()}
+        out.update((w, ids[low[:-1]] + ids[low[-1]]) for w, low in two.items())
+        out.update((w, b"".join(map(ids.__getitem__, p))) for w, p in many.items())
+        out.update(zip(whole, self._encode(whole), strict=True))
+        return list(map(out.__getitem__, words))
+
     def whole(self, text: str) -> bytes:
         return self._encode([text])[0]
 
     def texts(self, texts: list[str]):
         """Yields the ids of each text as bytes."""
-        split = [None if _ODD.search(t) else _WORD.findall(t) for t in texts]
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(new) > self.cache:
-            known = dict(known)
-        # "Word," is "word" and ","; so most new words need no encoding of their own
-        stems = {}
-        for w in new:
-            low = w.lower() if w.isascii() and "<|" not in w else w
-            if len(low) > 1 and low[-1] in _ENDS and low[:-1].isalpha():
-                stems[w] = low[:-1], low[-1]
-            elif low != w:
-                stems[w] = low, ""
-        need = list({s for s, _ in stems.values() if s not in known} | {w for w in new if w not in stems} | {p for p in _ENDS if p not in known})
-        known.update(zip(need, self._encode(need), strict=True))
-        known.update({w: known[s] + known[end] if end else known[s] for w, (s, end) in stems.items()})
-        if len(known) <= self.cache:
-            self.known = known
-        for text, words in zip(texts, split, strict=True):
-            yield self.whole(text) if words is None else b"".join(map(known.__getitem__, words))
+        import numpy as np
+        import pyarrow as pa
+
+        # lower case first leaves fewer words; only where that is certain
+        lower = [t.lower() if plain(t) else None if _ODD.search(t) else t for t in texts]
+        codes, begins, words = coded(pa.array([t for t in lower if t is not None], pa.string()))
+        ids, begins = gathered(codes, begins, self.known.of(words, self._words), np.dtype("<u4"))
+        begins = zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)
+        for text, low in zip(texts, lower, strict=True):
+            if low is None:
+                yield self.whole(text)
+            else:
+                a, b = next(begins)
+                yield ids[a:b].tobytes()
 
 
 class ChunkCounts:

@@ -630,6 +630,24 @@ def test_words_encode_like_whole_texts():
     assert list(ChunkCounts(vocabulary("byte_bpe_50k.json")).texts(texts)) == [len(b.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_plain_words_need_no_encoding_of_their_own():
+    """Only words with odd characters or special strings go to the tokenizer one by one; ids are those of whole texts."""
+    from newsmill.llm.wordcache import Recent
+
+    coder, alone, whole = WordIds(vocabulary("word_bpe_49k.json")), [], WordIds._encode
+    coder._encode = lambda words: alone.extend(words) or whole(coder, words)
+    texts = ["The CAT's (tail), 2024-11-05; it'LL be… «Él»: École жЖ! ''s x'rest", "</w> ÷ß <|endoftext|>x Œuvre İ", "  ", "don\x1ct", "日本 two."] * 2
+    got = [np.frombuffer(x, "<u4").tolist() for x in coder.texts(texts)]
+    assert got == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sorted(set(alone)) == sorted({"<|endoftext|>x", "÷ß", "Œuvre", "İ", "don\x1ct", "日本"})
+    recent = Recent(10)
+    for k in range(40):
+        words = ["kept", *(f"w{k}.{i}" for i in range(k % 7))]
+        assert recent.of(words, lambda new: [w.upper() for w in new]) == [w.upper() for w in words]
+        assert len(recent.new) + len(recent.old) <= 10
+    assert recent.of(["kept"], lambda new: [None for _ in new]) == ["KEPT"]
+
+
 # 10
 @pytest.mark.parametrize("few", [0, 1000])
 def test_warc(spark, monkeypatch, few):
