@@ -28,19 +28,18 @@ other columns than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, read_arrays, small_batches, table, write_and_read, write_arrays
-from .wordcache import ByteIds, of_worker, slices, vocabulary
+from .wordcache import ByteIds, coded, gathered, of_worker, slices, vocabulary
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Ids of the tokenizer's file, and two more: begin and end of a text.
@@ -55,11 +54,16 @@ RATE, FIRST_SQUARE, PRIOR = 0.2, 1.0, 2.0
 SLICES = (0, 1, 2, 4, 8, 16, 32, 64)
 #: Windows of a step in training, and of a batch in scoring; and ids whose windows are there at once.
 STEP, BATCH, AT_ONCE = 512, 1024, 200_000
-#: Words whose counts every task holds, at most; and words that a counting task holds before it passes them on.
-FREQUENT, HELD_WORDS = 400_000, 200_000
+#: Windows of a batch in scoring whose arrays are there at once: they stay in a core's cache.
+BLOCK = 128
+#: Words whose counts every task holds, at most.
+FREQUENT = 400_000
+#: Characters whose words are encoded together, and bytes whose words are counted together.
+CHARS_AT_ONCE, CHARS_COUNTED = 4_000_000, 8_000_000
 FOLDS, HELD_OUT = 7, 2
 
-_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Added to the exponents of attention: none to positions behind.
+_CAUSAL = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -np.inf).astype(np.float32)
 _BACK = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None], 0)
 
 
@@ -134,54 +138,107 @@ class Model:
         new.bucket, new.within, new.after = (arrays[k] for k in ("bucket", "within", "after"))
         return new
 
-    def forward(self, b: np.ndarray, t: np.ndarray, skip: int):
+    def tables(self, windows: int) -> dict:
+        """What depends on a bucket alone, by bucket: query, key, value and a one; its part of the hidden units' input (doubled,
+        since tanh(x) = 1 - 2 / (exp(2x) + 1)) where it stands itself, and where it stands before; none stands before a window.
+        The parts of that input are worth it only for many windows: in a step it is made from z as a whole."""
+        p = self.p
+        qkv = np.ones((BUCKETS, 3 * HEAD + 1), np.float32)
+        qkv[:, :-1] = p["embed"] @ p["qkv"]
+        q, k = (np.square(qkv[:, at : at + HEAD]).sum(1).max() for at in (0, HEAD))
+        out = {
+            "qkv": qkv,
+            "near": p["near"][0][_BACK] + _CAUSAL,
+            # exponents beyond 30 are cut; where none can be, nothing is compared
+            "cut": np.sqrt(q * k) + p["near"].max() > 30,
+            "cut_class": np.abs(p["class"]).sum(0).max() > 30,
+        }
+        if windows > STEP:
+            out["own"] = p["embed"] @ (2 * p["mix"][:WIDTH]) + 2 * p["mix"][-1]
+            out["before"] = np.zeros((BUCKETS + 1, HIDDEN), np.float32)
+            out["before"][:-1] = p["embed"] @ (2 * p["mix"][WIDTH : 2 * WIDTH])
+        return out
+
+    def forward(self, b: np.ndarray, t: np.ndarray, skip: int, tables: dict):
         """For windows of buckets and the targets from position skip on: p(class of target), and what a step needs."""
         p, (n, size) = self.p, b.shape
-        x = p["embed"][b]
-        qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, size, 3 * HEAD)
+        qkv = tables["qkv"].take(b, axis=0)
         e = np.matmul(qkv[:, skip:, :HEAD], qkv[..., HEAD : 2 * HEAD].transpose(0, 2, 1))
-        e += p["near"][0][_BACK[skip:size, :size]]
-        np.exp(np.minimum(e, 30, out=e), out=e)
-        e *= _CAUSAL[skip:size, :size]
-        e /= (e.reshape(-1, size) @ np.ones((size, 1), np.float32)).reshape(n, -1, 1)
-        z = np.ones((n, size - skip, 2 * WIDTH + HEAD + 1), np.float32)
-        z[..., :WIDTH] = x[:, skip:]
-        z[:, :1, WIDTH : 2 * WIDTH] = x[:, skip - 1 : skip] if skip else 0
-        z[:, 1:, WIDTH : 2 * WIDTH] = x[:, skip:-1]
-        np.matmul(e, qkv[..., 2 * HEAD :], out=z[..., 2 * WIDTH : -1])
-        z = z.reshape(-1, z.shape[2])
-        h = z @ p["mix"]
-        np.tanh(h, out=h)
+        e += tables["near"][skip:size, :size]
+        if tables["cut"]:
+            np.minimum(e, 30, out=e)
+        np.exp(e, out=e)
+        out = np.matmul(e, qkv[..., 2 * HEAD :])
+        weight = out[..., HEAD:]
+        out = out[..., :HEAD] / weight
+        z = None
+        if "own" in tables:
+            h = out.reshape(-1, HEAD) @ (2 * p["mix"][2 * WIDTH : -1])
+            before = np.full((n, size - skip), BUCKETS, b.dtype)
+            before[:, 0 if skip else 1 :] = b[:, skip - 1 if skip else 0 : -1]
+            h += tables["own"].take(b[:, skip:].ravel(), axis=0)
+            h += tables["before"].take(before.ravel(), axis=0)
+        else:
+            x = p["embed"].take(b, axis=0)
+            z = np.ones((n, size - skip, 2 * WIDTH + HEAD + 1), np.float32)
+            z[..., :WIDTH] = x[:, skip:]
+            z[:, :1, WIDTH : 2 * WIDTH] = x[:, skip - 1 : skip] if skip else 0
+            z[:, 1:, WIDTH : 2 * WIDTH] = x[:, skip:-1]
+            z[..., 2 * WIDTH : -1] = out
+            z = z.reshape(-1, z.shape[2])
+            h = z @ (2 * p["mix"])
+        with np.errstate(over="ignore"):
+            np.exp(h, out=h)
+        h += 1
+        np.divide(-2, h, out=h)
+        h += 1
         h[:, -1] = 1
         c = h @ p["class"]
-        np.exp(np.minimum(c, 30, out=c), out=c)
-        c /= (c @ np.ones(CLASSES, np.float32))[:, None]
+        if tables["cut_class"]:
+            np.minimum(c, 30, out=c)
+        np.exp(c, out=c)
+        total = c @ np.ones(CLASSES, np.float32)
         of = t.ravel() // MEMBERS
-        return c[np.arange(len(of)), of], x, qkv, e, z, h, c, of
+        return c[np.arange(len(of)), of] / total, qkv, e, weight, out, z, h, c, total, of
 
-    def probability(self, windows: np.ndarray, targets: np.ndarray, skip: int = 0) -> np.ndarray:
+    def probability(self, windows: np.ndarray, targets: np.ndarray, skip: int = 0, tables: dict | None = None) -> np.ndarray:
         """p(target | the ids up to there) for windows of ids, from position skip on; targets are ids too."""
-        targets = targets[:, skip:]
-        t = self.bucket[targets]
-        b = self.bucket[windows]
-        return self.forward(b, t, skip)[0].reshape(t.shape) * self.after[b[:, skip:], t] * self.within[targets]
+        tables, parts = tables or self.tables(len(windows)), []
+        for k in range(0, len(windows), BLOCK):
+            target = targets[k : k + BLOCK, skip:]
+            b, t = self.bucket[windows[k : k + BLOCK]], self.bucket[target]
+            parts.append(self.forward(b, t, skip, tables)[0].reshape(t.shape) * self.after[b[:, skip:], t] * self.within[target])
+        return np.concatenate(parts)
 
     def learn(self, windows: np.ndarray, targets: np.ndarray, on: np.ndarray, squares: dict, skip: int = 0) -> None:
         """One step of Adagrad on windows, from position skip on; on says which predictions count."""
-        p, b = self.p, self.bucket[windows]
-        n, size = b.shape
-        on = on[:, skip:].ravel().astype(np.float32)
-        _, x, qkv, e, z, h, c, of = self.forward(b, self.bucket[targets[:, skip:]], skip)
-        c *= -on[:, None]
+        b = self.bucket[windows]
+        grads = self.gradients(b, self.bucket[targets[:, skip:]], on[:, skip:].ravel().astype(np.float32), skip, self.tables(0))
+        squares["met"] += np.bincount(b.ravel(), minlength=BUCKETS)
+        for name, d in grads.items():
+            d = d.reshape(self.p[name].shape).astype(np.float32)
+            squares[name] += d * d
+            self.p[name] += RATE * d / np.sqrt(squares[name])
+
+    def gradients(self, b: np.ndarray, t: np.ndarray, on: np.ndarray, skip: int, tables: dict) -> dict[str, np.ndarray]:
+        """Of the log likelihood of the targets that count."""
+        p, (n, size) = self.p, b.shape
+        _, qkv, e, weight, out, z, h, c, total, of = self.forward(b, t, skip, tables)
+        x = p["embed"].take(b, axis=0)
+        e /= weight
+        c *= (-on / total)[:, None]
         c[np.arange(len(on)), of] += on
         dh = c @ p["class"].T
-        dh *= 1 - h * h
+        d_class = h.T @ c
+        np.square(h, out=h)
+        np.subtract(1, h, out=h)
+        dh *= h
         dz = (dh @ p["mix"].T).reshape(n, size - skip, -1)
         d_out = dz[..., 2 * WIDTH : -1]
-        ds = np.matmul(d_out, qkv[..., 2 * HEAD :].transpose(0, 2, 1))
-        ds -= np.einsum("nij,nij->ni", d_out, z[:, 2 * WIDTH : -1].reshape(d_out.shape))[..., None]
+        ds = np.matmul(d_out, qkv[..., 2 * HEAD : -1].transpose(0, 2, 1))
+        ds -= np.einsum("nij,nij->ni", d_out, out)[..., None]
         ds *= e
-        d_qkv = np.zeros_like(qkv)
+        d_qkv = np.zeros((n, size, 3 * HEAD), np.float32) if skip else np.empty((n, size, 3 * HEAD), np.float32)
         np.matmul(ds, qkv[..., HEAD : 2 * HEAD], out=d_qkv[:, skip:, :HEAD])
         np.matmul(ds.transpose(0, 2, 1), qkv[:, skip:, :HEAD], out=d_qkv[..., HEAD : 2 * HEAD])
         np.matmul(e.transpose(0, 2, 1), d_out, out=d_qkv[..., 2 * HEAD :])
@@ -191,19 +248,15 @@ class Model:
         dx[:, skip:-1] += dz[:, 1:, WIDTH : 2 * WIDTH]
         if skip:
             dx[:, skip - 1] += dz[:, 0, WIDTH : 2 * WIDTH]
-        keys = b.ravel()
-        at = (keys[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        grads = {
-            "embed": np.bincount(at, dx.ravel(), BUCKETS * WIDTH).astype(np.float32).reshape(BUCKETS, WIDTH),
+        at = (b.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        return {
+            "embed": np.bincount(at, dx.ravel(), BUCKETS * WIDTH),
             "qkv": x.reshape(-1, WIDTH).T @ d_qkv,
-            "near": np.bincount(_BACK[skip:size, :size].ravel(), ds.sum(0).ravel(), WINDOW)[None].astype(np.float32),
+            "near": np.bincount(_BACK[skip:size, :size].ravel(), ds.sum(0).ravel(), WINDOW),
             "mix": z.T @ dh,
-            "class": h.T @ c,
+            "class": d_class,
         }
-        squares["met"] += np.bincount(keys, minlength=BUCKETS)
-        for name, d in grads.items():
-            squares[name] += d * d
-            p[name] += RATE * d / np.sqrt(squares[name])
+
 
 def first_squares(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: np.full(v.shape, FIRST_SQUARE, np.float32) for k, v in p.items()}
@@ -248,9 +301,9 @@ def parts_of(packed: list[bytes]):
 def log10_of(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 p of each sequence."""
     windows, targets, on, of = in_windows(sequences)
-    out = np.zeros(len(sequences))
+    out, tables = np.zeros(len(sequences)), model.tables(len(windows))
     for k, skip in steps_of(of):
-        p = model.probability(windows[k], targets[k], skip)
+        p = model.probability(windows[k], targets[k], skip, tables)
         np.add.at(out, of[k], np.where(on[k, skip:], np.log10(np.maximum(p, 1e-30)), 0).sum(1))
     return out
 
@@ -264,11 +317,7 @@ def learn_from(model: Model, sequences: list[np.ndarray], squares: dict) -> int:
     return len(windows)
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def hashed_word(word: bytes) -> int:
+def hashed_word(word: bytes | str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
@@ -276,19 +325,16 @@ def word_counts(training: DataFrame) -> DataFrame:
     """(word, n) of all words of the training texts; counted inside tasks before they are shuffled."""
 
     def count(batches):
-        held: Counter = Counter()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            for a, b in slices(texts, 500_000):
-                for t in texts[a:b]:
-                    held.update(_words(t))
-                if len(held) > HELD_WORDS:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                    held = Counter()
-        if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+            texts = batch.column(0)
+            part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // CHARS_COUNTED
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+                words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, b - a))).flatten()
+                found = pc.value_counts(words.filter(pc.not_equal(words, "")))
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.binary()), found.field(1)], names=["word", "n"])
 
-    return training.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def least_frequent(words: DataFrame, most: int = FREQUENT) -> int:
@@ -304,10 +350,10 @@ def least_frequent(words: DataFrame, most: int = FREQUENT) -> int:
     return least
 
 
-_HELD: dict[str, dict[bytes, float]] = {}
+_HELD: dict[str, dict[str, float]] = {}
 
 
-def frequent_words(folder: str) -> dict[bytes, float]:
+def frequent_words(folder: str) -> dict[str, float]:
     """The logarithms in a bounded table, read once by each worker from the shared folder."""
     if folder not in _HELD:
         import pyarrow.dataset as ds
@@ -316,13 +362,39 @@ def frequent_words(folder: str) -> dict[bytes, float]:
         files, path = fs.FileSystem.from_uri(folder)
         rows = ds.dataset(path, filesystem=files, format="parquet").to_table()
         _HELD.clear()
-        _HELD[folder] = dict(zip(rows["word"].to_pylist(), rows["log"].to_pylist(), strict=True))
+        _HELD[folder] = dict(zip(rows["word"].cast(pa.string()).to_pylist(), rows["log"].to_pylist(), strict=True))
     return _HELD[folder]
 
 
 _ENCODED = "row long, doc_id string, held_out boolean, round int, n_tokens long, n_known long, base double, rare array<long>, times array<int>, ids binary"
 
 
+def encoded_texts(texts: list[str], frequent: dict[str, float], coder: ByteIds) -> pd.DataFrame:
+    """Columns n_tokens to ids of _ENCODED: each different word is looked up once, all else goes by the words' numbers."""
+    codes, begins, words = coded(pc.ascii_lower(pa.array(texts, pa.string())))
+    ids, id_begins = gathered(codes, begins, coder.known.of(words, coder.each), np.dtype("<u2"))
+    logs = np.array(list(map(frequent.get, words)), float)  # none: nan
+    hashes = np.zeros(len(words), np.int64)
+    for k in np.flatnonzero(np.isnan(logs)).tolist():
+        hashes[k] = hashed_word(words[k])
+    n = len(texts)
+    of, logs = np.repeat(np.arange(n), np.diff(begins)), logs[codes]
+    rare = np.isnan(logs)
+    met, times = np.unique(of[rare] * len(words) + codes[rare], return_counts=True)
+    hashes = hashes[met % max(len(words), 1)]
+    cuts = np.searchsorted(met, np.arange(n + 1) * len(words)).tolist()
+    lists = [[x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (hashes, times)]
+    id_begins = id_begins.tolist()
+    return pd.DataFrame({
+        "n_tokens": np.diff(begins) + 1,
+        "n_known": np.diff(begins) - np.bincount(of[rare], minlength=n),
+        "base": np.bincount(of, np.where(rare, 0, logs), n),
+        "rare": pd.Series(lists[0], dtype=object),
+        "times": pd.Series(lists[1], dtype=object),
+        "ids": pd.Series([ids[a:b].tobytes() for a, b in zip(id_begins, id_begins[1:], strict=False)], dtype=object),
+    })
+
+
 def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
     """Every row's ids, and its base score as far as the frequent words go; the others' hashes and numbers."""
 
@@ -330,17 +402,12 @@ def encoded(docs: DataFrame, frequent_at: str, path: str) -> DataFrame:
         frequent, coder = frequent_words(frequent_at), of_worker(ByteIds, path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                words = _words(t)
-                ids = coder.words(words)
-                logs = list(map(frequent.get, words))
-                rare = Counter(compress(words, map(is_, logs, repeat(None))))
-                hashes = [hashed_word(w) for w in rare]
-                rows.append((row, len(words) + 1, len(words) - rare.total(), sum(filter(None, logs)), hashes, list(rare.values()), ids))
-                row += 1
-            out = pd.DataFrame(rows, columns=["row", "n_tokens", "n_known", "base", "rare", "times", "ids"])
-            yield pd.concat([batch[["doc_id", "held_out", "round"]].reset_index(drop=True), out], axis=1)
+            texts = batch["text"].tolist()
+            for a, b in slices(texts, CHARS_AT_ONCE):
+                out = encoded_texts(texts[a:b], frequent, coder)
+                out.insert(0, "row", range(row, row + b - a))
+                row += b - a
+                yield pd.concat([batch[["doc_id", "held_out", "round"]].iloc[a:b].reset_index(drop=True), out], axis=1)
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES[-1]))
     part = sum((part >= low).cast("int") for low in SLICES[1:-1]).alias("round")

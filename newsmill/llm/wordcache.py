@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 #: ASCII white space, that all the splitting rules agree on.
 _SPACE = " \t\n\r\x0b\x0c"
 #: A word with the white space before it; white space at the end is a chunk too.
@@ -24,7 +26,7 @@ _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]
 #: Punctuation that is a part of its own at a word's end.
 _ENDS = frozenset(".,!?;:")
 #: Words that a worker remembers; more are encoded again when met again.
-CACHE_WORDS = 500_000
+CACHE_WORDS, BYTE_CACHE = 500_000, 200_000
 #: Words whose encodings, a hundred times larger than their ids, are there at once; and parts that are encoded as one text.
 ENCODE_AT_ONCE, PARTS_AT_ONCE = 10_000, 2_000
 
@@ -58,15 +60,20 @@ def coded(texts):
     """The words of an Arrow array of texts as numbers in a row, where each text's begin (and the last ends), and the different words."""
     import pyarrow.compute as pc
 
-    words = pc.ascii_split_whitespace(texts)
-    flat = words.flatten().dictionary_encode()
-    return flat.indices.to_numpy(), words.offsets.to_numpy(), flat.dictionary.to_pylist()
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten().dictionary_encode()
+    codes, begins, words = flat.indices.to_numpy(), lists.offsets.to_numpy(), flat.dictionary.to_pylist()
+    if "" in words:  # white space at an end of a text
+        empty = words.index("")
+        real = codes != empty
+        codes, begins = codes[real], np.concatenate([[0], np.cumsum(real)])[begins]
+        codes = codes - (codes > empty)
+        del words[empty]
+    return codes, begins, words
 
 
 def gathered(codes, begins, ids: list[bytes], kind):
     """The ids of coded() texts in a row, and where each text's begin, from those of the different words."""
-    import numpy as np
-
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
     n = sizes[codes]
     ends = np.cumsum(n)
@@ -102,7 +109,6 @@ class WordIds:
     cache = CACHE_WORDS
 
     def __init__(self, path: str):
-        import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = load(path)
@@ -115,8 +121,6 @@ class WordIds:
         self.known = Recent(self.cache)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        import numpy as np
-
         out = []
         for k in range(0, len(words), ENCODE_AT_ONCE):
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[k : k + ENCODE_AT_ONCE], add_special_tokens=False)]
@@ -124,8 +128,6 @@ class WordIds:
 
     def _merge(self, parts: list[str]) -> list[bytes]:
         """Ids of parts: many as one text, cut where a token ends a part."""
-        import numpy as np
-
         out = []
         for k in range(0, len(parts), PARTS_AT_ONCE):
             some = parts[k : k + PARTS_AT_ONCE]
@@ -166,7 +168,6 @@ class WordIds:
 
     def texts(self, texts: list[str]):
         """Yields the ids of each text as bytes."""
-        import numpy as np
         import pyarrow as pa
 
         # lower case first leaves fewer words; only where that is certain
@@ -230,7 +231,23 @@ class ByteIds:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.tokenizer = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.first = np.zeros(max(ranks.values()) + 1, bool)
+        self.first[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+        self.known = Recent(BYTE_CACHE)
 
+    def each(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words: many as one text, cut where a token begins with the space before a word."""
+        out = []
+        for k in range(0, len(words), ENCODE_AT_ONCE):
+            some = words[k : k + ENCODE_AT_ONCE]
+            ids = self.tokenizer.encode_to_numpy(" " + " ".join(some), disallowed_special=()).astype("<u2")
+            begins = (2 * np.flatnonzero(self.first[ids])).tolist()
+            if len(begins) != len(some):
+                out += [self.words([w.encode()]) for w in some]
+                continue
+            held = ids.tobytes()
+            out += [held[a:b] for a, b in zip(begins, [*begins[1:], len(held)], strict=True)]
+        return out
 
     def words(self, words: list[bytes]) -> bytes:
         if not words:

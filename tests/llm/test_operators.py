@@ -433,6 +433,23 @@ def test_lm_is_better_than_its_base(spark):
     assert rows["sum(score)"] > rows["sum(base_score)"] + 0.05 * rows["sum(n_tokens)"]
 
 
+def test_each_different_word_is_encoded_once():
+    """Ids, known words and rare words of whole texts, while the tokenizer sees a word once for all texts of a worker."""
+    coder = ByteIds(vocabulary(lm_scoring.TOKENIZER))
+    seen, each = [], coder.each
+    coder.each = lambda words: seen.extend(words) or each(words)
+    texts = ["", "North wind north\tWIND ", "\x0b a\xa0b \u2003x <|endoftext|> É é", "wind É \xa0 wind rare rare", "  "]
+    frequent = {"north": 2.0, "wind": 0.5}
+    for part in (texts, texts[::-1], ["", " "]):
+        got = lm_scoring.encoded_texts(part, frequent, coder)
+        for t, r in zip(part, got.itertuples(index=False), strict=True):
+            words = t.encode().lower().split()
+            rare = Counter(lm_scoring.hashed_word(w) for w in words if w.decode() not in frequent)
+            assert (r.n_tokens, r.n_known, r.base) == (len(words) + 1, len(words) - rare.total(), sum(frequent.get(w.decode(), 0) for w in words))
+            assert dict(zip(r.rare.tolist(), r.times.tolist(), strict=True)) == rare and r.ids == coder.words(words)
+    assert sorted(seen) == sorted({w.decode() for t in texts for w in t.encode().lower().split()})
+
+
 # 6
 def plain_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
