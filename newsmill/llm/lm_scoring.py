@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ RATE, FIRST_SQUARE, PRIOR = 0.2, 1.0, 2.0
 SLICES = (0, 1, 2, 4, 8, 16, 32, 64)
 #: Windows of a step in training, and of a batch in scoring; and ids whose windows are there at once.
 STEP, BATCH, AT_ONCE = 512, 1024, 200_000
-#: Windows of a batch in scoring whose arrays are there at once: they stay in a core's cache.
+#: Windows of a batch or step whose arrays are there at once: they stay in a core's cache, and in memory that the process
+#: keeps (larger ones are fetched from the system, page by page, and given back in every step).
 BLOCK = 128
 #: Words whose counts every task holds, at most.
 FREQUENT = 400_000
@@ -65,6 +67,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Added to the exponents of attention: none to positions behind.
 _CAUSAL = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -np.inf).astype(np.float32)
 _BACK = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None], 0)
+#: Where each bucket's embedding stands among all.
+_PLACES = np.arange(BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
 
 
 def classes(n: np.ndarray, frequency: np.ndarray) -> np.ndarray:
@@ -138,26 +142,24 @@ class Model:
         new.bucket, new.within, new.after = (arrays[k] for k in ("bucket", "within", "after"))
         return new
 
-    def tables(self, windows: int) -> dict:
+    def tables(self) -> dict:
         """What depends on a bucket alone, by bucket: query, key, value and a one; its part of the hidden units' input (doubled,
-        since tanh(x) = 1 - 2 / (exp(2x) + 1)) where it stands itself, and where it stands before; none stands before a window.
-        The parts of that input are worth it only for many windows: in a step it is made from z as a whole."""
+        since tanh(x) = 1 - 2 / (exp(2x) + 1)) where it stands itself, and where it stands before; none stands before a window."""
         p = self.p
         qkv = np.ones((BUCKETS, 3 * HEAD + 1), np.float32)
-        qkv[:, :-1] = p["embed"] @ p["qkv"]
-        q, k = (np.square(qkv[:, at : at + HEAD]).sum(1).max() for at in (0, HEAD))
-        out = {
+        np.matmul(p["embed"], p["qkv"], out=qkv[:, :-1])
+        q, k = (np.einsum("ij,ij->i", x, x).max() for x in (qkv[:, :HEAD], qkv[:, HEAD : 2 * HEAD]))
+        before = np.zeros((BUCKETS + 1, HIDDEN), np.float32)
+        np.matmul(p["embed"], 2 * p["mix"][WIDTH : 2 * WIDTH], out=before[:-1])
+        return {
             "qkv": qkv,
+            "own": p["embed"] @ (2 * p["mix"][:WIDTH]) + 2 * p["mix"][-1],
+            "before": before,
             "near": p["near"][0][_BACK] + _CAUSAL,
             # exponents beyond 30 are cut; where none can be, nothing is compared
             "cut": np.sqrt(q * k) + p["near"].max() > 30,
             "cut_class": np.abs(p["class"]).sum(0).max() > 30,
         }
-        if windows > STEP:
-            out["own"] = p["embed"] @ (2 * p["mix"][:WIDTH]) + 2 * p["mix"][-1]
-            out["before"] = np.zeros((BUCKETS + 1, HIDDEN), np.float32)
-            out["before"][:-1] = p["embed"] @ (2 * p["mix"][WIDTH : 2 * WIDTH])
-        return out
 
     def forward(self, b: np.ndarray, t: np.ndarray, skip: int, tables: dict):
         """For windows of buckets and the targets from position skip on: p(class of target), and what a step needs."""
@@ -171,22 +173,11 @@ class Model:
         out = np.matmul(e, qkv[..., 2 * HEAD :])
         weight = out[..., HEAD:]
         out = out[..., :HEAD] / weight
-        z = None
-        if "own" in tables:
-            h = out.reshape(-1, HEAD) @ (2 * p["mix"][2 * WIDTH : -1])
-            before = np.full((n, size - skip), BUCKETS, b.dtype)
-            before[:, 0 if skip else 1 :] = b[:, skip - 1 if skip else 0 : -1]
-            h += tables["own"].take(b[:, skip:].ravel(), axis=0)
-            h += tables["before"].take(before.ravel(), axis=0)
-        else:
-            x = p["embed"].take(b, axis=0)
-            z = np.ones((n, size - skip, 2 * WIDTH + HEAD + 1), np.float32)
-            z[..., :WIDTH] = x[:, skip:]
-            z[:, :1, WIDTH : 2 * WIDTH] = x[:, skip - 1 : skip] if skip else 0
-            z[:, 1:, WIDTH : 2 * WIDTH] = x[:, skip:-1]
-            z[..., 2 * WIDTH : -1] = out
-            z = z.reshape(-1, z.shape[2])
-            h = z @ (2 * p["mix"])
+        h = out.reshape(-1, HEAD) @ (2 * p["mix"][2 * WIDTH : -1])
+        before = np.full((n, size - skip), BUCKETS, b.dtype)
+        before[:, 0 if skip else 1 :] = b[:, skip - 1 if skip else 0 : -1]
+        h += tables["own"].take(b[:, skip:].ravel(), axis=0)
+        h += tables["before"].take(before.ravel(), axis=0)
         with np.errstate(over="ignore"):
             np.exp(h, out=h)
         h += 1
@@ -198,62 +189,71 @@ class Model:
             np.minimum(c, 30, out=c)
         np.exp(c, out=c)
         total = c @ np.ones(CLASSES, np.float32)
-        of = t.ravel() // MEMBERS
-        return c[np.arange(len(of)), of] / total, qkv, e, weight, out, z, h, c, total, of
+        at = t.ravel() // MEMBERS
+        at += np.arange(0, c.size, CLASSES)
+        return c.ravel().take(at) / total, qkv, e, weight, out, h, c, total, at
 
     def probability(self, windows: np.ndarray, targets: np.ndarray, skip: int = 0, tables: dict | None = None) -> np.ndarray:
         """p(target | the ids up to there) for windows of ids, from position skip on; targets are ids too."""
-        tables, parts = tables or self.tables(len(windows)), []
+        tables, parts = tables or self.tables(), []
         for k in range(0, len(windows), BLOCK):
             target = targets[k : k + BLOCK, skip:]
-            b, t = self.bucket[windows[k : k + BLOCK]], self.bucket[target]
-            parts.append(self.forward(b, t, skip, tables)[0].reshape(t.shape) * self.after[b[:, skip:], t] * self.within[target])
+            b, t = self.bucket.take(windows[k : k + BLOCK]), self.bucket.take(target)
+            parts.append(self.forward(b, t, skip, tables)[0].reshape(t.shape) * self.after[b[:, skip:], t] * self.within.take(target))
         return np.concatenate(parts)
 
     def learn(self, windows: np.ndarray, targets: np.ndarray, on: np.ndarray, squares: dict, skip: int = 0) -> None:
         """One step of Adagrad on windows, from position skip on; on says which predictions count."""
-        b = self.bucket[windows]
-        grads = self.gradients(b, self.bucket[targets[:, skip:]], on[:, skip:].ravel().astype(np.float32), skip, self.tables(0))
+        b, t, tables = self.bucket.take(windows), self.bucket.take(targets[:, skip:]), self.tables()
+        dx, grads = np.empty((*b.shape, WIDTH), np.float32), {}
+        for k in range(0, len(b), BLOCK):
+            some = slice(k, k + BLOCK)
+            for name, d in self.gradients(b[some], t[some], on[some, skip:].ravel().astype(np.float32), skip, tables, dx[some]).items():
+                grads[name] = grads[name] + d if name in grads else d
+        grads["embed"] = np.bincount(_PLACES.take(b.ravel(), axis=0).ravel(), dx.ravel(), BUCKETS * WIDTH)
         squares["met"] += np.bincount(b.ravel(), minlength=BUCKETS)
         for name, d in grads.items():
             d = d.reshape(self.p[name].shape).astype(np.float32)
             squares[name] += d * d
             self.p[name] += RATE * d / np.sqrt(squares[name])
 
-    def gradients(self, b: np.ndarray, t: np.ndarray, on: np.ndarray, skip: int, tables: dict) -> dict[str, np.ndarray]:
-        """Of the log likelihood of the targets that count."""
+    def gradients(self, b: np.ndarray, t: np.ndarray, on: np.ndarray, skip: int, tables: dict, dx: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the log likelihood of the targets that count; dx takes those of the embeddings where they stand."""
         p, (n, size) = self.p, b.shape
-        _, qkv, e, weight, out, z, h, c, total, of = self.forward(b, t, skip, tables)
-        x = p["embed"].take(b, axis=0)
+        _, qkv, e, weight, out, h, c, total, at = self.forward(b, t, skip, tables)
         e /= weight
         c *= (-on / total)[:, None]
-        c[np.arange(len(on)), of] += on
+        c.reshape(-1)[at] += on
         dh = c @ p["class"].T
         d_class = h.T @ c
         np.square(h, out=h)
         np.subtract(1, h, out=h)
         dh *= h
-        dz = (dh @ p["mix"].T).reshape(n, size - skip, -1)
-        d_out = dz[..., 2 * WIDTH : -1]
-        ds = np.matmul(d_out, qkv[..., 2 * HEAD : -1].transpose(0, 2, 1))
-        ds -= np.einsum("nij,nij->ni", d_out, out)[..., None]
+        # d: what an embedding's products meet, side by side: hidden units of its own position, query, key, value, and hidden
+        # units of the next position
+        d, hidden = np.empty((n, size, 2 * HIDDEN + 3 * HEAD), np.float32), dh.reshape(n, size - skip, HIDDEN)
+        d[:, skip:, :HIDDEN] = hidden
+        d[:, :skip] = 0
+        d[:, -1, -HIDDEN:] = 0
+        d[:, max(skip - 1, 0) : -1, -HIDDEN:] = hidden[:, 0 if skip else 1 :]
+        # beside the gradient of out, a column that meets the ones beside the values
+        d_out = np.empty((n, size - skip, HEAD + 1), np.float32)
+        np.matmul(dh, p["mix"][2 * WIDTH : -1].T, out=d_out.reshape(-1, HEAD + 1)[:, :-1])
+        np.negative(np.einsum("nij,nij->ni", d_out[..., :-1], out), out=d_out[..., -1])
+        ds = np.matmul(d_out, qkv[..., 2 * HEAD :].transpose(0, 2, 1))
         ds *= e
-        d_qkv = np.zeros((n, size, 3 * HEAD), np.float32) if skip else np.empty((n, size, 3 * HEAD), np.float32)
-        np.matmul(ds, qkv[..., HEAD : 2 * HEAD], out=d_qkv[:, skip:, :HEAD])
-        np.matmul(ds.transpose(0, 2, 1), qkv[:, skip:, :HEAD], out=d_qkv[..., HEAD : 2 * HEAD])
-        np.matmul(e.transpose(0, 2, 1), d_out, out=d_qkv[..., 2 * HEAD :])
-        d_qkv = d_qkv.reshape(-1, 3 * HEAD)
-        dx = (d_qkv @ p["qkv"].T).reshape(x.shape)
-        dx[:, skip:] += dz[..., :WIDTH]
-        dx[:, skip:-1] += dz[:, 1:, WIDTH : 2 * WIDTH]
-        if skip:
-            dx[:, skip - 1] += dz[:, 0, WIDTH : 2 * WIDTH]
-        at = (b.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        query, key, value = (d[..., k : k + HEAD] for k in range(HIDDEN, HIDDEN + 3 * HEAD, HEAD))
+        np.matmul(ds, qkv[..., HEAD : 2 * HEAD], out=query[:, skip:])
+        np.matmul(ds.transpose(0, 2, 1), qkv[:, skip:, :HEAD], out=key)
+        np.matmul(e.transpose(0, 2, 1), d_out[..., :-1], out=value)
+        d = d.reshape(n * size, -1)
+        mix = p["mix"]
+        np.matmul(d, np.concatenate([mix[:WIDTH], p["qkv"], mix[WIDTH : 2 * WIDTH]], 1).T, out=dx.reshape(-1, WIDTH))
+        own, of_qkv, before = np.split(p["embed"].take(b.ravel(), axis=0).T @ d, [HIDDEN, HIDDEN + 3 * HEAD], axis=1)
         return {
-            "embed": np.bincount(at, dx.ravel(), BUCKETS * WIDTH),
-            "qkv": x.reshape(-1, WIDTH).T @ d_qkv,
+            "qkv": of_qkv,
             "near": np.bincount(_BACK[skip:size, :size].ravel(), ds.sum(0).ravel(), WINDOW),
-            "mix": z.T @ dh,
+            "mix": np.concatenate([own, before, out.reshape(-1, HEAD).T @ dh, np.ones((1, len(dh)), np.float32) @ dh]),
             "class": d_class,
         }
 
@@ -268,16 +268,21 @@ def in_windows(sequences: list[np.ndarray], stride: int = STRIDE):
     A sequence begins with BEGIN and ends with END; each id after the first is predicted, once.
     """
     sizes = np.array([len(s) - 1 for s in sequences])
-    flat = np.concatenate(sequences)
+    flat = np.concatenate([*sequences, np.zeros(WINDOW, np.int64)])
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     n = 1 + np.maximum(0, -(-(sizes - WINDOW) // stride))
     of = np.repeat(np.arange(len(sequences)), n)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    place = nth[:, None] * stride + np.arange(WINDOW)
-    inside = place < sizes[of][:, None]
-    on = inside & ((nth == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - stride))
-    at = starts[of][:, None] + np.minimum(place, sizes[of][:, None] - 1)
-    return flat[at], flat[at + 1], on, of
+    at = starts[of] + nth * stride
+    windows, targets = (sliding_window_view(x, WINDOW)[at] for x in (flat[:-1], flat[1:]))
+    on = np.array([np.arange(WINDOW) >= WINDOW - stride, np.ones(WINDOW, bool)])[(nth == 0).astype(int)]
+    # a sequence's last window may reach beyond it: its last prediction stands there again, and doesn't count
+    last = np.cumsum(n) - 1
+    left = (sizes - nth[last] * stride)[:, None]
+    inside = at[last][:, None] + np.minimum(np.arange(WINDOW), left - 1)
+    windows[last], targets[last] = flat[inside], flat[inside + 1]
+    on[last] &= np.arange(WINDOW) < left
+    return windows, targets, on, of
 
 
 def steps_of(of: np.ndarray):
@@ -301,11 +306,13 @@ def parts_of(packed: list[bytes]):
 def log10_of(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 p of each sequence."""
     windows, targets, on, of = in_windows(sequences)
-    out, tables = np.zeros(len(sequences)), model.tables(len(windows))
+    out, tables = np.zeros(len(sequences)), model.tables()
     for k, skip in steps_of(of):
         p = model.probability(windows[k], targets[k], skip, tables)
-        np.add.at(out, of[k], np.where(on[k, skip:], np.log10(np.maximum(p, 1e-30)), 0).sum(1))
-    return out
+        np.log(np.maximum(p, 1e-30, out=p), out=p)
+        p *= on[k, skip:]
+        out += np.bincount(of[k], p @ np.ones(p.shape[1], np.float32), len(out))
+    return out / math.log(10)
 
 
 def learn_from(model: Model, sequences: list[np.ndarray], squares: dict) -> int:
@@ -436,18 +443,12 @@ def pair_counts(training: DataFrame, bucket: np.ndarray) -> np.ndarray:
     """n[a, b]: how often bucket b follows bucket a; summed by Spark, packed to at most BUCKETS rows to come back."""
 
     def count(batches):
-        n, held, size = np.zeros(BUCKETS * BUCKETS, np.int64), [], 0
+        n = np.zeros(BUCKETS * BUCKETS, np.int64)
         for batch in batches:
             for _, sequences in parts_of(batch["ids"].tolist()):
                 flat = bucket[np.concatenate(sequences)]
                 ends = np.cumsum([len(s) for s in sequences])[:-1]
-                held.append(np.delete(flat[:-1] * BUCKETS + flat[1:], ends - 1))  # none from one text to the next
-                size += len(flat)
-                if size > len(n) // 4:
-                    n += np.bincount(np.concatenate(held), minlength=len(n))
-                    held, size = [], 0
-        if held:
-            n += np.bincount(np.concatenate(held), minlength=len(n))
+                np.add.at(n, np.delete(flat[:-1] * BUCKETS + flat[1:], ends - 1), 1)  # none from one text to the next
         at = np.flatnonzero(n)
         yield pd.DataFrame({"a": at // BUCKETS, "b": at % BUCKETS, "n": n[at]})
 

@@ -62,7 +62,7 @@ def coded(texts):
 
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten().dictionary_encode()
-    codes, begins, words = flat.indices.to_numpy(), lists.offsets.to_numpy(), flat.dictionary.to_pylist()
+    codes, begins, words = flat.indices.to_numpy(), lists.offsets.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
     if "" in words:  # white space at an end of a text
         empty = words.index("")
         real = codes != empty

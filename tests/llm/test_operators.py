@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -346,6 +347,46 @@ def test_lm_gradients():
             assert abs((sides[0] - sides[1]) / 0.04 - step[at]) < 0.02 * abs(step[at]) + 0.02, name
 
 
+def test_lm_windows_by_plain_loops():
+    """Windows of every length and stride; the last one's places beyond the text hold its last prediction and don't count."""
+    rng = np.random.default_rng(7)
+    sequences = [rng.integers(0, 100, n) for n in (2, 5, 16, 17, 18, 29, 30, 33, 34, 57, 58, 200)]
+    for stride in (lm_scoring.STRIDE, lm_scoring.WINDOW):
+        want = []
+        for k, s in enumerate(sequences):
+            low = 0
+            while low == 0 or low + lm_scoring.WINDOW - stride < len(s) - 1:
+                at = [min(low + i, len(s) - 2) for i in range(lm_scoring.WINDOW)]
+                on = [low + i < len(s) - 1 and (low == 0 or i >= lm_scoring.WINDOW - stride) for i in range(lm_scoring.WINDOW)]
+                want.append((s[at].tolist(), s[[a + 1 for a in at]].tolist(), on, k))
+                low += stride
+        got = lm_scoring.in_windows(sequences, stride)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_lm_step_goes_by_blocks():
+    """A step takes little memory beside its parameters, and adds up what its windows give one block at a time."""
+    first, rng = random_model(8), np.random.default_rng(9)
+    shape = (lm_scoring.STEP, lm_scoring.WINDOW)
+    a, t, on = rng.integers(0, 3000, shape), rng.integers(0, 3000, shape), rng.random(shape) < 0.8
+
+    def step(rows):
+        """The gradient of a step over some windows, from what it adds to the squares."""
+        model = lm_scoring.Model.of(first.arrays())
+        squares = lm_scoring.first_squares(model.p) | {"met": np.zeros(lm_scoring.BUCKETS)}
+        tracemalloc.start()
+        model.learn(a[rows], t[rows], on[rows], squares)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return {k: (model.p[k] - v) * np.sqrt(squares[k]) / lm_scoring.RATE for k, v in first.p.items()}, peak
+
+    whole, peak = step(slice(None))
+    parts = [step(slice(k, k + 50))[0] for k in range(0, lm_scoring.STEP, 50)]
+    for name, d in whole.items():
+        np.testing.assert_allclose(d, sum(x[name] for x in parts), atol=1e-3 * np.abs(d).max(), err_msg=name)
+    assert peak < 6_000_000  # all 512 windows' arrays at once: more than 12 MB
+
+
 def test_lm_scoring(spark, docs):
     rows = corpus() + [(1000 + i, words(60, random.Random(i))) for i in range(80)]
     df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id long, text string, score double")
