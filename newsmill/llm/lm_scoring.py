@@ -28,6 +28,7 @@ other columns than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -148,7 +149,7 @@ class Model:
         p = self.p
         qkv = np.ones((BUCKETS, 3 * HEAD + 1), np.float32)
         np.matmul(p["embed"], p["qkv"], out=qkv[:, :-1])
-        q, k = (np.einsum("ij,ij->i", x, x).max() for x in (qkv[:, :HEAD], qkv[:, HEAD : 2 * HEAD]))
+        q, k = (np.square(qkv[:, : 2 * HEAD]) @ np.repeat(np.eye(2, dtype=np.float32), HEAD, 0)).max(0)
         before = np.zeros((BUCKETS + 1, HIDDEN), np.float32)
         np.matmul(p["embed"], 2 * p["mix"][WIDTH : 2 * WIDTH], out=before[:-1])
         return {
@@ -369,7 +370,7 @@ def frequent_words(folder: str) -> dict[str, float]:
         files, path = fs.FileSystem.from_uri(folder)
         rows = ds.dataset(path, filesystem=files, format="parquet").to_table()
         _HELD.clear()
-        _HELD[folder] = dict(zip(rows["word"].cast(pa.string()).to_pylist(), rows["log"].to_pylist(), strict=True))
+        _HELD[folder] = dict(zip(rows["word"].cast(pa.string()).to_numpy().tolist(), rows["log"].to_numpy().tolist(), strict=True))
     return _HELD[folder]
 
 
@@ -380,7 +381,7 @@ def encoded_texts(texts: list[str], frequent: dict[str, float], coder: ByteIds)
     """Columns n_tokens to ids of _ENCODED: each different word is looked up once, all else goes by the words' numbers."""
     codes, begins, words = coded(pc.ascii_lower(pa.array(texts, pa.string())))
     ids, id_begins = gathered(codes, begins, coder.known.of(words, coder.each), np.dtype("<u2"))
-    logs = np.array(list(map(frequent.get, words)), float)  # none: nan
+    logs = np.fromiter(map(frequent.get, words, repeat(math.nan)), float, len(words))
     hashes = np.zeros(len(words), np.int64)
     for k in np.flatnonzero(np.isnan(logs)).tolist():
         hashes[k] = hashed_word(words[k])

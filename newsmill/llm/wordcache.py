@@ -90,6 +90,11 @@ class Recent:
 
     def of(self, words: list, find) -> list:
         """What is known of each of the words (all different); find tells it for a list of those that aren't remembered."""
+        if not (self.new or self.old):
+            found = find(words)
+            if len(words) <= self.half:
+                self.new.update(zip(words, found, strict=True))
+            return found
         out = dict(zip(words, map(self.new.get, words), strict=True))
         lost = [w for w, x in out.items() if x is None]
         if self.old:
